@@ -1,11 +1,15 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
+from .language import op2_language_id
 from .quality import OP5_SQL, op5_quality_rules
+from .tokens import op6_token_counts
 from .urls import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_counts": op6_token_counts,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
