@@ -34,10 +34,12 @@ END_ID = 1
 GROUP_ROWS = 1000
 MAX_SALTS = 4096
 SLICE_CHARS = 1 << 20
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 500_000
 #: Texts of these characters alone are cut at white space and encoded chunk by chunk: none of the vocabulary's
 #: pretokens holds white space, composition leaves these characters as they are, and they lower-case one by one.
 PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7e¡-¬®-ÿ]*")
+#: The vocabulary's pretokens over those characters; each is encoded by itself.
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
 def default_path() -> str:
@@ -70,17 +72,24 @@ class ChunkEncoder:
         self._reset()
 
     def _reset(self):
-        self.seen, self.flat = _Seen(), np.zeros(0, np.uint32)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.seen, self.words = _Seen(), _Seen()
+        self.ids: list[list[int]] = []  # of each word
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each chunk
 
     def _learn(self):
-        if self.seen.new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.seen.new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for e in ids for x in e), np.uint32, int(size.sum()))])
-            self.seen.new = []
+        if not self.seen.new:
+            return
+        number = self.words.__getitem__
+        parts = [[number(w) for w in PRETOKEN.findall(c)] for c in self.seen.new]
+        if self.words.new:
+            self.ids += [e.ids for e in self.tokenizer.encode_batch_fast(self.words.new, add_special_tokens=False)]
+        ids = self.ids
+        got = [ids[p[0]] if len(p) == 1 else [x for w in p for x in ids[w]] for p in parts]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))])
+        self.seen.new, self.words.new = [], []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as encode(text, add_special_tokens=False) gives them."""
