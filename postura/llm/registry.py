@@ -1,6 +1,8 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
+from .decontaminate import OP4_SQL, op4_decontamination
 from .language import op2_language_id
+from .packing import op7_best_fit_packing
 from .quality import OP5_SQL, op5_quality_rules
 from .tokens import op6_token_counts
 from .urls import OP3_SQL, op3_url_filter
@@ -8,10 +10,13 @@ from .urls import OP3_SQL, op3_url_filter
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
+    "op4_decontamination": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
 }
