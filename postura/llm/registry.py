@@ -2,6 +2,7 @@
 
 from .decontaminate import OP4_SQL, op4_decontamination
 from .language import op2_language_id
+from .minhash import op9_minhash_dedup
 from .packing import op7_best_fit_packing
 from .quality import OP5_SQL, op5_quality_rules
 from .tokens import op6_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
