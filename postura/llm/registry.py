@@ -5,6 +5,7 @@ from .language import op2_language_id
 from .minhash import op9_minhash_dedup
 from .packing import op7_best_fit_packing
 from .quality import OP5_SQL, op5_quality_rules
+from .repeats import op8_repeated_bytes
 from .tokens import op6_token_counts
 from .urls import OP3_SQL, op3_url_filter
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_repeated_bytes": op8_repeated_bytes,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 ORACLE_SQL = {
