@@ -4,6 +4,7 @@ from .decontaminate import OP4_SQL, op4_decontamination
 from .language import op2_language_id
 from .minhash import op9_minhash_dedup
 from .packing import op7_best_fit_packing
+from .private import op10_surrogates
 from .quality import OP5_SQL, op5_quality_rules
 from .repeats import op8_repeated_bytes
 from .tokens import op6_token_counts
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_repeated_bytes": op8_repeated_bytes,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_surrogates": op10_surrogates,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
