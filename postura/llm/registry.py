@@ -7,10 +7,12 @@ from .packing import op7_best_fit_packing
 from .private import op10_surrogates
 from .quality import OP5_SQL, op5_quality_rules
 from .repeats import op8_repeated_bytes
+from .scoring import op1_lm_scores
 from .tokens import op6_token_counts
 from .urls import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op4_decontamination": op4_decontamination,
