@@ -128,17 +128,14 @@ def _runs(item: np.ndarray, place: np.ndarray, at: np.ndarray, width: np.ndarray
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
-    """A row a document: its columns (without the text, if not keep_text), n_words, and found.
+    """A row a document: its columns (without the text, if not keep_text), _dc_words, and _dc_found.
 
-    found: its longest verbatim matches, an array of (item_id, item_word,
-    word, words).
+    _dc_words: number of words; _dc_found: its longest verbatim matches, an
+    array of (item_id, item_word, word, words).
     """
     spark = docs.sparkSession
-    extra = "n_words long, found array<struct<item_id:string,item_word:long,word:long,words:long>>"
+    extra = "_dc_words long, _dc_found array<struct<item_id:string,item_word:long,word:long,words:long>>"
     more = StructType.fromDDL(extra).fields
-    clash = {"n_words", "found"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
     result = docs
     for k, (last, items) in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
         gone = [text_col] if last and not keep_text else []
@@ -164,9 +161,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
                         found[d] = [{"item_id": tests.names[i], "item_word": int(p), "word": int(x), "words": int(n)} for i, p, x, n in _runs(tests.item[q], tests.place[q], local, tests.width[q])]
                     out = pdf.iloc[a:b].drop(columns=gone)
                     if k:
-                        out["found"] = [list(old) + new for old, new in zip(out["found"], found)]
+                        out["_dc_found"] = [list(old) + new for old, new in zip(out["_dc_found"], found)]
                     else:
-                        out["n_words"], out["found"] = w.counts, found
+                        out["_dc_words"], out["_dc_found"] = w.counts, found
                     yield out
 
         result = result.mapInPandas(searched, schema)
@@ -175,17 +172,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any match, with their columns."""
-    return matches(docs, benchmark, **options).filter(F.size("found") == 0).select(*docs.columns)
+    return matches(docs, benchmark, **options).filter(F.size("_dc_found") == 0).select(*docs.columns)
 
 
 def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) of the rows of matches()."""
-    spans = F.sort_array(F.transform("found", lambda m: F.struct(m["word"].alias("a"), (m["word"] + m["words"]).alias("b"))))
+    spans = F.sort_array(F.transform("_dc_found", lambda m: F.struct(m["word"].alias("a"), (m["word"] + m["words"]).alias("b"))))
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     more = lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"))
-    items = F.sort_array(F.array_distinct(F.transform("found", lambda m: m["item_id"])))
+    items = F.sort_array(F.array_distinct(F.transform("_dc_found", lambda m: m["item_id"])))
     return found.select(
-        F.col(id_col).alias("doc_id"), "n_words", F.aggregate(spans, zero, more, lambda s: s["n"]).alias("n_hit"), items.alias("items"),
+        F.col(id_col).alias("doc_id"), F.col("_dc_words").alias("n_words"), F.aggregate(spans, zero, more, lambda s: s["n"]).alias("n_hit"), items.alias("items"),
     ).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

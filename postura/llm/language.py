@@ -119,13 +119,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """docs' columns but the text, with lang_pred and score."""
+    """docs' columns but the text, with lang_pred and score (which replace columns of these names)."""
     langs, bits = model
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits)  # SLOTS words, whatever the corpus
     fill = np.array([float(((bits >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(langs))])
     wrong = np.minimum(fill**2, 0.99)
-    rest = [f for f in docs.schema.fields if f.name != text_col]
+    rest = [f for f in docs.schema.fields if f.name not in (text_col, "lang_pred", "score")]
     schema = type(docs.schema)(rest).add("lang_pred", "string").add("score", "double")
 
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             letters = _letter_table()
             some = np.array([any(letters[ord(c)] for c in t[:64]) or any(letters[ord(c)] for c in t) for t in texts], bool)
             share = np.clip((hits - total[:, None] * wrong) / (1 - wrong), 0, None)
-            out = pdf.drop(columns=[text_col])
+            out = pdf[[f.name for f in rest]].copy()
             if langs:
                 best = share.argmax(axis=1)
                 top, whole = share[np.arange(len(texts)), best], share.sum(axis=1)

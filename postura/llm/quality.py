@@ -110,6 +110,12 @@ def passes(version: str, failed: Column | str = "failed") -> Column:
     return col.bitwiseAND(F.lit(mask(POLICIES[version]))) == 0
 
 
+def accepted(docs: DataFrame, version: str = "v2", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that pass a policy."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+    return ledger(rows, "_row", "_text").filter(passes(version)).select("_row.*")
+
+
 def ablation(book: DataFrame, version: str) -> DataFrame:
     """Per rule of a policy: documents that fail it, that fail it alone (kept if it were dropped), one shuffled row a task."""
     whole = mask(POLICIES[version])
