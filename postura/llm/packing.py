@@ -31,7 +31,7 @@ from .common import saved, table
 CAPACITY = 4096
 END_ID = 1
 #: Rows of one length that are ranked together.
-GROUP_ROWS = 1000
+GROUP_ROWS = 250
 MAX_SALTS = 4096
 SLICE_CHARS = 1 << 20
 CACHED_CHUNKS = 500_000
@@ -40,6 +40,8 @@ CACHED_CHUNKS = 500_000
 PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7e¡-¬®-ÿ]*")
 #: The vocabulary's pretokens over those characters; each is encoded by itself.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: The byte alphabet: bytes without a printing character get the next ones from 256 on.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 def default_path() -> str:
@@ -81,8 +83,11 @@ class ChunkEncoder:
             return
         number = self.words.__getitem__
         parts = [[number(w) for w in PRETOKEN.findall(c)] for c in self.seen.new]
-        if self.words.new:
-            self.ids += [e.ids for e in self.tokenizer.encode_batch_fast(self.words.new, add_special_tokens=False)]
+        model = self.tokenizer.model  # the words need no more normalizing or cutting, only the byte alphabet
+        for word in self.words.new:
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            self.ids.append([t.id for t in model.tokenize(word)])
         ids = self.ids
         got = [ids[p[0]] if len(p) == 1 else [x for w in p for x in ids[w]] for p in parts]
         size = np.fromiter(map(len, got), np.int64, len(got))
