@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import saved
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -26,17 +26,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     many edges is split like any skewed key.  The number of steps is
     logarithmic in the size of a component.
     """
-    shared_dir(edges.sparkSession)  # checkpoint() needs a folder
-    edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct().checkpoint()
+    edges = saved(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         large = _star(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         small = _star(large)
-        small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        edges = small.distinct().checkpoint()
+        small = small.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).filter("a <> b")
+        edges = saved(small.distinct(), "edges")
         new = _mark(edges)
         if new == mark:
             break
         mark = new
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
+    pair = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("comp")), F.struct(F.col("b").alias("node"), F.col("b").alias("comp")))
+    return edges.select(F.inline(pair)).distinct()

@@ -11,10 +11,11 @@ Jaccard similarity the threshold is about.
 
 Texts with the same words are one node.  Nodes that share a band meet in its
 bucket.  No bucket is expanded into pairs at once: all members are verified
-against the bucket's leader, then against other leaders, and only members
-that share a bucket but not yet a component are compared directly.  Each
-candidate is verified by its exact Jaccard similarity; verified links form
-classes.
+against the bucket's leader (and random other ones, as long as many rows stay
+apart), and only members that are apart from their bucket's largest group are
+compared with its other members, in blocks of fixed size, by products of
+incidence matrices; of the links found a spanning forest is emitted.  Every
+link is verified by its exact Jaccard similarity; links form classes.
 
 Defined results: a text without words is in a class with equal texts only;
 null text: as such, an own class; null id: class of its words, or null; rows
@@ -42,9 +43,11 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Texts with fewer shingles take many rounds; they are signed together.
 FEW = 64
-#: Direct comparisons start when there are at most so many for each member left apart.
-DIRECT_PER_NODE = 32
-MAX_LEADER_ROUNDS = 8
+#: Members left apart, and all members, of a bucket that are compared in one block.
+LEFT_BLOCK, RIGHT_BLOCK = 128, 512
+#: Copies of a bucket's rows over blocks beyond which another round of leaders comes first.
+BLOCK_COPIES = 8
+MAX_LEADER_ROUNDS = 6
 
 
 def shingle_names(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -177,40 +180,96 @@ def _near(similarity: float):
     return (F.col("n") >= similarity * F.col("n2") - 1e-9) & (F.col("n2") >= similarity * F.col("n") - 1e-9)
 
 
-def links(buckets: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
-    """(node, comp) of the nodes with links.  buckets: (band, node, n), those of two members at least."""
-    edges: DataFrame | None = None
-    comps: DataFrame | None = None
-    for turn in range(MAX_LEADER_ROUNDS + 1):
-        # members with their component so far; buckets within one component are done
-        if comps is None:
-            members = buckets.withColumn("comp", F.col("node"))
-        else:
-            members = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # a bucket's leader: the least node first, then a random one of its largest component
+def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Shingles that each of left shares with each of right, as products of incidence matrices."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    placed = []
+    for names, owner in sides:
+        at = np.searchsorted(shared, names)
+        at[at == len(shared)] = 0
+        known = shared[at] == names if len(shared) else np.zeros(len(names), bool)
+        order = np.argsort(at[known], kind="stable")
+        placed.append((at[known][order], owner[known][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(shared), columns):
+        a, b = (np.zeros((len(sets), columns), np.float32) for sets in (left, right))
+        for matrix, (at, owner) in zip((a, b), placed):
+            low, high = np.searchsorted(at, (first, first + columns))
+            matrix[owner[low:high], at[low:high] - first] = 1
+        out += a @ b.T
+    return out
+
+
+def _forest(similarity: float):
+    """Links of a block of members left apart with a block of all members: a spanning forest, exactly verified."""
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for part in (pdf[pdf["apart"]], pdf[~pdf["apart"]]):
+            sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+            sides.append((part["node"].tolist(), part["comp"].to_numpy(), sets, np.array([len(x) for x in sets])))
+        (names, labels, left, n), (names2, labels2, right, n2) = sides
+        out = []
+        if names and names2:
+            common = _common(left, right)
+            fits = (common > 0) & (common >= similarity * (n[:, None] + n2 - common) - 1e-6) & (labels[:, None] != labels2)
+            parent: dict = {}
+
+            def root(x):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for k, j in np.argwhere(fits).tolist():
+                a, b = root(names[k]), root(names2[j])
+                if a != b:
+                    parent[a] = b
+                    out.append((max(names[k], names2[j]), min(names[k], names2[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return link
+
+
+def links(buckets: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): verified links that connect every class.  buckets: (band, node, n) of the bands with two nodes at least."""
+    kind = buckets.schema["node"].dataType.simpleString()
+    edges = members = None
+    rows = before = 0
+    for turn in range(MAX_LEADER_ROUNDS):
         rank = F.col("node") if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
-        per = members.groupBy("band", "comp").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), rank).alias("top"))
-        lead = per.groupBy("band").agg(
-            F.sum("c").alias("size"), F.count("*").alias("n_comps"), F.max_by("top", F.struct(F.col("c"), -F.xxhash64("comp"))).alias("top"),
-            F.max_by("comp", F.struct(F.col("c"), -F.xxhash64("comp"))).alias("lead_comp"),
-        ).filter("n_comps > 1") if turn else per.groupBy("band").agg(F.sum("c").alias("size"), F.min_by("top", "top.node").alias("top"), F.min("comp").alias("lead_comp"))
-        apart = members.join(lead, "band").filter("comp <> lead_comp")
-        if turn:
-            apart = saved(apart, "apart")
-            todo, nodes = apart.agg(F.sum("size"), F.count("*")).first()
-            if not nodes:
-                break
-            if turn == MAX_LEADER_ROUNDS or todo <= DIRECT_PER_NODE * nodes:
-                others = members.select("band", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-                pairs = apart.select("band", F.col("node").alias("a"), "n", "comp").join(others, "band").filter(_near(similarity)).filter("comp <> comp2")
-                found = similar(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets, similarity)
-                return components(edges.unionByName(found))
-        pairs = apart.select(F.col("node").alias("a"), "n", F.col("top.node").alias("b"), F.col("top.n").alias("n2")).filter(_near(similarity))
-        found = similar(pairs.select("a", "b").distinct(), sets, similarity)
+        if turn == 0:  # all members with the least node of their bucket
+            lead = buckets.groupBy("band").agg(F.min(F.struct("node", "n")).alias("top"))
+            pairs = buckets.join(lead, "band").filter(F.col("node") != F.col("top.node"))
+        else:  # those left apart with a random member of the bucket's largest group
+            pairs = members.filter("apart").withColumn("top", F.col("lead"))
+        pairs = pairs.select(F.col("node").alias("a"), "n", F.col("top.node").alias("b"), F.col("top.n").alias("n2")).filter(_near(similarity)).select("a", "b").distinct()
+        found = similar(pairs, sets, similarity)
         edges = saved(found if edges is None else edges.unionByName(found), "links")
-        comps = components(edges)
+        # groups so far: the least node among a node's links and itself (links within a class may still be split over groups)
+        label = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp"))
+        named = buckets.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        groups = named.groupBy("band", "comp").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), rank).alias("lead"))
+        groups = groups.groupBy("band").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp", "lead")).alias("most")).filter("size > most.c")
+        members = named.join(groups.select("band", "size", F.col("size") - F.col("most.c"), F.col("most.comp").alias("most"), F.col("most.lead").alias("lead")).toDF("band", "size", "n_apart", "most", "lead"), "band")
+        members = saved(members.withColumn("apart", F.col("comp") != F.col("most")).drop("most"), "members")
+        rows, todo, apart = members.agg(F.count("*"), F.sum(F.when(F.col("apart"), F.col("size"))), F.count_if("apart")).first()
+        if not rows:
+            return edges
+        # blocks copy each row todo / (rows * block) times; another leader is worth a pass only if that is much and the last one helped
+        if todo <= BLOCK_COPIES * LEFT_BLOCK * rows or (before and apart > before / 2):
+            break
+        before = apart
         release(buckets.sparkSession)
-    return comps
+    full = members.join(sets, "node").withColumn("n_left", F.ceil(F.col("n_apart") / LEFT_BLOCK).cast("int")).withColumn("n_right", F.ceil(F.col("size") / RIGHT_BLOCK).cast("int"))
+    full = full.withColumn("left", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_left")).cast("int")).withColumn("right", F.pmod(F.xxhash64("node", F.lit(2)), F.col("n_right")).cast("int"))
+    keep = ("band", "node", "comp", "shingles")
+    one = full.filter("apart").select(*keep, F.lit(True).alias("apart"), "left", F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("right"))
+    two = full.select(*keep, F.lit(False).alias("apart"), F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("left"), "right")
+    found = one.unionByName(two).groupBy("band", "left", "right").applyInPandas(_forest(similarity), f"a {kind}, b {kind}")
+    return edges.unionByName(saved(found, "links"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,11 +281,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: st
     buckets = saved(nodes.join(shared, "band").select("band", "node", "n").distinct(), "buckets")
     ids = buckets.select("node").distinct()
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    sets = saved(shingled(texts.join(ids, "node", "left_semi")), "shingles")
+    sets = saved(shingled(texts.join(ids, "node", "left_semi").dropDuplicates(["node"])), "shingles")
     release(docs.sparkSession)
-    comps = links(buckets, sets, similarity)
-    classes = reps if comps is None else reps.join(comps, "node", "left")
-    classes = classes.select("key", (F.col("node") if comps is None else F.coalesce("comp", "node")).alias("class_id"))
+    comps = components(links(buckets, sets, similarity))
+    classes = reps.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"))
     return rows.join(classes, "key").select(F.col("doc_id").alias(id_col), "class_id", "n_shingles")
 
 
