@@ -126,7 +126,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     fill = np.array([float(((bits >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(langs))])
     wrong = np.minimum(fill**2, 0.99)
     rest = [f for f in docs.schema.fields if f.name not in (text_col, "lang_pred", "score")]
-    schema = type(docs.schema)(rest).add("lang_pred", "string").add("score", "double")
+    schema = type(docs.schema)(list(rest)).add("lang_pred", "string").add("score", "double")
 
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = shared.value
