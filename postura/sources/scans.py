@@ -23,8 +23,8 @@ MAX_XML_BYTES = 5 << 20
 
 
 def xml_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(file, xml): whole files."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("xml"))
+    """(file, xml): whole files; Spark skips files without a byte."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("xml"))
 
 
 def scan_hosts(documents: DataFrame) -> DataFrame:
