@@ -20,6 +20,7 @@ on the longer host wins.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ GIVEN_RULES = (
 DEFAULT_VERDICT = "allow"
 #: Rules are configuration and go into the plan as literals; more are refused.
 MAX_RULES = 20_000
-#: Keys looked at to choose splitters (they balance buckets, results don't depend on them).
-SPLITTER_KEYS = 8192
+#: Keys looked at, about, to choose splitters (they balance buckets, results don't depend on them).
+SPLITTER_KEYS = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -86,11 +87,27 @@ def openings(rules) -> list[tuple[str, list[tuple[str, str, str, str]]]]:
 
 def _splitters(keys: DataFrame, n: int) -> list[str]:
     """n - 1 ascending keys that cut the rows into n about even parts; equal ones mark a key with many rows."""
-    rows = keys.select("key", F.xxhash64("page_uid").alias("h")).orderBy("h").limit(SPLITTER_KEYS).collect()
+    share = min(1.0, SPLITTER_KEYS / max(1, keys.count()))
+    rows = keys.filter(F.pmod(F.xxhash64("page_uid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").collect()
     got = sorted((r["key"] for r in rows), key=lambda k: k.encode())
     return [got[len(got) * i // n] for i in range(1, n)] if got else []
 
 
+def _bucket(cuts: list[str]) -> Column:
+    """Number of cuts at or below the key, found in a list of lists; rows of a key that is several cuts are spread over their buckets."""
+    size = max(1, round(len(cuts) ** 0.5))
+    lists = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    literal = lambda x: F.array(*[F.lit(c) for c in x])
+    below = lambda a: F.size(F.filter(a, lambda c: c <= F.col("key")))
+    first = below(literal([x[0] for x in lists]))
+    found = F.when(first == 0, 0).otherwise((first - 1) * size + below(F.get(F.array(*[literal(x) for x in lists]), first - 1)))
+    often = {c: n for c, n in Counter(cuts).items() if n > 1}
+    if not often:
+        return found.cast("int")
+    equal = F.coalesce(F.try_element_at(F.create_map(*[x for c, n in often.items() for x in (F.lit(c), F.lit(n))]), F.col("key")), F.lit(1))
+    return (found - F.pmod(F.xxhash64("page_uid", F.lit(7)), equal)).cast("int")
+
+
 def judged(pages: DataFrame, rules=GIVEN_RULES, default: str = DEFAULT_VERDICT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) of every row of pages."""
     spark = pages.sparkSession
@@ -109,11 +126,7 @@ def judged(pages: DataFrame, rules=GIVEN_RULES, default: str = DEFAULT_VERDICT,
         seeds.append((bisect_right([c.encode() for c in cuts], key.encode()), key, stack))
     events = spark.createDataFrame(seeds, f"bucket int, key string, stack {kind}")
     if cuts:
-        splits = F.array(*[F.lit(c) for c in cuts])
-        at_or_below = F.size(F.filter(splits, lambda c: c <= F.col("key")))
-        equal = F.size(F.filter(splits, lambda c: c == F.col("key")))
-        spread = F.when(equal > 1, F.pmod(F.xxhash64("page_uid"), equal).cast("int")).otherwise(0)
-        rows = rows.withColumn("bucket", (at_or_below - spread).cast("int"))
+        rows = rows.withColumn("bucket", _bucket(cuts))
     else:
         rows = rows.withColumn("bucket", F.lit(0))
     swept = rows.select("bucket", "key", "page_id", "host", "path", F.lit(None).cast(kind).alias("stack")).unionByName(events, allowMissingColumns=True)
