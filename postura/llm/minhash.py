@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, saved, table
+from .common import bounded_batches, release, saved, table
 from .components import components
 from .words import Words, encoded, mixed, slices
 
@@ -274,6 +274,7 @@ def links(buckets: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_shingles) of every row; class_id is the least id of the class."""
+    bounded_batches(docs.sparkSession)
     rows = saved(signed(docs, weights, id_col, text_col), "signed")
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("node"))
     nodes = rows.filter("n_shingles > 0").join(reps, "key").filter("doc_id = node").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
