@@ -59,6 +59,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def tidy(f):
+    """A mapInPandas function that gives freed memory back to the system when its task ends.
+
+    Python workers are used again by later tasks and stages; without this they
+    keep the most that any task before has taken.
+    """
+
+    def run(batches):
+        yield from f(batches)
+        import ctypes
+
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs now.
 

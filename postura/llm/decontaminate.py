@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import table, tidy
 from .words import Words, encoded, slices
 
 WINDOW = 10
@@ -166,7 +166,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
                         out["_dc_words"], out["_dc_found"] = w.counts, found
                     yield out
 
-        result = result.mapInPandas(searched, schema)
+        result = result.mapInPandas(tidy(searched), schema)
     return result
 
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, release, saved, table
+from .common import bounded_batches, release, saved, table, tidy
 from .components import components
 from .words import Words, encoded, mixed, slices
 
@@ -48,6 +48,8 @@ LEFT_BLOCK, RIGHT_BLOCK = 128, 512
 #: Copies of a bucket's rows over blocks beyond which another round of leaders comes first.
 BLOCK_COPIES = 8
 MAX_LEADER_ROUNDS = 6
+#: Bytes of texts whose shingles are made at once; the arrays take some 50 times as much.
+SLICE_BYTES = 1 << 19
 
 
 def shingle_names(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +121,7 @@ def signed(docs: DataFrame, weights: str = "set", id_col: str = "doc_id", text_c
             counts = np.zeros(len(raw), np.int32)
             found = np.zeros((len(raw), BANDS), np.int64)
             few = []
-            for a, b in slices([len(x) for x in raw]):
+            for a, b in slices([len(x) for x in raw], SLICE_BYTES):
                 w = Words(raw[a:b])
                 for k in range(b - a):
                     words = w.name[w.first[k] : w.first[k + 1]].tobytes()
@@ -140,7 +142,7 @@ def signed(docs: DataFrame, weights: str = "set", id_col: str = "doc_id", text_c
                 found[live] = bands(signatures(names, own, weight, len(live)))
             yield pd.DataFrame({"doc_id": pdf["i"], "key": keys, "n_shingles": counts, "bands": [list(x) if n else [] for x, n in zip(found, counts)]})
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(sign, f"doc_id {kind}, key binary, n_shingles int, bands array<long>")
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(tidy(sign), f"doc_id {kind}, key binary, n_shingles int, bands array<long>")
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -149,12 +151,12 @@ def shingled(docs: DataFrame) -> DataFrame:
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = encoded(pdf["text"])
-            for a, b in slices([len(x) for x in raw]):
+            for a, b in slices([len(x) for x in raw], SLICE_BYTES):
                 names, owner, _ = weighted(*shingle_names(Words(raw[a:b])))
                 parts = np.split(names, np.searchsorted(owner, np.arange(1, b - a)))
                 yield pd.DataFrame({"node": pdf["node"].iloc[a:b].to_numpy(), "shingles": [x.tobytes() for x in parts]})
 
-    return docs.select("node", "text").mapInPandas(shingle, f"node {docs.schema['node'].dataType.simpleString()}, shingles binary")
+    return docs.select("node", "text").mapInPandas(tidy(shingle), f"node {docs.schema['node'].dataType.simpleString()}, shingles binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -172,7 +174,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "x", "y").mapInPandas(verified, f"a {kind}, b {kind}")
+    return both.select("a", "b", "x", "y").mapInPandas(tidy(verified), f"a {kind}, b {kind}")
 
 
 def _near(similarity: float):

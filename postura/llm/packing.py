@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -153,7 +153,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                 yield out
                 first = end
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(cut, schema).withColumnRenamed("doc_id", id_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(tidy(cut), schema).withColumnRenamed("doc_id", id_col)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -253,7 +253,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             pdf["offset"] = run[:, 4] + (k % run[:, 2]) * length
             yield pdf
 
-    return ranked.mapInPandas(placed, schema)
+    return ranked.mapInPandas(tidy(placed), schema)
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

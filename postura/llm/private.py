@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import saved, table
+from .common import saved, table, tidy
 
 KEY = b"set a key of your own"
 MAX_DRAWS = 64
@@ -216,7 +216,7 @@ def tagged(docs: DataFrame, text_col: str = "text") -> DataFrame:
             found = [detect(t) if isinstance(t, str) else [] for t in pdf[text_col]]
             yield pdf.assign(_pii_found=[[dict(zip(names, e)) for e in x] for x in found])
 
-    return docs.mapInPandas(tag, schema)
+    return docs.mapInPandas(tidy(tag), schema)
 
 
 def assignments(entities: DataFrame, key: bytes = KEY, max_draws: int = MAX_DRAWS) -> DataFrame:
@@ -263,7 +263,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text_col: str = "text", cou
                 texts.append("".join([*out, text[end:]]))
             yield pdf.assign(**{text_col: texts}).drop(columns=["_pii_swaps"])
 
-    changed = some.join(swaps, "_pii_row").select(*rows.columns, "_pii_swaps").mapInPandas(rewrite, schema)
+    changed = some.join(swaps, "_pii_row").select(*rows.columns, "_pii_swaps").mapInPandas(tidy(rewrite), schema)
     whole = rows.filter(F.size("_pii_found") == 0).unionByName(changed)
     if count_col:
         return whole.select(*docs.columns, F.size("_pii_found").cast("long").alias(count_col))
