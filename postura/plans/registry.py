@@ -400,11 +400,16 @@ _INVENTORY = """iv as (select s_suppkey as ord, 'm' || (s_suppkey % 60) as mac,
 ho as (select c_custkey, 'M' || c_custkey as mac, ['ip' || c_custkey, 'ip' || (c_custkey + 1)] as ips from customer where c_custkey <= 600)"""
 
 
-def _inventory(spark, d):
+#: The queries named _whole leave out the bound that the SQL of the query before them has.
+_WHOLE_INVENTORY = _INVENTORY.replace(" where c_custkey <= 600", "")
+
+
+def _inventory(spark, d, whole=False):
     s = F.col("s_suppkey")
     inv = B.read(spark, d, "supplier").select(s.alias("ord"), F.concat(F.lit("m"), (s % 60).cast("string")).alias("mac"), F.when(s % 4 != 0, F.concat(F.lit("ip"), (s * 3).cast("string"))).alias("ip"), F.col("s_name").alias("item"))
     k = F.col("c_custkey")
-    return B.read(spark, d, "customer").filter(k <= 600).select(F.concat(F.lit("M"), k.cast("string")).alias("mac"), F.array(F.concat(F.lit("ip"), k.cast("string")), F.concat(F.lit("ip"), (k + 1).cast("string"))).alias("ips")), inv
+    c = B.read(spark, d, "customer")
+    return (c if whole else c.filter(k <= 600)).select(F.concat(F.lit("M"), k.cast("string")).alias("mac"), F.array(F.concat(F.lit("ip"), k.cast("string")), F.concat(F.lit("ip"), (k + 1).cast("string"))).alias("ips")), inv
 
 
 @query(f"""with {_INVENTORY}, bm as (select upper(mac) as m, arg_min(item, ord) as item from iv group by 1),
@@ -414,18 +419,33 @@ def inventory_match(spark, d):
     return I.inventory_match(*_inventory(spark, d)).select("mac", "item")
 
 
+@query(ORACLE_SQL["inventory_match"].replace(_INVENTORY, _WHOLE_INVENTORY))
+def inventory_match_whole(spark, d):
+    return I.inventory_match(*_inventory(spark, d, whole=True)).select("mac", "item")
+
+
 @query(f"with {_INVENTORY}, h as (select mac, ips[1] as ip from ho) select mac, ip from h where upper(mac) in (select upper(mac) from iv) or ip in (select ip from iv where ip is not null)")
-def known_semi(spark, d):
-    hosts, inv = _inventory(spark, d)
+def known_semi(spark, d, whole=False):
+    hosts, inv = _inventory(spark, d, whole)
     return I.known(hosts.select("mac", F.get("ips", F.lit(0)).alias("ip")), inv)
 
 
+@query(ORACLE_SQL["known_semi"].replace(_INVENTORY, _WHOLE_INVENTORY))
+def known_semi_whole(spark, d):
+    return known_semi(spark, d, whole=True)
+
+
 @query(f"with {_INVENTORY}, h as (select mac, ips[1] as ip from ho) select mac, ip from iv union all select mac, ip from h where upper(mac) not in (select upper(mac) from iv) and ip not in (select ip from iv where ip is not null)")
-def inventory_insert(spark, d):
-    hosts, inv = _inventory(spark, d)
+def inventory_insert(spark, d, whole=False):
+    hosts, inv = _inventory(spark, d, whole)
     return I.insert_absent(inv.select("mac", "ip"), hosts.select("mac", F.get("ips", F.lit(0)).alias("ip")))
 
 
+@query(ORACLE_SQL["inventory_insert"].replace(_INVENTORY, _WHOLE_INVENTORY))
+def inventory_insert_whole(spark, d):
+    return inventory_insert(spark, d, whole=True)
+
+
 @query("""with u as (select o_custkey as k, o_orderkey as seq, o_orderpriority as state, o_orderdate as created_from, o_orderkey % 2 as w from orders)
 select k, arg_max(seq, (w, seq)) as seq, arg_max(state, (w, seq)) as state, arg_min(created_from, (w, seq)) as created_from from u group by k""")
 def upsert_rows(spark, d):
@@ -436,15 +456,21 @@ def upsert_rows(spark, d):
 @query("""with recursive e as (select 'r' || c_custkey as a, 'k' || (c_custkey % 37) as b from customer where c_custkey <= 300 union all select 'r' || c_custkey, 'k' || (100 + c_custkey // 4) from customer where c_custkey <= 300 and c_custkey % 4 < 2 and c_custkey % 37 > 30),
 u as (select a as x, b as y from e union select b, a from e), r as (select x, x as y from u union select r.x, u.y from r join u on r.y = u.x)
 select x as node, min(y) as comp from r group by x""")
-def connected_records(spark, d):
+def connected_records(spark, d, whole=False):
     from ..operators.graph import connected
 
     k = F.col("c_custkey")
-    c = B.read(spark, d, "customer").filter(k <= 300)
+    c = B.read(spark, d, "customer")
+    c = c if whole else c.filter(k <= 300)
     edge = lambda rows, b: rows.select(F.concat(F.lit("r"), k.cast("string")).alias("a"), F.concat(F.lit("k"), b.cast("string")).alias("b"))
     return connected(edge(c, k % 37).unionByName(edge(c.filter((k % 4 < 2) & (k % 37 > 30)), F.floor(k / 4) + 100)))
 
 
+@query()  # the recursive SQL grows with the square of a component
+def connected_records_whole(spark, d):
+    return connected_records(spark, d, whole=True)
+
+
 # text and scalars
 
 
@@ -480,6 +506,11 @@ def text_normalize(spark, d):
     return c.select("conv_id", "turn", F.md5(S.identity_text("text").cast("binary")).alias("text_md5"))
 
 
+@query()  # white space beyond ASCII is another in DuckDB
+def text_normalize_whole(spark, d):
+    return B.read(spark, d, "conversations").select("conv_id", "turn", F.md5(S.identity_text("text").cast("binary")).alias("text_md5"))
+
+
 @query("select c_custkey, substr(sha256(c_name || chr(31) || c_nationkey || chr(31) || coalesce(nullif(c_mktsegment, 'BUILDING'), '')), 1, 16) as id from customer")
 def hash_ids(spark, d):
     return B.read(spark, d, "customer").select("c_custkey", S.short_hash("c_name", "c_nationkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))).alias("id"))
@@ -493,11 +524,16 @@ def canonical_json(spark, d):
 
 @query("""with x as (select l_orderkey, l_linenumber, (l_partkey * l_partkey * 37) as n from lineitem where l_orderkey < 4000)
 select l_orderkey, l_linenumber, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f', round(n / 1024.0::double, 1)) || ' KB' when n < 1073741824 then printf('%.1f', round(n / 1048576.0::double, 1)) || ' MB' else printf('%.1f', round(n / 1073741824.0::double, 1)) || ' GB' end as size from x""")
-def format_bytes(spark, d):
-    rows = B.read(spark, d, "lineitem").filter("l_orderkey < 4000").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * F.col("l_partkey") * 37).alias("n"))
+def format_bytes(spark, d, whole=False):
+    rows = B.read(spark, d, "lineitem").filter("true" if whole else "l_orderkey < 4000").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * F.col("l_partkey") * 37).alias("n"))
     return rows.select("l_orderkey", "l_linenumber", S.format_bytes("n").alias("size"))
 
 
+@query(ORACLE_SQL["format_bytes"].replace(" where l_orderkey < 4000", ""))
+def format_bytes_whole(spark, d):
+    return format_bytes(spark, d, whole=True)
+
+
 @query("""select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, (epoch_us(ts) // 60000000)::bigint as minute_key, greatest(0, (epoch_us(timestamp '2024-02-01') // 1000000 - epoch_us(ts) // 1000000) // 86400)::bigint as days from events""")
 def date_keys(spark, d):
     rows = B.read(spark, d, "events")
