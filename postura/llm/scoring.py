@@ -6,16 +6,19 @@ softmax (a block of words, then the word in it), so probabilities are
 normalised at a cost of about two square roots of the vocabulary.
 
 Vocabulary: the most frequent words of all documents, counted over the whole
-corpus; other words fall in hashed classes.  Training: ROUNDS passes; in each
-every partition starts from the common parameters, learns from the masked
-tokens (MASKED percent of the tokens of every document, other ones each
-round) and sends its parameters; their mean by tokens is taken one parameter
-at a time as a Spark aggregate.  The model has a fixed size, what is gathered
-grows with the corpus.
+corpus; other words fall in hashed classes.  The counts of all words stay a
+table that grows with the corpus; a word of a class has the probability of
+the class times its share in the class's tokens, joined from that table.
+Training: ROUNDS passes; in each every partition starts from the common
+parameters, learns from the masked tokens and sends its parameters; their mean
+by tokens is taken one parameter at a time as a Spark aggregate.  The masks of
+the rounds partition the places, so every token of the corpus is learnt from
+once.  The network has a fixed size.
 
 Defined results: null or empty text: no tokens, log_prob 0, mean null; repeated
 rows are scored each; null ids are kept; an empty table gives an empty result
-(the model is then untrained); other columns are ignored.
+(the model is then untrained); a word that was not counted has the share of a
+word counted once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 from .words import Words, encoded, mixed, slices
 
 SIDE = 2
@@ -36,7 +39,6 @@ VOCABULARY = 62 * BLOCK
 #: Classes of the words beyond the vocabulary.
 OTHERS = 2 * BLOCK
 WIDTH = 24
-MASKED = 15
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.15
@@ -44,8 +46,8 @@ PAD = VOCABULARY + OTHERS
 N_BLOCKS = PAD // BLOCK
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> np.ndarray:
-    """Names of the most frequent words of the corpus, most frequent first."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(name, c) of every word of the corpus."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -54,11 +56,27 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY)
                 names, c = np.unique(Words(raw[a:b]).name, return_counts=True)
                 yield pd.DataFrame({"name": names.view(np.int64), "c": c})
 
-    counts = docs.select(F.col(text_col).alias("t")).mapInPandas(counted, "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text_col).alias("t")).mapInPandas(counted, "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY, counts: DataFrame | None = None) -> np.ndarray:
+    """Names of the most frequent words of the corpus, most frequent first."""
+    counts = word_counts(docs, text_col) if counts is None else counts
     top = counts.orderBy(F.desc("c"), "name").limit(size).collect()
     return np.array([r["name"] for r in top], np.int64).view(np.uint64)
 
 
+def _class(name: str):
+    return F.pmod(name, F.lit(OTHERS))  # OTHERS divides 2**64, so the sign is of no matter
+
+
+def others(counts: DataFrame, names: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(name, c) of the words beyond the vocabulary, and (class, total) of their classes."""
+    known = counts.sparkSession.createDataFrame(pd.DataFrame({"name": names.view(np.int64)}), "name long")
+    rare = counts.join(F.broadcast(known), "name", "left_anti")
+    return rare, rare.groupBy(_class("name").alias("class")).agg(F.sum("c").alias("total"))
+
+
 class Net:
     """Parameters in one vector: embeddings, weights of each offset, block and word outputs."""
 
@@ -145,10 +163,11 @@ class Tokens:
         offsets = [k for k in range(-SIDE, SIDE + 1) if k]
         return self.padded[self.place[at][:, None] + np.array(offsets)]
 
-    def masked(self, turn: int) -> np.ndarray:
+    def masked(self, turn: int, rounds: int) -> np.ndarray:
+        """Places to learn from in a round; each place has one."""
         local = np.arange(len(self.token)) - np.repeat(self.words.first[:-1], self.words.counts)
-        h = mixed(self.words.name + local.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn))
-        return np.flatnonzero(h % np.uint64(100) < MASKED)
+        h = mixed(self.words.name + local.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return np.flatnonzero(h % np.uint64(rounds) == turn)
 
 
 def _index(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +199,7 @@ def train(docs: DataFrame, names: np.ndarray, text_col: str = "text", rounds: in
                 raw = encoded(pdf["t"])
                 for a, b in slices([len(x) for x in raw]):
                     t = Tokens(raw[a:b], ordered, rank)
-                    at = t.masked(turn)
+                    at = t.masked(turn, rounds)
                     held.append((t.context(at), t.token[at]))
                     size += len(at)
                     n += len(at)
@@ -205,10 +224,15 @@ def train(docs: DataFrame, names: np.ndarray, text_col: str = "text", rounds: in
     return vector
 
 
-def score(docs: DataFrame, names: np.ndarray, vector: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, log_prob, mean_log_prob) of every row."""
+def score(docs: DataFrame, names: np.ndarray, vector: np.ndarray, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """(id, n_tokens, log_prob, mean_log_prob) of every row.
+
+    Without the counts of all words, log_prob is that of words and classes,
+    with no factor for the word in its class.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((names, vector))
     kind = docs.schema[id_col].dataType.simpleString()
+    keep = counts is not None
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, weights = shared.value
@@ -222,15 +246,28 @@ def score(docs: DataFrame, names: np.ndarray, vector: np.ndarray, id_col: str =
                 for k in range(0, len(p), BATCH):
                     at = np.arange(k, min(k + BATCH, len(p)))
                     p[at] = net.forward(t.context(at), t.token[at])[0]
-                total = np.bincount(t.text, p, minlength=b - a)
-                n = t.words.counts
-                yield pd.DataFrame({"i": pdf["i"].iloc[a:b].to_numpy(), "n_tokens": n, "log_prob": total, "mean_log_prob": [x / c if c else None for x, c in zip(total, n)]})
-
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(scored, f"i {kind}, n_tokens long, log_prob double, mean_log_prob double").withColumnRenamed("i", id_col)
+                out = pd.DataFrame({"row": pdf["row"].iloc[a:b].to_numpy(), "i": pdf["i"].iloc[a:b].to_numpy(), "n_tokens": t.words.counts, "log_prob": np.bincount(t.text, p, minlength=b - a)})
+                if keep:
+                    rare = t.token >= VOCABULARY
+                    first = np.concatenate([[0], np.cumsum(rare)])[t.words.first]
+                    out["rare"] = np.split(t.words.name[rare].view(np.int64), first[1:-1])
+                yield out
+
+    shape = f"row long, i {kind}, n_tokens long, log_prob double" + (", rare array<long>" if keep else "")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(scored, shape)
+    if keep:
+        rows = saved(rows, "scored")
+        known, totals = others(counts, names)
+        words = rows.select("row", F.explode("rare").alias("name")).withColumn("class", _class("name"))
+        words = words.join(known, "name", "left").join(F.broadcast(totals), "class", "left")
+        within = words.groupBy("row").agg(F.sum(F.log(F.coalesce("c", F.lit(1)) / F.coalesce("total", F.lit(1)))).alias("within"))
+        rows = rows.drop("rare").join(within, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("within", F.lit(0.0)))
+    return rows.select(F.col("i").alias(id_col), "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents")
-    names = vocabulary(docs)
-    return score(docs, names, train(docs, names))
+    counts = saved(word_counts(docs), "words")
+    names = vocabulary(docs, counts=counts)
+    return score(docs, names, train(docs, names), counts=counts)

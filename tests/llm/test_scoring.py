@@ -48,3 +48,32 @@ def test_scores_sum_each_token_from_both_sides(spark):
     odd = {r.doc_id: r for r in rows}
     assert odd[62].n_tokens == 0 and odd[62].log_prob == 0 and odd[62].mean_log_prob is None
     assert scoring.score(docs.limit(0), names, net.vector).count() == 0
+
+
+def test_words_of_a_class_share_its_probability(spark):
+    docs = cases.frame(spark)
+    counts = scoring.word_counts(docs)
+    names = scoring.vocabulary(docs, size=50, counts=counts)
+    net = scoring.Net()
+    plain = sorted(scoring.score(docs, names, net.vector).toPandas().astype({"doc_id": float}).fillna(-1).values.tolist())
+    whole = sorted(scoring.score(docs, names, net.vector, counts=counts).toPandas().astype({"doc_id": float}).fillna(-1).values.tolist())
+    n = {}
+    texts = {d if d is not None else -1: Words(encoded([t])).name.tolist() for d, t, *_ in cases.documents()}
+    for _, t, *_ in cases.documents():
+        for w in Words(encoded([t])).name.tolist():
+            n[w] = n.get(w, 0) + 1
+    total = {}
+    known = set(names.tolist())
+    for w in n.keys() - known:
+        total[w % scoring.OTHERS] = total.get(w % scoring.OTHERS, 0) + n[w]
+    assert len(total) > 1 and len(whole) == len(plain) == len(cases.documents())
+    for a, b in zip(plain, whole):
+        want = sum(np.log(n[w] / total[w % scoring.OTHERS]) for w in texts[a[0]] if w not in known) if a[1] and a[1] < 1000 else None
+        assert a[:2] == b[:2] and (want is None or abs(b[2] - a[2] - want) < 1e-3 * max(1, a[1]))
+    assert scoring.score(docs.limit(0), names, net.vector, counts=scoring.word_counts(docs.limit(0))).count() == 0
+
+
+def test_rounds_learn_from_every_token_once():
+    t = scoring.Tokens(encoded(["a b c d e f g " * 30, "", "x y z"]), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    seen = np.concatenate([t.masked(turn, 3) for turn in range(3)])
+    assert sorted(seen.tolist()) == list(range(len(t.token)))
