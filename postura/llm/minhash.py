@@ -18,9 +18,10 @@ incidence matrices; of the links found a spanning forest is emitted.  Every
 link is verified by its exact Jaccard similarity; links form classes.
 
 Defined results: a text without words is in a class with equal texts only;
-null text: as such, an own class; null id: class of its words, or null; rows
-of one id are one document; empty table: empty result; other columns are
-ignored.
+null text: as such, an own class an id; rows of one id with the same words are
+one document, rows of one id with other words are another; null id: as any
+other row, class_id null only in a class of null ids; empty table: empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,8 +111,14 @@ def bands(registers: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _name(id_col: str, text_col: str):
+    """Names a document: its id and its text, either of them perhaps null."""
+    text = F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.rpad(F.lit("-"), 64, "-"))
+    return F.unhex(F.sha2(F.concat(text, F.coalesce(F.concat(F.lit("+"), F.col(id_col).cast("string")), F.lit("-"))).cast("binary"), 256))
+
+
 def signed(docs: DataFrame, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n_shingles, bands): key names the text's words."""
+    """(row, name, doc_id, key, n_shingles, bands): name is that of the document, key names the text's words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,9 +147,11 @@ def signed(docs: DataFrame, weights: str = "set", id_col: str = "doc_id", text_c
             if len(names):
                 live, own = np.unique(owner, return_inverse=True)
                 found[live] = bands(signatures(names, own, weight, len(live)))
-            yield pd.DataFrame({"doc_id": pdf["i"], "key": keys, "n_shingles": counts, "bands": [list(x) if n else [] for x, n in zip(found, counts)]})
+            yield pd.DataFrame({"row": pdf["row"], "name": pdf["name"], "doc_id": pdf["i"], "key": keys, "n_shingles": counts, "bands": [list(x) if n else [] for x, n in zip(found, counts)]})
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(tidy(sign), f"doc_id {kind}, key binary, n_shingles int, bands array<long>")
+    # ids go through Python as text: beside a null, pandas makes numbers floats
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), _name(id_col, text_col).alias("name"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    return rows.mapInPandas(tidy(sign), "row long, name binary, doc_id string, key binary, n_shingles int, bands array<long>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -274,30 +283,40 @@ def links(buckets: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     return edges.unionByName(saved(found, "links"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_shingles) of every row; class_id is the least id of the class."""
+def classified(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(name, doc_id, key, n_shingles) of every row and (key, top) of every key; top is the document its class keeps: that of the least id, then name."""
     bounded_batches(docs.sparkSession)
     rows = saved(signed(docs, weights, id_col, text_col), "signed")
-    reps = rows.groupBy("key").agg(F.min("doc_id").alias("node"))
-    nodes = rows.filter("n_shingles > 0").join(reps, "key").filter("doc_id = node").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    top = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name"))
+    # a node is a key, named by one of its rows
+    reps = saved(rows.groupBy("key").agg(F.min("row").alias("node"), top.alias("top")), "keys")
+    nodes = rows.filter("n_shingles > 0").join(reps.select("key", "node"), "key").filter("row = node").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = nodes.groupBy("band").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p <> q").select("band")
     buckets = saved(nodes.join(shared, "band").select("band", "node", "n").distinct(), "buckets")
-    ids = buckets.select("node").distinct()
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    sets = saved(shingled(texts.join(ids, "node", "left_semi").dropDuplicates(["node"])), "shingles")
+    ids = buckets.select("node").distinct().join(reps.select("node", "top.name"), "node")
+    texts = docs.select(_name(id_col, text_col).alias("name"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    sets = saved(shingled(texts.join(ids, "name").dropDuplicates(["name"])), "shingles")
     release(docs.sparkSession)
     comps = components(links(buckets, sets, similarity))
-    classes = reps.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"))
-    return rows.join(classes, "key").select(F.col("doc_id").alias(id_col), "class_id", "n_shingles")
+    whole = saved(reps.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"), "top"), "classes")
+    return rows, whole.select("key", "comp").join(whole.groupBy("comp").agg(F.min("top").alias("top")), "comp").select("key", "top")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", id_col: str = "doc_id", text_col: str = "text", kept_col: str | None = None) -> DataFrame:
+    """(id, class_id, n_shingles) of every row; class_id is the least id of the class.  kept_col, if given, tells the class's kept document."""
+    rows, classes = classified(docs, similarity, weights, id_col, text_col)
+    kept = [(F.col("name") == F.col("top.name")).alias(kept_col)] if kept_col else []
+    return rows.join(classes, "key").select(F.col("doc_id").alias(id_col), F.col("top.doc_id").alias("class_id"), "n_shingles", *kept)
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class: that of the least id."""
-    id_col = options.get("id_col", "doc_id")
-    kept = near_duplicates(docs, **options).filter(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+def deduplicated(docs: DataFrame, null_ids: bool = False, **options) -> DataFrame:
+    """docs with one row of each class: that of the least id.  Classes of null ids alone are left out, unless null_ids."""
+    _, classes = classified(docs, **options)
+    kept = (classes if null_ids else classes.filter("not top.none")).select(F.col("top.name").alias("_md_name")).distinct()
+    named = docs.withColumn("_md_name", _name(options.get("id_col", "doc_id"), options.get("text_col", "text")))
+    return named.join(kept, "_md_name", "left_semi").dropDuplicates(["_md_name"]).select(*docs.columns)
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return near_duplicates(table(spark, sf_dir, "documents"), kept_col="kept")

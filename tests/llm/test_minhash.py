@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from postura.llm import minhash as M
 from postura.llm.components import components
 
@@ -106,3 +107,17 @@ def test_components(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_every_class_keeps_a_row_whatever_its_ids(spark):
+    rng = random.Random(6)
+    base = cases.words(rng, "en", 80)
+    near = " ".join(["changed", *base[1:]])
+    big = 2**60 + 1
+    texts = [(1, "one text"), (1, "quite another text"), (None, "without an id"), (None, "without an id"), (None, "also without"), (2, " ".join(base)), (None, near), (2, "third, under two"), (7, near), (big, "large id"), (None, None), (3, None)]
+    docs = cases.frame(spark, [(i, t, "en", "s", 1, 0.0, 0) for i, t in texts])
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect()))
+    assert kept == sorted([(1, "one text"), (1, "quite another text"), (0, "without an id"), (0, "also without"), (2, " ".join(base)), (2, "third, under two"), (big, "large id"), (0, ""), (3, "")])
+    got = M.near_duplicates(docs, kept_col="kept").collect()
+    assert len(got) == len(texts) and sum(r.kept for r in got) == len(kept) + 1  # of the equal rows both
+    assert sorted((r.doc_id or 0) for r in got if r.class_id == 2) == [0, 2, 2, 7]
