@@ -8,7 +8,9 @@ key, type and normal form alone, so one entity has one replacement in the
 whole corpus however it is written (coreference).  The table of all distinct
 entities is then checked for collisions: two entities with one replacement, or
 a replacement that is itself an entity of the corpus.  All but the least
-entity of a collision draw again, until none is left (distinctness).
+entity of a collision draw again, until none is left (distinctness).  What
+still collides after max_draws draws has a wider format: addresses octets of
+any width, names more syllables, all others one more character a draw.
 
 Entities are gathered, checked and joined back as tables; a row's text is
 moved only if it holds an entity, and an entity that very many rows hold is a
@@ -146,17 +148,19 @@ def _alphabet(text: str) -> str:
     return "LATIN"
 
 
-def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
-    """Replacement of a normal form; as long as it, but for names."""
+def surrogate(key: bytes, kind: str, form: str, draw: int = 0, wider: int = 0) -> str:
+    """Replacement of a normal form; as long as it, but for names and wider formats."""
     r = _Draws(key, kind, form, str(draw))
     if kind.startswith("name"):
         consonants, vowels, male, female = ALPHABETS[_alphabet(form)]
         ends = {"m": male, "f": female}.get(kind[-1], male + female)
         words = []
         for k, _ in enumerate(form.split()):
-            body = "".join(r.of(consonants) + r.of(vowels) for _ in range(1 + r.below(2))) + r.of(consonants)
+            body = "".join(r.of(consonants) + r.of(vowels) for _ in range(1 + wider + r.below(2))) + r.of(consonants)
             words.append((body + ends[r.below(len(ends))]).capitalize())
         return " ".join(words)
+    if kind == "ip" and wider:
+        return ".".join(str(r.below(256)) for _ in range(4 + wider // 64))
     if kind == "ip":
         return ".".join(str({1: r.below(10), 2: 10 + r.below(90), 3: 100 + r.below(156)}[len(o)]) for o in form.split("."))
     kept = 0  # what tells the format: issuer, country
@@ -182,6 +186,10 @@ def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
             out.append(n.upper() if c.isupper() else n)
         else:
             out.append(c)
+    if kind == "email":
+        out[:0] = [r.of(_CONSONANTS) for _ in range(wider)]
+    else:
+        out += [r.of("0123456789") for _ in range(wider)]
     if kind == "card" and luhn(form) % 10 == 0:
         out[-1] = "0"
         out[-1] = str(-luhn("".join(out)) % 10)
@@ -192,6 +200,8 @@ def render(surface: str, kind: str, form: str, replacement: str) -> str:
     """The replacement in the separators and case of a surface."""
     if kind.startswith("name"):
         return replacement.upper() if surface.isupper() else replacement
+    if kind == "ip":
+        return replacement
     letters = iter(replacement if len(form) == len(surface) else [c for c in replacement if c.isalnum()])
     out = []
     for c in surface:
@@ -200,7 +210,7 @@ def render(surface: str, kind: str, form: str, replacement: str) -> str:
         else:
             n = next(letters, c)
             out.append(n.upper() if c.isupper() else n)
-    return "".join(out)
+    return "".join([*out, *letters])
 
 
 _FOUND = "array<struct<start:int,end:int,kind:string,form:string>>"
@@ -224,11 +234,11 @@ def assignments(entities: DataFrame, key: bytes = KEY, max_draws: int = MAX_DRAW
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(replacement=[surrogate(key, k, f, n) for k, f, n in zip(pdf["kind"], pdf["form"], pdf["draw"])])
+            yield pdf.assign(replacement=[surrogate(key, k, f, n, max(0, n + 1 - max_draws)) for k, f, n in zip(pdf["kind"], pdf["form"], pdf["draw"])])
 
     shape = "kind string, form string, draw int, replacement string"
     drawn = saved(entities.select("kind", "form", F.lit(0).alias("draw")).mapInPandas(draw, shape), "surrogates")
-    for _ in range(max_draws):
+    while True:  # ends, as every further draw has a wider format
         # a replacement that is an entity itself, or that a lesser entity has too
         taken = drawn.select(F.substring_index("kind", ":", 1).alias("type"), F.col("form").alias("replacement")).distinct().withColumn("real", F.lit(True))
         typed = drawn.withColumn("type", F.substring_index("kind", ":", 1))
@@ -240,7 +250,6 @@ def assignments(entities: DataFrame, key: bytes = KEY, max_draws: int = MAX_DRAW
             return drawn.select("kind", "form", "replacement")
         fresh = drawn.join(again, ["kind", "form"], "left_semi").withColumn("draw", F.col("draw") + 1).select("kind", "form", "draw").mapInPandas(draw, shape)
         drawn = saved(drawn.join(again, ["kind", "form"], "left_anti").unionByName(fresh), "surrogates")
-    raise ValueError(f"entities of some type are too many for its format: still colliding after {max_draws} draws")
 
 
 def pseudonymised(docs: DataFrame, key: bytes = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:

@@ -49,3 +49,12 @@ def test_collisions_are_drawn_again(spark):
 def test_key_and_order_decide_alone():
     s = private.surrogate(b"k", "email", "a.b@c.de")
     assert s == private.surrogate(b"k", "email", "a.b@c.de") != private.surrogate(b"other", "email", "a.b@c.de")
+
+
+def test_crowded_formats_become_wider(spark):
+    entities = [("ssn", str(d)) for d in range(10)] + [("ip", f"{a}.{b}.0.1") for a in range(4) for b in range(4)] + [("phone", f"{d:02}") for d in range(70)]
+    got = private.assignments(spark.createDataFrame(entities, "kind string, form string"), max_draws=2).collect()
+    assert len({(r.kind, r.replacement) for r in got}) == len(got) == len(entities)
+    assert not {(r.kind, r.replacement) for r in got} & set(entities)
+    assert all(len(r.replacement) > 1 for r in got if r.kind == "ssn")
+    assert private.render("1-2", "phone", "12", "3456") == "3-456" and private.render("1.2.0.3", "ip", "1.2.0.3", "10.200.3.4") == "10.200.3.4"
