@@ -5,7 +5,11 @@ gender and format: letters stay letters (vowels vowels), digits digits,
 separators and case stay, card numbers keep their checksum, address octets
 stay octets, names keep title, gender and alphabet.  A replacement depends on
 key, type and normal form alone, so one entity has one replacement in the
-whole corpus however it is written (coreference).  The table of all distinct
+whole corpus however it is written (coreference).  Each word of a name is an
+entity, folded in case, so a name is told by its words with and without title
+or first name; its gender is that of its titles in the corpus, if these agree.
+A name's words are replaced wherever its document repeats them.  A phone
+number is told by its digits without the country code.  The table of all distinct
 entities is then checked for collisions: two entities with one replacement, or
 a replacement that is itself an entity of the corpus.  All but the least
 entity of a collision draw again, until none is left (distinctness).  What
@@ -112,6 +116,8 @@ def normal(kind: str, surface: str) -> str | None:
     digits = "".join(c for c in surface if "0" <= c <= "9")
     if kind == "card":
         return digits if len(digits) == 16 or luhn(digits) % 10 == 0 else None
+    if kind == "phone" and 7 <= len(digits) <= 15:
+        return digits[_country(surface, digits) :]
     if kind in ("phone", "ssn"):
         return digits if 7 <= len(digits) <= 15 else None
     if kind == "iban":
@@ -123,6 +129,40 @@ def normal(kind: str, surface: str) -> str | None:
     return surface
 
 
+_COUNTRY = re.compile(r"\+(\d{1,3})[ .(-]")
+
+
+def _country(surface: str, digits: str) -> int:
+    """Digits of a phone number's country code, where it is set off or that of North America."""
+    if m := _COUNTRY.match(surface):
+        n = sum("0" <= c <= "9" for c in m.group(1))
+        return n if len(digits) - n >= 7 else 0
+    return int(surface[:2] == "+1" and len(digits) == 11)
+
+
+def name_words(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str, bool]]:
+    """The entities with each word of a name by itself, also where it is repeated; the last value tells the first word of each."""
+    out = [(*e, True) for e in found if not e[2].startswith("name")]
+    words: dict[str, str] = {}
+    for a, b, kind, _ in found:
+        if kind.startswith("name"):
+            for m in re.finditer(r"\S+", text[a:b]):
+                out.append((a + m.start(), a + m.end(), kind, m.group().casefold(), not m.start()))
+                words[m.group()] = words[m.group().upper()] = words[m.group().capitalize()] = kind
+    if not words:
+        return sorted(out)
+    taken = sorted((a, b) for a, b, *_ in out)
+    again = []
+    for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(words, key=len, reverse=True)))})(?!\w|-\w)", text):
+        if not _overlaps(taken, *m.span()):
+            again.append((*m.span(), words[m.group()], m.group().casefold()))
+    ends = {b for _, b, kind, *_ in out if kind.startswith("name")}
+    for a, b, kind, form in again:
+        out.append((a, b, kind, form, not (a and text[a - 1] == " " and a - 1 in ends)))
+        ends.add(b)
+    return sorted(out)
+
+
 class _Draws:
     """A stream of numbers from key, type, form and draw."""
 
@@ -202,6 +242,11 @@ def render(surface: str, kind: str, form: str, replacement: str) -> str:
         return replacement.upper() if surface.isupper() else replacement
     if kind == "ip":
         return replacement
+    if kind == "phone":  # the country code stays
+        skip = sum("0" <= c <= "9" for c in surface) - len(form)
+        at = next(k for k in range(len(surface) + 1) if sum("0" <= c <= "9" for c in surface[:k]) == skip)
+        if skip > 0:
+            return surface[:at] + render(surface[at:], kind, form, replacement)
     letters = iter(replacement if len(form) == len(surface) else [c for c in replacement if c.isalnum()])
     out = []
     for c in surface:
@@ -213,7 +258,7 @@ def render(surface: str, kind: str, form: str, replacement: str) -> str:
     return "".join([*out, *letters])
 
 
-_FOUND = "array<struct<start:int,end:int,kind:string,form:string>>"
+_FOUND = "array<struct<start:int,end:int,kind:string,form:string,first:boolean>>"
 
 
 def tagged(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -221,9 +266,9 @@ def tagged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"_pii_found {_FOUND}").fields])
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("start", "end", "kind", "form")
+        names = ("start", "end", "kind", "form", "first")
         for pdf in batches:
-            found = [detect(t) if isinstance(t, str) else [] for t in pdf[text_col]]
+            found = [name_words(t, detect(t)) if isinstance(t, str) else [] for t in pdf[text_col]]
             yield pdf.assign(_pii_found=[[dict(zip(names, e)) for e in x] for x in found])
 
     return docs.mapInPandas(tidy(tag), schema)
@@ -240,7 +285,7 @@ def assignments(entities: DataFrame, key: bytes = KEY, max_draws: int = MAX_DRAW
     drawn = saved(entities.select("kind", "form", F.lit(0).alias("draw")).mapInPandas(draw, shape), "surrogates")
     while True:  # ends, as every further draw has a wider format
         # a replacement that is an entity itself, or that a lesser entity has too
-        taken = drawn.select(F.substring_index("kind", ":", 1).alias("type"), F.col("form").alias("replacement")).distinct().withColumn("real", F.lit(True))
+        taken = drawn.select(F.substring_index("kind", ":", 1).alias("type"), F.when(F.col("kind").startswith("name"), F.initcap("form")).otherwise(F.col("form")).alias("replacement")).distinct().withColumn("real", F.lit(True))
         typed = drawn.withColumn("type", F.substring_index("kind", ":", 1))
         least = typed.groupBy("type", "replacement").agg(F.min(F.struct("draw", "kind", "form")).alias("first"), F.count("*").alias("n"))
         checked = least.join(taken, ["type", "replacement"], "left").filter((F.col("n") > 1) | F.col("real"))
@@ -252,12 +297,22 @@ def assignments(entities: DataFrame, key: bytes = KEY, max_draws: int = MAX_DRAW
         drawn = saved(drawn.join(again, ["kind", "form"], "left_anti").unionByName(fresh), "surrogates")
 
 
+def resolved(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(kind, form, replacement) of distinct (kind, form), the same for all kinds of a name."""
+    entities = saved(entities, "entities").withColumn("type", F.substring_index("kind", ":", 1))
+    titled = F.collect_set(F.when(F.col("kind").isin("name:m", "name:f"), F.col("kind")))
+    one = entities.groupBy("type", "form").agg(titled.alias("titled"))
+    one = one.select("form", F.when(F.size("titled") == 1, F.col("titled")[0]).when(F.col("type") == "name", "name:n").otherwise(F.col("type")).alias("kind"))
+    given = assignments(one, key).select(F.substring_index("kind", ":", 1).alias("type"), "form", "replacement")
+    return entities.join(given, ["type", "form"]).select("kind", "form", "replacement")
+
+
 def pseudonymised(docs: DataFrame, key: bytes = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with every entity replaced; count_col, if given, gets their number."""
     rows = saved(tagged(docs.withColumn("_pii_row", F.monotonically_increasing_id()), text_col), "tagged")
     some = rows.filter(F.size("_pii_found") > 0)
-    held = some.select("_pii_row", F.explode("_pii_found").alias("e")).select("_pii_row", "e.*")
-    mapping = assignments(held.select("kind", "form").distinct(), key)
+    held = some.select("_pii_row", F.explode("_pii_found").alias("e")).select("_pii_row", "e.start", "e.end", "e.kind", "e.form")
+    mapping = resolved(held.select("kind", "form").distinct(), key)
     swaps = held.join(mapping, ["kind", "form"]).groupBy("_pii_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "form", "replacement"))).alias("_pii_swaps"))
     schema = StructType([f for f in rows.schema.fields])
 
@@ -275,7 +330,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text_col: str = "text", cou
     changed = some.join(swaps, "_pii_row").select(*rows.columns, "_pii_swaps").mapInPandas(tidy(rewrite), schema)
     whole = rows.filter(F.size("_pii_found") == 0).unionByName(changed)
     if count_col:
-        return whole.select(*docs.columns, F.size("_pii_found").cast("long").alias(count_col))
+        return whole.select(*docs.columns, F.size(F.filter("_pii_found", lambda e: e["first"])).cast("long").alias(count_col))
     return whole.select(*docs.columns)
 
 

@@ -58,3 +58,17 @@ def test_crowded_formats_become_wider(spark):
     assert not {(r.kind, r.replacement) for r in got} & set(entities)
     assert all(len(r.replacement) > 1 for r in got if r.kind == "ssn")
     assert private.render("1-2", "phone", "12", "3456") == "3-456" and private.render("1.2.0.3", "ip", "1.2.0.3", "10.200.3.4") == "10.200.3.4"
+
+
+def test_one_entity_has_one_replacement_however_written(spark):
+    lines = ["Dr. Anna Braun met Frau Anna Braun.", "Mr. Smith and Mr. John Smith", "Mr. JOHN SMITH is here; Smith's hat, John Smith, Smithson", "call +1 (743) 555-3824 or 743-555-3824 or +17435553824"]
+    docs = cases.frame(spark, [(i, t, "en", "s", 1, 0.0, 0) for i, t in enumerate(lines)])
+    out = {r.doc_id: (r.text, r.n) for r in private.pseudonymised(docs, count_col="n").collect()}
+    a = re.fullmatch(r"Dr\. (\w+ \w+) met Frau (\w+ \w+)\.", out[0][0])
+    assert a[1] == a[2] != "Anna Braun" and a[1].split()[0].endswith(("a", "elle"))
+    smith, john, again = re.fullmatch(r"Mr\. (\w+) and Mr\. (\w+) (\w+)", out[1][0]).groups()
+    assert smith == again != "Smith" and john != "John"
+    assert out[2][0] == f"Mr. {john.upper()} {smith.upper()} is here; {smith}'s hat, {john} {smith}, Smithson"
+    x, y, z = re.fullmatch(r"call \+1 \((\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4}) or \+1(\d{10})", out[3][0]).groups()
+    assert x.replace(") ", "-") == y == f"{z[:3]}-{z[3:6]}-{z[6:]}" != "743-555-3824"
+    assert [out[i][1] for i in range(4)] == [2, 2, 3, 3]
