@@ -11,7 +11,8 @@ pass over the documents a block.
 
 Defined results: null or empty text has no words; items without words match
 nothing; an item of fewer than `window` words is one window; repeated rows are
-judged each by itself; null item ids are dropped; empty tables give empty or
+judged each by itself; items with a null id are searched as all others, count as
+one item together and are left out of the hash, as in SQL; empty tables give empty or
 clean results; other columns are ignored or, in `decontaminated`, kept.
 """
 
@@ -109,7 +110,7 @@ def _packed(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
-    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).dropna(subset=["i"])
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     n = -(-size // limit) or 1
     for k in range(n):

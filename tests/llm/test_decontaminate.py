@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import duckdb
+
 from postura.llm import decontaminate as D
 
 from . import cases
@@ -51,3 +53,20 @@ def test_longest_match_and_removal(spark):
     assert clean.columns == docs.columns and 800 not in {r.doc_id for r in clean.select("doc_id").collect()}
     assert D.decontaminated(docs, bench.limit(0)).count() == docs.count()
     assert D.decontaminated(docs.limit(0), bench).count() == 0
+
+
+def test_items_without_an_id_count_as_in_sql(spark):
+    rows, items, _ = fixture(spark)
+    long = split(rows[1][1])
+    items += [(None, " ".join(long[1:14])), (None, " ".join(split(rows[4][1])[:3]))]
+    docs, bench = cases.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    got = sorted(map(repr, (tuple(r[c] for c in columns) for r in D.summary(D.matches(docs, bench)).collect())))
+    db = duckdb.connect()
+    for name, shape, data in (("documents", "doc_id bigint, text varchar", [r[:2] for r in rows]), ("benchmark", "item_id bigint, text varchar", items)):
+        db.execute(f"create table {name} ({shape})")
+        db.executemany(f"insert into {name} values (?, ?)", data)
+    want = db.execute(f"select {', '.join(columns)} from ({D.OP4_SQL})").fetchall()
+    assert got == sorted(map(repr, want))
+    assert any(r[5] and r[4] == hashlib.sha256(b"").hexdigest() for r in want)
+    assert D.decontaminated(docs, bench).count() == sum(not r[5] for r in want)
