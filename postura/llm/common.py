@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,21 +49,43 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of a batch of rows sent to a Python worker, for the session from here on.
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, bound the bytes of a batch of rows that a query sends to a Python worker.
 
     Spark's own bounds, 10,000 rows or 64 MB, are held several times over in a
     worker (Arrow, pandas, bytes); texts of any length need a lower one.  A
     lower one that is set already stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    before = spark.conf.get(key)
+    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
     if not 0 < held <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def texts_of(batch: pa.RecordBatch, name: str) -> list[str | None]:
+    """The texts of an Arrow batch."""
+    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array], first: int = 0, size: int | None = None) -> pa.RecordBatch:
+    """Rows of an Arrow batch with columns put in or replaced.
+
+    All others stay as they are: pandas would make floats of whole numbers
+    beside a null.
+    """
+    part = batch.slice(first, size)
+    held = dict(zip(part.schema.names, part.columns)) | columns
+    return pa.RecordBatch.from_arrays(list(held.values()), list(held))
 
 
 def tidy(f):
-    """A mapInPandas function that gives freed memory back to the system when its task ends.
+    """A mapInPandas or mapInArrow function that gives freed memory back to the system when its task ends.
 
     Python workers are used again by later tasks and stages; without this they
     keep the most that any task before has taken.
@@ -70,9 +95,7 @@ def tidy(f):
         yield from f(batches)
         import ctypes
 
-        import pyarrow
-
-        pyarrow.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
         if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
             libc.malloc_trim(0)
 
@@ -89,3 +112,10 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def discard(spark: SparkSession, name: str, path: str) -> None:
+    """Drop a table and its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

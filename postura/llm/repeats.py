@@ -1,31 +1,36 @@
 """Removal of repeated byte strings, by blockwise suffix sorting with a difference cover.
 
 A byte goes if a WIDTH-byte string over it also starts in a document of a
-smaller id.  That needs the suffixes of all documents sorted to depth WIDTH,
+smaller id.  That needs the suffixes of all documents in order to depth WIDTH,
 and never all at once:
 
-1. Texts are joined to blocks of about BLOCK_BYTES, a table dealt by block.
+1. Texts are joined to blocks of about BLOCK_BYTES, a few of them a row of a
+   table dealt by row.
 2. Cover sample: suffixes whose place modulo PERIOD is in COVER, a perfect
-   difference set.  For any two suffixes some shift below PERIOD leads both to
-   sample places, so two equal WIDTH-byte strings hold equal sample strings of
-   WIDTH - PERIOD + 1 bytes at a common shift.  The sample is sorted by the
-   names (64-bit fingerprints) of those strings; what stays is each sample
-   suffix's rank in the coarse sense needed: tied with another document's or not.
-3. Suffixes without a tied sample suffix in reach are unique to depth WIDTH
-   and drop out; the others are sorted one suffix bucket (a set of first
-   bytes) at a time, long ties being told by the name of the whole string,
-   and each learns whether its string has a smaller document.
-
-Within a block equal strings are one entry before anything is shuffled, so a
-passage in a third of all documents costs one entry a block.  Entries travel
-packed; answers come back as one bit an entry.  Only one bucket's entries are
-on disk at a time.  Equality of strings is equality of fingerprints: of N
-suffixes, N**2 / 2**65 false ties are to be expected, in both sorts at once.
+   difference set.  Any two suffixes are some one shift below PERIOD before a
+   sample suffix each, and two equal WIDTH-byte strings then hold the same
+   first WIDTH - PERIOD + 1 bytes of sample suffix at that shift.
+3. Sieve: sample suffixes whose first bytes nobody else has drop out.  It goes
+   by 64-bit names of those bytes; equal bytes have equal names, so no repeat
+   is lost, and a false tie costs only work.
+4. The sample suffixes left are sorted by their bytes, one suffix bucket (a set
+   of first bytes) at a time.  Their order gives each a rank at every depth.
+   A suffix some places before a sample suffix is told by the bytes up to it,
+   sorted from the right, and by the rank of the sample suffix at the depth
+   that is left.  So each suffix of the corpus meets every equal one at their
+   common shift, whatever stands between, and equality is that of bytes.
+
+Within a block equal surroundings of a sample suffix are one entry before
+anything is shuffled, so a passage in a third of all documents costs a few
+entries a block.  Entries travel packed by row and group; answers come back as
+a bit for each shift of an entry.  Only one bucket's entries are on disk at a
+time.
 
 Defined results: null text: no bytes; null id: later than every id; rows of
-one id do not take bytes from each other; empty texts and tables give empty
-results; very long texts are cut into overlapping parts (PART_BYTES) and put
-together again; other columns are ignored.
+one id do not take bytes from each other (ties); an id that is no whole number
+becomes null; empty texts and tables give empty results; very long texts are
+cut into overlapping parts (PART_BYTES) and put together again; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,58 +44,68 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, saved, shared_dir, table
+from .common import bounded_batches, discard, release, saved, shared_dir, table, tidy
 from .words import encoded, powers
 
 WIDTH = 50
 PERIOD = 31
 #: Perfect difference set modulo 31: every residue is a difference of two.
 COVER = (1, 5, 11, 24, 25, 27)
+#: Bytes that a sample suffix may lie behind the suffixes it tells apart.
+REACH = PERIOD - 1
 BLOCK_BYTES = 1 << 20
+#: Bytes of texts in a row of blocks; its entries for a group travel together.
+ROW_BYTES = 8 << 20
 PART_BYTES = 4 << 20
-#: Suffix buckets sorted one after the other: bounds what is on disk at once.
-SAMPLE_PASSES, PASSES = 2, 5
+#: Suffix buckets, sorted one after the other: bounds what is on disk at once.
+SAMPLE_PASSES, PASSES = 2, 4
 #: Packed entries that one task sorts together.
 GROUP_BYTES = 6 << 20
 LAST = np.iinfo(np.int64).max
+_FIELDS = ("ids", "sizes", "starts", "wholes", "rows")
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(block, ids, sizes, starts, wholes, rows, data): texts joined; long ones in parts that overlap by width - 1 bytes."""
+    """(row, and of each of its blocks ids, sizes, starts, wholes, rows, data): texts joined; long ones in parts that overlap by width - 1 bytes."""
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        n = row = 0
+        n = seen = size = total = 0
         held: list[tuple] = []
-        size = 0
+        made: list[tuple] = []
+
+        def block():
+            *numbers, parts = zip(*held)
+            numbers.insert(1, [len(p) for p in parts])
+            return (*(np.array(x, np.int64).tobytes() for x in numbers), b"".join(parts))
 
         def out():
-            ids, starts, wholes, rows, parts = zip(*held)
-            return pd.DataFrame([{
-                "block": (task << 32) + n, "ids": np.array(ids, np.int64).tobytes(), "sizes": np.array([len(p) for p in parts], np.int64).tobytes(),
-                "starts": np.array(starts, np.int64).tobytes(), "wholes": np.array(wholes, np.int64).tobytes(), "rows": np.array(rows, np.int64).tobytes(), "data": b"".join(parts),
-            }])
+            return pd.DataFrame([{"row": (task << 32) + n} | dict(zip((*_FIELDS, "data"), map(list, zip(*made))))])
 
         for pdf in batches:
             for name, text in zip(pdf["i"], encoded(pdf["t"])):
                 name = LAST if pd.isna(name) else int(name)
                 for start in range(0, max(1, len(text) - width + 1), part_bytes):
                     part = text[start : start + part_bytes + width - 1]
-                    held.append((name, start, len(text), (task << 32) + row, part))
+                    held.append((name, start, len(text), (task << 32) + seen, part))
                     size += len(part)
+                    total += len(part)
                     if size >= BLOCK_BYTES:
+                        made.append(block())
+                        held, size = [], 0
+                    if total >= ROW_BYTES and made:
                         yield out()
-                        held, size, n = [], 0, n + 1
-                row += 1
+                        made, total, n = [], size, n + 1
+                seen += 1
         if held:
+            made.append(block())
+        if made:
             yield out()
 
-    # one text a row keeps the Arrow batches small
-    return docs.select(F.col(id_col).cast("long").cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(
-        joined, "block long, ids binary, sizes binary, starts binary, wholes binary, rows binary, data binary"
-    )
+    shape = "row long, " + ", ".join(f"{c} array<binary>" for c in (*_FIELDS, "data"))
+    return docs.select(F.col(id_col).try_cast("long").cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(tidy(joined), shape)
 
 
 def order_of(names: np.ndarray) -> np.ndarray:
@@ -106,25 +121,26 @@ def order_of(names: np.ndarray) -> np.ndarray:
     return order
 
 
+def _groups(names: np.ndarray, n: int) -> np.ndarray:
+    """Group of each name: names are even, so groups are."""
+    return (((names >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
 class Block:
-    """A block's bytes with document and place of each, and fingerprints of strings in it."""
+    """A block's bytes with document and place of each."""
 
-    def __init__(self, row, width: int):
-        self.ids, self.sizes, self.starts = (np.frombuffer(row[c], np.int64) for c in ("ids", "sizes", "starts"))
-        self.wholes, self.rows = (np.frombuffer(row[c], np.int64) for c in ("wholes", "rows"))
-        self.data = np.frombuffer(row["data"], np.uint8)
+    def __init__(self, row: dict, k: int, width: int):
+        self.ids, self.sizes, self.starts, self.wholes, self.rows = (np.frombuffer(row[c][k], np.int64) for c in _FIELDS)
+        self.data = np.frombuffer(row["data"][k], np.uint8)
+        self.width = width
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.part = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        up, self.down = powers(len(self.data) + 1)
-        self.sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data + np.uint64(1)) * up[:-1], out=self.sums[1:])
-
-    def inside(self, at: np.ndarray, width: int) -> np.ndarray:
-        """Those of the places from which width bytes are in the same part."""
-        p = self.part[at]
-        return at[at + width <= self.first[p] + self.sizes[p]]
+        self.part = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.padded = np.concatenate([np.zeros(REACH, np.uint8), self.data, np.zeros(width, np.uint8)])
+        up, self.down = powers(len(self.padded) + 1)
+        self.sums = np.zeros(len(self.padded) + 1, np.uint64)
+        np.cumsum((self.padded + np.uint64(1)) * up[:-1], out=self.sums[1:])
 
-    def names(self, at: np.ndarray, width: int) -> np.ndarray:
+    def _names(self, at: np.ndarray, width: int) -> np.ndarray:
         h = (self.sums[at + width] - self.sums[at]) * self.down[at]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x9E3779B97F4A7C15)
@@ -132,43 +148,67 @@ class Block:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(32))
 
+    def names(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Name of the bytes from each place on."""
+        return self._names(at + REACH, width)
+
     def sample(self, bucket: np.ndarray) -> np.ndarray:
-        """Places of the cover sample whose first byte is in the bucket (a table over bytes)."""
+        """Places of the cover sample whose first byte is in the bucket (a table over bytes), with all the depth they need."""
         at = np.flatnonzero(bucket[self.data])
         p = self.part[at]
         mine = np.zeros(PERIOD, bool)
         mine[list(COVER)] = True
-        return at[mine[(at - self.first[p] + self.starts[p]) % PERIOD]]
+        ok = mine[(at - self.first[p] + self.starts[p]) % PERIOD] & (at + self.width - REACH <= self.first[p] + self.sizes[p])
+        return at[ok]
 
-    def entries(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct names in order, least document of each, places in order of name, entry of each place."""
-        h = self.names(at, width)
+    def sieved(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct names of a bucket's sample suffixes in order, whether two documents have one, their places in that order, name of each place."""
+        at = self.sample(bucket)
+        h = self.names(at, self.width - REACH)
         order = order_of(h)
         h, at = h[order], at[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
+        first = np.flatnonzero(new)
         docs = self.ids[self.part[at]]
+        more = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first) if len(first) else np.zeros(0, bool)
+        return h[first], more, at, np.cumsum(new) - 1
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of sample places: distinct surroundings, bytes before and after in the same text, least document of each; places in order, entry of each."""
+        p = self.part[at]
+        before = np.minimum(at - self.first[p], REACH).astype(np.uint8)
+        after = np.minimum(self.first[p] + self.sizes[p] - at, self.width).astype(np.uint8)
+        h = self._names(at, REACH + self.width) ^ (before.astype(np.uint64) << np.uint64(8) ^ after)
+        order = order_of(h)
+        at, before, after = at[order], before[order], after[order]
+        around = np.lib.stride_tricks.sliding_window_view(self.padded, REACH + self.width)[at]
+        new = np.ones(len(at), bool)
+        # names only bring likely equals side by side
+        new[1:] = (around[1:] != around[:-1]).any(axis=1) | (before[1:] != before[:-1]) | (after[1:] != after[:-1])
         first = np.flatnonzero(new)
-        return h[first], np.minimum.reduceat(docs, first) if len(first) else docs, at, np.cumsum(new) - 1
+        docs = self.ids[self.part[at]]
+        least = np.minimum.reduceat(docs, first) if len(first) else docs
+        return around[first], np.stack([before[first], after[first]], axis=1), least, at, np.cumsum(new) - 1
 
 
-def _groups(names: np.ndarray, n: int) -> np.ndarray:
-    """First entry of each of n groups of names (and the end): names are even, so groups are."""
-    group = (((names >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-    return np.searchsorted(group, np.arange(n + 1))
+def _blocks_of(row: dict, width: int) -> Iterator[Block]:
+    for k in range(len(row["data"])):
+        yield Block(row, k, width)
 
 
-def _buckets(blocks: DataFrame, n: int) -> list[np.ndarray]:
-    """n sets of first bytes (as tables) with about as many suffixes each, and the bytes of all blocks."""
+def _buckets(dealt: DataFrame, n: int) -> list[np.ndarray]:
+    """n sets of first bytes (as tables) with about as many suffixes each."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(256, np.int64)
         for pdf in batches:
-            for data in pdf["data"]:
-                total += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+            for parts in pdf["data"]:
+                for data in parts:
+                    total += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
         yield pd.DataFrame({"byte": np.arange(256), "c": total})
 
-    counts = {r["byte"]: r["c"] for r in blocks.select("data").mapInPandas(counted, "byte int, c long").groupBy("byte").agg(F.sum("c").alias("c")).collect()}
+    counts = {r["byte"]: r["c"] for r in dealt.select("data").mapInPandas(tidy(counted), "byte int, c long").groupBy("byte").agg(F.sum("c").alias("c")).collect()}
     load, sets = [0] * n, [np.zeros(256, bool) for _ in range(n)]
     for byte in sorted(range(256), key=lambda b: -counts.get(b, 0)):
         k = load.index(min(load))
@@ -177,29 +217,56 @@ def _buckets(blocks: DataFrame, n: int) -> list[np.ndarray]:
     return sets
 
 
-def _sorted_sample(table: DataFrame, bucket: np.ndarray, k: int, n_groups: int, depth: int) -> DataFrame:
-    """(block, k, g, bits): which entries of the sample bucket have a like one in another document."""
+def _dealt_out(group: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of entries by group, first of each group (and the end), groups that have some."""
+    order = np.argsort(group, kind="stable")
+    cut = np.searchsorted(group[order], np.arange(n_groups + 1))
+    return order, cut, np.flatnonzero(np.diff(cut))
+
+
+def _answered(answers, k: int, group: np.ndarray, n_groups: int, kind) -> np.ndarray:
+    """Answers of bucket k to all entries of a row; kind: of one answer (bool: a bit)."""
+    order, cut, _ = _dealt_out(group, n_groups)
+    out = np.zeros(len(group), kind)
+    for a in answers if answers is not None else ():
+        if a["k"] == k:
+            g = a["g"]
+            n = cut[g + 1] - cut[g]
+            got = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=n) if kind is bool else np.frombuffer(a["bits"], kind)
+            out[order[cut[g] : cut[g + 1]]] = got
+    return out
+
+
+def _answers(found: DataFrame) -> DataFrame:
+    """All answers to a row."""
+    return found.groupBy("row").agg(F.collect_list(F.struct("k", "g", "bits")).alias("answers"))
+
+
+def _joined(parts: list[np.ndarray], empty) -> np.ndarray:
+    return np.concatenate(parts) if parts else empty
+
+
+def _sieve_bucket(dealt: DataFrame, bucket: np.ndarray, k: int, n_groups: int, width: int) -> DataFrame:
+    """(row, k, g, bits): which names of a bucket's sample suffixes other blocks have too."""
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                b = Block(row, WIDTH)
-                names, _, _, _ = b.entries(b.inside(b.sample(bucket), depth), depth)
-                cut = _groups(names, n_groups)
-                live = np.flatnonzero(np.diff(cut))
-                yield pd.DataFrame({"block": row["block"], "g": live, "names": [names[cut[g] : cut[g + 1]].tobytes() for g in live]})
+            for row in pdf.to_dict("records"):
+                names = _joined([b.sieved(bucket)[0] for b in _blocks_of(row, width)], np.zeros(0, np.uint64))
+                order, cut, live = _dealt_out(_groups(names, n_groups), n_groups)
+                names = names[order]
+                yield pd.DataFrame({"row": row["row"], "g": live, "names": [names[cut[g] : cut[g + 1]].tobytes() for g in live]})
 
     def tied(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, np.uint64) for x in pdf["names"]]
-        names = np.concatenate(parts)
-        ordered = np.sort(names)
+        ordered = np.sort(np.concatenate(parts))
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])  # in two blocks
-        out = pdf[["block", "g"]].copy()
+        out = pdf[["row", "g"]].copy()
         out["bits"] = [np.packbits(_among(x, again)).tobytes() for x in parts]
         return out
 
-    packed = table.mapInPandas(entries, "block long, g int, names binary")
-    return packed.groupBy("g").applyInPandas(tied, "block long, g int, bits binary").select("block", F.lit(k).alias("k"), "g", "bits")
+    packed = dealt.mapInPandas(tidy(entries), "row long, g int, names binary")
+    return packed.groupBy("g").applyInPandas(tied, "row long, g int, bits binary").select("row", F.lit(k).alias("k"), "g", "bits")
 
 
 def _among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -210,85 +277,107 @@ def _among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-def _bits(answers: list, k: int, cut: np.ndarray) -> np.ndarray:
-    """Bits of all entries of bucket k of a block."""
-    out = np.zeros(cut[-1], bool)
-    for a in answers:
-        if a["k"] == k:
-            g = a["g"]
-            out[cut[g] : cut[g + 1]] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=cut[g + 1] - cut[g]).astype(bool)
-    return out
-
-
-def _candidates(table: DataFrame, ties: DataFrame, buckets: list[np.ndarray], n_groups: int, width: int, depth: int) -> DataFrame:
-    """(block, mask): a bit for each place from which a tied sample suffix is in reach."""
+def _masks(dealt: DataFrame, ties: DataFrame, buckets: list[np.ndarray], n_groups: int, width: int) -> DataFrame:
+    """(row, masks): per block a bit for each place with a sample suffix that went through the sieve."""
 
     def masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                b = Block(row, width)
-                answers = list(row["answers"]) if row["answers"] is not None else []
-                reach = np.zeros(len(b.data) + 1, np.int32)
+            for row in pdf.to_dict("records"):
+                on = [np.zeros(len(data), bool) for data in row["data"]]
                 for k, bucket in enumerate(buckets):
-                    names, least, at, entry = b.entries(b.inside(b.sample(bucket), depth), depth)
-                    tie = _bits(answers, k, _groups(names, n_groups))
-                    most = np.full(len(names), -1, np.int64) if not len(names) else np.maximum.reduceat(b.ids[b.part[at]], np.flatnonzero(np.diff(entry, prepend=-1)))
-                    s = at[(tie | (most != least))[entry]]
-                    low = np.maximum(s - PERIOD + 1, b.first[b.part[s]])
-                    np.add.at(reach, low, 1)
-                    np.add.at(reach, s + 1, -1)
-                yield pd.DataFrame([{"block": row["block"], "mask": np.packbits(np.cumsum(reach[:-1]) > 0).tobytes()}])
-
-    return table.join(_answers(ties), "block", "left").mapInPandas(masked, "block long, mask binary")
-
-
-def _answers(found: DataFrame) -> DataFrame:
-    """A row a block: its answers, a bit an entry."""
-    return found.groupBy("block").agg(F.collect_list(F.struct("k", "g", "bits")).alias("answers"))
-
+                    found = [b.sieved(bucket) for b in _blocks_of(row, width)]
+                    tie = _answered(row["answers"], k, _groups(np.concatenate([f[0] for f in found]), n_groups), n_groups, bool)
+                    first = 0
+                    for mask, (names, more, at, entry) in zip(on, found):
+                        mask[at[(tie[first : first + len(names)] | more)[entry]]] = True
+                        first += len(names)
+                yield pd.DataFrame([{"row": row["row"], "masks": [np.packbits(m).tobytes() for m in on]}])
+
+    return dealt.join(_answers(ties), "row", "left").mapInPandas(tidy(masked), "row long, masks array<binary>")
+
+
+def _places(b: Block, mask: bytes, bucket: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=len(b.data)).astype(bool) & bucket[b.data])
+
+
+def ranked(around: np.ndarray, before: np.ndarray, after: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
+    """A bit for each shift of each entry: its string that starts so many bytes before the sample suffix also starts in a smaller document of another entry.
+
+    Sample suffixes are sorted by their bytes and the bytes before them from
+    the right; with the common prefixes of neighbours that gives ranks at
+    every depth.  A string is the pair of both ranks.
+    """
+    n = len(docs)
+    order = np.argsort(np.ascontiguousarray(around[:, REACH:]).view(f"S{width}").ravel(), kind="stable")
+    around, before, after, docs = around[order], before[order], after[order], docs[order]
+    left = np.ascontiguousarray(around[:, REACH - 1 :: -1])
+    back = np.argsort(left.view(f"S{REACH}").ravel(), kind="stable")
+
+    def common(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows), np.int64)
+        apart = rows[1:] != rows[:-1]
+        out[1:] = np.where(apart.any(axis=1), apart.argmax(axis=1), rows.shape[1])
+        return out
 
-def _places(b: Block, mask: bytes, bucket: np.ndarray, width: int) -> np.ndarray:
-    on = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(b.data)).astype(bool)
-    return b.inside(np.flatnonzero(on & bucket[b.data]), width)
+    right_common, left_common = common(around[:, REACH:]), common(left[back])
+    bits = np.zeros(n, np.uint32)
+    low = np.uint64(n.bit_length())
+    rank = np.empty(n, np.int64)
+    for shift in range(PERIOD):
+        depth = width - shift
+        several = right_common >= depth
+        several[:-1] |= several[1:]
+        live = np.flatnonzero(several & (before >= shift) & (after >= depth))
+        if len(live) < 2:
+            continue
+        rank[back] = np.cumsum(left_common < shift)
+        key = (np.cumsum(right_common < depth)[live].astype(np.uint64) << low) | rank[live].astype(np.uint64)
+        if 3 * int(low) <= 64:
+            packed = np.sort((key << low) | np.arange(len(live), dtype=np.uint64))
+            key, at = packed >> low, live[(packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)]
+        else:
+            by = np.argsort(key, kind="stable")
+            key, at = key[by], live[by]
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        own = docs[at]
+        least = np.minimum.reduceat(own, np.flatnonzero(new))
+        bits[at[own > least[np.cumsum(new) - 1]]] |= np.uint32(1 << shift)
+    out = np.empty(n, np.uint32)
+    out[order] = bits
+    return out
 
 
 def _sorted_bucket(masked: DataFrame, bucket: np.ndarray, k: int, n_groups: int, width: int) -> DataFrame:
-    """(block, k, g, bits): which entries of the bucket also start in a smaller document of another block."""
+    """(row, k, g, bits): the answers of ranked() to the entries of a bucket."""
+    size = REACH + width
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                b = Block(row, width)
-                names, docs, _, _ = b.entries(_places(b, row["mask"], bucket, width), width)
-                cut = _groups(names, n_groups)
-                live = np.flatnonzero(np.diff(cut))
-                base = int(docs.min()) if len(docs) else 0
-                small = len(docs) and docs.max() != LAST and int(docs.max()) - base < 2**32
-                docs = (docs - base).astype(np.uint32) if small else docs
-                yield pd.DataFrame({
-                    "block": row["block"], "g": live, "names": [names[cut[g] : cut[g + 1]].tobytes() for g in live],
-                    "docs": [docs[cut[g] : cut[g + 1]].tobytes() for g in live], "base": np.int64(base if small else -1),
-                })
-
-    def earlier(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.uint64) for x in pdf["names"]]
-        docs = np.concatenate([np.frombuffer(d, np.int64) if base < 0 else np.frombuffer(d, np.uint32).astype(np.int64) + base for d, base in zip(pdf["docs"], pdf["base"])])
-        names = np.concatenate(parts)
-        order = order_of(names)
-        ordered = names[order]
-        new = np.ones(len(names), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        first = np.flatnonzero(new)
-        least = np.minimum.reduceat(docs[order], first)
-        later = np.empty(len(names), bool)
-        later[order] = docs[order] > least[np.cumsum(new) - 1]
-        out = pdf[["block", "g"]].copy()
-        ends = np.cumsum([len(p) for p in parts])
-        out["bits"] = [np.packbits(x).tobytes() for x in np.split(later, ends[:-1])]
+            for row in pdf.to_dict("records"):
+                found, names = [], []
+                for b, mask in zip(_blocks_of(row, width), row["masks"]):
+                    around, room, least, at, entry = b.entries(_places(b, mask, bucket))
+                    found.append((around, room, least))
+                    names.append(b.names(at[np.flatnonzero(np.diff(entry, prepend=-1))], width - REACH))
+                around, room, least = (np.concatenate(x) for x in zip(*found))
+                order, cut, live = _dealt_out(_groups(np.concatenate(names), n_groups), n_groups)
+                around, room, least = around[order], room[order], least[order]
+                part = lambda x: [x[cut[g] : cut[g + 1]].tobytes() for g in live]  # noqa: E731, B023
+                yield pd.DataFrame({"row": row["row"], "g": live, "around": part(around), "room": part(room), "docs": part(least)})
+
+    def sort(pdf: pd.DataFrame) -> pd.DataFrame:
+        around = np.frombuffer(b"".join(pdf["around"]), np.uint8).reshape(-1, size)
+        room = np.frombuffer(b"".join(pdf["room"]), np.uint8).reshape(-1, 2)
+        docs = np.frombuffer(b"".join(pdf["docs"]), np.int64)
+        bits = ranked(around, room[:, 0], room[:, 1], docs, width)
+        out = pdf[["row", "g"]].copy()
+        ends = np.cumsum([len(x) // 8 for x in pdf["docs"]])
+        out["bits"] = [x.tobytes() for x in np.split(bits, ends[:-1])]
         return out
 
-    packed = masked.mapInPandas(entries, "block long, g int, names binary, docs binary, base long")
-    return packed.groupBy("g").applyInPandas(earlier, "block long, g int, bits binary").select("block", F.lit(k).alias("k"), "g", "bits")
+    packed = masked.mapInPandas(tidy(entries), "row long, g int, around binary, room binary, docs binary")
+    return packed.groupBy("g").applyInPandas(sort, "row long, g int, bits binary").select("row", F.lit(k).alias("k"), "g", "bits")
 
 
 _DIGEST = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, start long, data binary, marks binary"
@@ -296,8 +385,10 @@ _DIGEST = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, ke
 
 def _digest(data: np.ndarray, marks: np.ndarray, width: int) -> tuple[int, int, str]:
     """(bytes removed, spans, hash of the rest) of a whole text whose marked strings go."""
-    delta = np.zeros(len(data) + 1, np.int32)
     at = np.flatnonzero(marks)
+    if not len(at):
+        return 0, 0, hashlib.sha256(data.tobytes()).hexdigest()
+    delta = np.zeros(len(data) + 1, np.int32)
     np.add.at(delta, at, 1)
     np.add.at(delta, at + width, -1)
     gone = np.cumsum(delta[:-1]) > 0
@@ -307,28 +398,44 @@ def _digest(data: np.ndarray, marks: np.ndarray, width: int) -> tuple[int, int,
 def _marked(masked: DataFrame, found: DataFrame, buckets: list[np.ndarray], n_groups: int, width: int) -> DataFrame:
     """Digest of each text in one part; of others the parts with a bit for each string to remove."""
 
+    def marks_of(row: dict) -> list[np.ndarray]:
+        marks = [np.zeros(len(data), bool) for data in row["data"]]
+        for k, bucket in enumerate(buckets):
+            held = []
+            for b, mask in zip(_blocks_of(row, width), row["masks"]):
+                _, room, least, at, entry = b.entries(_places(b, mask, bucket))
+                names = b.names(at[np.flatnonzero(np.diff(entry, prepend=-1))], width - REACH)
+                held.append((names, room, at, entry, b.ids[b.part[at]] > least[entry]))
+            bits = _answered(row["answers"], k, _groups(np.concatenate([h[0] for h in held]), n_groups), n_groups, np.uint32)
+            first = 0
+            for own, (names, room, at, entry, later) in zip(marks, held):
+                mine = bits[first : first + len(names)][entry]
+                before, after = room[entry, 0], room[entry, 1]
+                for shift in range(PERIOD):  # a later document of a block has all strings of the surroundings from the first
+                    on = ((mine >> np.uint32(shift)) & np.uint32(1)).astype(bool) | (later & (before >= shift) & (after >= width - shift))
+                    own[at[on] - shift] = True
+                first += len(names)
+        return marks
+
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                b = Block(row, width)
-                answers = list(row["answers"]) if row["answers"] is not None else []
-                marks = np.zeros(len(b.data), bool)
-                for k, bucket in enumerate(buckets):
-                    names, least, at, entry = b.entries(_places(b, row["mask"], bucket, width), width)
-                    later = _bits(answers, k, _groups(names, n_groups))
-                    marks[at] = later[entry] | (b.ids[b.part[at]] > least[entry])
-                out = []
-                for i, (first, size) in enumerate(zip(b.first, b.sizes)):
-                    data, own = b.data[first : first + size], marks[first : first + size]
-                    name = None if b.ids[i] == LAST else int(b.ids[i])
-                    if size == b.wholes[i]:
-                        n, spans, rest = _digest(data, own, width)
-                        out.append((int(b.rows[i]), name, int(size), n, spans, rest, None, None, None))
-                    else:
-                        out.append((int(b.rows[i]), name, int(b.wholes[i]), None, None, None, int(b.starts[i]), data.tobytes(), np.packbits(own).tobytes()))
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in _DIGEST.split(", ")]).astype({c: "Int64" for c in ("doc_id", "n_removed", "n_spans", "start")})
-
-    return masked.join(_answers(found), "block", "left").mapInPandas(removed, _DIGEST)
+            for row in pdf.to_dict("records"):
+                for k, marks in enumerate(marks_of(row)):
+                    ids, sizes, starts, wholes, rows = (np.frombuffer(row[c][k], np.int64) for c in _FIELDS)
+                    whole = np.frombuffer(row["data"][k], np.uint8)
+                    out = []
+                    for i, (first, size) in enumerate(zip(np.cumsum(sizes) - sizes, sizes)):
+                        data, own = whole[first : first + size], marks[first : first + size]
+                        name = None if ids[i] == LAST else int(ids[i])
+                        if size == wholes[i]:
+                            n, spans, rest = _digest(data, own, width)
+                            out.append((int(rows[i]), name, int(size), n, spans, rest, None, None, None))
+                        else:
+                            out.append((int(rows[i]), name, int(wholes[i]), None, None, None, int(starts[i]), data.tobytes(), np.packbits(own).tobytes()))
+                    frame = pd.DataFrame(out, columns=[x.split()[0] for x in _DIGEST.split(", ")], dtype=object)
+                    yield frame.astype({c: "Int64" for c in ("row", "doc_id", "n_bytes", "n_removed", "n_spans", "start")})
+
+    return masked.join(_answers(found), "row", "left").mapInPandas(tidy(removed), _DIGEST)
 
 
 def _whole(width: int):
@@ -341,8 +448,7 @@ def _whole(width: int):
             data[start : start + len(part)] = np.frombuffer(part, np.uint8)
             marks[start : start + len(part)] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(part)).astype(bool)
         gone, spans, rest = _digest(data, marks, width)
-        name = pdf["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(name) else int(name)], "Int64"), "n_bytes": [n], "n_removed": [gone], "n_spans": [spans], "kept_sha256": [rest]})
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "n_bytes": [n], "n_removed": [gone], "n_spans": [spans], "kept_sha256": [rest]})
 
     return put_together
 
@@ -350,38 +456,43 @@ def _whole(width: int):
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     spark = docs.sparkSession
-    depth = width - PERIOD + 1
-    if depth < 1:
-        raise ValueError(f"width must be at least {PERIOD}")
+    if not REACH < width < 256:
+        raise ValueError(f"width must be from {PERIOD} to 255")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"blocks_{uuid.uuid4().hex}"
-    # dealt by block once: later joins with small tables by block move no text
-    blocks(docs, id_col, text_col, width, part_bytes).repartition(n_parts, "block").write.bucketBy(n_parts, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    dealt = spark.table(name)
-    release(spark)
-    total = dealt.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    samples, buckets = _buckets(dealt, SAMPLE_PASSES), _buckets(dealt, PASSES)
-
-    n_sample = max(1, -(-total * len(COVER) * 8 // (PERIOD * SAMPLE_PASSES * GROUP_BYTES)))
-    ties = None
-    for k, bucket in enumerate(samples):
-        part = saved(_sorted_sample(dealt, bucket, k, n_sample, depth), "ties")
-        ties = part if ties is None else ties.unionByName(part)
+    path = f"{shared_dir(spark)}/{name}"
+    with bounded_batches(spark):
+        # dealt by row once: later joins with small tables by row move no text
+        blocks(docs, id_col, text_col, width, part_bytes).repartition(n_parts, "row").write.bucketBy(n_parts, "row").option("compression", "zstd").option("path", path).saveAsTable(name)
+        dealt = spark.table(name)
         release(spark)
-    masks = saved(_candidates(dealt, ties, samples, n_sample, width, depth), "masks")
-    release(spark)
-
-    n_groups = max(1, -(-total * 6 // (PASSES * GROUP_BYTES)))
-    masked = dealt.join(masks, "block")
-    found = None
-    for k, bucket in enumerate(buckets):
-        part = saved(_sorted_bucket(masked, bucket, k, n_groups, width), "later")
-        found = part if found is None else found.unionByName(part)
+        total = dealt.agg(F.sum(F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+        samples, buckets = _buckets(dealt, SAMPLE_PASSES), _buckets(dealt, PASSES)
+
+        n_sample = max(1, -(-total * len(COVER) * 8 // (PERIOD * SAMPLE_PASSES * GROUP_BYTES)))
+        ties = None
+        for k, bucket in enumerate(samples):
+            part = saved(_sieve_bucket(dealt, bucket, k, n_sample, width), "ties")
+            ties = part if ties is None else ties.unionByName(part)
+            release(spark)
+        masks = saved(_masks(dealt, ties, samples, n_sample, width), "masks")
         release(spark)
-    rows = saved(_marked(masked, found, buckets, n_groups, width), "marked")
+
+        # a share of the sample goes through the sieve
+        n_groups = max(1, -(-total * len(COVER) * (REACH + width + 10) // (3 * PERIOD * PASSES * GROUP_BYTES)))
+        masked = dealt.join(masks, "row")
+        found = None
+        for k, bucket in enumerate(buckets):
+            part = saved(_sorted_bucket(masked, bucket, k, n_groups, width), "later")
+            found = part if found is None else found.unionByName(part)
+            release(spark)
+        rows = saved(_marked(masked, found, buckets, n_groups, width), "marked")
+        discard(spark, name, path)
     out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    parts = rows.filter("data is not null").groupBy("row").applyInPandas(_whole(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return rows.filter("data is null").select(out).unionByName(parts).withColumnRenamed("doc_id", id_col)
+    long = rows.filter("data is not null")
+    names = long.groupBy("row").agg(F.max("doc_id").alias("doc_id"))
+    parts = long.select("row", "n_bytes", "start", "data", "marks").groupBy("row").applyInPandas(_whole(width), "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.filter("data is null").select(out).unionByName(parts.join(names, "row").select(out)).withColumnRenamed("doc_id", id_col)
 
 
 def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,48 +1,43 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, by large-star and small-star steps."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 
-def _folder(df: DataFrame) -> str:
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = os.path.join(tempfile.gettempdir(), f"postura-{uuid.uuid4().hex}")
-    spark.sparkContext.setCheckpointDir(where)
-    return where
+def _mark(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    return row[0], row[1] or 0
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    path = f"{_folder(df)}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _star(edges: DataFrame) -> DataFrame:
+    """Edges with m, the least neighbour of their a."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    return edges.join(least, "a")
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): comp is the component's least node.
+    """(node, comp) of every node with an edge to another; comp is its component's least node.
 
-    Each round a node takes the least label among its neighbours, then that
-    label's own label, so labels jump ahead; a round is two aggregates and two
-    joins, written to the shared folder to cut the lineage.
+    Each step is a combinable minimum and an equi-join, written to the shared
+    folder to cut the lineage, so a hub with very many edges is split like any
+    skewed key.  The number of steps is logarithmic in the size of a component.
+    Null ends and edges from a node to itself are left out.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    both = _kept(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = _kept(both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("comp")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        new = _kept(step.join(jump, "comp").select("node", F.least("comp", "further").alias("comp"), "was"))
-        if not new.filter("comp <> was").limit(1).count():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+    edges = saved(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
+    mark = _mark(edges)
+    while mark[0]:
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        large = _star(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _star(large)
+        small = small.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).filter("a <> b")
+        edges = saved(small.distinct(), "edges")
+        new = _mark(edges)
+        if new == mark:
+            break
+        mark = new
+    pair = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("comp")), F.struct(F.col("b").alias("node"), F.col("b").alias("comp")))
+    return edges.select(F.inline(pair)).distinct()
