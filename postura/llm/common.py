@@ -2,49 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import discard, saved, shared_dir
+
+__all__ = ["BATCH_BYTES", "bounded_batches", "discard", "release", "saved", "shared_dir", "table", "texts_of", "tidy", "with_columns"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read only through Spark (any file system it knows)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.
-
-    Only where it is unset, and only on a local master, a temporary folder
-    stands in for it.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = os.path.join(tempfile.gettempdir(), f"postura-{uuid.uuid4().hex}")
-    spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs no recomputation of what is
-    before this point.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
 
@@ -113,9 +86,3 @@ def release(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
-
-def discard(spark: SparkSession, name: str, path: str) -> None:
-    """Drop a table and its files."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

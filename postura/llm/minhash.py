@@ -5,23 +5,32 @@ Poisson process with its weight as rate whose arrivals fall on random
 registers; a register keeps its earliest arrival.  A shingle's process is
 followed only while its time is below the latest register of its text, so
 most shingles of a long text end after one arrival.  Registers of two texts
-agree with the probability Jaccard similarity of their weighted shingle sets
-(weights "count"); with weights "set", the default here, that is the plain
-Jaccard similarity the threshold is about.
+agree with the probability Jaccard similarity of their weighted shingles.  The
+weight of a shingle is its count in the text (weights "count", the default); with
+weights "set" it is 1, and the similarity the plain Jaccard one.
 
 Texts with the same words are one node.  Nodes that share a band meet in its
 bucket.  No bucket is expanded into pairs at once: all members are verified
 against the bucket's leader (and random other ones, as long as many rows stay
 apart), and only members that are apart from their bucket's largest group are
-compared with its other members, in blocks of fixed size, by products of
-incidence matrices; of the links found a spanning forest is emitted.  Every
-link is verified by its exact Jaccard similarity; links form classes.
+compared with its other members, in blocks bounded in rows and bytes, by
+products of incidence matrices; of the links found a spanning forest is
+emitted.  Every link is verified by its exact probability Jaccard similarity;
+links form classes.  Shingles are told by 64-bit names: those of a corpus of
+10**12 distinct ones have some 10**24 / 2**65 pairs in common by chance, and a
+pair changes a similarity only by one shingle.
+
+Two texts of similarity s meet with probability 1 - (1 - s**ROWS)**BANDS, over
+0.9999 at the threshold.
 
 Defined results: a text without words is in a class with equal texts only;
 null text: as such, an own class an id; rows of one id with the same words are
 one document, rows of one id with other words are another; null id: as any
-other row, class_id null only in a class of null ids; empty table: empty
-result; other columns are ignored.
+other row, class_id null only in a class of null ids; ties: of rows with the
+same id, or without one, the kept one is that of the least SHA-256 of its text;
+very long texts: whole, their shingles take some 60 times their bytes in one
+task; empty table: empty result; other columns are ignored, whatever their
+names (but for _md_name in `deduplicated`).
 """
 
 from __future__ import annotations
@@ -34,8 +43,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .common import bounded_batches, release, saved, table, tidy
-from .components import components
 from .words import Words, encoded, mixed, slices
 
 SHINGLE = 5
@@ -44,8 +53,9 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Texts with fewer shingles take many rounds; they are signed together.
 FEW = 64
-#: Members left apart, and all members, of a bucket that are compared in one block.
+#: Members left apart, and all members, of a bucket that are compared in one block, and bytes of their shingles.
 LEFT_BLOCK, RIGHT_BLOCK = 128, 512
+LEFT_BYTES, RIGHT_BYTES = 4 << 20, 16 << 20
 #: Copies of a bucket's rows over blocks beyond which another round of leaders comes first.
 BLOCK_COPIES = 8
 MAX_LEADER_ROUNDS = 6
@@ -117,7 +127,7 @@ def _name(id_col: str, text_col: str):
     return F.unhex(F.sha2(F.concat(text, F.coalesce(F.concat(F.lit("+"), F.col(id_col).cast("string")), F.lit("-"))).cast("binary"), 256))
 
 
-def signed(docs: DataFrame, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signed(docs: DataFrame, weights: str = "count", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, name, doc_id, key, n_shingles, bands): name is that of the document, key names the text's words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -154,64 +164,83 @@ def signed(docs: DataFrame, weights: str = "set", id_col: str = "doc_id", text_c
     return rows.mapInPandas(tidy(sign), "row long, name binary, doc_id string, key binary, n_shingles int, bands array<long>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """(node, shingles): the distinct shingles of each text as sorted 64-bit names."""
+def shingled(docs: DataFrame, weights: str = "count") -> DataFrame:
+    """(node, shingles, counts): the distinct shingles of each text as sorted 64-bit names, and their weights (empty if all are 1)."""
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = encoded(pdf["text"])
             for a, b in slices([len(x) for x in raw], SLICE_BYTES):
-                names, owner, _ = weighted(*shingle_names(Words(raw[a:b])))
-                parts = np.split(names, np.searchsorted(owner, np.arange(1, b - a)))
-                yield pd.DataFrame({"node": pdf["node"].iloc[a:b].to_numpy(), "shingles": [x.tobytes() for x in parts]})
+                names, owner, count = weighted(*shingle_names(Words(raw[a:b])))
+                cut = np.searchsorted(owner, np.arange(1, b - a))
+                parts, counts = np.split(names, cut), np.split(count.astype(np.uint32), cut)
+                plain = [weights == "set" or (c == 1).all() for c in counts]
+                yield pd.DataFrame({"node": pdf["node"].iloc[a:b].to_numpy(), "shingles": [x.tobytes() for x in parts], "counts": [b"" if p else c.tobytes() for c, p in zip(counts, plain)]})
+
+    return docs.select("node", "text").mapInPandas(tidy(shingle), f"node {docs.schema['node'].dataType.simpleString()}, shingles binary, counts binary")
+
+
+def _weights(counts: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(counts, np.uint32).astype(float) if counts else np.ones(n)
 
-    return docs.select("node", "text").mapInPandas(tidy(shingle), f"node {docs.schema['node'].dataType.simpleString()}, shingles binary")
+
+def probability_jaccard(p: np.ndarray, v: np.ndarray, q: np.ndarray, w: np.ndarray) -> float:
+    """Exact similarity of two weighted sets (sorted names, weights): sum over common d of 1 / sum over all e of max(v[e] / v[d], w[e] / w[d])."""
+    _, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    if v.max() == v.min() and w.max() == w.min() and len(p) == len(q):
+        return len(i) / (len(p) + len(q) - len(i))
+    x, y = v[i], w[j]
+    # the larger of both quotients is the first one for all e whose ratio v / w is at least that of d
+    ratio, back = np.unique(x / y, return_inverse=True)
+    above = v.sum() - x.sum() + np.bincount(back, x)[::-1].cumsum()[::-1]
+    by_y = np.bincount(back, y)
+    below = w.sum() - y.sum() + by_y.cumsum() - by_y
+    return float((1 / (above[back] / x + below[back] / y)).sum())
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold."""
+    """The pairs (a, b) whose exact similarity reaches the threshold."""
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
-            for x, y in zip(pdf["x"], pdf["y"]):
+            for x, v, y, w in zip(pdf["x"], pdf["v"], pdf["y"], pdf["w"]):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common > 0 and common >= similarity * (len(p) + len(q) - common) - 1e-9)
+                keep.append(probability_jaccard(p, _weights(v, len(p)), q, _weights(w, len(q))) >= similarity - 1e-9)
             yield pdf.loc[keep, ["a", "b"]]
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"), F.col("counts").alias("v")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.col("counts").alias("w")), "b")
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "x", "y").mapInPandas(tidy(verified), f"a {kind}, b {kind}")
-
-
-def _near(similarity: float):
-    """Sizes alone allow the similarity."""
-    return (F.col("n") >= similarity * F.col("n2") - 1e-9) & (F.col("n2") >= similarity * F.col("n") - 1e-9)
+    return both.select("a", "b", "x", "v", "y", "w").mapInPandas(tidy(verified), f"a {kind}, b {kind}")
 
 
-def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Shingles that each of left shares with each of right, as products of incidence matrices."""
+def _shared(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Share of each left set's weight, and of each right one's, that lies on common shingles, as products of incidence matrices."""
     sides = []
     for sets in (left, right):
-        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+        part = np.concatenate([w / w.sum() for _, w in sets])
+        sides.append((np.concatenate([x for x, _ in sets]), np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets]), part))
     shared = np.intersect1d(sides[0][0], sides[1][0])
     placed = []
-    for names, owner in sides:
+    for names, owner, part in sides:
         at = np.searchsorted(shared, names)
         at[at == len(shared)] = 0
         known = shared[at] == names if len(shared) else np.zeros(len(names), bool)
         order = np.argsort(at[known], kind="stable")
-        placed.append((at[known][order], owner[known][order]))
-    out = np.zeros((len(left), len(right)), np.float32)
+        placed.append((at[known][order], owner[known][order], part[known][order]))
+    of_left, of_right = (np.zeros((len(left), len(right)), np.float32) for _ in range(2))
     for first in range(0, len(shared), columns):
-        a, b = (np.zeros((len(sets), columns), np.float32) for sets in (left, right))
-        for matrix, (at, owner) in zip((a, b), placed):
+        (a, v), (b, w) = ([np.zeros((len(sets), columns), np.float32) for _ in range(2)] for sets in (left, right))
+        for on, weight, (at, owner, part) in ((a, v, placed[0]), (b, w, placed[1])):
             low, high = np.searchsorted(at, (first, first + columns))
-            matrix[owner[low:high], at[low:high] - first] = 1
-        out += a @ b.T
-    return out
+            on[owner[low:high], at[low:high] - first] = 1
+            weight[owner[low:high], at[low:high] - first] = part[low:high]
+        of_left += v @ b.T
+        of_right += a @ w.T
+    return of_left, of_right
 
 
 def _forest(similarity: float):
@@ -220,13 +249,14 @@ def _forest(similarity: float):
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = []
         for part in (pdf[pdf["apart"]], pdf[~pdf["apart"]]):
-            sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
-            sides.append((part["node"].tolist(), part["comp"].to_numpy(), sets, np.array([len(x) for x in sets])))
-        (names, labels, left, n), (names2, labels2, right, n2) = sides
+            names = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+            sides.append((part["node"].tolist(), part["comp"].to_numpy(), [(x, _weights(c, len(x))) for x, c in zip(names, part["counts"])]))
+        (names, labels, left), (names2, labels2, right) = sides
         out = []
         if names and names2:
-            common = _common(left, right)
-            fits = (common > 0) & (common >= similarity * (n[:, None] + n2 - common) - 1e-6) & (labels[:, None] != labels2)
+            # the similarity is at most either share
+            x, y = _shared(left, right)
+            fits = (x >= similarity - 1e-4) & (y >= similarity - 1e-4) & (labels[:, None] != labels2)
             parent: dict = {}
 
             def root(x):
@@ -236,7 +266,7 @@ def _forest(similarity: float):
 
             for k, j in np.argwhere(fits).tolist():
                 a, b = root(names[k]), root(names2[j])
-                if a != b:
+                if a != b and probability_jaccard(*left[k], *right[j]) >= similarity - 1e-9:
                     parent[a] = b
                     out.append((max(names[k], names2[j]), min(names[k], names2[j])))
         return pd.DataFrame(out, columns=["a", "b"])
@@ -256,15 +286,18 @@ def links(buckets: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
             pairs = buckets.join(lead, "band").filter(F.col("node") != F.col("top.node"))
         else:  # those left apart with a random member of the bucket's largest group
             pairs = members.filter("apart").withColumn("top", F.col("lead"))
-        pairs = pairs.select(F.col("node").alias("a"), "n", F.col("top.node").alias("b"), F.col("top.n").alias("n2")).filter(_near(similarity)).select("a", "b").distinct()
+        pairs = pairs.select(F.col("node").alias("a"), "n", F.col("top.node").alias("b"), F.col("top.n").alias("n2")).select("a", "b").distinct()
         found = similar(pairs, sets, similarity)
         edges = saved(found if edges is None else edges.unionByName(found), "links")
         # groups so far: the least node among a node's links and itself (links within a class may still be split over groups)
         label = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp"))
         named = buckets.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        groups = named.groupBy("band", "comp").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), rank).alias("lead"))
-        groups = groups.groupBy("band").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp", "lead")).alias("most")).filter("size > most.c")
-        members = named.join(groups.select("band", "size", F.col("size") - F.col("most.c"), F.col("most.comp").alias("most"), F.col("most.lead").alias("lead")).toDF("band", "size", "n_apart", "most", "lead"), "band")
+        groups = named.groupBy("band", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min_by(F.struct("node", "n"), rank).alias("lead"))
+        groups = groups.groupBy("band").agg(F.sum("c").alias("size"), F.sum("w").alias("whole"), F.max(F.struct("c", "comp", "lead", "w")).alias("most")).filter("size > most.c")
+        blocks = [F.greatest(F.ceil(rows_ / most), F.ceil(12 * shingles_ / limit)).cast("int") for rows_, most, shingles_, limit in (
+            (F.col("size") - F.col("most.c"), LEFT_BLOCK, F.col("whole") - F.col("most.w"), LEFT_BYTES), (F.col("size"), RIGHT_BLOCK, F.col("whole"), RIGHT_BYTES))]
+        groups = groups.select("band", "size", blocks[0].alias("n_left"), blocks[1].alias("n_right"), F.col("most.comp").alias("most"), F.col("most.lead").alias("lead"))
+        members = named.join(groups, "band")
         members = saved(members.withColumn("apart", F.col("comp") != F.col("most")).drop("most"), "members")
         rows, todo, apart = members.agg(F.count("*"), F.sum(F.when(F.col("apart"), F.col("size"))), F.count_if("apart")).first()
         if not rows:
@@ -274,35 +307,36 @@ def links(buckets: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
             break
         before = apart
         release(buckets.sparkSession)
-    full = members.join(sets, "node").withColumn("n_left", F.ceil(F.col("n_apart") / LEFT_BLOCK).cast("int")).withColumn("n_right", F.ceil(F.col("size") / RIGHT_BLOCK).cast("int"))
+    full = members.join(sets, "node")
     full = full.withColumn("left", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_left")).cast("int")).withColumn("right", F.pmod(F.xxhash64("node", F.lit(2)), F.col("n_right")).cast("int"))
-    keep = ("band", "node", "comp", "shingles")
+    keep = ("band", "node", "comp", "shingles", "counts")
     one = full.filter("apart").select(*keep, F.lit(True).alias("apart"), "left", F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("right"))
     two = full.select(*keep, F.lit(False).alias("apart"), F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("left"), "right")
     found = one.unionByName(two).groupBy("band", "left", "right").applyInPandas(_forest(similarity), f"a {kind}, b {kind}")
     return edges.unionByName(saved(found, "links"))
 
 
-def classified(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def classified(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "count", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(name, doc_id, key, n_shingles) of every row and (key, top) of every key; top is the document its class keeps: that of the least id, then name."""
-    bounded_batches(docs.sparkSession)
-    rows = saved(signed(docs, weights, id_col, text_col), "signed")
-    top = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name"))
-    # a node is a key, named by one of its rows
-    reps = saved(rows.groupBy("key").agg(F.min("row").alias("node"), top.alias("top")), "keys")
-    nodes = rows.filter("n_shingles > 0").join(reps.select("key", "node"), "key").filter("row = node").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = nodes.groupBy("band").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p <> q").select("band")
-    buckets = saved(nodes.join(shared, "band").select("band", "node", "n").distinct(), "buckets")
-    ids = buckets.select("node").distinct().join(reps.select("node", "top.name"), "node")
-    texts = docs.select(_name(id_col, text_col).alias("name"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    sets = saved(shingled(texts.join(ids, "name").dropDuplicates(["name"])), "shingles")
-    release(docs.sparkSession)
-    comps = components(links(buckets, sets, similarity))
-    whole = saved(reps.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"), "top"), "classes")
+    spark = docs.sparkSession
+    with bounded_batches(spark):
+        rows = saved(signed(docs, weights, id_col, text_col), "signed")
+        top = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name"))
+        # a node is a key, named by one of its rows
+        reps = saved(rows.groupBy("key").agg(F.min("row").alias("node"), top.alias("top")), "keys")
+        nodes = rows.filter("n_shingles > 0").join(reps.select("key", "node"), "key").filter("row = node").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+        shared = nodes.groupBy("band").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p <> q").select("band")
+        buckets = saved(nodes.join(shared, "band").select("band", "node", "n").distinct(), "buckets")
+        ids = buckets.select("node").distinct().join(reps.select("node", "top.name"), "node")
+        texts = docs.select(_name(id_col, text_col).alias("name"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+        sets = saved(shingled(texts.join(ids, "name").dropDuplicates(["name"]), weights), "shingles")
+        release(spark)
+        comps = connected(links(buckets, sets, similarity))
+        whole = saved(reps.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"), "top"), "classes")
     return rows, whole.select("key", "comp").join(whole.groupBy("comp").agg(F.min("top").alias("top")), "comp").select("key", "top")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", id_col: str = "doc_id", text_col: str = "text", kept_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "count", id_col: str = "doc_id", text_col: str = "text", kept_col: str | None = None) -> DataFrame:
     """(id, class_id, n_shingles) of every row; class_id is the least id of the class.  kept_col, if given, tells the class's kept document."""
     rows, classes = classified(docs, similarity, weights, id_col, text_col)
     kept = [(F.col("name") == F.col("top.name")).alias(kept_col)] if kept_col else []

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from postura.llm import minhash as M
-from postura.llm.components import components
 
 from . import cases
 from .test_decontaminate import split
 
 
-def shingles(text):
+def bag(text):
     w = split(text)
-    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def likeness(x, y):
+    """Probability Jaccard by its definition."""
+    both = {*x, *y}
+    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in both) for d in x.keys() & y.keys())
 
 
 def brute(rows):
@@ -27,10 +32,13 @@ def brute(rows):
             x = parent[x]
         return x
 
-    sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
+    sets = {r[0]: bag(r[1]) for r in rows if r[0] is not None}
     for a, b in combinations(sets, 2):
         x, y = sets[a], sets[b]
-        if x and y and len(x & y) >= 0.8 * len(x | y):
+        common = x.keys() & y.keys()
+        if not x or not y or min(sum(z[d] for d in common) / z.total() for z in (x, y)) < 0.79:  # an upper bound
+            continue
+        if (len(common) / len(x.keys() | y.keys()) if max(x.values()) == max(y.values()) == 1 else likeness(x, y)) >= 0.8:
             parent[max(root(a), root(b))] = min(root(a), root(b))
     return {i: root(i) for i in sets}
 
@@ -69,6 +77,36 @@ def test_blocks_and_more_leaders_give_the_same(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in M.near_duplicates(cases.frame(spark, rows)).collect()} == want
 
 
+def test_weights_count(spark):
+    rng = random.Random(12)
+    line, other = " ".join(cases.words(rng, "en", 9)), " ".join(cases.words(rng, "en", 60))
+    texts = [f"{(line + ' ') * k}{other}" for k in (1, 2, 3, 8, 9, 10, 40, 44, 200)] + [other, f"{other} {other}", line, f"{line} {line}"]
+    texts += variants(rng, 10, 60, 4) + [t + " " + t for t in variants(rng, 10, 60, 4)]
+    rows = [(i, t, "en", "s", 1, 0.0, 0) for i, t in enumerate(texts)]
+    want = brute(rows)
+    assert len(set(want.values())) < len(rows) - 5 and want[3] != want[8]  # how often a line is there makes a difference
+    assert {r.doc_id: r.class_id for r in M.near_duplicates(cases.frame(spark, rows)).collect()} == want
+    x, y = bag(texts[3]), bag(texts[4])
+    names = {d: k for k, d in enumerate({*x, *y})}
+    side = lambda z: tuple(np.array(c) for c in zip(*sorted((names[d], float(n)) for d, n in z.items())))
+    assert abs(M.probability_jaccard(*side(x), *side(y)) - likeness(x, y)) < 1e-9
+
+
+def test_recall_of_every_fiftieth_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bags = {r.doc_id: bag(r.text) for r in docs.collect() if r.text}
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(docs).collect()}
+    links = found = 0
+    for a in (i for i in bags if i % 50 == 0):
+        for b in bags:
+            x, y = bags[a], bags[b]
+            common = x.keys() & y.keys()
+            if a != b and common and min(sum(z[d] for d in common) / z.total() for z in (x, y)) > 0.79 and likeness(x, y) >= 0.8:
+                links += 1
+                found += got[a] == got[b]
+    assert links and found >= 0.9 * links
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     docs = cases.frame(spark)
     kept = M.deduplicated(docs)
@@ -92,23 +130,6 @@ def test_registers_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - want) < 0.04
 
 
-def test_components(spark):
-    rng = random.Random(8)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)]
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        parent[max(root(a), root(b))] = min(root(a), root(b))
-    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
 def test_every_class_keeps_a_row_whatever_its_ids(spark):
     rng = random.Random(6)
     base = cases.words(rng, "en", 80)
