@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import discard, saved, shared_dir
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "discard", "release", "saved", "shared_dir", "table", "texts_of", "tidy", "with_columns"]
+__all__ = ["BATCH_BYTES", "bounded_batches", "discard", "fresh", "release", "saved", "shared_dir", "table", "texts_of", "tidy", "with_columns"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,14 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the next like it that is no column of df, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str | None]:
     """The texts of an Arrow batch."""
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

@@ -9,11 +9,16 @@ diagonal are the longest verbatim matches.  The benchmark is the stated query
 set: its items go to the tasks in blocks of at most BLOCK_BYTES of text, one
 pass over the documents a block.
 
+Words are looked up by 64-bit names; every match found is then compared with
+the item word by word, as bytes.
+
 Defined results: null or empty text has no words; items without words match
 nothing; an item of fewer than `window` words is one window; repeated rows are
 judged each by itself; items with a null id are searched as all others, count as
-one item together and are left out of the hash, as in SQL; empty tables give empty or
-clean results; other columns are ignored or, in `decontaminated`, kept.
+one item together and are left out of the hash, as in SQL; very long texts: whole,
+their words take some 50 times their bytes in one task; empty tables give empty
+or clean results; other columns are kept, whatever their names (columns that are
+called like the results of `matches` are replaced there, not in `decontaminated`).
 """
 
 from __future__ import annotations
@@ -21,18 +26,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table, tidy
+from .common import fresh, table, texts_of, tidy, with_columns
 from .words import Words, encoded, slices
 
 WINDOW = 10
 #: Text of the benchmark that goes to the tasks at once.
 BLOCK_BYTES = 8 << 20
 OPENING = 3
+_FOUND = "array<struct<item_id:string,item_word:long,word:long,words:long>>"
+_FOUND_TYPE = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("words", pa.int64())]))
 
 
 class Suffixes:
@@ -54,6 +61,7 @@ class Suffixes:
                 widths.append(width)
                 keys.append(row)
         self.names = [name for name, _ in items]
+        self.words = [[w.text(i) for i in range(*w.first[k : k + 2])] for k in range(len(items))]
         self.item, self.place, self.width = np.array(ids, np.int64), np.array(places, np.int64), np.array(widths, np.int64)
         rows = np.array(keys, ">u4").reshape(len(keys), window)
         self.low = _keys(rows)
@@ -128,25 +136,36 @@ def _runs(item: np.ndarray, place: np.ndarray, at: np.ndarray, width: np.ndarray
     return list(zip(item[first], place[first], at[first], at[last] + width[last] - at[first]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+def _verified(tests: Suffixes, w: Words, d: int, which: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Merged matches of text d whose words are those of the item, byte by byte."""
+    first = int(w.first[d])
+    same = lambda i, p, x, n: tests.words[i][p : p + n] == [w.text(first + x + k) for k in range(n)]
+    runs = _runs(tests.item[which], tests.place[which], at, tests.width[which])
+    if all(same(*run) for run in runs):
+        return runs
+    true = np.array([same(tests.item[q], tests.place[q], x, tests.width[q]) for q, x in zip(which, at)], bool)
+    return _runs(tests.item[which[true]], tests.place[which[true]], at[true], tests.width[which[true]]) if true.any() else []
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = True, words_col: str = "_dc_words", found_col: str = "_dc_found") -> DataFrame:
     """A row a document: its columns (without the text, if not keep_text), _dc_words, and _dc_found.
 
     _dc_words: number of words; _dc_found: its longest verbatim matches, an
     array of (item_id, item_word, word, words).
     """
     spark = docs.sparkSession
-    extra = "_dc_words long, _dc_found array<struct<item_id:string,item_word:long,word:long,words:long>>"
-    more = StructType.fromDDL(extra).fields
-    result = docs
+    more = StructType().add(words_col, "long").add(found_col, StructType.fromDDL(f"x {_FOUND}")[0].dataType).fields
+    result = docs.drop(words_col, found_col)
     for k, (last, items) in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
         gone = [text_col] if last and not keep_text else []
-        schema = StructType([f for f in docs.schema.fields if f.name not in gone] + more)
+        schema = StructType([f for f in docs.drop(words_col, found_col).schema.fields if f.name not in gone] + more)
         shared = spark.sparkContext.broadcast(items)  # at most block_bytes of text
 
-        def searched(batches: Iterator[pd.DataFrame], shared=shared, k=k, gone=gone) -> Iterator[pd.DataFrame]:
+        def searched(batches: Iterator[pa.RecordBatch], shared=shared, k=k, schema=schema) -> Iterator[pa.RecordBatch]:
             tests = Suffixes(shared.value, window)
-            for pdf in batches:
-                raw = encoded(pdf[text_col])
+            for batch in batches:
+                raw = encoded(texts_of(batch, text_col))
+                before = batch.column(batch.schema.get_field_index(found_col)).to_pylist() if k else None
                 for a, b in slices([len(x) for x in raw]):
                     w = Words(raw[a:b])
                     ranks, text = tests.ranks(w)
@@ -158,22 +177,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
                     for part in np.split(order, cut) if len(order) else []:
                         d = int(owner[part[0]])
                         local = at[part] - (w.first[d] + d)
-                        q = which[part]
-                        found[d] = [{"item_id": tests.names[i], "item_word": int(p), "word": int(x), "words": int(n)} for i, p, x, n in _runs(tests.item[q], tests.place[q], local, tests.width[q])]
-                    out = pdf.iloc[a:b].drop(columns=gone)
+                        runs = _verified(tests, w, d, which[part], local)
+                        found[d] = [{"item_id": tests.names[i], "item_word": int(p), "word": int(x), "words": int(n)} for i, p, x, n in runs]
                     if k:
-                        out["_dc_found"] = [list(old) + new for old, new in zip(out["_dc_found"], found)]
-                    else:
-                        out["_dc_words"], out["_dc_found"] = w.counts, found
-                    yield out
+                        found = [old + new for old, new in zip(before[a:b], found)]
+                    out = with_columns(batch, {words_col: pa.array(w.counts, pa.int64()), found_col: pa.array(found, _FOUND_TYPE)}, a, b - a)
+                    yield out.select(schema.names)
 
-        result = result.mapInPandas(tidy(searched), schema)
+        result = result.mapInArrow(tidy(searched), schema)
     return result
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any match, with their columns."""
-    return matches(docs, benchmark, **options).filter(F.size("_dc_found") == 0).select(*docs.columns)
+    words, found = fresh(docs, "_dc_words"), fresh(docs, "_dc_found")
+    return matches(docs, benchmark, words_col=words, found_col=found, **options).filter(F.size(found) == 0).select(*docs.columns)
 
 
 def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
 One Bloom filter holds the n-grams of all languages, bit-sliced: a slot is a
-mask with one bit a language, and the AND of an n-gram's slots is the mask of
+mask with one bit a language (a word for each 64 of them), and the AND of an n-gram's slots is the mask of
 all languages that contain it.  Per document the masks' bits are counted by
 language, the counts are corrected for the filter's false positives, and the
 largest share decides.
@@ -13,8 +13,10 @@ about TRAIN_DOCS of each language (chosen by a hash of the id), whole texts.
 
 Defined results: null text or one without a letter: "und", score 0; ties go to
 the first language by name; nothing to learn from: "und"; null id: predicted,
-never learned from; repeated rows are judged each by itself; other columns
-are ignored.
+never learned from; repeated rows are judged each by itself; very long texts:
+whole, their n-grams take some 100 times their bytes in one task; an empty
+table gives an empty result; other columns are kept, but for lang_pred and
+score, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table, texts_of, tidy, with_columns
 
 ORDERS = (3, 4)
 MIN_SHARE = 2e-5
@@ -90,11 +93,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(n)
     if not langs:
-        return [], np.zeros(SLOTS, np.uint64)
-    if len(langs) > 64:
-        raise ValueError(f"{len(langs)} languages; a slot has 64 bits")
-    share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(int(min(1.0, train_docs / n[g]) * 1_000_000)))])
-    rows = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share[F.col("lang")])
+        return [], np.zeros((SLOTS, 1), np.uint64)
+    share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, train_docs / n[g])))])
+    rows = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 53)) / float(1 << 53) < share[F.col("lang")])
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -106,15 +107,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                         yield pd.DataFrame({"lang": lang, "n": order, "gram": g.view(np.int64), "c": c})
 
     by_gram = rows.select("text", "lang").mapInPandas(counted, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    by_gram = by_gram.persist()
+    by_gram = saved(by_gram, "grams")
     totals = by_gram.groupBy("lang", "n").agg(F.sum("c").alias("all"))
     # at most 1 / MIN_SHARE rows of each language and order
     chosen = by_gram.join(F.broadcast(totals), ["lang", "n"]).filter(F.col("c") >= MIN_SHARE * F.col("all")).select("lang", "gram").toPandas()
-    by_gram.unpersist()
-    bits = np.zeros(SLOTS, np.uint64)
+    bits = np.zeros((SLOTS, -(-len(langs) // 64)), np.uint64)
     for lang, part in chosen.groupby("lang"):
+        word, bit = divmod(langs.index(lang), 64)
         for s in _slots(part["gram"].to_numpy(np.int64).view(np.uint64)):
-            bits[s] |= np.uint64(1 << langs.index(lang))
+            bits[s, word] |= np.uint64(1 << bit)
     return langs, bits
 
 
@@ -123,15 +124,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     langs, bits = model
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits)  # SLOTS words, whatever the corpus
-    fill = np.array([float(((bits >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(langs))])
+    fill = np.array([float(((bits[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(langs))])
     wrong = np.minimum(fill**2, 0.99)
     rest = [f for f in docs.schema.fields if f.name not in (text_col, "lang_pred", "score")]
     schema = type(docs.schema)(list(rest)).add("lang_pred", "string").add("score", "double")
 
-    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf[text_col]]
+        for batch in batches:
+            texts = [t or "" for t in texts_of(batch, text_col)]
             hits = np.zeros((len(texts), len(langs)))
             total = np.zeros(len(texts))
             for a, b in slices(texts):
@@ -140,21 +141,20 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                     masks = slots[x] & slots[y]
                     total[a:b] += np.bincount(owner, minlength=b - a)[: b - a]
                     for k in range(len(langs)):
-                        hits[a:b, k] += np.bincount(owner, (masks >> np.uint64(k)) & np.uint64(1), minlength=b - a)[: b - a]
+                        hits[a:b, k] += np.bincount(owner, (masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1), minlength=b - a)[: b - a]
             letters = _letter_table()
             some = np.array([any(letters[ord(c)] for c in t[:64]) or any(letters[ord(c)] for c in t) for t in texts], bool)
             share = np.clip((hits - total[:, None] * wrong) / (1 - wrong), 0, None)
-            out = pdf[[f.name for f in rest]].copy()
+            names, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if langs:
                 best = share.argmax(axis=1)
                 top, whole = share[np.arange(len(texts)), best], share.sum(axis=1)
-                out["lang_pred"] = np.where(some, np.array(langs, object)[best], "und")
-                out["score"] = np.where(some, top / np.maximum(whole, 1e-9), 0.0).clip(0, 1)
-            else:
-                out["lang_pred"], out["score"] = "und", 0.0
-            yield out
+                names[some] = np.array(langs, object)[best][some]
+                score[some] = (top / np.maximum(whole, 1e-9)).clip(0, 1)[some]
+            kept = batch.select([f.name for f in rest]) if rest else batch.select([])
+            yield with_columns(kept, {"lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score)})
 
-    return docs.mapInPandas(predicted, schema)
+    return docs.mapInArrow(tidy(predicted), schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,23 +10,26 @@ place by its rank among the pieces of its length.  Ranks come from counts of
 salted groups, so a length that a third of all documents share is spread.
 
 Defined results: null text: an empty document, one end token; repeated rows
-and ids are packed each; null id stays null; empty table: empty result; other
-columns are ignored.
+and ids are packed each; null id stays null; ties: which of the pieces of one
+length takes which place goes by salted hash and then by the pieces' columns;
+very long texts: whole, their ids take some 50 times their bytes in one task;
+empty table: empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table, tidy
+from .common import saved, table, texts_of, tidy, with_columns
 
 CAPACITY = 4096
 END_ID = 1
@@ -35,6 +38,14 @@ GROUP_ROWS = 250
 MAX_SALTS = 4096
 SLICE_CHARS = 1 << 20
 CACHED_CHUNKS = 500_000
+#: The normalizing and cutting for which the three rules below hold; texts are encoded as a whole under any other.
+KNOWN_CUTTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 #: Texts of these characters alone are cut at white space and encoded chunk by chunk: none of the vocabulary's
 #: pretokens holds white space, composition leaves these characters as they are, and they lower-case one by one.
 PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7e¡-¬®-ÿ]*")
@@ -71,6 +82,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        held = json.loads(self.tokenizer.to_str())
+        self.known = all(held[k] == v for k, v in KNOWN_CUTTING.items()) and held["model"]["type"] == "BPE"
         self._reset()
 
     def _reset(self):
@@ -100,7 +113,7 @@ class ChunkEncoder:
         """Ids of each text, as encode(text, add_special_tokens=False) gives them."""
         if len(self.seen) > CACHED_CHUNKS:
             self._reset()
-        plain = [bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        plain = [self.known and bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
         at, counts = [], []
         number = self.seen.__getitem__
         for t, p in zip(texts, plain):
@@ -133,27 +146,31 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     path = path or default_path()
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for pdf in batches:
-            names, texts = pdf["doc_id"].tolist(), [t if isinstance(t, str) else "" for t in pdf["t"]]
+        for batch in batches:
+            texts = [t or "" for t in texts_of(batch, "t")]
             first = 0
             while first < len(texts):
                 end = total = first
                 while end < len(texts) and total < SLICE_CHARS:
                     total, end = total + len(texts[end]) + 1, end + 1
-                rows = []
-                for name, ids in zip(names[first:end], own.encode(texts[first:end])):
+                rows, parts = [], []
+                for i, ids in enumerate(own.encode(texts[first:end]), first):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
-                        rows.append((name, k, start, len(part), zlib.crc32(part.tobytes())) + ((part.astype(np.int32),) if keep_ids else ()))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
-                out["doc_id"] = out["doc_id"].astype("Int64") if pdf["doc_id"].dtype.kind in "fi" else out["doc_id"]
-                yield out
+                        rows.append((i, k, start, len(part), zlib.crc32(part.tobytes())))
+                        parts.append(part.astype(np.int32))
+                at, piece, start, length, crc = np.array(rows, np.int64).T
+                # the id, of whatever kind, stays as it came
+                columns = [batch.column(0).take(pa.array(at)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc))]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
                 first = end
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(tidy(cut), schema).withColumnRenamed("doc_id", id_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(tidy(cut), schema).withColumnRenamed("doc_id", id_col)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -241,19 +258,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = spark.sparkContext.broadcast(np.array(runs, np.int64))
     schema = type(pieces.schema)([f for f in ranked.schema.fields if f.name != "rank"]).add("sequence_id", "long").add("offset", "long")
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         keys = (table[:, 0] << 45) + table[:, 1]
-        for pdf in batches:
-            length, rank = pdf["length"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64)
+        for batch in batches:
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             run = table[np.searchsorted(keys, (length << 45) + rank, side="right") - 1]
             k = rank - run[:, 1]
-            pdf = pdf.drop(columns=["rank"])
-            pdf["sequence_id"] = run[:, 3] + k // run[:, 2]
-            pdf["offset"] = run[:, 4] + (k % run[:, 2]) * length
-            yield pdf
+            out = with_columns(batch, {"sequence_id": pa.array(run[:, 3] + k // run[:, 2]), "offset": pa.array(run[:, 4] + (k % run[:, 2]) * length)})
+            yield out.select(schema.names)
 
-    return ranked.mapInPandas(tidy(placed), schema)
+    return ranked.mapInArrow(tidy(placed), schema)
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

@@ -21,9 +21,10 @@ moved only if it holds an entity, and an entity that very many rows hold is a
 skewed join key like any other.
 
 Defined results: null or empty text stays as it is; repeated rows are each
-rewritten alike; null ids don't matter; an empty table gives an empty result;
-all other columns are kept, whatever their names (but for _pii_row,
-_pii_found).
+rewritten alike; null ids don't matter; ties: of entities that draw the same
+replacement the one with fewer draws, then the lesser, keeps it; very long
+texts: whole; an empty table gives an empty result; all other columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,13 +35,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import saved, table, tidy
+from .common import fresh, saved, table, texts_of, tidy, with_columns
 
-KEY = b"set a key of your own"
+#: Setting with the key of the query and the pipeline, and what they take where it is unset: a published value that hides nothing.
+KEY_SETTING, TEST_KEY = "spark.postura.surrogateKey", "a test key, not a secret"
 MAX_DRAWS = 64
 
 # Titles and their gender.
@@ -261,20 +264,23 @@ def render(surface: str, kind: str, form: str, replacement: str) -> str:
 _FOUND = "array<struct<start:int,end:int,kind:string,form:string,first:boolean>>"
 
 
-def tagged(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _pii_found, their entities."""
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"_pii_found {_FOUND}").fields])
+def tagged(docs: DataFrame, text_col: str = "text", found_col: str = "_pii_found") -> DataFrame:
+    """docs with found_col, their entities."""
+    schema = StructType([*docs.schema.fields, StructType.fromDDL(f"x {_FOUND}")[0]])
+    schema[-1].name = found_col
+    schema.names[-1] = found_col
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("form", pa.string()), ("first", pa.bool_())]))
 
-    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("start", "end", "kind", "form", "first")
-        for pdf in batches:
-            found = [name_words(t, detect(t)) if isinstance(t, str) else [] for t in pdf[text_col]]
-            yield pdf.assign(_pii_found=[[dict(zip(names, e)) for e in x] for x in found])
+        for batch in batches:
+            found = [name_words(t, detect(t)) if t else [] for t in texts_of(batch, text_col)]
+            yield with_columns(batch, {found_col: pa.array([[dict(zip(names, e)) for e in x] for x in found], kind)})
 
-    return docs.mapInPandas(tidy(tag), schema)
+    return docs.mapInArrow(tidy(tag), schema)
 
 
-def assignments(entities: DataFrame, key: bytes = KEY, max_draws: int = MAX_DRAWS) -> DataFrame:
+def assignments(entities: DataFrame, key: bytes, max_draws: int = MAX_DRAWS) -> DataFrame:
     """(kind, form, replacement) of distinct (kind, form), free of collisions."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,7 +303,7 @@ def assignments(entities: DataFrame, key: bytes = KEY, max_draws: int = MAX_DRAW
         drawn = saved(drawn.join(again, ["kind", "form"], "left_anti").unionByName(fresh), "surrogates")
 
 
-def resolved(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def resolved(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, form, replacement) of distinct (kind, form), the same for all kinds of a name."""
     entities = saved(entities, "entities").withColumn("type", F.substring_index("kind", ":", 1))
     titled = F.collect_set(F.when(F.col("kind").isin("name:m", "name:f"), F.col("kind")))
@@ -307,34 +313,42 @@ def resolved(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     return entities.join(given, ["type", "form"]).select("kind", "form", "replacement")
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with every entity replaced; count_col, if given, gets their number."""
-    rows = saved(tagged(docs.withColumn("_pii_row", F.monotonically_increasing_id()), text_col), "tagged")
-    some = rows.filter(F.size("_pii_found") > 0)
-    held = some.select("_pii_row", F.explode("_pii_found").alias("e")).select("_pii_row", "e.start", "e.end", "e.kind", "e.form")
+def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with every entity replaced; count_col, if given, gets their number.  key: a secret of the caller's."""
+    row, found, swaps_col = (fresh(docs, c) for c in ("_pii_row", "_pii_found", "_pii_swaps"))
+    rows = saved(tagged(docs.withColumn(row, F.monotonically_increasing_id()), text_col, found), "tagged")
+    some = rows.filter(F.size(found) > 0)
+    held = some.select(F.col(row).alias("row"), F.explode(found).alias("e")).select("row", "e.start", "e.end", "e.kind", "e.form")
     mapping = resolved(held.select("kind", "form").distinct(), key)
-    swaps = held.join(mapping, ["kind", "form"]).groupBy("_pii_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "form", "replacement"))).alias("_pii_swaps"))
-    schema = StructType([f for f in rows.schema.fields])
+    swaps = held.join(mapping, ["kind", "form"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "form", "replacement"))).alias(swaps_col))
 
-    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    columns = rows.columns
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             texts = []
-            for text, swaps in zip(pdf[text_col], pdf["_pii_swaps"]):
+            for text, own in zip(texts_of(batch, text_col), texts_of(batch, swaps_col)):
                 out, end = [], 0
-                for s in swaps:
+                for s in own:
                     out += [text[end : s["start"]], render(text[s["start"] : s["end"]], s["kind"], s["form"], s["replacement"])]
                     end = s["end"]
                 texts.append("".join([*out, text[end:]]))
-            yield pdf.assign(**{text_col: texts}).drop(columns=["_pii_swaps"])
+            kind = batch.schema.field(text_col).type
+            yield with_columns(batch, {text_col: pa.array(texts, kind)}).select(columns)
 
-    changed = some.join(swaps, "_pii_row").select(*rows.columns, "_pii_swaps").mapInPandas(tidy(rewrite), schema)
-    whole = rows.filter(F.size("_pii_found") == 0).unionByName(changed)
+    changed = some.join(swaps.withColumnRenamed("row", row), row).select(*rows.columns, swaps_col).mapInArrow(tidy(rewrite), rows.schema)
+    whole = rows.filter(F.size(found) == 0).unionByName(changed)
     if count_col:
-        return whole.select(*docs.columns, F.size(F.filter("_pii_found", lambda e: e["first"])).cast("long").alias(count_col))
+        return whole.select(*docs.columns, F.size(F.filter(found, lambda e: e["first"])).cast("long").alias(count_col))
     return whole.select(*docs.columns)
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's KEY_SETTING."""
+    return spark.conf.get(KEY_SETTING, TEST_KEY).encode()
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with personal data replaced."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymised(docs, count_col="n_entities")
+    return pseudonymised(docs, session_key(spark), count_col="n_entities")

@@ -21,7 +21,16 @@ def test_masks_hold_every_language(spark):
     langs, bits = language.fit(spark.createDataFrame([(1, "abcabc", "x"), (2, "abcabc", "y"), (3, "zzzz", "y")], "doc_id long, text string, lang string"))
     (_, h, _), *_ = language.grams(["abc"])
     a, b = language._slots(h)
-    assert ((bits[a] & bits[b]) == 3).all() and langs == ["x", "y"]
+    assert ((bits[a] & bits[b]) == 3).all() and bits.shape[1] == 1 and langs == ["x", "y"]
+
+
+def test_more_than_64_languages(spark):
+    letters = [chr(0x4E00 + 40 * k + j) for k in range(70) for j in range(40)]
+    texts = [(k, "".join(letters[40 * k : 40 * k + 40]) * 3, f"l{k:02}") for k in range(70)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model[1].shape[1] == 2
+    assert all(r.lang == r.lang_pred for r in language.predict(docs, model).collect())
 
 
 def test_nothing_to_learn(spark):

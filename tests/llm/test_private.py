@@ -4,6 +4,7 @@ from postura.llm import private
 
 from . import cases
 
+KEY = b"of the tests"
 LINES = [
     "mail hein.19@mail5.example.com or Hein.19@Mail5.example.com now",
     "call +1 (743) 555-3824 today, or 743-555-3824",
@@ -17,7 +18,7 @@ LINES = [
 
 def test_found_and_replaced_in_kind(spark):
     docs = cases.frame(spark, [(i, t, "en", "s", len(t), 0.0, 0) for i, t in enumerate(LINES)] + cases.documents())
-    out = {r.doc_id: r.text for r in private.pseudonymised(docs).collect()}
+    out = {r.doc_id: r.text for r in private.pseudonymised(docs, KEY).collect()}
     a, b = re.findall(r"\S+@\S+", out[0])
     assert a.lower() == b.lower() and a != "hein.19@mail5.example.com" and b[0].isupper() and a.endswith(".com")
     assert re.search(r"call \+\d \(\d{3}\) \d{3}-\d{4} today, or \d{3}-\d{3}-\d{4}$", out[1]) and "3824" not in out[1]
@@ -31,16 +32,16 @@ def test_found_and_replaced_in_kind(spark):
 
 def test_clean_texts_and_columns_stay(spark):
     docs = cases.frame(spark)
-    out = private.pseudonymised(docs, count_col="found")
+    out = private.pseudonymised(docs, KEY, count_col="found")
     assert out.columns == [*docs.columns, "found"] and out.count() == docs.count()
     clean = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.text == clean[r.doc_id] for r in out.collect())
-    assert private.pseudonymised(docs.limit(0)).count() == 0
+    assert private.pseudonymised(docs.limit(0), KEY).count() == 0
 
 
 def test_collisions_are_drawn_again(spark):
     entities = [("ip", f"{i}.{j}.7.8") for i in range(1, 10) for j in range(1, 10)] + [("secret", c * 1 + "a") for c in "abcdefghij"] + [("name:m", "A B"), ("name:f", "A B")]
-    got = private.assignments(spark.createDataFrame(entities, "kind string, form string")).collect()
+    got = private.assignments(spark.createDataFrame(entities, "kind string, form string"), KEY).collect()
     by_type = [(r.kind.split(":")[0], r.replacement) for r in got]
     assert len(set(by_type)) == len(by_type) == len(entities)
     assert not {(k.split(":")[0], f) for k, f in entities} & set(by_type)
@@ -53,7 +54,7 @@ def test_key_and_order_decide_alone():
 
 def test_crowded_formats_become_wider(spark):
     entities = [("ssn", str(d)) for d in range(10)] + [("ip", f"{a}.{b}.0.1") for a in range(4) for b in range(4)] + [("phone", f"{d:02}") for d in range(70)]
-    got = private.assignments(spark.createDataFrame(entities, "kind string, form string"), max_draws=2).collect()
+    got = private.assignments(spark.createDataFrame(entities, "kind string, form string"), KEY, max_draws=2).collect()
     assert len({(r.kind, r.replacement) for r in got}) == len(got) == len(entities)
     assert not {(r.kind, r.replacement) for r in got} & set(entities)
     assert all(len(r.replacement) > 1 for r in got if r.kind == "ssn")
@@ -63,7 +64,7 @@ def test_crowded_formats_become_wider(spark):
 def test_one_entity_has_one_replacement_however_written(spark):
     lines = ["Dr. Anna Braun met Frau Anna Braun.", "Mr. Smith and Mr. John Smith", "Mr. JOHN SMITH is here; Smith's hat, John Smith, Smithson", "call +1 (743) 555-3824 or 743-555-3824 or +17435553824"]
     docs = cases.frame(spark, [(i, t, "en", "s", 1, 0.0, 0) for i, t in enumerate(lines)])
-    out = {r.doc_id: (r.text, r.n) for r in private.pseudonymised(docs, count_col="n").collect()}
+    out = {r.doc_id: (r.text, r.n) for r in private.pseudonymised(docs, KEY, count_col="n").collect()}
     a = re.fullmatch(r"Dr\. (\w+ \w+) met Frau (\w+ \w+)\.", out[0][0])
     assert a[1] == a[2] != "Anna Braun" and a[1].split()[0].endswith(("a", "elle"))
     smith, john, again = re.fullmatch(r"Mr\. (\w+) and Mr\. (\w+) (\w+)", out[1][0]).groups()

@@ -10,17 +10,18 @@ def test_distributions_are_normalised_and_gradients_right():
     net = scoring.Net()
     rng = np.random.default_rng(3)
     net.vector += rng.normal(0, 0.3, len(net.vector)).astype(np.float32)
-    context = np.repeat(rng.integers(0, scoring.PAD, (1, 4)), scoring.PAD, axis=0)
-    p = net.forward(context, np.arange(scoring.PAD))[0]
+    around = rng.integers(0, scoring.PAD, 4)
+    runs = [np.array([*around[:2], k, *around[2:]]) for k in range(scoring.PAD)]
+    p = np.array([net.forward(run, np.array([0]))[0] for run in runs])
     assert abs(np.exp(p.astype(float)).sum() - 1) < 1e-3
-    context, target = rng.integers(0, scoring.PAD, (6, 4)), rng.integers(0, scoring.PAD, 6)
-    g = net.gradient(context, target)
+    run, at = rng.integers(0, scoring.PAD, 14), np.array([0, 1, 4, 7, 9])
+    g = net.gradient(run, at)
     for i in np.argsort(-np.abs(g))[:8]:
         old, h = net.vector[i], 1e-2
         loss = []
         for x in (old + h, old - h):
             net.vector[i] = x
-            loss.append(-net.forward(context, target)[0].astype(float).mean())
+            loss.append(-net.forward(run, at).astype(float).mean())
         net.vector[i] = old
         assert abs((loss[0] - loss[1]) / (2 * h) - g[i]) < 0.05 * abs(g[i]) + 1e-3
 
@@ -43,7 +44,7 @@ def test_scores_sum_each_token_from_both_sides(spark):
     for r, text in ((r, t) for r in rows for d, t, *_ in cases.documents()[:8] if r.doc_id == d):
         t = scoring.Tokens(encoded([text]), ordered, rank)
         ids = [scoring.PAD] * 2 + t.token.tolist() + [scoring.PAD] * 2
-        want = sum(float(net.forward(np.array([[ids[k], ids[k + 1], ids[k + 3], ids[k + 4]]]), np.array([ids[k + 2]]))[0][0]) for k in range(len(t.token)))
+        want = sum(float(net.forward(np.array(ids[k : k + 5]), np.array([0]))[0]) for k in range(len(t.token)))
         assert abs(r.log_prob - want) < 1e-2 * max(1, r.n_tokens) ** 0.5 and r.n_tokens == len(Words(encoded([text])).name)
     odd = {r.doc_id: r for r in rows}
     assert odd[62].n_tokens == 0 and odd[62].log_prob == 0 and odd[62].mean_log_prob is None
