@@ -41,7 +41,7 @@ from .words import Words, encoded, mixed, slices
 
 SIDE = 2
 BLOCK = 64
-VOCABULARY = 62 * BLOCK
+VOCABULARY = 30 * BLOCK
 #: Classes of the words beyond the vocabulary.
 OTHERS = 2 * BLOCK
 WIDTH = 24
@@ -55,6 +55,8 @@ PART_BYTES, GROUP_BYTES = 8 << 20, 6 << 20
 #: Parameters that are added at once, and partitions whose ones are added first.
 CHUNK, TOGETHER = 4096, 64
 RATE = 0.15
+#: Bound of the weights: logits stay below WIDTH * LIMIT + LIMIT.
+LIMIT = 3.0
 PAD = VOCABULARY + OTHERS
 N_BLOCKS = PAD // BLOCK
 
@@ -120,7 +122,7 @@ class Net:
     def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each row's target, and exp of the logits over their sum (in place of z)."""
         rows = np.arange(len(target))
-        np.clip(z, -60, 60, out=z)  # no overflow, and no pass for the largest of each row
+        # exp cannot overflow: hidden values are within 1, weights within LIMIT
         p = z[rows, target]
         np.exp(z, out=z)
         total = z.sum(axis=1)
@@ -158,16 +160,14 @@ class Net:
         x, n, size = every[at], np.float32(len(at)), len(run) - 2 * SIDE
         _, h, z, total, block, order, sorted_h, sorted_word, words = self._output(x, run[at + SIDE])
         out = Net(np.zeros_like(self.vector))
-        z /= total[:, None]
+        z *= (1 / total)[:, None]
         z[np.arange(len(at)), block] -= 1
-        z /= n
         out.block[:] = h.T @ z
         out.block_bias[:] = z.sum(axis=0)
         back = np.empty_like(h)
         for c, a, b, y, sums in words:
-            y /= sums[:, None]
+            y *= (1 / sums)[:, None]
             y[np.arange(b - a), sorted_word[a:b]] -= 1
-            y /= n
             back[a:b] = y @ self.word[c].T
             out.word[c] = sorted_h[a:b].T @ y
             out.word_bias[c] = y.sum(axis=0)
@@ -184,6 +184,7 @@ class Net:
             de[first : first + size] += part
         cell = (run[:, None] * WIDTH + np.arange(WIDTH)).ravel()
         out.embed[:] = np.bincount(cell, de.ravel(), minlength=(PAD + 1) * WIDTH).reshape(-1, WIDTH)
+        out.vector /= n
         return out.vector
 
 
@@ -249,6 +250,7 @@ def train(docs: DataFrame, names: np.ndarray, text_col: str = "text", rounds: in
                         g *= np.float32(RATE)
                         g /= np.sqrt(square)
                         net.vector -= g
+                        np.clip(net.vector, -LIMIT, LIMIT, out=net.vector)
                         n += len(at)
             if n:
                 first = np.arange(0, len(start), CHUNK)
