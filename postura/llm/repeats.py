@@ -38,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -126,6 +127,17 @@ def _groups(names: np.ndarray, n: int) -> np.ndarray:
     return (((names >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+_patterns: dict[int, np.ndarray] = {}
+
+
+def _cover(phase: int, n: int) -> np.ndarray:
+    """Offsets below n, at least, that are in the cover if the first byte's place is phase modulo PERIOD; kept between calls."""
+    if phase not in _patterns or _patterns[phase][-1] < n:
+        inside = np.sort((np.array(COVER) - phase) % PERIOD)
+        _patterns[phase] = (np.arange(n // PERIOD + 2)[:, None] * PERIOD + inside).ravel()
+    return _patterns[phase]
+
+
 class Block:
     """A block's bytes with document and place of each."""
 
@@ -134,62 +146,93 @@ class Block:
         self.data = np.frombuffer(row["data"][k], np.uint8)
         self.width = width
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.part = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        self.padded = np.concatenate([np.zeros(REACH, np.uint8), self.data, np.zeros(width, np.uint8)])
-        up, self.down = powers(len(self.padded) + 1)
-        self.sums = np.zeros(len(self.padded) + 1, np.uint64)
-        np.cumsum((self.padded + np.uint64(1)) * up[:-1], out=self.sums[1:])
-
-    def _names(self, at: np.ndarray, width: int) -> np.ndarray:
-        h = (self.sums[at + width] - self.sums[at]) * self.down[at]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
-
-    def names(self, at: np.ndarray, width: int) -> np.ndarray:
-        """Name of the bytes from each place on."""
-        return self._names(at + REACH, width)
-
-    def sample(self, bucket: np.ndarray) -> np.ndarray:
-        """Places of the cover sample whose first byte is in the bucket (a table over bytes), with all the depth they need."""
-        at = np.flatnonzero(bucket[self.data])
-        p = self.part[at]
-        mine = np.zeros(PERIOD, bool)
-        mine[list(COVER)] = True
-        ok = mine[(at - self.first[p] + self.starts[p]) % PERIOD] & (at + self.width - REACH <= self.first[p] + self.sizes[p])
-        return at[ok]
-
-    def sieved(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct names of a bucket's sample suffixes in order, whether two documents have one, their places in that order, name of each place."""
-        at = self.sample(bucket)
-        h = self.names(at, self.width - REACH)
-        order = order_of(h)
-        h, at = h[order], at[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first = np.flatnonzero(new)
-        docs = self.ids[self.part[at]]
-        more = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first) if len(first) else np.zeros(0, bool)
-        return h[first], more, at, np.cumsum(new) - 1
-
-    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of sample places: distinct surroundings, bytes before and after in the same text, least document of each; places in order, entry of each."""
-        p = self.part[at]
-        before = np.minimum(at - self.first[p], REACH).astype(np.uint8)
-        after = np.minimum(self.first[p] + self.sizes[p] - at, self.width).astype(np.uint8)
-        h = self._names(at, REACH + self.width) ^ (before.astype(np.uint64) << np.uint64(8) ^ after)
-        order = order_of(h)
-        at, before, after = at[order], before[order], after[order]
-        around = np.lib.stride_tricks.sliding_window_view(self.padded, REACH + self.width)[at]
-        new = np.ones(len(at), bool)
-        # names only bring likely equals side by side
-        new[1:] = (around[1:] != around[:-1]).any(axis=1) | (before[1:] != before[:-1]) | (after[1:] != after[:-1])
-        first = np.flatnonzero(new)
-        docs = self.ids[self.part[at]]
-        least = np.minimum.reduceat(docs, first) if len(first) else docs
-        return around[first], np.stack([before[first], after[first]], axis=1), least, at, np.cumsum(new) - 1
+
+    def part(self, at: np.ndarray) -> np.ndarray:
+        """Text part of each place."""
+        return np.searchsorted(self.first, at, side="right") - 1  # of empty parts the last one starts at a place, and has it
+
+    def sample(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the cover sample with all the depth they need, and their text parts."""
+        depth = self.width - REACH
+        parts, places = [], []
+        for k in np.flatnonzero(self.sizes >= depth).tolist():
+            size = int(self.sizes[k])
+            offsets = _cover(int(self.starts[k]) % PERIOD, size)
+            places.append(offsets[: np.searchsorted(offsets, size - depth, side="right")] + self.first[k])
+            parts.append(k)
+        n = [len(x) for x in places]
+        return _joined(places, np.zeros(0, np.int64)), np.repeat(np.array(parts, np.int64), n)
+
+    def sieved(self, buckets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bucket: distinct names of its sample suffixes in order, whether two documents have one, their places in that order, name of each place."""
+        depth = self.width - REACH
+        up, down = powers(len(self.data) + 1)
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data + np.uint64(1)) * up[:-1], out=sums[1:])
+        every, part = self.sample()
+        for bucket in buckets:
+            mine = bucket[self.data[every]]
+            at, docs = every[mine], self.ids[part[mine]]
+            h = _mixed((sums[at + depth] - sums[at]) * down[at])
+            order = order_of(h)
+            h, at, docs = h[order], at[order], docs[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            first = np.flatnonzero(new)
+            more = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first) if len(first) else np.zeros(0, bool)
+            yield h[first], more, at, np.cumsum(new) - 1
+
+    def entries(self, mask: bytes, buckets: list[np.ndarray]) -> Iterator[Entries]:
+        """For each bucket the distinct surroundings of its sample suffixes that went through the sieve."""
+        padded = np.concatenate([np.zeros(REACH, np.uint8), self.data, np.zeros(self.width, np.uint8)])
+        windows = np.lib.stride_tricks.sliding_window_view(padded, REACH + self.width)
+        every = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=len(self.data)))
+        for bucket in buckets:
+            at = every[bucket[self.data[every]]]
+            p = self.part(at)
+            before = np.minimum(at - self.first[p], REACH).astype(np.uint8)
+            after = np.minimum(self.first[p] + self.sizes[p] - at, self.width).astype(np.uint8)
+            around, docs = windows[at], self.ids[p]
+            order = order_of(_names(around) ^ (before.astype(np.uint64) << np.uint64(8) ^ after))
+            at, before, after, around, docs = at[order], before[order], after[order], around[order], docs[order]
+            new = np.ones(len(at), bool)
+            # names only bring likely equals side by side
+            new[1:] = (around[1:] != around[:-1]).any(axis=1) | (before[1:] != before[:-1]) | (after[1:] != after[:-1])
+            first = np.flatnonzero(new)
+            least = np.minimum.reduceat(docs, first) if len(first) else docs
+            own = around[first]
+            names = _names(own[:, REACH : self.width])
+            yield Entries(own, np.stack([before[first], after[first]], axis=1), least, names, at, np.cumsum(new) - 1, docs)
+
+
+class Entries(NamedTuple):
+    """Distinct surroundings, bytes before and after in the same text, least document and name of the first bytes of each; all places, with entry and document of each."""
+
+    around: np.ndarray
+    room: np.ndarray
+    least: np.ndarray
+    names: np.ndarray
+    at: np.ndarray
+    entry: np.ndarray
+    docs: np.ndarray
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _names(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row of bytes."""
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    h = np.zeros(len(rows), np.uint64)
+    for column in words.view(np.uint64).T:
+        h = _mixed(h + column)
+    return h
 
 
 def _blocks_of(row: dict, width: int) -> Iterator[Block]:
@@ -197,8 +240,8 @@ def _blocks_of(row: dict, width: int) -> Iterator[Block]:
         yield Block(row, k, width)
 
 
-def _buckets(dealt: DataFrame, n: int) -> list[np.ndarray]:
-    """n sets of first bytes (as tables) with about as many suffixes each."""
+def _byte_counts(dealt: DataFrame) -> dict[int, int]:
+    """Number of each byte in all texts."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(256, np.int64)
@@ -208,7 +251,11 @@ def _buckets(dealt: DataFrame, n: int) -> list[np.ndarray]:
                     total += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
         yield pd.DataFrame({"byte": np.arange(256), "c": total})
 
-    counts = {r["byte"]: r["c"] for r in dealt.select("data").mapInPandas(tidy(counted), "byte int, c long").groupBy("byte").agg(F.sum("c").alias("c")).collect()}
+    return {r["byte"]: r["c"] for r in dealt.select("data").mapInPandas(tidy(counted), "byte int, c long").groupBy("byte").agg(F.sum("c").alias("c")).collect()}
+
+
+def _buckets(counts: dict[int, int], n: int) -> list[np.ndarray]:
+    """n sets of first bytes (as tables) with about as many suffixes each."""
     load, sets = [0] * n, [np.zeros(256, bool) for _ in range(n)]
     for byte in sorted(range(256), key=lambda b: -counts.get(b, 0)):
         k = load.index(min(load))
@@ -252,7 +299,7 @@ def _sieve_bucket(dealt: DataFrame, bucket: np.ndarray, k: int, n_groups: int, w
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                names = _joined([b.sieved(bucket)[0] for b in _blocks_of(row, width)], np.zeros(0, np.uint64))
+                names = _joined([next(b.sieved([bucket]))[0] for b in _blocks_of(row, width)], np.zeros(0, np.uint64))
                 order, cut, live = _dealt_out(_groups(names, n_groups), n_groups)
                 names = names[order]
                 yield pd.DataFrame({"row": row["row"], "g": live, "names": [names[cut[g] : cut[g + 1]].tobytes() for g in live]})
@@ -284,8 +331,7 @@ def _masks(dealt: DataFrame, ties: DataFrame, buckets: list[np.ndarray], n_group
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 on = [np.zeros(len(data), bool) for data in row["data"]]
-                for k, bucket in enumerate(buckets):
-                    found = [b.sieved(bucket) for b in _blocks_of(row, width)]
+                for k, found in enumerate(zip(*[list(b.sieved(buckets)) for b in _blocks_of(row, width)])):
                     tie = _answered(row["answers"], k, _groups(np.concatenate([f[0] for f in found]), n_groups), n_groups, bool)
                     first = 0
                     for mask, (names, more, at, entry) in zip(on, found):
@@ -296,10 +342,6 @@ def _masks(dealt: DataFrame, ties: DataFrame, buckets: list[np.ndarray], n_group
     return dealt.join(_answers(ties), "row", "left").mapInPandas(tidy(masked), "row long, masks array<binary>")
 
 
-def _places(b: Block, mask: bytes, bucket: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=len(b.data)).astype(bool) & bucket[b.data])
-
-
 def ranked(around: np.ndarray, before: np.ndarray, after: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
     """A bit for each shift of each entry: its string that starts so many bytes before the sample suffix also starts in a smaller document of another entry.
 
@@ -355,13 +397,9 @@ def _sorted_bucket(masked: DataFrame, bucket: np.ndarray, k: int, n_groups: int,
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                found, names = [], []
-                for b, mask in zip(_blocks_of(row, width), row["masks"]):
-                    around, room, least, at, entry = b.entries(_places(b, mask, bucket))
-                    found.append((around, room, least))
-                    names.append(b.names(at[np.flatnonzero(np.diff(entry, prepend=-1))], width - REACH))
-                around, room, least = (np.concatenate(x) for x in zip(*found))
-                order, cut, live = _dealt_out(_groups(np.concatenate(names), n_groups), n_groups)
+                found = [next(b.entries(mask, [bucket]))[:4] for b, mask in zip(_blocks_of(row, width), row["masks"])]
+                around, room, least, names = (np.concatenate(x) for x in zip(*found))
+                order, cut, live = _dealt_out(_groups(names, n_groups), n_groups)
                 around, room, least = around[order], room[order], least[order]
                 part = lambda x: [x[cut[g] : cut[g + 1]].tobytes() for g in live]  # noqa: E731, B023
                 yield pd.DataFrame({"row": row["row"], "g": live, "around": part(around), "room": part(room), "docs": part(least)})
@@ -400,21 +438,17 @@ def _marked(masked: DataFrame, found: DataFrame, buckets: list[np.ndarray], n_gr
 
     def marks_of(row: dict) -> list[np.ndarray]:
         marks = [np.zeros(len(data), bool) for data in row["data"]]
-        for k, bucket in enumerate(buckets):
-            held = []
-            for b, mask in zip(_blocks_of(row, width), row["masks"]):
-                _, room, least, at, entry = b.entries(_places(b, mask, bucket))
-                names = b.names(at[np.flatnonzero(np.diff(entry, prepend=-1))], width - REACH)
-                held.append((names, room, at, entry, b.ids[b.part[at]] > least[entry]))
-            bits = _answered(row["answers"], k, _groups(np.concatenate([h[0] for h in held]), n_groups), n_groups, np.uint32)
+        all_blocks = [[e._replace(around=None) for e in b.entries(mask, buckets)] for b, mask in zip(_blocks_of(row, width), row["masks"])]
+        for k, held in enumerate(zip(*all_blocks)):
+            bits = _answered(row["answers"], k, _groups(np.concatenate([e.names for e in held]), n_groups), n_groups, np.uint32)
             first = 0
-            for own, (names, room, at, entry, later) in zip(marks, held):
-                mine = bits[first : first + len(names)][entry]
-                before, after = room[entry, 0], room[entry, 1]
+            for own, e in zip(marks, held):
+                mine, later = bits[first : first + len(e.names)][e.entry], e.docs > e.least[e.entry]
+                before, after = e.room[e.entry, 0], e.room[e.entry, 1]
                 for shift in range(PERIOD):  # a later document of a block has all strings of the surroundings from the first
                     on = ((mine >> np.uint32(shift)) & np.uint32(1)).astype(bool) | (later & (before >= shift) & (after >= width - shift))
-                    own[at[on] - shift] = True
-                first += len(names)
+                    own[e.at[on] - shift] = True
+                first += len(e.names)
         return marks
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -466,8 +500,9 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         blocks(docs, id_col, text_col, width, part_bytes).repartition(n_parts, "row").write.bucketBy(n_parts, "row").option("compression", "zstd").option("path", path).saveAsTable(name)
         dealt = spark.table(name)
         release(spark)
-        total = dealt.agg(F.sum(F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
-        samples, buckets = _buckets(dealt, SAMPLE_PASSES), _buckets(dealt, PASSES)
+        counts = _byte_counts(dealt)
+        total = sum(counts.values())
+        samples, buckets = _buckets(counts, SAMPLE_PASSES), _buckets(counts, PASSES)
 
         n_sample = max(1, -(-total * len(COVER) * 8 // (PERIOD * SAMPLE_PASSES * GROUP_BYTES)))
         ties = None

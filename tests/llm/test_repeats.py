@@ -48,5 +48,47 @@ def test_parts_of_long_texts(spark, monkeypatch):
     assert digest(repeats.without_repeats(cases.frame(spark, rows()), part_bytes=170)) == brute(rows())
 
 
+def test_strings_of_thousands_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(repeats, "ROW_BYTES", 20_000)
+    rng = random.Random(15)
+    long = "".join(rng.choice("abcdé \0") for _ in range(3000))
+    period = "xyzzy" * 300
+    docs = []
+    for i in range(14):
+        cut = sorted(rng.sample(range(len(long)), 2))
+        docs.append((i, "-" * rng.randint(0, 40) + long[cut[0] : cut[1]] + str(i) * rng.randint(0, 60) + period[rng.randint(0, 9) : rng.randint(40, 400)], "", "", 1, 0.0, 0))
+    docs.append((None, long, "", "", 1, 0.0, 0))
+    docs.append((7, long, "", "", 1, 0.0, 0))
+    rng.shuffle(docs)
+    assert digest(repeats.without_repeats(cases.frame(spark, docs))) == brute(docs)
+    assert digest(repeats.without_repeats(cases.frame(spark, docs), width=64, part_bytes=900)) == brute(docs, 64)
+
+
+def test_names_decide_nothing(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(repeats, "_mixed", lambda h: h * np.uint64(0))  # all strings have one name
+    rng = random.Random(16)
+    rows = [r[1].encode()[:400] for r in cases.documents()[:12] if r[1]]
+    b = {"ids": [np.arange(len(rows)).tobytes()], "sizes": [np.array([len(x) for x in rows]).tobytes()], "starts": [np.zeros(len(rows), np.int64).tobytes()],
+         "wholes": [np.array([len(x) for x in rows]).tobytes()], "rows": [np.arange(len(rows)).tobytes()], "data": [b"".join(rows)]}
+    block = repeats.Block(b, 0, 50)
+    mask = np.packbits(np.ones(len(block.data), bool)).tobytes()
+    (e,) = block.entries(mask, [np.ones(256, bool)])
+    assert len(e.names) >= len(set(map(bytes, e.around))) and rng
+    bits = repeats.ranked(e.around, e.room[:, 0], e.room[:, 1], e.least, 50)
+    strings: dict = {}
+    for a, (x, y), d in zip(e.around, e.room, e.least):
+        for shift in range(31):
+            if x >= shift and y >= 50 - shift:
+                key = bytes(a[30 - shift : 80 - shift])
+                strings[key] = min(strings.get(key, d), d)
+    for a, (x, y), d, bit in zip(e.around, e.room, e.least, bits):
+        for shift in range(31):
+            want = x >= shift and y >= 50 - shift and strings[bytes(a[30 - shift : 80 - shift])] < d
+            assert bool(bit >> shift & 1) == want
+
+
 def test_empty(spark):
     assert repeats.without_repeats(cases.frame(spark).limit(0)).count() == 0
