@@ -6,8 +6,12 @@ the ledger, and ablations are bitwise aggregations over it, so neither reads
 a text again.
 
 Defined results: a null text has no words and fails TOO_SHORT; empty text the
-same; repeated rows are judged each by itself; an empty table gives an empty
-ledger; other columns of the input are ignored, whatever their names.
+same; repeated rows are judged each by itself, and no row's result depends on
+another's (ties); very long texts: whole, their windows take some 10 times their
+bytes in one row; an empty table gives an empty ledger; other columns of the
+input are ignored, whatever their names.  Two 3-word windows of a text are told
+apart by the 64-bit hash of their words: one of n windows has a false copy with
+a chance of some n**2 / 2**65.
 """
 
 from __future__ import annotations

@@ -4,22 +4,24 @@ The canonical key of a host is its labels reversed, each followed by a stop:
 m.example.org is "org.example.m.".  A rule on example.org then covers exactly
 the interval of keys that start with "org.example.".  Intervals of prefixes
 nest or are apart, so a sweep over the sorted keys needs one stack of active
-rules.  The rules (a bounded list, see MAX_RULES) are swept first: each opening
-key carries the stack that is active from there on.  The URLs are range-dealt
-over buckets by key; within a bucket a sorted window carries the last opening's
-stack forward, and each bucket is seeded with the stack active at its lower
-end.  Keys that hold many rows are repeated among the splitters; their rows
-are spread over all buckets in between.
+rules.  Each rule's key opens an interval, and carries the stack that is active
+from there on: the rules on its own host and on the hosts above it.  The URLs
+are range-dealt over buckets by key; within a bucket a sorted window carries the
+last opening's stack forward, and each bucket is seeded with the stack active at
+its lower end.  Keys that hold many rows are repeated among the splitters; their
+rows are spread over all buckets in between, repeated rows too.  Rules are a
+table of any length (or a list of rows); only the last stack of each bucket, so
+one a shuffle partition, comes to the driver.
 
 Defined results: null URL or one without "://": empty host and path, no rule,
-allowed; repeated rows are judged each by itself; empty table: empty result;
-other columns are ignored.  Of two fitting rules of the same length the one
-on the longer host wins.
+allowed; repeated rows are judged each by itself; ties: of two fitting rules of
+the same length the one on the longer host wins, of two with the same host and
+path the greater verdict; very long URLs: whole; empty table: empty result; no
+rules: all get the default; a rule without a host fits nothing; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,8 +38,7 @@ GIVEN_RULES = (
     ("block", "com", "/de/"),
 )
 DEFAULT_VERDICT = "allow"
-#: Rules are configuration and go into the plan as literals; more are refused.
-MAX_RULES = 20_000
+STACK = "array<struct<prefix:string,path:string,rule:string,verdict:string>>"
 #: Keys looked at, about, to choose splitters (they balance buckets, results don't depend on them).
 SPLITTER_KEYS = 4096
 
@@ -63,38 +64,31 @@ def key_of(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
-def openings(rules) -> list[tuple[str, list[tuple[str, str, str, str]]]]:
-    """Sweep the rules: [(key, stack active from this key on)], keys ascending.
+def openings(rules: DataFrame) -> DataFrame:
+    """(key, stack active from this key on); rules: (verdict, host, path).
 
-    A stack holds (prefix, path, rule, verdict); one that has ended but was
-    not yet popped is told by its prefix.
+    A stack holds (prefix, path, rule, verdict) of the key's own host and those
+    above it, found by an equi-join on each of the key's leading label runs.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are taken")
-    by_key: dict[str, list] = {}
-    for verdict, host, path in rules:
-        key = "".join(f"{x}." for x in reversed(host.split(".")))
-        by_key.setdefault(key, []).append((key, path, host + path, verdict))
-    stack: list[list] = []
-    out = []
-    for key in sorted(by_key, key=lambda k: k.encode()):
-        while stack and not key.startswith(stack[-1][0][0]):
-            stack.pop()
-        stack.append(by_key[key])
-        out.append((key, [r for level in stack for r in level]))
-    return out
+    own = rules.filter("host <> ''").select(key_of(F.col("host")).alias("prefix"), "path", F.concat("host", "path").alias("rule"), "verdict").distinct()
+    labels = F.split(F.expr("left(key, length(key) - 1)"), r"\.")
+    runs = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")))
+    keys = own.select(F.col("prefix").alias("key")).distinct().select("key", F.explode(runs).alias("prefix"))
+    return keys.join(own, "prefix").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("prefix", "path", "rule", "verdict"))).alias("stack"))
 
 
 def _splitters(keys: DataFrame, n: int) -> list[str]:
     """n - 1 ascending keys that cut the rows into n about even parts; equal ones mark a key with many rows."""
     share = min(1.0, SPLITTER_KEYS / max(1, keys.count()))
-    rows = keys.filter(F.pmod(F.xxhash64("page_uid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").collect()
+    rows = keys.filter(F.pmod(F.xxhash64("_row"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").collect()
     got = sorted((r["key"] for r in rows), key=lambda k: k.encode())
     return [got[len(got) * i // n] for i in range(1, n)] if got else []
 
 
-def _bucket(cuts: list[str]) -> Column:
-    """Number of cuts at or below the key, found in a list of lists; rows of a key that is several cuts are spread over their buckets."""
+def _bucket(cuts: list[str], spread: Column | None = None) -> Column:
+    """Number of cuts at or below the key, found in a list of lists; with spread, rows of a key that is several cuts go to all their buckets."""
+    if not cuts:
+        return F.lit(0)
     size = max(1, round(len(cuts) ** 0.5))
     lists = [cuts[i : i + size] for i in range(0, len(cuts), size)]
     literal = lambda x: F.array(*[F.lit(c) for c in x])
@@ -102,34 +96,31 @@ def _bucket(cuts: list[str]) -> Column:
     first = below(literal([x[0] for x in lists]))
     found = F.when(first == 0, 0).otherwise((first - 1) * size + below(F.get(F.array(*[literal(x) for x in lists]), first - 1)))
     often = {c: n for c, n in Counter(cuts).items() if n > 1}
-    if not often:
+    if not often or spread is None:
         return found.cast("int")
     equal = F.coalesce(F.try_element_at(F.create_map(*[x for c, n in often.items() for x in (F.lit(c), F.lit(n))]), F.col("key")), F.lit(1))
-    return (found - F.pmod(F.xxhash64("page_uid", F.lit(7)), equal)).cast("int")
+    return (found - F.pmod(spread, equal)).cast("int")
 
 
 def judged(pages: DataFrame, rules=GIVEN_RULES, default: str = DEFAULT_VERDICT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict) of every row of pages."""
+    """(id, host, path, rule, verdict) of every row of pages; rules: rows or a table of (verdict, host, path)."""
     spark = pages.sparkSession
-    kind = "array<struct<prefix:string,path:string,rule:string,verdict:string>>"
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "verdict string, host string, path string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    rows = rows.withColumn("key", key_of(F.col("host"))).withColumn("page_uid", F.concat_ws("\u0001", F.col("page_id").cast("string"), "host", "path"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = _splitters(rows, n)
-    opened = openings(rules)
-    keys = [k.encode() for k, _ in opened]
-    seeds = []
-    for b, low in enumerate(["", *cuts]):
-        at = bisect_right(keys, low.encode()) - 1
-        seeds.append((b, low, opened[at][1] if at >= 0 and b else []))
-    for key, stack in opened:  # an opening belongs to the last bucket that starts at or before its key
-        seeds.append((bisect_right([c.encode() for c in cuts], key.encode()), key, stack))
-    events = spark.createDataFrame(seeds, f"bucket int, key string, stack {kind}")
-    if cuts:
-        rows = rows.withColumn("bucket", _bucket(cuts))
-    else:
-        rows = rows.withColumn("bucket", F.lit(0))
-    swept = rows.select("bucket", "key", "page_id", "host", "path", F.lit(None).cast(kind).alias("stack")).unionByName(events, allowMissingColumns=True)
+    rows = rows.withColumn("key", key_of(F.col("host"))).withColumn("_row", F.monotonically_increasing_id())
+    cuts = _splitters(rows, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    opened = openings(rules).withColumn("bucket", _bucket(cuts))
+    # what is active at the lower end of each bucket: the last opening of those before, or one at the very end
+    last = {r["bucket"]: r["last"] for r in opened.groupBy("bucket").agg(F.max(F.struct("key", "stack")).alias("last")).collect()}
+    exact = {r["key"]: r["stack"] for r in opened.filter(F.col("key").isin(cuts)).select("key", "stack").collect()} if cuts else {}
+    seeds, active = [(0, "", [])], []
+    for b, low in enumerate(cuts, 1):
+        active = last[b - 1]["stack"] if b - 1 in last else active
+        seeds.append((b, low, exact.get(low, active)))
+    events = opened.select("bucket", "key", "stack").unionByName(spark.createDataFrame(seeds, f"bucket int, key string, stack {STACK}"))
+    rows = rows.withColumn("bucket", _bucket(cuts, F.xxhash64("_row", F.lit(7))))
+    swept = rows.select("bucket", "key", "page_id", "host", "path", F.lit(None).cast(STACK).alias("stack")).unionByName(events, allowMissingColumns=True)
     order = Window.partitionBy("bucket").orderBy("key", F.col("stack").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     swept = swept.withColumn("event", F.col("stack").isNotNull()).withColumn("stack", F.last("stack", ignorenulls=True).over(order)).filter("not event")
     fits = F.filter("stack", lambda r: F.col("key").startswith(r["prefix"]) & F.col("path").startswith(r["path"]))

@@ -29,5 +29,22 @@ def test_matches_brute_force(spark):
     assert got == want
 
 
+def test_many_rules_and_a_row_repeated_often(spark):
+    rules = [("block" if i % 3 else "allow", f"{'a.' * (i % 3)}h{i}.org", "/x/" if i % 2 else "/") for i in range(25_000)]
+    rows = [(1, "http://a.h7.org/x/1")] * 2000 + [(i, f"http://a.a.h{i}.org/x/") for i in range(0, 25_000, 50)] + [(3, "http://z.net/")]
+    by_host = {h: (v, p) for v, h, p in rules}
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    got = urls.judged(pages, spark.createDataFrame(rules, "verdict string, host string, path string"))
+    out = got.collect()
+    assert len(out) == len(rows)
+    for r in out:
+        h = r.host
+        fits = [h[k:] for k in range(len(h)) if (k == 0 or h[k - 1] == ".") and h[k:] in by_host and r.path.startswith(by_host[h[k:]][1])]
+        want = max(fits, key=lambda x: len(x) + len(by_host[x][1]), default=None)
+        assert (r.rule, r.verdict) == ((want + by_host[want][1], by_host[want][0]) if want else (None, "allow"))
+    assert got.groupBy("rule").count().filter("rule is null").count() <= 1
+    assert urls.judged(pages, []).filter("verdict <> 'allow' or rule is not null").count() == 0
+
+
 def test_empty(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
