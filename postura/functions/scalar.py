@@ -78,18 +78,20 @@ def domain_summary(c: Column | str) -> Column:
 
 
 def format_bytes(c: Column | str) -> Column:
-    """B, KB, MB or GB with one decimal beyond bytes."""
+    """B, KB and MB with one decimal, GB with two; no number or a negative one is 0 B."""
     n = col(c)
-    scaled = lambda d, unit: F.concat(F.format_string("%.1f", F.round(n / F.lit(float(d)), 1)), F.lit(unit))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1024, " KB")).when(n < 1024**3, scaled(1024**2, " MB")).otherwise(scaled(1024**3, " GB"))
+    scaled = lambda d, unit, k=1: F.concat(F.format_string(f"%.{k}f", F.round(n / F.lit(float(d)), k)), F.lit(unit))
+    text = F.when(n.isNull() | (n < 0), "0 B").when(n < 1024, F.concat(F.floor(n + F.lit(0.5)).cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1024, " KB"))
+    return text.when(n < 1024**3, scaled(1024**2, " MB")).otherwise(scaled(1024**3, " GB", 2))
 
 
-def format_duration(seconds: Column | str) -> Column:
-    """s, m s, or h m."""
-    s = F.floor(col(seconds)).cast("long")
-    m, h = F.floor(s / 60), F.floor(s / 3600)
-    text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
-    return F.when(s < 60, text(s, "s")).when(s < 3600, text(m, "m ", s % 60, "s")).otherwise(text(h, "h ", m % 60, "m"))
+def format_duration(ms: Column | str) -> Column:
+    """A rounded length of time in words: seconds below 90, minutes below 90, then hours with one decimal."""
+    s = col(ms) / F.lit(1000.0)
+    whole = lambda x: F.floor(x + F.lit(0.5)).cast("string")
+    minutes = F.concat(F.lit("about "), whole(s / 60), F.when(F.floor(s / 60 + F.lit(0.5)) == 1, " minute").otherwise(" minutes"))
+    text = F.when(s.isNull() | (s < 0), "an unknown amount of time").when(s < 1, "under a second").when(s < 90, F.concat(F.lit("about "), whole(s), F.lit(" seconds")))
+    return text.when(s / 60 < 90, minutes).otherwise(F.concat(F.lit("about "), F.format_string("%.1f", F.round(s / 3600, 1)), F.lit(" hours")))
 
 
 def iso_millis(ms: Column | str) -> Column:
@@ -147,30 +149,50 @@ def level_rank(c: Column | str) -> Column:
     return out
 
 
-#: (pattern, replacement) in the order they apply. The first ones take out whole marks, later ones see what is left.
+#: White space as the report's readers take it.
+SPACE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# Fixed values: (characters of which a text needs one, pattern, what stands for it), in the order they apply.
 REDACTIONS = (
-    (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "),
-    (r"(?i)(authorization\s*:\s*(?:bearer|basic))\s+[A-Za-z0-9._~+/=-]+", "[secret]"),
-    (r"""(?i)\b(password|passwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[:=]\s*["']?[^\s"',;]+["']?""", "[secret]"),
-    (r"\bAKIA[0-9A-Z]{16}\b", "[key]"),
-    (r"\b[0-9a-fA-F]{32,}\b", "[key]"),
-    (r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", "[mac]"),
-    (r"\b(?:[0-9A-Fa-f]{4}\.){2}[0-9A-Fa-f]{4}\b", "[mac]"),
-    (r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "[ip]"),
-    (r"\b[A-Za-z]:\\[^\s\"']+", "[path]"),
-    (r"\\\\[A-Za-z0-9._-]+\\[^\s\"']+", "[path]"),
-    (r"(?:/(?:home|Users|etc|var|tmp|opt|root))(?:/[^\s\"']+)+", "[path]"),
+    ("", r"[\x00-\x1F\x7F]", " "),
+    ("<", r"(?i)<\??xml\b[^>]*>|<(?:nmaprun|host|packet)\b[^>]*>|</(?:nmaprun|host|packet)>", "[redacted raw evidence]"),
+    ("", rf"(?i)\b(?:pcap(?:ng)?[{SPACE}]+global[{SPACE}]+header|raw[{SPACE}]+(?:packet|payload|scan|capture))\b", "[redacted raw evidence]"),
+    (":=", rf"(?i)\b(?:api[_-]?key|secret|password|token)[{SPACE}]*[:=][{SPACE}]*[^{SPACE},;]+", "[redacted secret]"),
+    ("-", r"\bsk-[A-Za-z0-9_-]{10,}\b", "[redacted secret]"),
+    ("", r"(?i)BEGIN (?:RSA |OPENSSH |EC |DSA )?PRIVATE KEY", "[redacted secret]"),
+    (".", rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", "[redacted ip]"),
+    (":-.", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b|\b[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\b", "[redacted mac]"),
+    ("\\", rf"[A-Za-z]:\\[^{SPACE},;)\"']+", "[redacted path]"),
+    ("\\", rf"\\\\[^\\{SPACE}]+\\[^{SPACE},;)\"']+", "[redacted path]"),
+    ("/", rf"/(?:home|tmp|Users|var|etc|workspace|opt)/[^{SPACE},;)\"']*", "[redacted path]"),
 )
 
 
+def _let(c: Column, f) -> Column:
+    """f of a column that is computed once."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def _replaced(has: Column, pattern: str, by: str):
+    return lambda x: F.when(has, F.regexp_replace(x, pattern, by)).otherwise(x)
+
+
 def redact(c: Column | str, most: int | None = 800) -> Column:
-    """Secrets, addresses and paths out, white space collapsed, at most so many characters; nothing left: a mark."""
-    out = col(c)
-    for pattern, by in REDACTIONS:
-        out = F.regexp_replace(out, pattern, by)
-    out = F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
-    out = F.substring(out, 1, most) if most else out
-    return F.when(out == "", "[removed]").otherwise(out)
+    """Control characters, raw evidence, secrets, addresses and paths out, white space collapsed, at most so many characters; nothing left: a mark.
+
+    Patterns are tried only on texts with a character they need.
+    """
+    text = out = col(c)
+    for need, pattern, by in REDACTIONS:
+        if need:
+            has = text.contains(need[0])
+            for x in need[1:]:
+                has = has | text.contains(x)
+            out = _let(out, _replaced(has, pattern, by))
+        else:
+            out = F.regexp_replace(out, pattern, by)
+    out = F.regexp_replace(F.regexp_replace(out, f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+", " ")
+    return _let(out, lambda x: F.when(x == "", "[redacted]").otherwise(F.substring(x, 1, most) if most else x))
 
 
 def folder_name(c: Column | str) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.scalar import size_class
 
+# Keys that are tracked of each kind, addresses that a gateway's votes count, and rows that are shown.
+MAX_VOTES = 10_000
 MAX_FLOWS, MAX_HOSTS, MAX_ENDPOINTS, MAX_NAMES = 5000, 512, 2000, 500
 TOP_FLOWS, TOP_ENDPOINTS, TOP_NAMES = 500, 200, 200
 
@@ -39,25 +41,27 @@ def host_traffic(packets: DataFrame) -> DataFrame:
         F.when(~F.col("dst_broadcast"), outside(F.col("dst_ip"), F.col("dst_local"))).alias("peer"), (F.col("ord") * 2).alias("seq"),
     )
     received = F.struct(
-        F.col("dst_mac").alias("mac"), F.lit(0).alias("sent"), F.when(F.col("dst_local"), F.col("dst_ip")).alias("ip"),
+        F.col("dst_mac").alias("mac"), F.lit(0).alias("sent"), F.when(F.col("dst_local") & ~F.col("dst_broadcast"), F.col("dst_ip")).alias("ip"),
         F.when(~F.col("dst_broadcast"), outside(F.col("src_ip"), F.col("src_local"))).alias("peer"), (F.col("ord") * 2 + 1).alias("seq"),
     )
-    roles = packets.select("ts", "orig_len", "protocol", F.explode(F.when(F.col("dst_mac_broadcast"), F.array(sent)).otherwise(F.array(sent, received))).alias("r")).select("ts", "orig_len", "protocol", "r.*")
+    both = F.when(F.col("dst_mac_broadcast"), F.array(sent)).otherwise(F.array(sent, received))
+    roles = packets.select("ts", "orig_len", "protocol", "dns_name", F.explode(both).alias("r")).select("ts", "orig_len", "protocol", "dns_name", "r.*")
     s = F.col("sent") == 1
     return roles.groupBy("mac").agg(
         F.count_if(s).alias("packets_sent"), F.count_if(~s).alias("packets_received"),
         F.sum(F.when(s, F.col("orig_len")).otherwise(0)).alias("bytes_sent"), F.sum(F.when(~s, F.col("orig_len")).otherwise(0)).alias("bytes_received"),
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count_if(s & (F.col("protocol") == "arp")).alias("arp_packets"),
+        F.count_if(s & F.col("dns_name").isNotNull()).alias("dns_queries"),
         F.countDistinct("ip").alias("local_ips"), F.countDistinct("peer").alias("external_peers"), F.min("seq").alias("first_ord"),
     )
 
 
 def gateway(packets: DataFrame) -> DataFrame:
     """(mac, votes): the MAC in front of most outside addresses; the first one seen of equals."""
-    out = F.struct(F.col("dst_mac").alias("mac"), F.when(~F.col("dst_local") & ~F.col("dst_broadcast"), F.col("dst_ip")).alias("ip"), (F.col("ord") * 2).alias("seq"))
-    back = F.struct(F.col("src_mac").alias("mac"), F.when(~F.col("src_local"), F.col("src_ip")).alias("ip"), (F.col("ord") * 2 + 1).alias("seq"))
+    out = F.struct(F.col("dst_mac").alias("mac"), F.when(~F.col("dst_local") & ~F.col("dst_broadcast") & ~F.col("dst_mac_broadcast"), F.col("dst_ip")).alias("ip"), (F.col("ord") * 2).alias("seq"))
+    back = F.struct(F.col("src_mac").alias("mac"), F.when(~F.col("src_local") & ~F.col("dst_broadcast"), F.col("src_ip")).alias("ip"), (F.col("ord") * 2 + 1).alias("seq"))
     votes = packets.select(F.explode(F.array(out, back)).alias("v")).select("v.*").filter(F.col("ip").isNotNull())
-    return votes.groupBy("mac").agg(F.countDistinct("ip").alias("votes"), F.min("seq").alias("_seq")).orderBy(F.desc("votes"), "_seq").limit(1).drop("_seq")
+    return votes.groupBy("mac").agg(F.least(F.countDistinct("ip"), F.lit(MAX_VOTES)).alias("votes"), F.min("seq").alias("_seq")).orderBy(F.desc("votes"), "_seq").limit(1).drop("_seq")
 
 
 def end_text(ip: str, mac: str, port: str) -> Column:
@@ -159,11 +163,19 @@ def dns_names(packets: DataFrame) -> DataFrame:
     return packets.filter(F.col("dns_name").isNotNull()).groupBy("dns_kind", "dns_name").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
 
 
+def flow_devices(rows: DataFrame) -> DataFrame:
+    """rows with from_device and to_device, the MACs of the local ends; a broadcast has no second one."""
+    return rows.withColumn("from_device", F.when(F.col("src_local"), F.col("src_mac"))).withColumn("to_device", F.when(F.col("dst_local") & ~F.col("dst_broadcast"), F.col("dst_mac")))
+
+
 def outbound_bytes(rows: DataFrame) -> DataFrame:
-    """(device, bytes): bytes of outside flows by local end, either direction."""
-    ends = F.array(F.when(F.col("src_local"), F.col("src_mac")), F.when(F.col("dst_local"), F.col("dst_mac")))
-    out = rows.filter(F.col("scope") == "external").select("bytes", F.explode(ends).alias("device"))
-    return out.filter(F.col("device").isNotNull()).groupBy("device").agg(F.sum("bytes").alias("bytes"))
+    """(device, bytes): what each local device sent in outside flows, whoever began them."""
+    ends = F.array(
+        F.struct(F.col("from_device").alias("device"), F.col("bytes_from_initiator").alias("sent")),
+        F.struct(F.col("to_device").alias("device"), (F.col("bytes") - F.col("bytes_from_initiator")).alias("sent")),
+    )
+    out = flow_devices(rows.filter(F.col("scope") == "external")).select(F.inline(ends))
+    return out.filter(F.col("device").isNotNull()).groupBy("device").agg(F.sum("sent").alias("bytes"))
 
 
 def numbered(rows: DataFrame, by: list[Column], name: str, prefix: str, most: int) -> DataFrame:
@@ -186,34 +198,120 @@ def timeline(rows: DataFrame, start: Column, end: Column) -> DataFrame:
     return rows.withColumn("t", t).drop("_a", "_b", "_n")
 
 
-def watch_rules(devices: DataFrame, flow_rows: DataFrame, limits: dict[str, int] | None = None, inventory: bool = True) -> DataFrame:
-    """(rule, level, subject, value): what a reader should look at.
+def _admin() -> Column:
+    return F.col("category").isin("ssh", "rdp") | F.coalesce(F.col("service_port").isin(*dims.ADMIN_PORTS), F.lit(False))
+
+
+def _critical() -> Column:
+    return F.coalesce(F.col("service_port").isin(*dims.CRITICAL_PORTS), F.lit(False))
 
-    devices: (device, is_known, dns_queries, external_peers, outbound_bytes);
-    flow_rows: (flow_key, service_port, category, scope).  An outside flow
-    raises a port rule from review to watch.
+
+def watch_rules(devices: DataFrame, flow_rows: DataFrame, unique_names: DataFrame, limits: dict[str, int] | None = None, inventory: bool = True) -> DataFrame:
+    """(rule, level, subject, n_devices, n_flows, value, flows): one alert a rule that fires, but one a device that sent much.
+
+    devices: (device, role, is_known, dns_queries, external_peers,
+    outbound_bytes), of which role "device" counts; flow_rows: with scope and
+    service; unique_names: one row, n.  flows holds the first ten keys by bytes.
+    An outside flow raises the port rules from review to watch.
     """
     most = {"outbound": dims.OUTBOUND_BYTES, "device_dns": dims.DEVICE_DNS, "unique_dns": dims.UNIQUE_DNS, "peers": dims.EXTERNAL_PEERS} | (limits or {})
-    subject = lambda rule, level, name, value: F.struct(F.lit(rule).alias("rule"), (F.lit(level) if isinstance(level, str) else level).alias("level"), name.cast("string").alias("subject"), value.cast("long").alias("value"))
-    d = [
-        (F.lit(inventory) & ~F.col("is_known"), subject("unknown-device", "review", F.col("device"), F.lit(1))),
-        (F.col("outbound_bytes") > most["outbound"], subject("high-outbound-volume", "review", F.col("device"), F.col("outbound_bytes"))),
-        (F.col("dns_queries") > most["device_dns"], subject("many-dns-queries", "info", F.col("device"), F.col("dns_queries"))),
-        (F.col("external_peers") > most["peers"], subject("many-external-endpoints", "info", F.col("device"), F.col("external_peers"))),
-    ]
-    raised = F.when(F.col("scope") == "external", "watch").otherwise("review")
-    f = [
-        (F.col("service_port").isin(*dims.ADMIN_PORTS), subject("admin-remote-ports", raised, F.col("flow_key"), F.col("service_port"))),
-        (F.col("service_port").isin(*dims.CRITICAL_PORTS), subject("critical-ports", raised, F.col("flow_key"), F.col("service_port"))),
-        (F.col("category") == "http", subject("unencrypted-http", F.when(F.col("scope") == "external", "review").otherwise("info"), F.col("flow_key"), F.coalesce(F.col("service_port"), F.lit(80)))),
-    ]
-    pick = lambda tests: F.explode(F.filter(F.array(*[F.when(t, s) for t, s in tests]), lambda x: x.isNotNull())).alias("a")
-    return devices.select(pick(d)).select("a.*").unionByName(flow_rows.select(pick(f)).select("a.*"))
+    real = devices.filter(F.col("role") == "device")
+    row = lambda rule, level, subject, n, value: [F.lit(rule).alias("rule"), F.lit(level).alias("level"), subject.alias("subject"), n.cast("long").alias("n_devices"), F.lit(0).cast("long").alias("n_flows"), value.cast("long").alias("value"), F.lit("").alias("flows")]
+    counts = real.agg(
+        F.count_if(~F.col("is_known")).alias("unknown"), F.count_if(F.col("dns_queries") > most["device_dns"]).alias("chatty"),
+        F.count_if(F.col("external_peers") > most["peers"]).alias("fan"), F.max("external_peers").alias("peers"), F.max("dns_queries").alias("asked"),
+    )
+    none = F.lit("")
+    out = real.filter(F.col("outbound_bytes") > most["outbound"]).select(*row("high-outbound-volume", "review", F.col("device"), F.lit(1), F.col("outbound_bytes")))
+    if inventory:
+        out = out.unionByName(counts.filter("unknown > 0").select(*row("unknown-device", "review", none, F.col("unknown"), F.col("unknown"))))
+    out = out.unionByName(counts.filter("fan > 0").select(*row("many-external-endpoints", "review", none, F.col("fan"), F.col("peers"))))
+    both = counts.select("chatty", "asked", F.lit(1).alias("_k")).join(unique_names.select("n", F.lit(1).alias("_k")), "_k")  # one row each
+    fires = both.filter((F.col("chatty") > 0) | (F.col("n") > most["unique_dns"]))
+    out = out.unionByName(fires.select(*row("many-dns-queries", "info", none, F.col("chatty"), F.when(F.col("chatty") > 0, F.col("asked")).otherwise(F.col("n")))))
+    flows_ = flow_devices(flow_rows)
+    for rule, test, raised in (("admin-remote-ports", _admin(), True), ("critical-ports", _critical() & (F.col("category") != "ssh"), True), ("unencrypted-http", F.col("category") == "http", False)):
+        found = flows_.filter(test)
+        ends = found.select("flow_key", "scope", F.explode_outer(F.filter(F.array("from_device", "to_device"), lambda x: x.isNotNull())).alias("device"))
+        seen = ends.agg(F.countDistinct("flow_key").alias("n_flows"), F.countDistinct("device").alias("n_devices"), F.coalesce(F.bool_or(F.col("scope") == "external"), F.lit(False)).alias("outside"), F.lit(1).alias("_k"))
+        first = found.orderBy(F.desc("bytes"), "first_ord").limit(10).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("b"), "first_ord", "flow_key"))), lambda x: x["flow_key"]), ",").alias("flows"), F.lit(1).alias("_k"))
+        level = F.when(F.col("outside") & F.lit(raised), "watch").otherwise("review")
+        alert = seen.join(first, "_k").filter("n_flows > 0")
+        out = out.unionByName(alert.select(F.lit(rule).alias("rule"), level.alias("level"), none.alias("subject"), "n_devices", "n_flows", F.col("n_flows").alias("value"), "flows"))
+    return out
+
+
+def alert_order(alerts: DataFrame) -> DataFrame:
+    """Watch before review before info."""
+    return alerts.orderBy(F.when(F.col("level") == "watch", 0).when(F.col("level") == "review", 1).otherwise(2), "rule", "subject")
 
 
 def attention(rows: DataFrame) -> DataFrame:
-    """rows with attention: watch, review, unclassified or routine, in that precedence."""
-    critical, admin = F.col("service_port").isin(*dims.CRITICAL_PORTS), F.col("service_port").isin(*dims.ADMIN_PORTS)
-    out = F.col("scope") == "external"
-    state = F.when((critical | admin) & out, "watch").when(critical | admin | ((F.col("category") == "http") & out), "review").when(F.col("category") == "other", "unclassified").otherwise("routine")
+    """rows with attention: unclassified, then review of plain web traffic, then watch or review by port, else routine."""
+    by_scope = F.when(F.col("scope") == "external", "watch").otherwise("review")
+    state = F.when(F.col("category") == "other", "unclassified").when(F.col("category") == "http", "review").when(_admin() | _critical(), by_scope).otherwise("routine")
     return rows.withColumn("attention", state)
+
+
+def summary_stats(devices: DataFrame, flow_rows: DataFrame) -> DataFrame:
+    """(stat, name, value): device counts, the three busiest categories, the busiest device (role "device")."""
+    real = devices.filter(F.col("role") == "device")
+    stat = lambda k, name, value: [F.lit(k).alias("stat"), (F.lit(name) if isinstance(name, str) else name).alias("name"), value.cast("long").alias("value")]
+    n = real.agg(F.count("*").alias("n"), F.count_if("is_known").alias("known"))
+    out = n.select(*stat("devices", "", F.col("n"))).unionByName(n.select(*stat("known_devices", "", F.col("known"))))
+    out = out.unionByName(n.select(*stat("unknown_devices", "", F.col("n") - F.col("known"))))
+    top = category_bytes(flow_rows).filter("bytes > 0").orderBy(F.desc("bytes"), "category").limit(3)
+    out = out.unionByName(top.select(*stat("top_category", F.col("category"), F.col("bytes"))))
+    busiest = real.filter("total_bytes > 0").orderBy(F.desc("total_bytes"), "device").limit(1)
+    return out.unionByName(busiest.select(*stat("busiest_device", F.col("device"), F.col("total_bytes"))))
+
+
+def node_ids(hosts: DataFrame, gateway_row: DataFrame, limit: int = MAX_HOSTS) -> DataFrame:
+    """(mac, node_id, role, total_bytes) of the first hosts to be seen: gateway, and dev-1, dev-2, ... by total bytes."""
+    kept = hosts.orderBy("first_ord").limit(limit).withColumn("total_bytes", F.col("bytes_sent") + F.col("bytes_received"))
+    kept = kept.join(F.broadcast(gateway_row.select("mac", F.lit(True).alias("_gw"))), "mac", "left").withColumn("_gw", F.coalesce("_gw", F.lit(False)))  # one row
+    n = F.row_number().over(Window.partitionBy("_gw").orderBy(F.desc("total_bytes"), "first_ord"))
+    return kept.select("mac", F.when(F.col("_gw"), "gateway").otherwise(F.concat(F.lit("dev-"), n.cast("string"))).alias("node_id"), F.when(F.col("_gw"), "gateway").otherwise("device").alias("role"), "total_bytes")
+
+
+def endpoint_ids(ends: DataFrame, limit: int = MAX_ENDPOINTS, shown: int = TOP_ENDPOINTS) -> DataFrame:
+    """(ip, node_id, bytes): ext-1, ext-2, ... by bytes of the first addresses to be seen; all beyond the shown ones share ext-other."""
+    kept = ends.orderBy("first_ord").limit(limit)
+    n = F.row_number().over(Window.orderBy(F.desc("bytes"), "first_ord"))  # at most `limit` rows
+    return kept.select("ip", F.when(n <= shown, F.concat(F.lit("ext-"), n.cast("string"))).otherwise("ext-other").alias("node_id"), "bytes")
+
+
+def flow_edges(rows: DataFrame, nodes: DataFrame, ends: DataFrame, shown: int = TOP_FLOWS) -> DataFrame:
+    """(flow_id, from_id, to_id, category, service_port, scope, packets, bytes): the largest flows whose both ends have a node.
+
+    A local end is the node of its MAC, an outside one that of its address.
+    Flows without a node for an end take no number.
+    """
+    mac = lambda side: nodes.select(F.col("mac").alias(f"{side}_mac"), F.col("node_id").alias(f"_{side}_dev"))
+    ip = lambda side: ends.select(F.col("ip").alias(f"{side}_ip"), F.col("node_id").alias(f"_{side}_ext"))
+    # both tables hold a bounded number of rows
+    out = rows
+    for side in ("src", "dst"):
+        out = out.join(F.broadcast(mac(side)), f"{side}_mac", "left").join(F.broadcast(ip(side)), f"{side}_ip", "left")
+    from_id = F.when(F.col("src_local"), F.col("_src_dev")).otherwise(F.col("_src_ext"))
+    to_id = F.when(F.col("dst_broadcast"), "broadcast").when(F.col("dst_local"), F.col("_dst_dev")).otherwise(F.col("_dst_ext"))
+    found = out.withColumn("from_id", from_id).withColumn("to_id", to_id).filter(F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
+    top = numbered(found, [F.desc("bytes"), F.col("first_ord")], "flow_id", "flow-", shown)
+    return top.select("flow_id", "from_id", "to_id", "category", "service_port", "scope", "packets", "bytes")
+
+
+def node_categories(edges: DataFrame) -> DataFrame:
+    """(node_id, categories): distinct categories of each node's flows, by the number of their largest flow."""
+    seq = F.substring_index("flow_id", "-", -1).cast("int")
+    each = edges.select(F.explode(F.array("from_id", "to_id")).alias("node_id"), "category", seq.alias("seq")).groupBy("node_id", "category").agg(F.min("seq").alias("seq"))
+    return each.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "category"))), lambda x: x["category"]).alias("categories"))
+
+
+def flow_attention_reasons(rows: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(flow_key, attention, reasons): a flow's own state or that of its alerts, whichever is higher; alerts: (level, flows)."""
+    rank = lambda c: F.when(c == "watch", 3).when(c == "review", 2).when(c == "unclassified", 1).otherwise(0)
+    linked = alerts.filter(F.col("level").isin("watch", "review") & (F.col("flows") != "")).select("rule", "level", F.explode(F.split("flows", ",")).alias("flow_key"))
+    linked = linked.groupBy("flow_key").agg(F.max(rank(F.col("level"))).alias("_linked"), F.sort_array(F.collect_set("rule")).alias("reasons"))
+    out = attention(rows).join(linked, "flow_key", "left").withColumn("_n", F.greatest(rank(F.col("attention")), F.coalesce("_linked", F.lit(0))))
+    state = F.element_at(F.array(*[F.lit(x) for x in ("routine", "unclassified", "review", "watch")]), F.col("_n") + 1)
+    return out.select("flow_key", state.alias("attention"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))

@@ -84,7 +84,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_shipdate").alias("ts"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("orig_len"),
         src_mac.alias("src_mac"), dst_mac.alias("dst_mac"), F.when(q % 4 == 0, "udp").otherwise("tcp").alias("protocol"), src_ip.alias("src_ip"), dst_ip.alias("dst_ip"),
-        src_port.alias("src_port"), dst_port.alias("dst_port"), src_local.alias("src_local"), dst_local.alias("dst_local"), group.alias("dst_broadcast"), group.alias("dst_mac_broadcast"),
+        src_port.alias("src_port"), dst_port.alias("dst_port"), src_local.alias("src_local"), dst_local.alias("dst_local"), group.alias("dst_broadcast"), (group & (F.col("l_suppkey") % 2 == 0)).alias("dst_mac_broadcast"),
         F.when(q % 4 == 0, F.concat(F.lit("n"), (F.col("l_partkey") % 50).cast("string"))).alias("dns_name"), F.when(q % 4 == 0, "dns").alias("dns_kind"),
     )
 
@@ -96,20 +96,21 @@ p as (select l_orderkey * 10 + l_linenumber as ord, l_shipdate as ts, cast(round
   case when back then (case when outside then 'gw' else part end) else sup end as src_mac, case when back then sup else (case when outside then 'gw' else part end) end as dst_mac,
   case when q % 4 = 0 then 'udp' else 'tcp' end as protocol, case when back then part else sup end as src_ip, case when back then sup else part end as dst_ip,
   case when back then port else sport end as src_port, case when back then sport else port end as dst_port,
-  case when back then not outside else true end as src_local, case when back then true else not outside end as dst_local, q = 1 and not back as dst_broadcast, q = 1 and not back as dst_mac_broadcast,
+  case when back then not outside else true end as src_local, case when back then true else not outside end as dst_local, q = 1 and not back as dst_broadcast, q = 1 and not back and l_suppkey % 2 = 0 as dst_mac_broadcast,
   case when q % 4 = 0 then 'n' || (l_partkey % 50) end as dns_name, case when q % 4 = 0 then 'dns' end as dns_kind from l)"""
 
 FLOWS = """
 k as (select *, src_ip || '#' || src_port as a, case when dst_broadcast then 'broadcast' else dst_ip || '#' || dst_port end as b from p),
 kk as (select *, protocol || '|' || case when dst_broadcast or a <= b then a || '|' || b else b || '|' || a end as flow_key from k),
-fl as (select flow_key, protocol, arg_min(src_mac, ord) as src_mac, arg_min(dst_mac, ord) as dst_mac, arg_min(src_port, ord) as src_port, arg_min(dst_port, ord) as dst_port,
+fl as (select flow_key, protocol, arg_min(src_mac, ord) as src_mac, arg_min(dst_mac, ord) as dst_mac, arg_min(src_ip, ord) as src_ip, arg_min(dst_ip, ord) as dst_ip, arg_min(src_port, ord) as src_port, arg_min(dst_port, ord) as dst_port,
     arg_min(src_local, ord) as src_local, arg_min(dst_local, ord) as dst_local, arg_min(dst_broadcast, ord) as dst_broadcast,
     count(*)::bigint as packets, sum(orig_len)::bigint as bytes, min(ts) as first_seen, max(ts) as last_seen, min(ord) as first_ord, arg_min(a, ord) as init
   from kk group by flow_key, protocol),
+fb as (select kk.flow_key, kk.protocol, sum(orig_len)::bigint as bytes_from_initiator from kk join fl on fl.flow_key = kk.flow_key and fl.protocol = kk.protocol and fl.init = kk.a group by all),
 sv(protocol, port, category) as (values ('tcp',53,'dns'),('tcp',80,'http'),('tcp',443,'https'),('tcp',22,'ssh'),('tcp',445,'smb'),('tcp',3389,'rdp'),('udp',53,'dns'),('udp',5353,'mdns'),('udp',5355,'llmnr'),('udp',1900,'ssdp'),('udp',443,'quic')),
-fs as (select fl.*, coalesce(d.category, s.category, 'other') as category, case when d.category is not null then fl.dst_port when s.category is not null then fl.src_port end as service_port,
+fs as (select fl.*, fb.bytes_from_initiator, case when src_local then src_mac end as from_device, case when dst_local and not dst_broadcast then dst_mac end as to_device, coalesce(d.category, s.category, 'other') as category, case when d.category is not null then fl.dst_port when s.category is not null then fl.src_port end as service_port,
     case when dst_broadcast then 'broadcast' when src_local and dst_local then 'internal' else 'external' end as scope
-  from fl left join sv d on d.protocol = fl.protocol and d.port = fl.dst_port left join sv s on s.protocol = fl.protocol and s.port = fl.src_port)"""
+  from fl join fb on fb.flow_key = fl.flow_key and fb.protocol = fl.protocol left join sv d on d.protocol = fl.protocol and d.port = fl.dst_port left join sv s on s.protocol = fl.protocol and s.port = fl.src_port)"""
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

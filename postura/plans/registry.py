@@ -127,16 +127,16 @@ def capture_totals(spark, d):
 
 
 @query(f"""with {B.PACKETS}, r as (
-  select src_mac as mac, 1 as s, orig_len, ts, case when src_local then src_ip end as ip, case when not dst_broadcast and not dst_local then dst_ip end as peer, ord * 2 as seq from p
-  union all select dst_mac, 0, orig_len, ts, case when dst_local then dst_ip end, case when not dst_broadcast and not src_local then src_ip end, ord * 2 + 1 from p where not dst_mac_broadcast)
+  select src_mac as mac, 1 as s, orig_len, ts, case when src_local then src_ip end as ip, case when not dst_broadcast and not dst_local then dst_ip end as peer, ord * 2 as seq, (dns_name is not null)::int as q from p
+  union all select dst_mac, 0, orig_len, ts, case when dst_local and not dst_broadcast then dst_ip end, case when not dst_broadcast and not src_local then src_ip end, ord * 2 + 1, 0 from p where not dst_mac_broadcast)
 select mac, count(*) filter (where s = 1) as packets_sent, count(*) filter (where s = 0) as packets_received, coalesce(sum(orig_len) filter (where s = 1), 0)::bigint as bytes_sent,
-  coalesce(sum(orig_len) filter (where s = 0), 0)::bigint as bytes_received, min(ts) as first_seen, max(ts) as last_seen, 0::bigint as arp_packets, count(distinct ip) as local_ips, count(distinct peer) as external_peers, min(seq) as first_ord from r group by mac""")
+  coalesce(sum(orig_len) filter (where s = 0), 0)::bigint as bytes_received, min(ts) as first_seen, max(ts) as last_seen, 0::bigint as arp_packets, sum(q)::bigint as dns_queries, count(distinct ip) as local_ips, count(distinct peer) as external_peers, min(seq) as first_ord from r group by mac""")
 def host_traffic(spark, d):
     return N.host_traffic(B.packets(spark, d))
 
 
-@query(f"""with {B.PACKETS}, v as (select dst_mac as mac, dst_ip as ip, ord * 2 as seq from p where not dst_local and not dst_broadcast union all select src_mac, src_ip, ord * 2 + 1 from p where not src_local)
-select mac, count(distinct ip) as votes from v group by mac order by votes desc, min(seq) limit 1""")
+@query(f"""with {B.PACKETS}, v as (select dst_mac as mac, dst_ip as ip, ord * 2 as seq from p where not dst_local and not dst_broadcast and not dst_mac_broadcast union all select src_mac, src_ip, ord * 2 + 1 from p where not src_local and not dst_broadcast)
+select mac, least(10000, count(distinct ip)) as votes from v group by mac order by votes desc, min(seq) limit 1""")
 def gateway_pick(spark, d):
     return N.gateway(B.packets(spark, d))
 
@@ -194,7 +194,12 @@ def dns_counts(spark, d):
     return N.dns_names(B.packets(spark, d)).select("dns_kind", "dns_name", "n")
 
 
-@query(f"with {B.PACKETS}, {B.FLOWS}, x as (select src_mac as device, bytes from fs where scope = 'external' and src_local union all select dst_mac, bytes from fs where scope = 'external' and dst_local) select device, sum(bytes)::bigint as bytes from x group by 1")
+_SENT = """x as (select from_device as device, bytes_from_initiator as sent from fs where scope = 'external' and from_device is not null
+  union all select to_device, bytes - bytes_from_initiator from fs where scope = 'external' and to_device is not null),
+ob as (select device, sum(sent)::bigint as bytes from x group by 1)"""
+
+
+@query(f"with {B.PACKETS}, {B.FLOWS}, {_SENT} select device, bytes from ob")
 def outbound_bytes(spark, d):
     return N.outbound_bytes(_served(spark, d))
 
@@ -210,37 +215,109 @@ y as (select flow_key, n, a, b, unnest(range(0, n)) as event from x)
 select flow_key, event::bigint as event, cast(round(1e6 * case when n = 1 then (a + b) / 2 else a + (b - a) * event / (n - 1) end) as bigint) as t_ppm from y""")
 def timeline_events(spark, d):
     packets = B.packets(spark, d)
-    span = packets.agg(F.unix_seconds(F.to_timestamp(F.min("ts"))).alias("s"), F.unix_seconds(F.to_timestamp(F.max("ts"))).alias("e")).first()
-    top = N.flows(packets).orderBy(F.desc("packets"), "first_ord").limit(40)
-    return N.timeline(top, F.lit(span["s"]), F.lit(span["e"])).select("flow_key", "event", F.round(F.col("t") * 1e6).cast("long").alias("t_ppm"))
-
-
-@query(f"""with {B.PACKETS}, {B.FLOWS}, x as (select src_mac as device, bytes from fs where scope = 'external' and src_local union all select dst_mac, bytes from fs where scope = 'external' and dst_local),
-ob as (select device, sum(bytes)::bigint as outbound from x group by 1),
-r as (select src_mac as mac, case when not dst_broadcast and not dst_local then dst_ip end as peer, case when dns_name is not null then 1 else 0 end as q from p union all select dst_mac, case when not dst_broadcast and not src_local then src_ip end, 0 from p where not dst_mac_broadcast),
-dv as (select mac as device, count(distinct peer) as peers, sum(q)::bigint as dns from r group by 1),
-de as (select dv.device, coalesce(outbound, 0) as outbound, peers, dns, dv.device like '%7' as known from dv left join ob using (device))
-select 'unknown-device' as rule, 'review' as level, device as subject, 1::bigint as value from de where not known
-union all select 'high-outbound-volume', 'review', device, outbound from de where outbound > 52428800
-union all select 'many-dns-queries', 'info', device, dns from de where dns > 150
-union all select 'many-external-endpoints', 'info', device, peers from de where peers > 25
-union all select 'admin-remote-ports', case when scope = 'external' then 'watch' else 'review' end, flow_key, service_port from fs where service_port in (22,8080,8443,8888,9000,9090,5985,5986)
-union all select 'critical-ports', case when scope = 'external' then 'watch' else 'review' end, flow_key, service_port from fs where service_port in (23,445,3389,5900,135,139,1080,1433,3306,5432,6379,27017,9200)
-union all select 'unencrypted-http', case when scope = 'external' then 'review' else 'info' end, flow_key, service_port from fs where category = 'http'""")
-def watch_rules(spark, d):
+    span = packets.agg(F.unix_seconds(F.to_timestamp(F.min("ts"))).alias("_s"), F.unix_seconds(F.to_timestamp(F.max("ts"))).alias("_e")).withColumn("_k", F.lit(1))
+    top = N.flows(packets).orderBy(F.desc("packets"), "first_ord").limit(40).withColumn("_k", F.lit(1)).join(F.broadcast(span), "_k")  # one row
+    return N.timeline(top, F.col("_s"), F.col("_e")).select("flow_key", "event", F.round(F.col("t") * 1e6).cast("long").alias("t_ppm"))
+
+
+_ADMIN = "(category in ('ssh', 'rdp') or coalesce(service_port in (22, 8080, 8443, 8888, 9000, 9090, 5985, 5986), false))"
+_CRITICAL = "coalesce(service_port in (23, 445, 3389, 5900, 135, 139, 1080, 1433, 3306, 5432, 6379, 27017, 9200), false)"
+_ALERTS = f"""{_SENT},
+hr as (select src_mac as mac, case when not dst_broadcast and not dst_local then dst_ip end as peer, (dns_name is not null)::int as q, orig_len from p
+  union all select dst_mac, case when not dst_broadcast and not src_local then src_ip end, 0, orig_len from p where not dst_mac_broadcast),
+de as (select mac as device, count(distinct peer) as peers, sum(q)::bigint as dns, sum(orig_len)::bigint as total_bytes, mac like '%7' as known, coalesce(any_value(ob.bytes), 0) as outbound
+  from hr left join ob on ob.device = hr.mac where mac <> 'gw' group by mac),
+fr as (select 'admin-remote-ports' as rule, * from fs where {_ADMIN} union all select 'critical-ports', * from fs where {_CRITICAL} and category <> 'ssh' union all select 'unencrypted-http', * from fs where category = 'http'),
+fd as (select rule, count(distinct d) as n from (select rule, from_device as d from fr union all select rule, to_device from fr) group by rule),
+ft as (select rule, string_agg(flow_key, ',' order by bytes desc, first_ord) as flows from (select *, row_number() over (partition by rule order by bytes desc, first_ord) as k from fr) where k <= 10 group by rule),
+fc as (select rule, count(*) as n, bool_or(scope = 'external') as outside from fr group by rule),
+dc as (select count(*) filter (where dns > 150) as chatty, max(dns) as asked, (select count(*) from (select distinct dns_kind, dns_name from p where dns_name is not null)) as names from de),
+al as (select 'unknown-device' as rule, 'review' as level, '' as subject, count(*) as n_devices, 0::bigint as n_flows, count(*) as value, '' as flows from de where not known having count(*) > 0
+  union all select 'high-outbound-volume', 'review', device, 1, 0, outbound, '' from de where outbound > 52428800
+  union all select 'many-external-endpoints', 'review', '', count(*), 0, max(peers), '' from de where peers > 25 having count(*) > 0
+  union all select 'many-dns-queries', 'info', '', chatty, 0, case when chatty > 0 then asked else names end, '' from dc where chatty > 0 or names > 300
+  union all select rule, case when outside and rule <> 'unencrypted-http' then 'watch' else 'review' end, '', fd.n, fc.n, fc.n, flows from fc join fd using (rule) join ft using (rule))"""
+
+
+def _watched(spark, d):
+    """Devices with their counters, served flows, and alerts."""
     packets = B.packets(spark, d)
     served = N.with_scope(N.services(N.flows(packets), dims.service_ports(spark)))
-    asked = packets.groupBy(F.col("src_mac").alias("device")).agg(F.count("dns_name").alias("dns_queries"))
-    devices = N.host_traffic(packets).select(F.col("mac").alias("device"), "external_peers").join(N.outbound_bytes(served).withColumnRenamed("bytes", "outbound_bytes"), "device", "left").join(asked, "device", "left")
-    devices = devices.select("device", F.col("device").endswith("7").alias("is_known"), F.coalesce("dns_queries", F.lit(0)).alias("dns_queries"), "external_peers", F.coalesce("outbound_bytes", F.lit(0)).alias("outbound_bytes"))
-    return N.watch_rules(devices, served)
+    devices = N.host_traffic(packets).withColumnRenamed("mac", "device").join(N.outbound_bytes(served).withColumnRenamed("bytes", "outbound_bytes"), "device", "left")
+    devices = devices.select(
+        "device", F.when(F.col("device") == "gw", "gateway").otherwise("device").alias("role"), F.col("device").endswith("7").alias("is_known"), "dns_queries", "external_peers",
+        F.coalesce("outbound_bytes", F.lit(0)).alias("outbound_bytes"), (F.col("bytes_sent") + F.col("bytes_received")).alias("total_bytes"),
+    )
+    return devices, served, N.watch_rules(devices, served, N.dns_names(packets).agg(F.count("*").alias("n")))
+
+
+@query(f"with {B.PACKETS}, {B.FLOWS}, {_ALERTS} select rule, level, subject, n_devices, n_flows, value, flows from al")
+def watch_rules(spark, d):
+    return N.alert_order(_watched(spark, d)[2])
+
+
+@query(f"""with {B.PACKETS}, {B.FLOWS}, {_ALERTS}, n as (select count(*) as n, count(*) filter (where known) as k from de)
+select 'devices' as stat, '' as name, n as value from n union all select 'known_devices', '', k from n union all select 'unknown_devices', '', n - k from n
+union all select * from (select 'top_category', category, sum(bytes)::bigint as b from fs group by category order by b desc, category limit 3)
+union all select * from (select 'busiest_device', device, total_bytes from de where total_bytes > 0 order by total_bytes desc, device limit 1)""")
+def traffic_summary(spark, d):
+    return N.summary_stats(*_watched(spark, d)[:2])
+
+
+_ATTENTION = f"case when category = 'other' then 'unclassified' when category = 'http' then 'review' when {_ADMIN} or {_CRITICAL} then case when scope = 'external' then 'watch' else 'review' end else 'routine' end"
 
 
-@query(f"""with {B.PACKETS}, {B.FLOWS} select flow_key, case when service_port in (22,8080,8443,8888,9000,9090,5985,5986,23,445,3389,5900,135,139,1080,1433,3306,5432,6379,27017,9200) and scope = 'external' then 'watch'
-  when service_port in (22,8080,8443,8888,9000,9090,5985,5986,23,445,3389,5900,135,139,1080,1433,3306,5432,6379,27017,9200) or (category = 'http' and scope = 'external') then 'review'
-  when category = 'other' then 'unclassified' else 'routine' end as attention from fs""")
+@query(f"with {B.PACKETS}, {B.FLOWS} select flow_key, {_ATTENTION} as attention from fs")
 def flow_attention(spark, d):
-    return N.attention(_served(spark, d)).select("flow_key", F.when(F.col("attention").isNull(), "routine").otherwise(F.col("attention")).alias("attention"))
+    return N.attention(_served(spark, d)).select("flow_key", "attention")
+
+
+@query(f"""with {B.PACKETS}, {B.FLOWS}, {_ALERTS}, li as (select rule, level, unnest(string_split(flows, ',')) as flow_key from al where flows <> '' and level in ('watch', 'review')),
+lk as (select flow_key, max(case level when 'watch' then 3 else 2 end) as r, string_agg(distinct rule, ',' order by rule) as reasons from li group by 1),
+ow as (select flow_key, {_ATTENTION} as a from fs)
+select flow_key, (['routine', 'unclassified', 'review', 'watch'])[greatest(coalesce(r, 0), case a when 'watch' then 3 when 'review' then 2 when 'unclassified' then 1 else 0 end) + 1] as attention, coalesce(reasons, '') as reasons from ow left join lk using (flow_key)""")
+def flow_attention_linked(spark, d):
+    _, served, alerts = _watched(spark, d)
+    return N.flow_attention_reasons(served, alerts).withColumn("reasons", F.array_join("reasons", ","))
+
+
+_NODES = f"""hs as (select src_mac as mac, orig_len, ord * 2 as seq from p union all select dst_mac, orig_len, ord * 2 + 1 from p where not dst_mac_broadcast),
+hk as (select mac, sum(orig_len)::bigint as total_bytes, min(seq) as first_ord from hs group by mac order by first_ord limit 512),
+nd as (select mac, case when mac = 'gw' then 'gateway' else 'dev-' || row_number() over (partition by mac = 'gw' order by total_bytes desc, first_ord) end as node_id, case when mac = 'gw' then 'gateway' else 'device' end as role, total_bytes from hk),
+es as (select src_ip as ip, orig_len, ord * 2 as seq from p where not src_local union all select dst_ip, orig_len, ord * 2 + 1 from p where not dst_local and not dst_broadcast),
+ek as (select ip, sum(orig_len)::bigint as bytes, min(seq) as first_ord from es group by ip order by first_ord limit 2000),
+en as (select ip, case when k <= 200 then 'ext-' || k else 'ext-other' end as node_id, bytes from (select *, row_number() over (order by bytes desc, first_ord) as k from ek)),
+ed as (select fs.*, case when src_local then a.node_id else x.node_id end as from_id, case when dst_broadcast then 'broadcast' when dst_local then b.node_id else y.node_id end as to_id
+  from fs left join nd a on a.mac = fs.src_mac left join nd b on b.mac = fs.dst_mac left join en x on x.ip = fs.src_ip left join en y on y.ip = fs.dst_ip),
+ee as (select *, row_number() over (order by bytes desc, first_ord) as seq from ed where from_id is not null and to_id is not null qualify seq <= 500)"""
+
+
+def _edges(spark, d):
+    packets = B.packets(spark, d)
+    nodes = N.node_ids(N.host_traffic(packets), N.gateway(packets))
+    ends = N.endpoint_ids(N.endpoints(packets))
+    return nodes, ends, N.flow_edges(_served(spark, d), nodes, ends)
+
+
+@query(f"with {B.PACKETS}, {B.FLOWS}, {_NODES} select mac, node_id, role, total_bytes from nd")
+def device_ids(spark, d):
+    return _edges(spark, d)[0]
+
+
+@query(f"with {B.PACKETS}, {B.FLOWS}, {_NODES} select ip, node_id, bytes from en")
+def endpoint_ids(spark, d):
+    return _edges(spark, d)[1]
+
+
+@query(f"with {B.PACKETS}, {B.FLOWS}, {_NODES} select 'flow-' || seq as flow_id, from_id, to_id, category, service_port::int as service_port, scope, packets, bytes from ee")
+def flow_edges(spark, d):
+    return _edges(spark, d)[2]
+
+
+@query(f"""with {B.PACKETS}, {B.FLOWS}, {_NODES}, x as (select from_id as node_id, category, seq from ee union all select to_id, category, seq from ee), y as (select node_id, category, min(seq) as seq from x group by all)
+select node_id, string_agg(category, ',' order by seq) as categories from y group by node_id""")
+def node_categories(spark, d):
+    return N.node_categories(_edges(spark, d)[2]).withColumn("categories", F.array_join("categories", ","))
 
 
 # observations over time
@@ -397,19 +474,15 @@ def matched_port_delta(spark, d):
 
 
 _INVENTORY = """iv as (select s_suppkey as ord, 'm' || (s_suppkey % 60) as mac, case when s_suppkey % 4 = 0 then null else 'ip' || (s_suppkey * 3) end as ip, s_name as item from supplier),
-ho as (select c_custkey, 'M' || c_custkey as mac, ['ip' || c_custkey, 'ip' || (c_custkey + 1)] as ips from customer where c_custkey <= 600)"""
+ho as (select c_custkey, 'M' || c_custkey as mac, ['ip' || c_custkey, 'ip' || (c_custkey + 1)] as ips from customer)"""
 
 
-#: The queries named _whole leave out the bound that the SQL of the query before them has.
-_WHOLE_INVENTORY = _INVENTORY.replace(" where c_custkey <= 600", "")
-
-
-def _inventory(spark, d, whole=False):
+def _inventory(spark, d):
     s = F.col("s_suppkey")
     inv = B.read(spark, d, "supplier").select(s.alias("ord"), F.concat(F.lit("m"), (s % 60).cast("string")).alias("mac"), F.when(s % 4 != 0, F.concat(F.lit("ip"), (s * 3).cast("string"))).alias("ip"), F.col("s_name").alias("item"))
     k = F.col("c_custkey")
     c = B.read(spark, d, "customer")
-    return (c if whole else c.filter(k <= 600)).select(F.concat(F.lit("M"), k.cast("string")).alias("mac"), F.array(F.concat(F.lit("ip"), k.cast("string")), F.concat(F.lit("ip"), (k + 1).cast("string"))).alias("ips")), inv
+    return c.select(F.concat(F.lit("M"), k.cast("string")).alias("mac"), F.array(F.concat(F.lit("ip"), k.cast("string")), F.concat(F.lit("ip"), (k + 1).cast("string"))).alias("ips")), inv
 
 
 @query(f"""with {_INVENTORY}, bm as (select upper(mac) as m, arg_min(item, ord) as item from iv group by 1),
@@ -419,33 +492,18 @@ def inventory_match(spark, d):
     return I.inventory_match(*_inventory(spark, d)).select("mac", "item")
 
 
-@query(ORACLE_SQL["inventory_match"].replace(_INVENTORY, _WHOLE_INVENTORY))
-def inventory_match_whole(spark, d):
-    return I.inventory_match(*_inventory(spark, d, whole=True)).select("mac", "item")
-
-
 @query(f"with {_INVENTORY}, h as (select mac, ips[1] as ip from ho) select mac, ip from h where upper(mac) in (select upper(mac) from iv) or ip in (select ip from iv where ip is not null)")
-def known_semi(spark, d, whole=False):
-    hosts, inv = _inventory(spark, d, whole)
+def known_semi(spark, d):
+    hosts, inv = _inventory(spark, d)
     return I.known(hosts.select("mac", F.get("ips", F.lit(0)).alias("ip")), inv)
 
 
-@query(ORACLE_SQL["known_semi"].replace(_INVENTORY, _WHOLE_INVENTORY))
-def known_semi_whole(spark, d):
-    return known_semi(spark, d, whole=True)
-
-
 @query(f"with {_INVENTORY}, h as (select mac, ips[1] as ip from ho) select mac, ip from iv union all select mac, ip from h where upper(mac) not in (select upper(mac) from iv) and ip not in (select ip from iv where ip is not null)")
-def inventory_insert(spark, d, whole=False):
-    hosts, inv = _inventory(spark, d, whole)
+def inventory_insert(spark, d):
+    hosts, inv = _inventory(spark, d)
     return I.insert_absent(inv.select("mac", "ip"), hosts.select("mac", F.get("ips", F.lit(0)).alias("ip")))
 
 
-@query(ORACLE_SQL["inventory_insert"].replace(_INVENTORY, _WHOLE_INVENTORY))
-def inventory_insert_whole(spark, d):
-    return inventory_insert(spark, d, whole=True)
-
-
 @query("""with u as (select o_custkey as k, o_orderkey as seq, o_orderpriority as state, o_orderdate as created_from, o_orderkey % 2 as w from orders)
 select k, arg_max(seq, (w, seq)) as seq, arg_max(state, (w, seq)) as state, arg_min(created_from, (w, seq)) as created_from from u group by k""")
 def upsert_rows(spark, d):
@@ -453,35 +511,36 @@ def upsert_rows(spark, d):
     return I.upsert(o.filter("seq % 2 = 0"), o.filter("seq % 2 = 1"), ["k"], "seq", keep=("created_from",))
 
 
-@query("""with recursive e as (select 'r' || c_custkey as a, 'k' || (c_custkey % 37) as b from customer where c_custkey <= 300 union all select 'r' || c_custkey, 'k' || (100 + c_custkey // 4) from customer where c_custkey <= 300 and c_custkey % 4 < 2 and c_custkey % 37 > 30),
-u as (select a as x, b as y from e union select b, a from e), r as (select x, x as y from u union select r.x, u.y from r join u on r.y = u.x)
-select x as node, min(y) as comp from r group by x""")
-def connected_records(spark, d, whole=False):
+@query()  # recursive SQL grows with the square of a component
+def connected_records(spark, d):
     from ..operators.graph import connected
 
     k = F.col("c_custkey")
     c = B.read(spark, d, "customer")
-    c = c if whole else c.filter(k <= 300)
     edge = lambda rows, b: rows.select(F.concat(F.lit("r"), k.cast("string")).alias("a"), F.concat(F.lit("k"), b.cast("string")).alias("b"))
     return connected(edge(c, k % 37).unionByName(edge(c.filter((k % 4 < 2) & (k % 37 > 30)), F.floor(k / 4) + 100)))
 
 
-@query()  # the recursive SQL grows with the square of a component
-def connected_records_whole(spark, d):
-    return connected_records(spark, d, whole=True)
-
-
 # text and scalars
 
 
-_REDACT_SQL = "text"
-for _p, _by in S.REDACTIONS:
-    _flags = "'gi'" if _p.startswith("(?i)") else "'g'"
-    _REDACT_SQL = f"regexp_replace({_REDACT_SQL}, '{_p.removeprefix('(?i)').replace(chr(39), chr(39) * 2)}', '{_by}', {_flags})"
-_REDACT_SQL = f"substr(trim(regexp_replace({_REDACT_SQL}, '[ \\t\\r\\n]+', ' ', 'g')), 1, 800)"
+_WS = r"\t\n\v\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_REDACT_SQL = rf"""
+a as (select doc_id, regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g') as t from documents),
+b as (select doc_id, regexp_replace(t, '<[?]?xml\b[^>]*>|<nmaprun\b[^>]*>|<host\b[^>]*>|<packet\b[^>]*>|</(nmaprun|host|packet)>', '[redacted raw evidence]', 'gi') as t from a),
+c as (select doc_id, regexp_replace(t, '\bpcap(ng)?[{_WS}]+global[{_WS}]+header\b|\braw[{_WS}]+(packet|payload|scan|capture)\b', '[redacted raw evidence]', 'gi') as t from b),
+d as (select doc_id, regexp_replace(t, '\b(api[_-]?key|secret|password|token)[{_WS}]*[:=][{_WS}]*[^{_WS},;]+', '[redacted secret]', 'gi') as t from c),
+e as (select doc_id, regexp_replace(regexp_replace(t, '\bsk-[A-Za-z0-9_-]{{10,}}\b', '[redacted secret]', 'g'), 'BEGIN (RSA |OPENSSH |EC |DSA )?PRIVATE KEY', '[redacted secret]', 'gi') as t from d),
+f as (select doc_id, regexp_replace(t, '\b({_OCTET}[.]){{3}}{_OCTET}\b', '[redacted ip]', 'g') as t from e),
+g as (select doc_id, regexp_replace(t, '\b([0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}\b|\b[0-9A-Fa-f]{{4}}[.][0-9A-Fa-f]{{4}}[.][0-9A-Fa-f]{{4}}\b', '[redacted mac]', 'g') as t from f),
+h as (select doc_id, regexp_replace(t, '[A-Za-z]:\\[^{_WS},;)"'']+', '[redacted path]', 'g') as t from g),
+i as (select doc_id, regexp_replace(t, '\\\\[^\\{_WS}]+\\[^{_WS},;)"'']+', '[redacted path]', 'g') as t from h),
+j as (select doc_id, regexp_replace(t, '/(home|tmp|Users|var|etc|workspace|opt)/[^{_WS},;)"'']*', '[redacted path]', 'g') as t from i),
+k as (select doc_id, regexp_replace(regexp_replace(t, '^[{_WS}]+|[{_WS}]+$', '', 'g'), '[{_WS}]+', ' ', 'g') as t from j)"""
 
 
-@query(f"select doc_id, md5(case when t = '' then '[removed]' else t end) as redacted_md5 from (select doc_id, {_REDACT_SQL} as t from documents)")
+@query(f"with {_REDACT_SQL} select doc_id, md5(case when t = '' then '[redacted]' else substr(t, 1, 800) end) as redacted_md5 from k")
 def redact_text(spark, d):
     return B.read(spark, d, "documents").select("doc_id", F.md5(S.redact("text").cast("binary")).alias("redacted_md5"))
 
@@ -500,14 +559,8 @@ def mask_identifiers(spark, d):
     return rows.select("c_custkey", S.mask_mac("m").alias("masked_mac"), S.mask_ip("ip").alias("masked_ip"))
 
 
-@query("select conv_id, turn, md5(lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))) as text_md5 from conversations where text ~ '^[\\x00-\\x7F]*$'")
-def text_normalize(spark, d):
-    c = B.read(spark, d, "conversations").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return c.select("conv_id", "turn", F.md5(S.identity_text("text").cast("binary")).alias("text_md5"))
-
-
 @query()  # white space beyond ASCII is another in DuckDB
-def text_normalize_whole(spark, d):
+def text_normalize(spark, d):
     return B.read(spark, d, "conversations").select("conv_id", "turn", F.md5(S.identity_text("text").cast("binary")).alias("text_md5"))
 
 
@@ -522,16 +575,21 @@ def canonical_json(spark, d):
     return rows.select("s_suppkey", F.sha2(S.canonical_json("s_suppkey", "s_name", "s_note", "s_nationkey"), 256).alias("json_sha"))
 
 
-@query("""with x as (select l_orderkey, l_linenumber, (l_partkey * l_partkey * 37) as n from lineitem where l_orderkey < 4000)
-select l_orderkey, l_linenumber, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f', round(n / 1024.0::double, 1)) || ' KB' when n < 1073741824 then printf('%.1f', round(n / 1048576.0::double, 1)) || ' MB' else printf('%.1f', round(n / 1073741824.0::double, 1)) || ' GB' end as size from x""")
-def format_bytes(spark, d, whole=False):
-    rows = B.read(spark, d, "lineitem").filter("true" if whole else "l_orderkey < 4000").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * F.col("l_partkey") * 37).alias("n"))
-    return rows.select("l_orderkey", "l_linenumber", S.format_bytes("n").alias("size"))
+@query("""with x as (select l_orderkey, l_linenumber, l_partkey * l_partkey * (case when l_linenumber % 3 = 0 then 3701 when l_linenumber % 3 = 1 then 37 else -1 end) as n from lineitem)
+select l_orderkey, l_linenumber, case when n < 0 then '0 B' when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f', round(n / 1024.0::double, 1)) || ' KB'
+  when n < 1073741824 then printf('%.1f', round(n / 1048576.0::double, 1)) || ' MB' else printf('%.2f', round(n / 1073741824.0::double, 2)) || ' GB' end as size from x""")
+def format_bytes(spark, d):
+    times = F.when(F.col("l_linenumber") % 3 == 0, 3701).when(F.col("l_linenumber") % 3 == 1, 37).otherwise(-1)
+    return B.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.format_bytes(F.col("l_partkey") * F.col("l_partkey") * times).alias("size"))
 
 
-@query(ORACLE_SQL["format_bytes"].replace(" where l_orderkey < 4000", ""))
-def format_bytes_whole(spark, d):
-    return format_bytes(spark, d, whole=True)
+@query("""with x as (select l_orderkey, l_linenumber, case when l_linenumber = 7 then null when l_linenumber = 6 then -1 else l_partkey * l_partkey * l_linenumber end as ms from lineitem),
+y as (select *, ms / 1000.0::double as s from x)
+select l_orderkey, l_linenumber, case when ms is null or ms < 0 then 'an unknown amount of time' when s < 1 then 'under a second' when s < 90 then 'about ' || floor(s + 0.5)::bigint || ' seconds'
+  when s / 60 < 90 then 'about ' || floor(s / 60 + 0.5)::bigint || case when floor(s / 60 + 0.5) = 1 then ' minute' else ' minutes' end else 'about ' || printf('%.1f', round(s / 3600, 1)) || ' hours' end as duration from y""")
+def format_durations(spark, d):
+    ms = F.when(F.col("l_linenumber") == 7, None).when(F.col("l_linenumber") == 6, -1).otherwise(F.col("l_partkey") * F.col("l_partkey") * F.col("l_linenumber"))
+    return B.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.format_duration(ms).alias("duration"))
 
 
 @query("""select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, (epoch_us(ts) // 60000000)::bigint as minute_key, greatest(0, (epoch_us(timestamp '2024-02-01') // 1000000 - epoch_us(ts) // 1000000) // 86400)::bigint as days from events""")

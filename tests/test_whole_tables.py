@@ -1,4 +1,4 @@
-"""The queries named _whole take every row of their table, on one that is larger than the bounds in the SQL of the others."""
+"""These queries take every row of their table, on one that is larger than the bounds in the SQL of the others."""
 
 import hashlib
 import re
@@ -14,7 +14,7 @@ D = "/root/testdata/sf0.01"
 SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 
-@pytest.mark.parametrize("name", ["inventory_match_whole", "known_semi_whole", "inventory_insert_whole", "format_bytes_whole"])
+@pytest.mark.parametrize("name", ["inventory_match", "known_semi", "inventory_insert", "format_bytes"])
 def test_equals_duckdb_without_bounds(spark, name):
     sql = entry.oracle_sql()[name]
     assert "<= 600" not in sql and "< 4000" not in sql
@@ -25,8 +25,8 @@ def test_equals_duckdb_without_bounds(spark, name):
     columns = [d[0] for d in want.description]
     got = plain([r.asDict() for r in entry.queries()[name](spark, D).collect()], columns)
     assert got == plain([dict(zip(columns, r)) for r in want.fetchall()], columns)
-    assert name != "inventory_match_whole" or len(got) == 1500
-    assert name != "format_bytes_whole" or len(got) == 60000
+    assert name != "inventory_match" or len(got) == 1500
+    assert name != "format_bytes" or len(got) == 60000
 
 
 def test_components_of_all_customers(spark):
@@ -43,12 +43,12 @@ def test_components_of_all_customers(spark):
         for b in [k % 37] + ([100 + k // 4] if k % 4 < 2 and k % 37 > 30 else []):
             x, y = root(f"r{k}"), root(f"k{b}")
             parent[max(x, y)] = min(x, y)
-    assert {r.node: r.comp for r in entry.queries()["connected_records_whole"](spark, D).collect()} == {x: root(x) for x in parent}
+    assert {r.node: r.comp for r in entry.queries()["connected_records"](spark, D).collect()} == {x: root(x) for x in parent}
 
 
 def test_all_conversations_are_normalised(spark):
     rows = spark.read.parquet(f"{D}/conversations.parquet").collect()
     assert any(not r.text.isascii() for r in rows if r.text)
     one = lambda t: None if t is None else hashlib.md5(re.sub(SPACE, " ", re.sub(f"^{SPACE}|{SPACE}$", "", t)).lower().encode()).hexdigest()
-    got = entry.queries()["text_normalize_whole"](spark, D).collect()
+    got = entry.queries()["text_normalize"](spark, D).collect()
     assert sorted((r.conv_id, r.turn, r.text_md5 or "") for r in got) == sorted((r.conv_id, r.turn, one(r.text) or "") for r in rows)
