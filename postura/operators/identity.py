@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 #: (rule, confidence, whether a unique candidate is confirmed), strongest first.
 TIERS = (
     ("persisted-device-id", "strongest", True),
@@ -48,8 +50,7 @@ def tiered(base: DataFrame, current: DataFrame, tiers: dict[str, str]) -> DataFr
     """(base_id, current_id, rule, confidence, outcome, shared); tiers: rule -> column of keys.
 
     Devices that a tier matched, or left ambiguous, take no part in weaker
-    tiers.  The number of tiers is fixed, so this is one plan, not a loop over
-    data.
+    tiers.  The number of tiers is fixed; what each finds is written once.
     """
     found: DataFrame | None = None
     for rule, confidence, confirms in TIERS:
@@ -62,6 +63,7 @@ def tiered(base: DataFrame, current: DataFrame, tiers: dict[str, str]) -> DataFr
         pairs = unique_pairs(candidates(b, c, tiers[rule]))
         outcome = F.when(F.col("unique") & F.lit(confirms), "confirmed").otherwise("uncertain")
         rows = pairs.select("base_id", "current_id", F.lit(rule).alias("rule"), F.lit(confidence).alias("confidence"), outcome.alias("outcome"), "shared")
+        rows = saved(rows, "tier")  # each tier is read by all weaker ones, twice
         found = rows if found is None else found.unionByName(rows)
     return found
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.scalar import size_class
+from ..functions.scalar import domain_summary, size_class
 
 # Keys that are tracked of each kind, addresses that a gateway's votes count, and rows that are shown.
 MAX_VOTES = 10_000
@@ -163,6 +163,11 @@ def dns_names(packets: DataFrame) -> DataFrame:
     return packets.filter(F.col("dns_name").isNotNull()).groupBy("dns_kind", "dns_name").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
 
 
+def dns_domains(names: DataFrame, n: int = 12) -> DataFrame:
+    """(domain, n): the most asked domains, names folded to their last two labels."""
+    return names.groupBy(domain_summary("dns_name").alias("domain")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "domain").limit(n)
+
+
 def flow_devices(rows: DataFrame) -> DataFrame:
     """rows with from_device and to_device, the MACs of the local ends; a broadcast has no second one."""
     return rows.withColumn("from_device", F.when(F.col("src_local"), F.col("src_mac"))).withColumn("to_device", F.when(F.col("dst_local") & ~F.col("dst_broadcast"), F.col("dst_mac")))

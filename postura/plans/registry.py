@@ -424,13 +424,13 @@ def identity_unique(spark, d):
     return I.unique_pairs(I.candidates(*B.devices(spark, d), "macs")).drop("shared")
 
 
-def _tier_sql() -> str:
+def _tier_sql(b: str = "b", c: str = "c") -> str:
     """Each tier of pairs excludes what stronger ones have found."""
     parts, seen = [], []
     for rule, col, conf, ok in (("persisted-device-id", "ids", "strongest", True), ("mac", "macs", "strong", True), ("hostname-vendor", "names", "medium", False), ("ip-continuity", "ips", "low", False)):
         n = len(seen)
         gone = " and ".join(f"b.device_id not in (select base_id from t{i}) and c.device_id not in (select current_id from t{i})" for i in seen) or "true"
-        parts.append(f"j{n} as (select distinct b.device_id as base_id, c.device_id as current_id from (select device_id, unnest({col}) as k from b) b join (select device_id, unnest({col}) as k from c) c using (k) where {gone})")
+        parts.append(f"j{n} as (select distinct b.device_id as base_id, c.device_id as current_id from (select device_id, unnest({col}) as k from {b}) b join (select device_id, unnest({col}) as k from {c}) c using (k) where {gone})")
         one = "count(*) over (partition by base_id) = 1 and count(*) over (partition by current_id) = 1"
         parts.append(f"t{n} as (select base_id, current_id, '{rule}' as rule, '{conf}' as confidence, " + (f"case when {one} then 'confirmed' else 'uncertain' end" if ok else "'uncertain'") + f" as outcome from j{n})")
         seen.append(n)
