@@ -28,6 +28,19 @@ OUTBOUND_BYTES, DEVICE_DNS, UNIQUE_DNS, EXTERNAL_PEERS = 52_428_800, 150, 300, 2
 COVERAGE_WEIGHTS = {"ports": "0.35", "discovery": "0.25", "hosts_up": "0.20", "arp_snapshot": "0.15", "scan_metadata": "0.05"}
 # Base coverage score of a capture by vantage.
 VANTAGE_SCORES = {"this-computer": "0.45", "gateway-router": "0.65", "mirror-tap": "0.70", "unknown": "0.25"}
+# What to do about a port at P0, and names of services.
+P0_ACTIONS = {
+    23: "Disable Telnet and use SSH instead", 445: "Block at perimeter or isolate to internal VLAN only", 3389: "Block RDP at perimeter, use VPN or bastion for remote access",
+    5900: "Block VNC at perimeter, use secure alternatives", 135: "Block MSRPC at perimeter firewall", 139: "Block NetBIOS at perimeter firewall", 1080: "Disable SOCKS proxy or restrict to internal use",
+    5985: "Block WinRM at perimeter, use internal management only", 5986: "Block WinRM at perimeter, use internal management only", 1433: "Block MSSQL externally, use internal connections only",
+    1434: "Block MSSQL Browser externally", 3306: "Block MySQL externally, use internal connections only", 5432: "Block PostgreSQL externally, use internal connections only",
+    6379: "Block Redis externally, enable authentication", 27017: "Block MongoDB externally, enable authentication", 9200: "Block Elasticsearch externally, enable authentication",
+}
+SERVICE_NAMES = {
+    21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DNS", 80: "HTTP", 110: "POP3", 135: "MSRPC", 139: "NetBIOS", 143: "IMAP", 443: "HTTPS", 445: "SMB", 993: "IMAPS", 995: "POP3S", 1080: "SOCKS",
+    1433: "MSSQL", 1434: "MSSQL Browser", 3306: "MySQL", 3389: "RDP", 5432: "PostgreSQL", 5900: "VNC", 5985: "WinRM HTTP", 5986: "WinRM HTTPS", 6379: "Redis", 8080: "HTTP Proxy", 8443: "HTTPS Alt",
+    8888: "HTTP Alt", 9200: "Elasticsearch", 27017: "MongoDB",
+}
 FRESH_DAYS, AGING_DAYS = 30, 37
 LEVELS = ("P0", "P1", "P2")
 
@@ -40,3 +53,9 @@ def port_risk(spark: SparkSession, profile: str = "v1") -> DataFrame:
 def service_ports(spark: SparkSession) -> DataFrame:
     """(protocol, port, category)."""
     return spark.createDataFrame([(a, p, c) for a, ports in SERVICE_PORTS.items() for p, c in ports.items()], "protocol string, port int, category string")
+
+
+def port_notes(spark: SparkSession) -> DataFrame:
+    """(port, service_name, action)."""
+    ports = sorted(P0_ACTIONS.keys() | SERVICE_NAMES.keys())
+    return spark.createDataFrame([(p, SERVICE_NAMES.get(p), P0_ACTIONS.get(p)) for p in ports], "port int, service_name string, action string")

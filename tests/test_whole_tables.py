@@ -1,4 +1,4 @@
-"""These queries take every row of their table, on one that is larger than the bounds in the SQL of the others."""
+"""Queries that take every row of their tables, on tables larger than the smallest."""
 
 import hashlib
 import re
