@@ -56,6 +56,16 @@ def risk_groups(findings: DataFrame) -> DataFrame:
     return hosts.groupBy("protocol", "port", "risk").agg(F.min_by("service", "ord").alias("service"), F.count("*").alias("hosts_affected"), named.alias("hosts"))
 
 
+def risk_group_hosts(findings: DataFrame) -> DataFrame:
+    """(protocol, port, risk, ip, ord): a row a host of a risk group, ord its first appearance; for groups of any size."""
+    return findings.groupBy("protocol", "port", "risk", "ip").agg(F.min("ord").alias("ord"))
+
+
+def device_ports(findings: DataFrame) -> DataFrame:
+    """(ip, protocol, port, n): a row a port of a device; for devices with any number of them."""
+    return findings.groupBy("ip", "protocol", "port").agg(F.count("*").alias("n"))
+
+
 def risk_order(groups: DataFrame) -> DataFrame:
     return groups.orderBy(level_rank("risk"), F.desc("hosts_affected"), "port", "protocol")
 

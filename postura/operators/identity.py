@@ -68,6 +68,48 @@ def tiered(base: DataFrame, current: DataFrame, tiers: dict[str, str]) -> DataFr
     return found
 
 
+def outcomes(base: DataFrame, current: DataFrame, tiers: dict[str, str]) -> DataFrame:
+    """(side, device_id, rule, confidence, outcome, partner_id, n_links): what tiered says, one row a device that found any.
+
+    partner_id: the only candidate, where neither side has another; n_links:
+    keys shared, counted with each device that has one.  A key that many
+    devices of both sides hold gives counts, never its pairs, so work grows
+    with the keys alone.  Null ids take no part.
+    """
+    found: DataFrame | None = None
+    for rule, confidence, confirms in TIERS:
+        if rule not in tiers:
+            continue
+        held = []
+        for side, rows in (("base", base), ("current", current)):
+            if found is not None:
+                rows = rows.join(found.filter(F.col("side") == side).select("device_id"), "device_id", "left_anti")
+            held.append(rows.filter(F.col("device_id").isNotNull()).select("device_id", F.explode(F.array_distinct(tiers[rule])).alias("k")).filter(F.col("k").isNotNull()))
+        b, c = held
+        count = lambda rows, side: rows.groupBy("k").agg(F.count("*").alias(f"n_{side}"), F.min("device_id").alias(f"one_{side}"))
+        keys = saved(count(b, "base").join(count(c, "current"), "k"), "keys")
+        alone = (F.col("n_base") == 1) & (F.col("n_current") == 1)
+
+        def side_of(rows: DataFrame, name: str, other: str) -> DataFrame:
+            each = rows.join(keys, "k").groupBy("device_id").agg(F.sum(f"n_{other}").alias("n_links"), F.min(f"one_{other}").alias("_least"), F.max(f"one_{other}").alias("_most"), F.min(alone).alias("_alone"))
+            return each.select(F.lit(name).alias("side"), "device_id", "n_links", F.when(F.col("_alone") & (F.col("_least") == F.col("_most")), F.col("_least")).alias("partner_id"))
+
+        rows = saved(side_of(b, "base", "current").unionByName(side_of(c, "current", "base")), "sides")
+        other = rows.select(F.when(F.col("side") == "base", "current").otherwise("base").alias("side"), F.col("partner_id").alias("device_id"), F.col("device_id").alias("partner_id"), F.lit(True).alias("_both"))
+        rows = rows.join(other, ["side", "device_id", "partner_id"], "left")
+        outcome = F.when(F.col("_both") & F.lit(confirms), "confirmed").otherwise("uncertain")
+        rows = rows.select("side", "device_id", F.lit(rule).alias("rule"), F.lit(confidence).alias("confidence"), outcome.alias("outcome"), F.when(F.col("_both"), F.col("partner_id")).alias("partner_id"), "n_links")
+        rows = saved(rows, "outcomes")  # read by all weaker tiers, twice
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def matched_ids(found: DataFrame) -> DataFrame:
+    """(base_id, current_id): outcomes as unmatched takes them, one of both null."""
+    own = lambda side: F.when(F.col("side") == side, F.col("device_id"))
+    return found.select(own("base").alias("base_id"), own("current").alias("current_id"))
+
+
 def unmatched(base: DataFrame, current: DataFrame, matches: DataFrame) -> DataFrame:
     """(event_type, device_id): devices on one side only."""
     new = current.select("device_id").join(matches.select(F.col("current_id").alias("device_id")), "device_id", "left_anti")
@@ -98,18 +140,21 @@ def metadata_changes(pairs: DataFrame, base: DataFrame, current: DataFrame, colu
 
 
 def known(devices: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Devices in the inventory by MAC or by address: two equi-joins, no OR."""
-    by_mac = devices.join(inventory.select(F.upper("mac").alias("_m")), F.upper(devices["mac"]) == F.col("_m"), "left_semi")
-    by_ip = devices.join(inventory.select(F.col("ip").alias("_i")).filter(F.col("_i").isNotNull()), devices["ip"] == F.col("_i"), "left_semi")
-    return by_mac.unionByName(by_ip).distinct()
+    """Devices in the inventory by MAC or, without that, by address: equi-joins, no OR; repeated devices stay."""
+    macs = inventory.select(F.upper("mac").alias("_m")).filter(F.col("_m").isNotNull())
+    by_mac = devices.join(macs, F.upper(devices["mac"]) == F.col("_m"), "left_semi")
+    rest = devices.join(macs, F.upper(devices["mac"]) == F.col("_m"), "left_anti")
+    by_ip = rest.join(inventory.select(F.col("ip").alias("_i")).filter(F.col("_i").isNotNull()), F.col("ip") == F.col("_i"), "left_semi")
+    return by_mac.unionByName(by_ip)
 
 
 def inventory_match(hosts: DataFrame, inventory: DataFrame) -> DataFrame:
-    """hosts (mac, ips) with item: the first inventory row of the MAC, else the first of any address."""
+    """hosts (mac, ips) with item: the first inventory row of the MAC, else the first of any of its addresses; hosts without a MAC keep theirs."""
     by_mac = inventory.groupBy(F.upper("mac").alias("_m")).agg(F.min_by("item", "ord").alias("_by_mac"))
     by_ip = inventory.filter(F.col("ip").isNotNull()).groupBy("ip").agg(F.min(F.struct("ord", "item")).alias("_hit"))
-    ips = hosts.select("mac", F.explode("ips").alias("ip")).join(by_ip, "ip").groupBy("mac").agg(F.min("_hit").alias("_hit"))
-    return hosts.join(by_mac, F.upper(hosts["mac"]) == F.col("_m"), "left").drop("_m").join(ips, "mac", "left").withColumn("item", F.coalesce("_by_mac", "_hit.item")).drop("_by_mac", "_hit")
+    ips = hosts.select(F.col("ips").alias("_ips")).distinct().select("_ips", F.explode("_ips").alias("ip")).join(by_ip, "ip").groupBy("_ips").agg(F.min("_hit").alias("_hit"))
+    rows = hosts.join(by_mac, F.upper(hosts["mac"]) == F.col("_m"), "left").drop("_m").join(ips, F.col("ips") == F.col("_ips"), "left").drop("_ips")
+    return rows.withColumn("item", F.coalesce("_by_mac", "_hit.item")).drop("_by_mac", "_hit")
 
 
 def insert_absent(held: DataFrame, new: DataFrame) -> DataFrame:

@@ -4,55 +4,85 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .identity import upsert
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer has changed the table since it was read; read again and repeat."""
+
+
 class KeyedTable:
     """Versions of a table in one folder; the newest is the table.
 
     A change writes a whole new version beside the last one and is visible
-    once its marker is there, so readers never see half a change.
+    once its marker is there, so readers never see half a change.  A marker is
+    renamed to its version's number, which succeeds once: of two changes made
+    from one version the later raises ConcurrentChange and nothing is lost.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str]):
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
 
-    def _versions(self):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path), self.spark._jsc.hadoopConfiguration()
+    def _at(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def _newest(self) -> str | None:
-        folder, conf = self._versions()
-        fs = folder.getFileSystem(conf)
-        if not fs.exists(folder):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
-        done = [n for n in names if n.startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return done[-1] if done else None
+    def _files(self):
+        return self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def read(self) -> DataFrame:
-        name = self._newest()
-        if name is None:
+    def _newest(self) -> tuple[int, str | None]:
+        """Number and folder of the newest version; (0, None) of an empty table."""
+        fs = self._files()
+        if not fs.exists(self._at()):
+            return 0, None
+        names = sorted(n for n in (s.getPath().getName() for s in fs.listStatus(self._at())) if n.endswith(".version"))
+        if not names:
+            return 0, None
+        return int(names[-1][:10]), self.spark.read.text(f"{self.path}/{names[-1]}").first()["value"]
+
+    def _rows(self, folder: str | None) -> DataFrame:
+        if folder is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
 
-    def write(self, rows: DataFrame) -> None:
-        name = self._newest()
-        n = int(name[1:11]) + 1 if name else 1
-        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.parquet(f"{self.path}/v{n:010d}-{uuid.uuid4().hex[:8]}")
+    def read(self) -> DataFrame:
+        return self._rows(self._newest()[1])
+
+    def write(self, rows: DataFrame, after: int | None = None) -> None:
+        """rows as the version that follows number after; without it, the newest."""
+        n = (self._newest()[0] if after is None else after) + 1
+        folder = f"rows-{n:010d}-{uuid.uuid4().hex[:8]}"
+        rows.select(*self._rows(None).columns).write.parquet(f"{self.path}/{folder}")
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        out = self._files().create(self._at(f"{folder}.marker"))
+        out.write(bytearray(folder.encode()))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._files().getUri(), conf)
+        plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(self._at(f"{folder}.marker"), self._at(f"{n:010d}.version"), plain)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            raise ConcurrentChange(f"version {n} of {self.path} exists") from e
 
     def append_absent(self, rows: DataFrame, order: str) -> None:
         """First writer wins, in the table and among the rows."""
+        n, folder = self._newest()
+        held = self._rows(folder)
         first = rows.groupBy(*self.key).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-        self.write(self.read().unionByName(first.join(self.read().select(*self.key), self.key, "left_anti").select(*self.read().columns)))
+        self.write(held.unionByName(first.join(held.select(*self.key), self.key, "left_anti").select(*held.columns)), n)
 
     def upsert(self, rows: DataFrame, order: str, keep: tuple[str, ...] = ()) -> None:
-        self.write(upsert(self.read(), rows, self.key, order, keep))
+        n, folder = self._newest()
+        self.write(upsert(self._rows(folder), rows, self.key, order, keep), n)
 
     def delete(self, keys: DataFrame) -> None:
-        self.write(self.read().join(keys.select(*self.key), self.key, "left_anti"))
+        n, folder = self._newest()
+        self.write(self._rows(folder).join(keys.select(*self.key), self.key, "left_anti"), n)
 
 
 def unexpired(rows: DataFrame, now, column: str = "expires_at") -> DataFrame:

@@ -81,6 +81,16 @@ def top_actions(spark, d):
     return P.top_actions(_risky(spark, d))
 
 
+@query(f"with {_RISKY} select protocol, port::int as port, risk, ip, min(ord) as ord from rk group by all")
+def risk_group_hosts(spark, d):
+    return P.risk_group_hosts(_risky(spark, d))
+
+
+@query(f"with {_OPEN} select ip, protocol, port::int as port, count(*) as n from op group by all")
+def device_ports(spark, d):
+    return P.device_ports(_open(spark, d))
+
+
 @query(f"with {_OPEN} select ip, coalesce(arg_min(hostname, ord) filter (where hostname <> ''), '') as hostname, count(*) as n_ports from op group by ip")
 def device_summary(spark, d):
     return P.device_summary(_open(spark, d)).drop("ports")
@@ -450,7 +460,14 @@ def identity_tiers(spark, d):
 @query(f"with {B.DEVICES}, {_TIER_SQL}, m as ({_ALL_TIERS}) select 'new-device-observed' as event_type, device_id from c where device_id not in (select current_id from m) union all select 'previously-observed-device-not-observed', device_id from b where device_id not in (select base_id from m)")
 def unmatched_devices(spark, d):
     b, c = B.devices(spark, d)
-    return I.unmatched(b, c, I.tiered(b, c, _TIERS))
+    return I.unmatched(b, c, I.matched_ids(I.outcomes(b, c, _TIERS)))
+
+
+@query(f"""with {B.DEVICES}, {_TIER_SQL}, m as ({_ALL_TIERS}), w as (select *, count(*) over (partition by base_id) as nb, count(*) over (partition by current_id) as nc from m)
+select 'base' as side, base_id as device_id, rule, confidence, max(outcome) as outcome, max(case when nb = 1 and nc = 1 then current_id end) as partner_id, count(*) as n_links from w group by base_id, rule, confidence
+union all select 'current', current_id, rule, confidence, max(outcome), max(case when nb = 1 and nc = 1 then base_id end), count(*) from w group by current_id, rule, confidence""")
+def identity_outcomes(spark, d):
+    return I.outcomes(*B.devices(spark, d), _TIERS)
 
 
 @query(f"""with {B.DEVICES}, pr as (select b.device_id as base_id, c.device_id as current_id, b.names as bn, c.names as cn, b.ips as bi, c.ips as ci from b join c on substr(b.device_id, 2) = substr(c.device_id, 2))

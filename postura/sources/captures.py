@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from ipaddress import IPv4Address, IPv6Address
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = (
     "capture string, ord long, ts_ms double, orig_len long, src_mac string, dst_mac string, protocol string, src_ip string, dst_ip string, "
@@ -19,11 +20,12 @@ SCHEMA = (
 )
 #: First bytes of the classic format -> (byte order, parts of a second).
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
+# Kind of a name question by port.
 DNS_KINDS = {53: "dns", 5353: "mdns", 5355: "llmnr"}
 
 
 def frames(data: bytes) -> Iterator[tuple[float | None, int, bytes] | None]:
-    """(milliseconds, original length, bytes) of Ethernet frames; None marks a damaged end."""
+    """(milliseconds, original length, bytes) of frames, without bytes if they are not Ethernet; None marks a damaged end."""
     if data[:4] in MAGIC:
         order, unit = MAGIC[data[:4]]
         if len(data) < 24:
@@ -66,14 +68,13 @@ def _block_frames(data: bytes):
         elif kind == 6 and len(body) >= 20:
             link, high, low, kept, whole = struct.unpack_from(order + "IIIII", body)
             if link < len(links) and 20 + kept <= len(body):
-                if links[link][0] == 1:
-                    yield ((high << 32 | low) * 1000 / links[link][1], whole, body[20 : 20 + kept])
+                yield ((high << 32 | low) * 1000 / links[link][1], whole, body[20 : 20 + kept] if links[link][0] == 1 else b"")
             else:
                 yield None
                 return
-        elif kind == 3 and len(body) >= 4 and links and links[0][0] == 1:
+        elif kind == 3 and len(body) >= 4 and links:
             whole = struct.unpack_from(order + "I", body)[0]
-            yield (None, whole, body[4 : 4 + whole])
+            yield (None, whole, body[4 : 4 + whole] if links[0][0] == 1 else b"")
         at += size
 
 
@@ -158,39 +159,69 @@ def question(message: bytes) -> str | None:
     return ".".join(labels).lower() or None
 
 
-def packets(name: str, data: bytes) -> Iterator[tuple]:
-    """Rows of SCHEMA; of a damaged file the last one is marked truncated."""
+def packets(name: str, data: bytes, report: dict | None = None) -> Iterator[tuple]:
+    """Rows of SCHEMA; of a damaged file the last one is marked truncated.
+
+    report, if given, receives packets, ignored (frames too short or not
+    Ethernet) and truncated.
+    """
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    held, n = None, 0
+    report = {} if report is None else report
+    report |= {"packets": 0, "ignored": 0, "truncated": False}
+    held = None
     for f in frames(data):
         if f is None:
+            report["truncated"] = True
             if held:
                 held["truncated"] = True
             break
         if (row := decode(f[2])) is None:
+            report["ignored"] += 1
             continue
         if held:
             yield tuple(held[c] for c in columns)
-        held = {"capture": name, "ord": n, "ts_ms": f[0], "orig_len": f[1], "truncated": False} | row
-        n += 1
+        held = {"capture": name, "ord": report["packets"], "ts_ms": f[0], "orig_len": f[1], "truncated": False} | row
+        report["packets"] += 1
     if held:
         yield tuple(held[c] for c in columns)
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of all captures at a path; each file is decoded in the task that reads it."""
+def capture_rows(spark: SparkSession, path: str) -> DataFrame:
+    """SCHEMA with packets, ignored and error: the packets of all captures at a path, and a last row a file without ord that reports on it.
+
+    Each file is decoded in the task that reads it.  One that is no Ethernet
+    capture gives its report with an error and no packet.
+    """
     import itertools
 
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
+    shape = SCHEMA + ", packets long, ignored long, error string"
+    arrow = to_arrow_schema(StructType.fromDDL(shape))
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def decoded(batches):
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"]):
-                rows = packets(name, data)
-                while part := list(itertools.islice(rows, 50_000)):
-                    out = pd.DataFrame(part, columns=columns)
-                    yield out.astype({"src_port": "Int32", "dst_port": "Int32"})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decoded, SCHEMA)
+        for batch in batches:
+            for name, data in zip(batch.column("path"), batch.column("content")):
+                name, report, error = name.as_py(), {}, None
+                rows = packets(name, data.as_py(), report)
+                try:
+                    while part := list(itertools.islice(rows, 50_000)):
+                        yield pa.RecordBatch.from_pylist([dict(zip(columns, x)) for x in part], schema=arrow)
+                except ValueError as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_pylist([{"capture": name, "error": error} | report], schema=arrow)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decoded, shape)
+
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """Packets of all captures at a path; files that are none are told by capture_report."""
+    return capture_rows(spark, path).filter(F.col("ord").isNotNull()).drop("packets", "ignored", "error")
+
+
+def capture_report(rows: DataFrame) -> DataFrame:
+    """(capture, packets, ignored, truncated, error): one row a file, from capture_rows."""
+    return rows.filter(F.col("ord").isNull()).select("capture", "packets", "ignored", "truncated", "error")

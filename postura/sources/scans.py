@@ -27,10 +27,12 @@ def xml_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("xml"))
 
 
-def scan_hosts(documents: DataFrame) -> DataFrame:
-    """(file, error, host_ord, host): hosts that are not down; a file that is no scan gives one row with an error."""
+def scan_hosts(documents: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """(file, error, host_ord, host): hosts that are not down; a file that is no scan, or longer than max_bytes, gives one row with an error."""
     shaped = F.coalesce(F.col("xml").rlike(r"^\s*(<\?xml[^>]*\?>\s*)?(<!DOCTYPE[^>]*>\s*)?(<!--.*?-->\s*|<\?[^>]*\?>\s*)*<nmaprun[\s/>]"), F.lit(False)) & F.col("xml").rlike(r"(</nmaprun>|<nmaprun[^>]*/>)\s*$")
-    parsed = documents.withColumn("error", F.when(~shaped, "not a scan report")).withColumn("_x", F.when(shaped, F.from_xml("xml", _SCAN, {"attributePrefix": "_"})))
+    long = F.octet_length("xml") > F.lit(max_bytes) if max_bytes else F.lit(False)
+    error = F.when(long, "too large").when(~shaped, "not a scan report")
+    parsed = documents.withColumn("error", error).withColumn("_x", F.when(F.col("error").isNull(), F.from_xml("xml", _SCAN, {"attributePrefix": "_"})))
     rows = parsed.select("file", "error", F.posexplode_outer("_x.host").alias("host_ord", "host"))
     return rows.filter(F.col("error").isNotNull() | F.coalesce(F.col("host.status._state") == "up", F.col("host").isNotNull()))
 
@@ -49,8 +51,11 @@ def findings(documents: DataFrame) -> DataFrame:
 
 
 def host_records(documents: DataFrame) -> DataFrame:
-    """(file, host_ord, ips, macs, vendors, hostnames, open_ports): hosts with something to tell, for merging."""
-    hosts = scan_hosts(documents.filter(F.octet_length("xml") <= MAX_XML_BYTES)).filter(F.col("error").isNull())
+    """(file, host_ord, ips, macs, vendors, hostnames, open_ports): hosts with something to tell, for merging.
+
+    Files above MAX_XML_BYTES are told by scan_hosts(documents, MAX_XML_BYTES).
+    """
+    hosts = scan_hosts(documents, MAX_XML_BYTES).filter(F.col("error").isNull())
     kind = lambda k: F.filter(F.coalesce("host.address", F.array().cast("array<struct<_addr:string,_addrtype:string,_vendor:string>>")), lambda a: a["_addrtype"] == k)
     ports = F.filter("host.ports.port", lambda p: (p["state"]["_state"] == "open") & p["_portid"].try_cast("int").between(0, 65535))
     rows = hosts.select(
@@ -121,6 +126,7 @@ INVENTORY = {
     "hostnames": ("hostnames", "hostname", "host"), "status": ("status",), "notes": ("notes", "comment"), "security": ("securityrecs", "security"),
 }
 MAX_ROWS = 5000
+MAX_CSV_BYTES = 1 << 20
 
 
 def inventory_columns(header: list[str]) -> dict[str, int]:
@@ -136,22 +142,54 @@ def inventory_columns(header: list[str]) -> dict[str, int]:
     return found
 
 
+def inventory_rows(spark: SparkSession, path: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_CSV_BYTES) -> DataFrame:
+    """(file, line, device, mac, vendor, ip, hostnames, status, notes, security, error): rows with an address or MAC.
+
+    The first line of a file with any value is its header, so files of one
+    path may order their columns differently.  A file above a limit gives one
+    row with an error and no other; the limits make it small, so each is read
+    whole in one task.
+    """
+    import pandas as pd
+
+    columns = ["file", "line", *INVENTORY, "error"]
+
+    def parsed(batches):
+        import csv
+        import io
+
+        for pdf in batches:
+            for where, size, content in zip(pdf["path"], pdf["length"], pdf["content"]):
+                error, rows = None, []
+                if size > max_bytes:
+                    error = "too large"
+                else:
+                    lines = csv.reader(io.StringIO(bytes(content).decode("utf-8-sig", "replace"), newline=""), skipinitialspace=True)
+                    live = [[v.strip() for v in x] for x in lines if any(v.strip() for v in x)]
+                    if len(live) - 1 > max_rows:
+                        error = "too many rows"
+                    elif live:
+                        at = inventory_columns(live[0])
+                        for n, x in enumerate(live[1:]):
+                            row = {k: x[at[k]] if k in at and at[k] < len(x) else "" for k in INVENTORY}
+                            if row["ip"] or row["mac"]:
+                                rows.append({"file": where, "line": n} | row)
+                if error:
+                    rows = [{"file": where, "error": error}]
+                yield pd.DataFrame(rows, columns=columns).astype({"line": "Int64"} | dict.fromkeys([c for c in columns if c != "line"], object))
+
+    files = spark.read.format("binaryFile").load(path)
+    # content of a file above the limit isn't sent to Python
+    files = files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    rows = files.mapInPandas(parsed, "file string, line long, " + ", ".join(f"{k} string" for k in INVENTORY) + ", error string")
+    status = F.when(F.col("status") == "", "unknown").otherwise(F.col("status"))
+    return rows.withColumn("mac", mac("mac", invalid="keep")).withColumn("status", status)
+
+
 def inventory_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, device, mac, vendor, ip, hostnames, status, notes, security) of rows with an address or MAC."""
-    import csv
-
-    raw = spark.read.text(path).filter(F.regexp_replace("value", r"[,\s﻿]", "") != "")
-    first = raw.limit(1).collect()  # the header line
-    if not first:
-        return spark.createDataFrame([], "ord long, " + ", ".join(f"{k} string" for k in INVENTORY))
-    header = next(csv.reader([first[0]["value"].lstrip("﻿")]))
-    at = inventory_columns(header)
-    schema = ", ".join(f"c{i} string" for i in range(len(header)))
-    rows = spark.read.csv(path, schema=schema, header=False, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).withColumn("ord", F.monotonically_increasing_id())
-    got = rows.select("ord", *[(F.coalesce(F.trim(f"c{at[k]}"), F.lit("")) if k in at else F.lit("")).alias(k) for k in INVENTORY], F.concat_ws(",", *[f"c{i}" for i in range(len(header))]).alias("_all"))
-    same = F.concat_ws(",", *[F.lit(h.strip()) for h in header])
-    got = got.filter(F.regexp_replace("_all", "﻿", "") != same).drop("_all").filter((F.col("ip") != "") | (F.col("mac") != ""))
-    return got.withColumn("mac", mac("mac", invalid="keep")).withColumn("status", F.when(F.col("status") == "", "unknown").otherwise(F.col("status")))
+    """(ord, device, mac, vendor, ip, hostnames, status, notes, security) of inventory_rows without errors; ord follows the file's name and line."""
+    rows = inventory_rows(spark, path).filter(F.col("error").isNull())
+    return rows.select(F.struct("file", "line").alias("ord"), *INVENTORY)
 
 
 def archive_members(spark: SparkSession, path: str, max_entries: int = 2000, max_bytes: int = 250 << 20) -> DataFrame:

@@ -31,11 +31,18 @@ def first_observations(rows: DataFrame, late: str = "1 day") -> DataFrame:
     return rows.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def fixed_windows(requests: DataFrame, most: int = 20, seconds: int = 60) -> DataFrame:
-    """(identity, at, allowed): at most so many requests in a window that starts with an identity's first request."""
+def fixed_windows(requests: DataFrame, most: int = 20, seconds: int = 60, late: str = "5 minutes") -> DataFrame:
+    """(identity, at, allowed): at most so many requests in a window that starts with an identity's first request.
+
+    Requests later than the watermark are left out; an identity's state goes
+    once the watermark has passed its window.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def count(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, n = state.get if state.exists else (None, 0)
         for pdf in batches:
             pdf = pdf.sort_values("at")
@@ -48,5 +55,6 @@ def fixed_windows(requests: DataFrame, most: int = 20, seconds: int = 60) -> Dat
                 allowed.append(n <= most)
             yield pd.DataFrame({"identity": key[0], "at": pdf["at"].to_numpy(), "allowed": allowed})
         state.update((start, n))
+        state.setTimeoutTimestamp(max(start + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return requests.groupBy("identity").applyInPandasWithState(count, "identity string, at timestamp, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+    return requests.withWatermark("at", late).groupBy("identity").applyInPandasWithState(count, "identity string, at timestamp, allowed boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)

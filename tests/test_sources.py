@@ -9,7 +9,7 @@ from postura.operators import findings as P
 from postura.operators import identity as I
 from postura.operators import observations as T
 from postura.operators import traffic as N
-from postura.operators.tables import KeyedTable
+from postura.operators.tables import ConcurrentChange, KeyedTable
 from postura.sources import captures, scans, sinks
 
 SCAN = """<?xml version="1.0"?><nmaprun><host><status state="up"/><address addr="192.0.2.5" addrtype="ipv4"/><address addr="02:00:00:aa:bb:cc" addrtype="mac" vendor="Acme &amp; Co"/>
@@ -35,6 +35,7 @@ def test_scan_reports(spark, tmp_path):
     assert [(r.ip, r.hostname, r.protocol, r.port, r.state, r.service) for r in rows] == [
         ("192.0.2.5", "nas", "tcp", 80, "open", "http"), ("192.0.2.5", "nas", "tcp", 23, "closed", ""), ("192.0.2.5", "nas", "tcp", 0, "open", ""), ("192.0.2.7", "", "udp", 53, "open", "")]
     assert scans.scan_hosts(docs).filter("error is not null").count() == 2
+    assert [r.error for r in scans.scan_hosts(docs, 100).filter("file like '%a.xml'").collect()] == ["too large"]
     (one, two) = scans.host_records(docs).orderBy("host_ord").collect()
     assert one.macs == ["02:00:00:AA:BB:CC"] and one.vendors == ["Acme & Co"] and [p.port for p in one.open_ports] == [80] and two.ips == ["192.0.2.7"]
     assert [r.port for r in P.top_ports(P.open_ports(scans.findings(docs)), 2).collect()] == [0, 53]
@@ -74,6 +75,12 @@ def test_inventory(spark, tmp_path):
     path = write(tmp_path, "i.csv", '\n,,,\nDevice,MAC Address,Vendor,IP Address,Hostnames,Status,Notes\nNas,02-00-00-aa-bb-cc,"Acme, Inc",192.0.2.5,nas,,"say ""hi"""\n,,,,,,\nX,,,,,,\nY,odd,,192.0.2.6,,active,\n')
     rows = scans.inventory_csv(spark, path).orderBy("ord").collect()
     assert [(r.device, r.mac, r.vendor, r.ip, r.status, r.notes) for r in rows] == [("Nas", "02:00:00:AA:BB:CC", "Acme, Inc", "192.0.2.5", "unknown", 'say "hi"'), ("Y", "odd", "", "192.0.2.6", "active", "")]
+    write(tmp_path, "inv/a.csv", "IP,Device\n192.0.2.1,A\n")
+    write(tmp_path, "inv/b.csv", "Device,IP\nB,192.0.2.2\nIP,Device\n")
+    write(tmp_path, "inv/c.csv", "IP\n" + "192.0.2.3\n" * 5001)
+    write(tmp_path, "inv/d.csv", "IP\n192.0.2.4," + "x" * (1 << 20))
+    rows = scans.inventory_rows(spark, str(tmp_path / "inv")).collect()
+    assert {(r.file.rsplit("/")[-1], r.device, r.ip, r.error) for r in rows} == {("a.csv", "A", "192.0.2.1", None), ("b.csv", "B", "192.0.2.2", None), ("b.csv", "IP", "Device", None), ("c.csv", None, None, "too many rows"), ("d.csv", None, None, "too large")}
 
 
 A, B, R = bytes.fromhex("020000000001"), bytes.fromhex("020000000002"), bytes.fromhex("0200000000ff")
@@ -123,6 +130,17 @@ def test_captures(spark, tmp_path, data):
         list(captures.packets("x", b"garbage garbage garbage"))
 
 
+def test_files_that_are_no_captures(spark, tmp_path):
+    block = lambda kind, body: struct.pack("<II", kind, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
+    radio = pcapng() + block(1, struct.pack("<HHI", 105, 0, 0)) + block(6, struct.pack("<IIIII", 1, 0, 5, 20, 20) + bytes(20))
+    for name, data in (("good.pcap", pcap()), ("cut.pcap", pcap()[:-7]), ("none.pcap", b"garbage garbage garbage"), ("radio.pcapng", radio), ("empty.pcap", pcap()[:24])):
+        write(tmp_path, name, data)
+    rows = captures.capture_rows(spark, str(tmp_path)).cache()
+    got = {r.capture.rsplit("/")[-1]: (r.packets, r.ignored, r.truncated, r.error) for r in captures.capture_report(rows).collect()}
+    assert got == {"good.pcap": (4, 0, False, None), "cut.pcap": (3, 0, True, None), "none.pcap": (0, 0, False, "not a capture"), "radio.pcapng": (4, 1, False, None), "empty.pcap": (0, 0, False, None)}
+    assert rows.filter("ord is not null").count() == 11 == captures.read_captures(spark, str(tmp_path)).count()
+
+
 def test_flows_of_a_capture(spark, tmp_path):
     packets = captures.read_captures(spark, write(tmp_path, "c.pcap", pcap())).withColumn("ts", F.timestamp_millis(F.col("ts_ms").cast("long")))
     flows = {r.protocol: r for r in N.flows(packets).collect()}
@@ -140,6 +158,38 @@ def test_keyed_table(spark, tmp_path):
     t.upsert(spark.createDataFrame([("b", 7, 1)], "k string, v long, seq long"), "seq")
     t.delete(spark.createDataFrame([("c",)], "k string"))
     assert {r.k: r.v for r in t.read().collect()} == {"a": 1, "b": 7}
+    late = KeyedTable(spark, str(tmp_path / "t"), "k string, v long, seq long", ["k"])
+    seen, rows = late._newest()[0], late.read()
+    t.upsert(spark.createDataFrame([("z", 5, 1)], "k string, v long, seq long"), "seq")
+    with pytest.raises(ConcurrentChange):
+        late.write(rows.limit(0), seen)
+    assert {r.k: r.v for r in t.read().collect()} == {"a": 1, "b": 7, "z": 5}
+
+
+def test_outcomes_equal_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    side = lambda p, n: [(f"{p}{i}", [f"m{rng.randrange(14)}" for _ in range(rng.randrange(3))] if i % 4 else [f"u{i}"], [f"n{rng.randrange(40)}"] if i % 3 else None) for i in range(n)]
+    shape = "device_id string, macs array<string>, names array<string>"
+    b, c = spark.createDataFrame(side("b", 30), shape), spark.createDataFrame(side("c", 25), shape)
+    tiers = {"mac": "macs", "hostname-vendor": "names"}
+    pairs = I.tiered(b, c, tiers).collect()
+    got = {(r.side, r.device_id): r for r in I.outcomes(b, c, tiers).collect()}
+    assert {("base", r.base_id) for r in pairs} | {("current", r.current_id) for r in pairs} == set(got)
+    assert {r.base_id: r.current_id for r in pairs if r.outcome == "confirmed"} == {d: r.partner_id for (s, d), r in got.items() if s == "base" and r.outcome == "confirmed"}
+    for s, key in (("base", "base_id"), ("current", "current_id")):
+        for d in {r[key] for r in pairs}:
+            assert got[s, d].n_links == sum(len(r.shared) for r in pairs if r[key] == d)
+    assert any(r.outcome == "confirmed" for r in pairs) and any(r.outcome == "uncertain" for r in pairs)
+
+
+def test_known_devices_and_inventory(spark):
+    hosts = spark.createDataFrame([("m1", "i1"), ("m1", "i1"), (None, "i2"), (None, None), ("m9", "i9")], "mac string, ip string")
+    inv = spark.createDataFrame([(1, "M1", None, "one"), (2, None, "i2", "two")], "ord long, mac string, ip string, item string")
+    assert sorted(r.ip for r in I.known(hosts, inv).collect()) == ["i1", "i1", "i2"]
+    listed = hosts.select("mac", F.array("ip").alias("ips"))
+    assert sorted(str(r.item) for r in I.inventory_match(listed, inv).collect()) == ["None", "None", "one", "one", "two"]
 
 
 def test_merging_records(spark):
