@@ -87,7 +87,7 @@ def outcomes(base: DataFrame, current: DataFrame, tiers: dict[str, str]) -> Data
             held.append(rows.filter(F.col("device_id").isNotNull()).select("device_id", F.explode(F.array_distinct(tiers[rule])).alias("k")).filter(F.col("k").isNotNull()))
         b, c = held
         count = lambda rows, side: rows.groupBy("k").agg(F.count("*").alias(f"n_{side}"), F.min("device_id").alias(f"one_{side}"))
-        keys = saved(count(b, "base").join(count(c, "current"), "k"), "keys")
+        keys = count(b, "base").join(count(c, "current"), "k")
         alone = (F.col("n_base") == 1) & (F.col("n_current") == 1)
 
         def side_of(rows: DataFrame, name: str, other: str) -> DataFrame:
