@@ -89,9 +89,9 @@ def coverage_status(score: Column, missing: Column) -> Column:
 def bundles(rows: DataFrame, column: str = "json") -> DataFrame:
     """rows with error and the cleaned parts of an observation bundle: observation_id, site, batch, vantage, coverage, sources, devices, notes.
 
-    error is null for a bundle; else too large (a null text counts as that if
-    rows has a length), not JSON, another version, or a part that is missing;
-    the parts are null then.  Lists are cut before their elements are looked
+    error is null for a bundle; else too large (a null text with a length counts
+    as that, see json_files), not JSON, another version, or a part that is
+    missing; the parts are null then.  Lists are cut before their elements are looked
     at, so rows stay below the limits.
     """
     v = F.col("_v")
@@ -103,7 +103,7 @@ def bundles(rows: DataFrame, column: str = "json") -> DataFrame:
     first = lambda name, n: F.filter(F.slice(_array(v, name), 1, n), lambda x: _is(x, "OBJECT"))
     long = F.octet_length(column) > MAX_BUNDLE_BYTES
     if "length" in rows.columns:
-        long = long | (F.col("length") > MAX_BUNDLE_BYTES)
+        long = long | (F.col("length") > MAX_BUNDLE_BYTES) | (F.col(column).isNull() & F.col("length").isNotNull())
     error = F.when(F.coalesce(long, F.lit(False)), "too large").when(v.isNull(), "not JSON").when(~F.coalesce(_text(v, "schemaVersion").rlike(BUNDLE_VERSION), F.lit(False)), "not a bundle")
     error = error.when(~objects, "part missing").when(~lists, "list missing").when(F.size(first("sources", MAX_SOURCES)) == 0, "no sources")
     rows = rows.withColumn("error", error)
@@ -184,7 +184,7 @@ def analyses(rows: DataFrame, column: str = "json") -> DataFrame:
     categories = lambda x: F.transform(F.slice(_array(x, "categories"), 1, 16), lambda t: category(_text(t)))
     long = F.coalesce(F.octet_length(column) > MAX_ANALYSIS_BYTES, F.lit(False))
     if "length" in rows.columns:
-        long = long | (F.col("length") > MAX_ANALYSIS_BYTES)
+        long = long | (F.col("length") > MAX_ANALYSIS_BYTES) | (F.col(column).isNull() & F.col("length").isNotNull())
     shaped = F.coalesce(_number(v, "version") == 1, F.lit(False)) & _is(_at(v, "meta"), "OBJECT")
     error = F.when(long, "too large").when(v.isNull(), "not JSON").when(~shaped, "not an analysis").when(F.size(some("devices")) + F.size(some("flows")) == 0, "empty analysis")
     rows = rows.withColumn("error", error)
