@@ -1,5 +1,6 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
+from .centroids import OP13_SQL, op13_centroid_clusters
 from .decontaminate import OP4_SQL, op4_decontamination
 from .language import op2_language_id
 from .minhash import op9_minhash_dedup
@@ -22,9 +23,11 @@ QUERIES = {
     "op8_repeated_bytes": op8_repeated_bytes,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_surrogates": op10_surrogates,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
     "op4_decontamination": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op13_centroid_clusters": OP13_SQL,
 }
