@@ -5,6 +5,7 @@ from .decontaminate import OP4_SQL, op4_decontamination
 from .language import op2_language_id
 from .minhash import op9_minhash_dedup
 from .packing import op7_best_fit_packing
+from .prefixes import OP12_SQL, op12_conversation_trie
 from .private import op10_surrogates
 from .quality import OP5_SQL, op5_quality_rules
 from .repeats import op8_repeated_bytes
@@ -23,11 +24,13 @@ QUERIES = {
     "op8_repeated_bytes": op8_repeated_bytes,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_surrogates": op10_surrogates,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
     "op4_decontamination": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op12_conversation_trie": OP12_SQL,
     "op13_centroid_clusters": OP13_SQL,
 }
