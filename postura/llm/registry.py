@@ -1,5 +1,6 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
+from .archives import OP11_SQL, op11_warc_histories
 from .centroids import OP13_SQL, op13_centroid_clusters
 from .decontaminate import OP4_SQL, op4_decontamination
 from .language import op2_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_repeated_bytes": op8_repeated_bytes,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_surrogates": op10_surrogates,
+    "op11_warc_histories": op11_warc_histories,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
@@ -31,6 +33,7 @@ ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
     "op4_decontamination": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op11_warc_histories": OP11_SQL,
     "op12_conversation_trie": OP12_SQL,
     "op13_centroid_clusters": OP13_SQL,
 }
