@@ -14,81 +14,24 @@ from ipaddress import IPv4Address, IPv6Address
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .capture_records import Held, Walk, layout, walk
+
 SCHEMA = (
     "capture string, ord long, ts_ms double, orig_len long, src_mac string, dst_mac string, protocol string, src_ip string, dst_ip string, "
     "src_port int, dst_port int, src_local boolean, dst_local boolean, dst_broadcast boolean, dst_mac_broadcast boolean, dns_name string, dns_kind string, truncated boolean"
 )
-#: First bytes of the classic format -> (byte order, parts of a second).
-MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
 # Kind of a name question by port.
 DNS_KINDS = {53: "dns", 5353: "mdns", 5355: "llmnr"}
 
 
 def frames(data: bytes) -> Iterator[tuple[float | None, int, bytes] | None]:
     """(milliseconds, original length, bytes) of frames, without bytes if they are not Ethernet; None marks a damaged end."""
-    if data[:4] in MAGIC:
-        order, unit = MAGIC[data[:4]]
-        if len(data) < 24:
-            yield None
-            return
-        if struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF != 1:
-            raise ValueError("not an Ethernet capture")
-        at = 24
-        while at < len(data):
-            if at + 16 > len(data):
-                yield None
-                return
-            s, part, kept, whole = struct.unpack_from(order + "IIII", data, at)
-            if at + 16 + kept > len(data):
-                yield None
-                return
-            yield (s * 1000 + part * 1000 / unit, whole or kept, data[at + 16 : at + 16 + kept])
-            at += 16 + kept
-    elif data[:4] == b"\x0a\x0d\x0d\x0a":
-        yield from _block_frames(data)
-    else:
-        raise ValueError("not a capture")
-
-
-def _block_frames(data: bytes):
-    at, order, links = 0, "<", []
-    while at < len(data):
-        if at + 12 > len(data):
-            yield None
-            return
-        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-            order, links = ("<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if size < 12 or size % 4 or at + size > len(data):
-            yield None
-            return
-        body = data[at + 8 : at + size - 4]
-        if kind == 1 and len(body) >= 8:
-            links.append((struct.unpack_from(order + "H", body)[0], _resolution(body[8:], order)))
-        elif kind == 6 and len(body) >= 20:
-            link, high, low, kept, whole = struct.unpack_from(order + "IIIII", body)
-            if link < len(links) and 20 + kept <= len(body):
-                yield ((high << 32 | low) * 1000 / links[link][1], whole, body[20 : 20 + kept] if links[link][0] == 1 else b"")
-            else:
-                yield None
-                return
-        elif kind == 3 and len(body) >= 4 and links:
-            whole = struct.unpack_from(order + "I", body)[0]
-            yield (None, whole, body[4 : 4 + whole] if links[0][0] == 1 else b"")
-        at += size
-
-
-def _resolution(options: bytes, order: str) -> int:
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack_from(order + "HH", options, at)
-        if code == 0:
-            break
-        if code == 9 and size >= 1:
-            x = options[at + 4]
-            return 2 ** (x & 127) if x & 128 else 10**x
-        at += 4 + size + -size % 4
-    return 10**6
+    held, told = Held(data), Walk(0)
+    shape = layout(held)
+    for _, at, whole, place, kept in walk(held, shape, shape.first, held.size, told):
+        yield at, whole, data[place : place + kept]
+    if told.damaged:
+        yield None
 
 
 def _mac(b: bytes) -> str:
