@@ -72,7 +72,7 @@ def end_text(ip: str, mac: str, port: str) -> Column:
 def flow_keys(packets: DataFrame) -> DataFrame:
     """packets with flow_key, the same for both directions; broadcasts keep theirs."""
     a = end_text("src_ip", "src_mac", "src_port")
-    b = F.when(F.col("dst_broadcast"), F.lit("broadcast")).otherwise(end_text("dst_ip", "dst_mac", "dst_port"))
+    b = F.when(F.col("dst_broadcast"), F.concat(F.lit("broadcast#"), F.coalesce(F.col("dst_port").cast("string"), F.lit("")))).otherwise(end_text("dst_ip", "dst_mac", "dst_port"))
     low, high = F.when(F.col("dst_broadcast") | (a <= b), a).otherwise(b), F.when(F.col("dst_broadcast") | (a <= b), b).otherwise(a)
     return packets.withColumn("_from", a).withColumn("flow_key", F.concat_ws("|", "protocol", low, high))
 

@@ -100,7 +100,7 @@ p as (select l_orderkey * 10 + l_linenumber as ord, l_shipdate as ts, cast(round
   case when q % 4 = 0 then 'n' || (l_partkey % 50) end as dns_name, case when q % 4 = 0 then 'dns' end as dns_kind from l)"""
 
 FLOWS = """
-k as (select *, src_ip || '#' || src_port as a, case when dst_broadcast then 'broadcast' else dst_ip || '#' || dst_port end as b from p),
+k as (select *, src_ip || '#' || src_port as a, case when dst_broadcast then 'broadcast#' || dst_port else dst_ip || '#' || dst_port end as b from p),
 kk as (select *, protocol || '|' || case when dst_broadcast or a <= b then a || '|' || b else b || '|' || a end as flow_key from k),
 fl as (select flow_key, protocol, arg_min(src_mac, ord) as src_mac, arg_min(dst_mac, ord) as dst_mac, arg_min(src_ip, ord) as src_ip, arg_min(dst_ip, ord) as dst_ip, arg_min(src_port, ord) as src_port, arg_min(dst_port, ord) as dst_port,
     arg_min(src_local, ord) as src_local, arg_min(dst_local, ord) as dst_local, arg_min(dst_broadcast, ord) as dst_broadcast,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inventory as V
+from ..operators import limits as M
 from . import bridges as B
 from .registry import query
 
@@ -50,3 +51,27 @@ def inventory_import(spark, d):
     held, new = _items(spark, d)
     rows = V.imported(held, new, F.to_timestamp(F.lit("2026-02-01 00:00:00")))
     return rows.select("network", "id", "device", "mac", "ip", (F.col("updated_at") > F.col("added_at")).alias("updated"))
+
+
+# limits of a capture
+
+
+_LIMITS = {"flow": 1500, "host": 90, "endpoint": 400, "name": 30}
+_MOST = 15_000
+_KINDS = " union all ".join(f"select capture, '{kind}' as kind, {k} as k, ord * 2 + {back} as seq from kk where {when}" for kind, k, back, when in (
+    ("flow", "flow_key", 0, "true"), ("host", "src_mac", 0, "true"), ("host", "dst_mac", 1, "not dst_mac_broadcast"), ("endpoint", "src_ip", 0, "not src_local"), ("endpoint", "dst_ip", 1, "not dst_local and not dst_broadcast"), ("name", "dns_kind || '|' || dns_name", 0, "dns_name is not null")))
+
+
+@query(f"""with {B.PACKETS.replace(" as ord,", " as ord, 'c' || (l_orderkey % 7)::int // 3 as capture,")},
+n as (select capture, count(*) as n from p group by 1), ct as (select capture, ord as cut from p qualify row_number() over (partition by capture order by ord) = {_MOST}), pp as (select p.* from p left join ct using (capture) where cut is null or ord <= cut),
+k as (select *, src_ip || '#' || src_port as a, case when dst_broadcast then 'broadcast#' || dst_port else dst_ip || '#' || dst_port end as b from pp),
+kk as (select *, protocol || '|' || case when dst_broadcast or a <= b then a || '|' || b else b || '|' || a end as flow_key from k),
+u as ({_KINDS}), y as (select capture, kind, k, min(seq) as first, count(*) as uses from u group by all),
+r as (select *, row_number() over (partition by capture, kind order by first, k) <= case kind {" ".join(f"when '{k}' then {v}" for k, v in _LIMITS.items())} end as t from y)
+select capture, kind, count(*) filter (where t) as tracked, count(*) filter (where not t) as dropped, coalesce(sum(uses) filter (where t), 0)::bigint as uses, coalesce(sum(uses) filter (where not t), 0)::bigint as dropped_uses,
+  kind <> 'host' and count(*) filter (where not t) > 0 as truncated from r group by capture, kind
+union all select capture, 'packet', least(n, {_MOST}), greatest(n - {_MOST}, 0), least(n, {_MOST}), greatest(n - {_MOST}, 0), n >= {_MOST} from n""")
+def capture_limits(spark, d):
+    packets = B.packets(spark, d)
+    capture = F.concat(F.lit("c"), F.floor((F.floor(F.col("ord") / 10) % 7) / 3).cast("string"))
+    return M.limit_counts(packets.withColumn("capture", capture), _MOST, _LIMITS)

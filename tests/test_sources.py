@@ -145,7 +145,7 @@ def test_flows_of_a_capture(spark, tmp_path):
     packets = captures.read_captures(spark, write(tmp_path, "c.pcap", pcap())).withColumn("ts", F.timestamp_millis(F.col("ts_ms").cast("long")))
     flows = {r.protocol: r for r in N.flows(packets).collect()}
     assert flows["tcp"].packets == 2 and flows["tcp"].bytes_from_initiator == len(frames()[0]) and flows["tcp"].src_ip == "192.168.1.10"
-    assert flows["arp"].flow_key.endswith("broadcast")
+    assert flows["arp"].flow_key.endswith("broadcast#")
     hosts = {r.mac: r for r in N.host_traffic(packets).collect()}
     assert hosts["02:00:00:00:00:01"].packets_sent == 2 and hosts["02:00:00:00:00:01"].external_peers == 1 and "FF:FF:FF:FF:FF:FF" not in hosts
     assert N.gateway(packets).first().mac == "02:00:00:00:00:FF"
