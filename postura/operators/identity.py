@@ -27,12 +27,6 @@ EVENT_RANK = {
 }
 
 
-def explicit_id(c: Column) -> Column:
-    """Ids somebody gave: not generated, not unknown, not made of an address."""
-    made = c.rlike("^dev-[0-9a-f]{12}$") | (c == "unknown") | c.rlike(r"(^|[^0-9])\d{1,3}([._-]\d{1,3}){3}($|[^0-9])") | c.rlike("^[0-9a-fA-F]{0,4}(:[0-9a-fA-F]{0,4}){2,7}$")
-    return F.when(~made, c)
-
-
 def candidates(base: DataFrame, current: DataFrame, keys: str) -> DataFrame:
     """(base_id, current_id, shared): pairs with a key in common, keys sorted; one row a pair."""
     b = base.select(F.col("device_id").alias("base_id"), F.explode(F.array_distinct(keys)).alias("k")).filter(F.col("k").isNotNull())

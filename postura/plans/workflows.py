@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import canonical as K
+from ..operators import device_keys as D
+from ..operators import identity as I
 from ..operators import inventory as V
 from ..operators import limits as M
+from ..operators.identity import TIERS
 from . import bridges as B
 from .registry import query
 
@@ -75,3 +79,102 @@ def capture_limits(spark, d):
     packets = B.packets(spark, d)
     capture = F.concat(F.lit("c"), F.floor((F.floor(F.col("ord") / 10) % 7) / 3).cast("string"))
     return M.limit_counts(packets.withColumn("capture", capture), _MOST, _LIMITS)
+
+
+# canonical forms and ids
+
+
+@query(r"""with t as (select conv_id, turn, role, to_json(text)::varchar as s, len(text) as n from conversations)
+select conv_id, turn, sha256('{"a":[' || s || ',{"x":null,"y":' || n || '.5},[]],"b":{"A":true,"b":{"deep":[1,[2,{"k":' || s || '}]]},"é":' || (n * 10) || '},"role":"' || role || '","turn":' || turn || '}') as json_sha,
+  'chg-' || substr(sha256('{"at":[{"n":' || n || '}],"text":' || s || '}'), 1, 16) as event_id from t""")
+def canonical_documents(spark, d):
+    t = B.read(spark, d, "conversations")
+    s, n = F.to_json(F.array("text")), F.length("text").cast("string")
+    s = F.substr(s, F.lit(2), F.length(s) - 2)
+    cat = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    part = cat('{"\\u00e9": ', n, '0, "b": {"deep": [1.0, [2, {"k": ', s, '}]]} , "A": true}')
+    arr = cat('[', s, ', {"y": ', n, '.50, "x": null}, [ ]]')
+    turn, role = F.col("turn").cast("string"), F.col("role")
+    spelled = F.when(F.col("turn") % 2 == 0, cat('{"turn": ', turn, ', "b": ', part, ', "a": ', arr, ', "role": "', role, '"}')).otherwise(cat('{"role":"', role, '","a":', arr, ',"turn":', turn, '.0,"b":', part, '}'))
+    seed = F.struct(F.col("text"), F.array(F.struct(F.length("text").alias("n"))).alias("at"))
+    return t.select("conv_id", "turn", K.content_hash(spelled).alias("json_sha"), K.event_id(seed).alias("event_id"))
+
+
+@query(r"""with x as (select o_orderkey, o_custkey, o_orderdate, '  Site  ' || (o_custkey % 50) || ' ÄB' as site, case when o_custkey % 9 = 0 then '' else 'N--' || (o_custkey % 7) || '..' end as network, sha256(o_orderkey::varchar) as h from orders),
+y as (select *, regexp_replace(regexp_replace(regexp_replace(lower(case when network = '' then 'unknown' else network end), '[^a-z0-9]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') as nw,
+  regexp_replace(regexp_replace(regexp_replace(lower(case when o_custkey % 4 = 0 then network else site end), '[^a-z0-9_-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') as st from x)
+select o_orderkey, 'dresp_' || substr(sha256('site ' || (o_custkey % 50) || ' äb|mac-address|' || h), 1, 32) as response_id,
+  'obs_' || case when o_custkey % 6 = 0 then 'undated' else strftime(o_orderdate, '%Y%m%d') end || '_' || case when st = '' then 'site' else st end || '_' || h as registry_id,
+  substr(nw, 1, 32) || '_' || case when o_custkey % 6 = 0 then 'notime' else strftime(o_orderdate, '%Y-%m-%dT%H-%M-%S') end || '_rawscan_' || substr(sha256(h || ':' || h), 1, 12) as run_uid from y""")
+def stable_ids(spark, d):
+    k = F.col("o_custkey")
+    at = F.when(k % 6 != 0, F.col("o_orderdate"))
+    x = B.read(spark, d, "orders").select(
+        "o_orderkey", at.alias("at"), F.concat(F.lit("  Site  "), (k % 50).cast("string"), F.lit(" ÄB")).alias("site"), F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("N--"), (k % 7).cast("string"), F.lit(".."))).alias("network"),
+        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("h"), (k % 4 == 0).alias("unnamed"))
+    return x.select(
+        "o_orderkey", K.response_id("site", F.lit("mac-address"), "h").alias("response_id"),
+        K.registry_id(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.when(F.col("unnamed"), "").otherwise(F.col("site")), "network", "h").alias("registry_id"),
+        K.run_uid("network", "at", F.lit("RawScan"), K.combined_hash(F.array("h", "h"))).alias("run_uid"))
+
+
+# keys of devices
+
+
+_IDS = ("NAS {k}", "dev-{h}", "printer-10.0.{m}.7", "cam_192-168-1-{m}", "v1.2.300.{m}", "fe80::{m} lab", "a:b:{m}", "abcde:f:{m}", "unit ab:cd", "dev-unknown", " Tv   {k} ", "")
+
+
+def _keyed_devices(spark, d, side: int):
+    """customers as devices of one of two observations, with ids of many kinds and evidence."""
+    c, k = B.read(spark, d, "customer"), F.col("c_custkey")
+    cat = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    m, h = k % 250, F.substring(F.sha2(k.cast("string"), 256), 1, 12)
+    ids = [cat("NAS ", k), cat("dev-", h), cat("printer-10.0.", m, ".7"), cat("cam_192-168-1-", m), cat("v1.2.300.", m), cat("fe80::", m, " lab"), cat("a:b:", m), cat("abcde:f:", m), F.lit("unit ab:cd"), F.lit("dev-unknown"), cat(" Tv   ", k), F.lit("")]
+    own = F.get(F.array(*ids), ((k + F.lit(side) * (k % 3)) % 12).cast("int"))
+    digits = F.upper(F.lpad(F.hex(k), 12, "0"))
+    e = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    told = F.filter(F.array(F.when(k % 4 == side, e("mac-address", digits)), F.when(k % 5 == 0, e("mac-address", cat("sha256:", F.sha2(k.cast("string"), 256)))), e("hostname", digits)), lambda x: x.isNotNull())
+    array = lambda *p: F.filter(F.array(*p), lambda x: x.isNotNull())
+    return c.filter(k % (11 + 2 * side) != 0).select(
+        cat("bc"[side], k).alias("row"), own.alias("device_id"), array(F.when(k % 4 == 1 - side, F.lower(F.regexp_replace(digits, "(..)(?=.)", "$1-"))), F.when(k % 50 == 0, "short")).alias("macs"),
+        array(cat("Host ", m), F.when(k % 2 == 0, "alt")).alias("hostnames"), array(F.col("c_mktsegment"), F.when(k % 7 == 0, " ")).alias("vendors"), array(cat("10.0.0.", k % 400)).alias("ips"), told.alias("evidence"),
+    )
+
+
+def _keyed_sql(side: int) -> str:
+    spelled = "([" + ", ".join("'" + x.replace("{k}", "' || c_custkey || '").replace("{m}", "' || (c_custkey % 250) || '").replace("{h}", "' || substr(sha256(c_custkey::varchar), 1, 12) || '") + "'" for x in _IDS) + "])"
+    pairs = "regexp_replace(lower(lpad(printf('%x', c_custkey), 12, '0')), '(..)', '\\1:', 'g')[1:17]"
+    t = "bc"[side]
+    return f"""{t}0 as (select c_custkey as n, '{t}' || c_custkey as row, trim(regexp_replace(lower({spelled}[((c_custkey + {side} * (c_custkey % 3)) % 12 + 1)::int]), '\\s+', ' ', 'g')) as t, {pairs} as m, c_mktsegment as v from customer where c_custkey % {11 + 2 * side} <> 0),
+{t} as (select row as device_id, case when t = '' or t like 'dev-%' or regexp_matches(t, '^(printer|cam)') or regexp_matches(t, '^(fe80|a:b)') then []::varchar[] else [t] end as ids,
+  case when n % 4 in (0, 1) then [m] else []::varchar[] end as macs, case when n % 5 = 0 then ['hash:' || sha256(n::varchar)] else []::varchar[] end as hashed,
+  list_sort(case when n % 2 = 0 then ['alt|' || lower(v), 'host ' || (n % 250) || '|' || lower(v)] else ['host ' || (n % 250) || '|' || lower(v)] end) as names, ['10.0.0.' || (n % 400)] as ips from {t}0)"""
+
+
+@query(f"with {_keyed_sql(0)} select device_id as row, array_to_string(ids, ',') as ids, array_to_string(macs, ',') as macs, array_to_string(hashed, ',') as hashed, array_to_string(names, ',') as names, array_to_string(ips, ',') as ips from b")
+def device_keys(spark, d):
+    rows = D.with_keys(_keyed_devices(spark, d, 0))
+    return rows.select("row", *[F.array_join(c, ",").alias(c) for c in ("ids", "macs", "hashed", "names", "ips")])
+
+
+_TIER_KEYS = {"persisted-device-id": "ids", "mac": "macs", "hashed-mac": "hashed", "hostname-vendor": "names", "ip-continuity": "ips"}
+
+
+def _outcome_sql() -> str:
+    """Each tier by its pairs, told by device; stronger tiers take devices away."""
+    parts = []
+    for n, (rule, confidence, confirms) in enumerate(TIERS):
+        gone = lambda side: " and ".join(f"{side}.device_id not in (select {'base' if side == 'b' else 'current'}_id from t{i})" for i in range(n)) or "true"
+        k = _TIER_KEYS[rule]
+        parts.append(f"""t{n} as (select b.device_id as base_id, c.device_id as current_id, count(*) as n, '{rule}' as rule, '{confidence}' as confidence, {str(confirms).lower()} as ok
+  from (select device_id, unnest({k}) as k from b where {gone('b')}) b join (select device_id, unnest({k}) as k from c where {gone('c')}) c using (k) group by 1, 2)""")
+    return ", ".join(parts)
+
+
+@query(f"""with {_keyed_sql(0)}, {_keyed_sql(1)}, {_outcome_sql()}, m as ({" union all ".join(f"select * from t{i}" for i in range(5))}),
+w as (select *, count(*) over (partition by base_id) as nb, count(*) over (partition by current_id) as nc from m)
+select 'base' as side, base_id as device_id, rule, confidence, case when bool_and(ok and nb = 1 and nc = 1) then 'confirmed' else 'uncertain' end as outcome, max(case when nb = 1 and nc = 1 then current_id end) as partner_id, sum(n)::bigint as n_links from w group by base_id, rule, confidence
+union all select 'current', current_id, rule, confidence, case when bool_and(ok and nb = 1 and nc = 1) then 'confirmed' else 'uncertain' end, max(case when nb = 1 and nc = 1 then base_id end), sum(n)::bigint from w group by current_id, rule, confidence""")
+def device_key_outcomes(spark, d):
+    keyed = [D.with_keys(_keyed_devices(spark, d, side)).drop("device_id").withColumnRenamed("row", "device_id") for side in (0, 1)]
+    return I.outcomes(*keyed, _TIER_KEYS)
