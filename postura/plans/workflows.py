@@ -9,6 +9,7 @@ from ..operators import device_keys as D
 from ..operators import identity as I
 from ..operators import inventory as V
 from ..operators import limits as M
+from ..operators import statement as ST
 from ..operators.identity import TIERS
 from . import bridges as B
 from .registry import query
@@ -178,3 +179,102 @@ union all select 'current', current_id, rule, confidence, case when bool_and(ok
 def device_key_outcomes(spark, d):
     keyed = [D.with_keys(_keyed_devices(spark, d, side)).drop("device_id").withColumnRenamed("row", "device_id") for side in (0, 1)]
     return I.outcomes(*keyed, _TIER_KEYS)
+
+
+# statements of sites
+
+
+_FROM, _TO, _AT = "1995-03-01 00:00:00", "1995-03-08 00:00:00", "1995-03-09 12:30:00"
+
+
+def _statement_parts(spark, d):
+    """orders of a week as observations of sites, their comparisons, events and what supplements them."""
+    k, ck = F.col("o_orderkey"), F.col("o_custkey")
+    cat = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    at = F.col("o_orderdate").cast("timestamp")
+    o = B.read(spark, d, "orders").withColumn("site_id", F.when(ck % 10 == 0, cat("site-10.0.0.", ck % 3)).otherwise(cat("site-", ck % 10)))
+    o = o.filter((at >= F.lit(_FROM).cast("timestamp")) & (at <= F.lit(_TO).cast("timestamp")))
+    entries = o.select(
+        "site_id", F.concat(F.lit("net "), "site_id").alias("network"), (ck % 10 < 5).alias("scoped"), cat("obs-", k).alias("observation_id"), at.alias("observed_at"), (F.col("o_orderstatus") == "P").alias("partial"), F.when(k % 6 == 0, "partial").otherwise("complete").alias("status"),
+        F.filter(F.array(F.when(k % 8 == 1, "port scan"), F.when(k % 8 == 2, "discovery scan")), lambda x: x.isNotNull()).alias("missing"), F.when(k % 9 == 0, "stale").otherwise("fresh").alias("freshness"), F.when(k % 9 == 0, cat("old by ", k % 4)).alias("reason"),
+        cat("vantage ", k % 2).alias("vantage"), F.array(cat("note ", k % 6)).alias("notes"), (k % 7 == 0).alias("supplemental"))
+    pairs = ST.consecutive(entries)
+    number = F.col("number")
+    comparisons = pairs.select("site_id", "number", "baseline_id", "current_id", F.lit("rules-1").alias("rule_version"), F.when(number % 2 == 0, F.array(F.lit("stale-data"), F.lit("partial-coverage"))).otherwise(F.array().cast("array<string>")).alias("guardrails"), F.when(number % 5 == 0, "no common time").alias("skipped"))
+    seq = F.explode(F.when(number % 3 == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), (number % 4 + 1).cast("int")))).alias("seq")
+    events = comparisons.filter("skipped is null").select("site_id", "number", "baseline_id", seq)
+    s = F.col("seq")
+    events = events.select("site_id", "number", "seq", cat("ev ", F.col("baseline_id"), "/", s).alias("evidence_id"), cat("Title ", s).alias("title"), cat("Summary ", number, ".").alias("summary"), cat("Look at ", s, ".").alias("review"),
+                           F.when((number + s) % 3 == 0, "not_sure").when((number + s) % 3 == 1, "mine").alias("state"), F.when(number % 2 == 0, cat("pet ", s)).alias("friendly_name"), ((number + s) % 2 == 0).alias("investigate"))
+    extra = entries.filter("supplemental").select("site_id", F.lit(0).alias("seq"), F.lit("Capture").alias("label"), F.col("observation_id").alias("summary"), "vantage", "observed_at", F.col("observation_id").alias("registry_id"))
+    return entries, comparisons, events, extra
+
+
+def _statement(spark, d):
+    lit = lambda x: F.lit(x).cast("timestamp")
+    return ST.statement_rows(*_statement_parts(spark, d), lit(_FROM), lit(_TO), lit(_AT))
+
+
+_DT = "case when {x} is null then 'not available' else strftime({x}, '%b ') || day({x}) || strftime({x}, ', %Y, ') || ((hour({x}) + 11) % 12 + 1) || strftime({x}, ':%M %p UTC') end"
+_HIDE = "site_id like '%10.0.0.%'"
+_SITE = "replace(replace(replace(site_id, '10.0.0.0', '[redacted ip]'), '10.0.0.1', '[redacted ip]'), '10.0.0.2', '[redacted ip]')"
+_SHORT = "asked and not week"
+
+
+def _fixed_sql() -> str:
+    """The items a site has at most once, as (section, place, item, severity, text, condition)."""
+    reason = f"case when n_pairs = 0 then 'The week has no two comparable observations.' when not week then 'Observations span too little of the week: ' || {_DT.format(x='first')} || ' to ' || {_DT.format(x='last')} || '.' else 'Observations span the week.' end"
+    w = lambda bad: f"case when {bad} then 'warning' else 'info' end"
+    no = "n_primary = 0"
+    quiet = "n_pairs > 0 and n_events = 0"
+    lim = "coalesce(partial, false) or coalesce(stale, false)"
+    rows = [
+        (1, 1, "period-title", "'info'", "case when week then 'Weekly Network Statement' else 'Network Statement' end", ""), (1, 2, "period-range", "'info'", "'Period: Mar 1, 1995 to Mar 8, 1995.'", ""), (1, 3, "period-generated", "'info'", "'Generated: Mar 9, 1995, 12:30 PM UTC.'", ""),
+        (1, 4, "period-title-reason", w(_SHORT), reason, ""), (2, 1, "site-name", "'info'", f"'Network: net ' || {_SITE} || '.'", ""), (2, 2, "site-id", "'info'", f"'Site: ' || {_SITE} || '.'", ""),
+        (2, 3, "site-scope", "'info'", "case when scoped then 'A scope is recorded; its targets are not repeated here.' else 'No scope is recorded.' end", ""),
+        (3, 1, "coverage-counts", w("n_pairs = 0"), "'Primary observations: ' || n_primary || '; comparable pairs: ' || n_pairs || '; supplemental records: ' || n_extra || '.'", ""), (3, 2, "coverage-vantage", w("vantages is null"), "coalesce('Vantage: ' || vantages || '.', 'No primary vantage.')", ""),
+        (3, 3, "coverage-title-gap", "'warning'", reason, _SHORT), (3, 4, "coverage-statuses", w(no), "coalesce('Coverage: ' || statuses || '.', 'No coverage statuses.')", ""), (3, 5, "coverage-missing-sources", w("missing is not null"), "coalesce('Gaps: ' || missing || '.', 'No gaps reported.')", ""),
+        (4, 1, "freshness-counts", w(no), "coalesce('Freshness: ' || freshnesses || '.', 'No freshness.')", ""), (4, 2, "freshness-latest", w(f"{no} or latest <> 'fresh'"), f"case when {no} then 'No latest observation.' else 'Latest: ' || {_DT.format(x='last')} || '; ' || latest || '.' end", ""),
+        (4, 3, "freshness-fresh", "'info'", "'All within the cadence.'", "n_primary > 0 and not stale"), (5, 1, "stable-none", "'warning'", "'Fewer than two comparable observations: nothing can be called stable.'", "n_pairs = 0"),
+        (5, 1, "stable-no-events", w(lim), "'No changes in ' || n_pairs || case when n_pairs = 1 then ' comparison.' else ' comparisons.' end", quiet), (5, 2, "stable-boundary", "'info'", f"case when {lim} then 'Bounded by coverage and freshness; no proof of safety.' else 'Stored observations only; no proof of safety.' end", quiet),
+        (5, 1, "stable-bounded", "'info'", "n_pairs || case when n_pairs = 1 then ' pair' else ' pairs' end || ' compared; what did not change is not listed.'", "n_pairs > 0 and n_events > 0"), (6, 1, "changed-none", "'info'", "'No change events.'", "n_events = 0"), (7, 1, "review-none", "'info'", "'Nothing needs review.'", "n_events = 0"),
+        (8, 1, "responses-none", "'info'", "'No open responses.'", "n_open = 0"), (9, 1, "packet-highway-none", "'info'", "'No supplemental evidence.'", "n_extra = 0"), (10, 1, "cannot-safety", "'info'", "'Neither safety nor compromise nor compliance can be proved.'", ""),
+        (10, 2, "cannot-absence", "'info'", "'Absence outside these observations, sources and dates can''t be proved.'", ""), (10, 3, "cannot-responses", "'info'", "'Responses tell what users know, not what is secure.'", ""), (10, 4, "cannot-week", "'warning'", "'The evidence does not cover the week.'", _SHORT),
+        (10, 5, "cannot-limited", "'warning'", "'Coverage, freshness or too few comparisons limit every conclusion.'", f"{lim} or n_pairs = 0"), (10, 6, "cannot-packet-highway", "'info'", "'Captures prove no full inventory, ownership, safety or cause.'", "n_extra > 0"),
+        (11, 1, "action-observe", "'warning'", "'Collect two primary observations or more.'", "n_primary < 2 or n_pairs = 0"), (11, 2, "action-week", "'warning'", "'Observe near both ends of the week.'", _SHORT), (11, 3, "action-fresh", "'warning'", "'Observe again before calling this current.'", "coalesce(stale, false)"),
+        (11, 4, "action-missing-sources", "'warning'", "'Collect what is missing: ' || missing || '.'", "missing is not null"), (11, 5, "action-responses", "'review'", "'Settle the open responses.'", "n_open > 0"), (11, 6, "action-events", "'review'", "'Check that each change is expected.'", "n_events > 0"),
+        (11, 7, "action-packet-highway", "'info'", "'Take captures as context only.'", "n_extra > 0"), (11, 8, "action-cadence", "'info'", "'Keep observing at this cadence.'", f"n_primary >= 2 and n_pairs > 0 and not ({_SHORT}) and not coalesce(stale, false) and missing is null and n_open = 0 and n_events = 0 and n_extra = 0"),
+        (12, 1, "provenance-source", "'info'", "'Made from registered observations, their comparisons, coverage, responses and capture metadata.'", ""), (12, 2, "provenance-counts", "'info'", "'Observations: ' || n_primary || '; comparisons: ' || n_pairs || '; responses: ' || n_responses || '; supplemental: ' || n_extra || '.'", ""),
+    ]
+    return " union all ".join(f"select site_id, {s} as section, {p}::bigint as place, '{i}' as item, {sev} as severity, {text} as text, null as reference from facts where {when or 'true'}" for s, p, i, sev, text, when in rows)
+
+
+_COUNTED = "select site_id, string_agg({c} || ': ' || n, ', ' order by {c}) as {as_} from (select site_id, {c}, count(*) as n from pm group by all) group by 1"
+
+
+@query(f"""with en as (select case when o_custkey % 10 = 0 then 'site-10.0.0.' || (o_custkey % 3) else 'site-' || (o_custkey % 10) end as site_id, o_custkey % 10 < 5 as scoped, 'obs-' || o_orderkey as obs, o_orderdate::timestamp as tm, o_orderstatus = 'P' as partial, case when o_orderkey % 6 = 0 then 'partial' else 'complete' end as status,
+  case o_orderkey % 8 when 1 then 'port scan' when 2 then 'discovery scan' end as miss, case when o_orderkey % 9 = 0 then 'stale' else 'fresh' end as freshness, 'old by ' || (o_orderkey % 4) as reason, 'vantage ' || (o_orderkey % 2) as vantage, 'note ' || (o_orderkey % 6) as note, o_orderkey % 7 = 0 as extra
+  from orders where o_orderdate::timestamp between timestamp '{_FROM}' and timestamp '{_TO}'),
+pm as (select * from en where not extra), rk as (select *, row_number() over (partition by site_id order by tm, obs) as n from pm),
+cm as (select c.site_id, b.n as number, b.obs as base, c.obs as cur, b.n % 5 = 0 as skipped from rk b join rk c on c.site_id = b.site_id and c.n = b.n + 1),
+ev as (select site_id, number, base, unnest(range(1, number % 4 + 2)) as seq from cm where not skipped and number % 3 <> 0),
+e2 as (select *, case (number + seq) % 3 when 0 then 'not_sure' when 1 then 'mine' end as state, row_number() over (partition by site_id order by number, seq) as i from ev),
+a as (select site_id, count(*) filter (where extra) as n_extra, coalesce(arg_max(scoped, (tm, obs)) filter (where not extra), arg_max(scoped, (tm, obs))) as scoped from en group by 1),
+f as (select site_id, count(*) as n_primary, bool_or(partial or status <> 'complete' or miss is not null) as partial, bool_or(freshness = 'stale') as stale, min(tm) as first, max(tm) as last, arg_max(freshness, (tm, obs)) as latest, string_agg(distinct vantage, '; ' order by vantage) as vantages, string_agg(distinct miss, ', ' order by miss) as missing from pm group by 1),
+facts as (select a.*, f.* exclude (site_id, n_primary), coalesce(n_primary, 0) as n_primary, coalesce(n_pairs, 0) as n_pairs, coalesce(n_events, 0) as n_events, coalesce(n_responses, 0) as n_responses, coalesce(n_open, 0) as n_open, statuses, freshnesses, true as asked,
+  coalesce(n_pairs > 0 and first <= timestamp '{_FROM}' + interval 1 day and last >= timestamp '{_TO}' - interval 1 day and last - first >= interval 5 day, false) as week
+  from a left join f using (site_id) left join (select site_id, count(*) filter (where not skipped) as n_pairs from cm group by 1) using (site_id) left join (select site_id, count(*) as n_events, count(state) as n_responses, count(*) filter (where state = 'not_sure') as n_open from e2 group by 1) using (site_id)
+  left join ({_COUNTED.format(c='status', as_='statuses')}) using (site_id) left join ({_COUNTED.format(c='freshness', as_='freshnesses')}) using (site_id)),
+ln as ({_fixed_sql()}
+  union all select site_id, 3, 5 + i, 'coverage-note-' || i, 'info', 'Note: ' || note || '.', null from (select site_id, note, row_number() over (partition by site_id order by note) as i from (select distinct site_id, note from pm)) where i <= 4
+  union all select site_id, 4, 2 + i, 'freshness-limit-' || i, 'warning', reason, null from (select site_id, reason, row_number() over (partition by site_id order by reason) as i from (select distinct site_id, reason from pm where freshness <> 'fresh'))
+  union all select site_id, 6, i, 'changed-' || i, 'review', 'Comparison ' || number || ': Title ' || seq || '. Summary ' || number || '.', '/activity#ev+' || base || '%2F' || seq from e2
+  union all select site_id, 7, i, 'review-' || i, case when (number + seq) % 2 = 0 then 'review' else 'info' end, 'Comparison ' || number || ': Look at ' || seq || '.' || coalesce(' User says: ' || state || '.', ''), '/activity#ev+' || base || '%2F' || seq from e2
+  union all select site_id, 8, j, 'response-' || j, 'review', 'Comparison ' || number || ': not_sure' || case when number % 2 = 0 then ' (pet ' || seq || ')' else '' end || ' stays open for Title ' || seq || '.', '/activity#ev+' || base || '%2F' || seq from (select *, row_number() over (partition by site_id order by number, seq) as j from e2 where state = 'not_sure')
+  union all select site_id, 9, i, 'packet-highway-' || i, 'info', 'Capture: ' || obs || ' Vantage: ' || vantage || '; observed ' || {_DT.format(x='tm')} || '.', '/packet-highway?observation=' || obs from (select *, row_number() over (partition by site_id order by tm desc, obs) as i from en where extra)
+  union all select site_id, 12, 2 + i, 'provenance-comparison-' || i, 'info', 'Comparison ' || number || ': ' || case when {_HIDE} then 'baseline to current' else base || ' to ' || cur end || '; rule rules-1; ' || n || case when n = 1 then ' event' else ' events' end || '; guardrails ' || case when number % 2 = 0 then 'partial-coverage, stale-data' else 'none' end || '.', '/activity'
+    from (select cm.*, row_number() over (partition by cm.site_id order by number) as i, (select count(*) from ev where ev.site_id = cm.site_id and ev.number = cm.number) as n from cm where not skipped)
+  union all select site_id, 12, 2 + n_pairs + i, 'provenance-skipped-' || i, 'warning', 'Skipped ' || case when {_HIDE} then 'baseline to current' else base || ' to ' || cur end || ': no common time.', null from (select cm.*, row_number() over (partition by cm.site_id order by number) as i from cm where skipped) join (select site_id, n_pairs from facts) using (site_id))
+select site_id, section, ({[name for name, _ in ST.SECTIONS]})[section] as section_id, place, item, severity, text, case when not {_HIDE} then reference end as reference from ln""")
+def statement_rows(spark, d):
+    return _statement(spark, d)
