@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -22,6 +23,8 @@ class KeyedTable:
     once its marker is there, so readers never see half a change.  A marker is
     renamed to its version's number, which succeeds once: of two changes made
     from one version the later raises ConcurrentChange and nothing is lost.
+    A marker also holds the last batch that each stream has written, so a batch
+    that is repeated is known.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str]):
@@ -41,7 +44,17 @@ class KeyedTable:
         names = sorted(n for n in (s.getPath().getName() for s in fs.listStatus(self._at())) if n.endswith(".version"))
         if not names:
             return 0, None
-        return int(names[-1][:10]), self.spark.read.text(f"{self.path}/{names[-1]}").first()["value"]
+        return int(names[-1][:10]), self._marker(names[-1])[0]
+
+    def _marker(self, name: str) -> list[str]:
+        """Folder of a version and, as JSON, the last batch of each stream."""
+        return [*(r["value"] for r in self.spark.read.text(f"{self.path}/{name}", wholetext=True).collect()), ""][0].split("\n")
+
+    def batches(self) -> dict[str, int]:
+        """The last batch of each stream that the table holds."""
+        n, folder = self._newest()
+        told = self._marker(f"{n:010d}.version")[1:] if folder else []
+        return json.loads(told[0]) if told else {}
 
     def _rows(self, folder: str | None) -> DataFrame:
         if folder is None:
@@ -51,14 +64,15 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self._rows(self._newest()[1])
 
-    def write(self, rows: DataFrame, after: int | None = None) -> None:
-        """rows as the version that follows number after; without it, the newest."""
+    def write(self, rows: DataFrame, after: int | None = None, batches: dict[str, int] | None = None) -> None:
+        """rows as the version that follows number after; without it, the newest.  batches: as the method, if they change."""
         n = (self._newest()[0] if after is None else after) + 1
+        told = json.dumps(self.batches() if batches is None else batches)
         folder = f"rows-{n:010d}-{uuid.uuid4().hex[:8]}"
         rows.select(*self._rows(None).columns).write.parquet(f"{self.path}/{folder}")
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         out = self._files().create(self._at(f"{folder}.marker"))
-        out.write(bytearray(folder.encode()))
+        out.write(bytearray(f"{folder}\n{told}".encode()))
         out.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._files().getUri(), conf)
         plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
