@@ -9,8 +9,10 @@ from ..operators import device_keys as D
 from ..operators import identity as I
 from ..operators import inventory as V
 from ..operators import limits as M
+from ..operators import orders as O
 from ..operators import statement as ST
 from ..operators.identity import TIERS
+from ..sources import ingest as G
 from . import bridges as B
 from .registry import query
 
@@ -278,3 +280,72 @@ ln as ({_fixed_sql()}
 select site_id, section, ({[name for name, _ in ST.SECTIONS]})[section] as section_id, place, item, severity, text, case when not {_HIDE} then reference end as reference from ln""")
 def statement_rows(spark, d):
     return _statement(spark, d)
+
+
+# runs of archives
+
+
+def _members(spark, d):
+    """events as the members of archives: reports of runs, in rawscans folders or not, each with several files."""
+    u = F.col("user_id")
+    cat = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    port = F.get_json_object("props", "$.k").cast("long") + 1
+    host = cat('<host><status state="up"/><address addr="10.', u % 200, '.', F.col("event_id") % 200, '.1" addrtype="ipv4"/><ports><port protocol="tcp" portid="', port, '"><state state="', F.when(F.col("event_type") == "error", "closed").otherwise("open"), '"/><service name="', F.col("event_type"), '"/></port></ports></host>')
+    kind = F.col("event_id") % 3
+    file = F.when(kind == 1, "other.xml").when(kind == 2, "zz.XML").when(u % 4 == 0, "scan0.xml").otherwise("ports_a.xml")
+    run = cat("2024-01-", F.lpad((u % 28 + 1).cast("string"), 2, "0"), "_1200_u", u)
+    base = F.when(u % 2 == 1, "stuff/").when(u % 7 == 0, "home/other/").otherwise("home/rawscans/")
+    rows = B.read(spark, d, "events").select(cat("a", u % 50).alias("archive"), F.concat(base, run, F.lit("/"), file).alias("name"), F.struct("event_id", host.alias("x")).alias("h"))
+    xml = F.concat(F.lit("<nmaprun>"), F.array_join(F.transform(F.array_sort(F.collect_list("h")), lambda h: h["x"]), ""), F.lit("</nmaprun>"))
+    return rows.groupBy("archive", "name").agg(xml.cast("binary").alias("content")).withColumn("error", F.lit(None).cast("string"))
+
+
+_RUNS = """e as (select *, 'a' || (user_id % 50) as archive, '2024-01-' || lpad((user_id % 28 + 1)::varchar, 2, '0') || '_1200_u' || user_id as folder, event_id % 3 as kind,
+  case when user_id % 2 = 1 then 'stuff/' when user_id % 7 = 0 then 'home/other/' else 'home/rawscans/' end as base from events),
+ar as (select archive, bool_or(base = 'home/rawscans/') as raw from e group by 1),
+rn as (select archive, base || folder as run_path, folder, any_value(user_id) as user_id, bool_or(kind = 0) as k0, bool_or(kind = 1) as k1 from e join ar using (archive) where case when raw then base = 'home/rawscans/' else true end group by all having bool_or(base = 'home/rawscans/') or bool_or(kind < 2))"""
+
+
+@query(f"with {_RUNS} select archive, run_path, folder, strptime(substr(folder, 1, 10) || ' 12:00', '%Y-%m-%d %H:%M') as timestamp, substr(folder, 17) as run_type, case when run_path like 'home/rawscans/%' then 'home' end as network from rn")
+def archive_runs(spark, d):
+    return G.runs(_members(spark, d)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query(f"""with {_RUNS}, pk as (select *, case when user_id % 4 <> 0 and k0 then 0 when k1 then 1 when k0 then 0 end as pick from rn)
+select pk.archive, pk.run_path, case when pick = 1 then 'other.xml' when pk.user_id % 4 = 0 then 'scan0.xml' else 'ports_a.xml' end as report, '10.' || (e.user_id % 200) || '.' || (event_id % 200) || '.1' as ip, 'tcp' as protocol,
+  (json_extract_string(props, '$.k')::bigint + 1)::int as port, event_type as service from pk join e on e.archive = pk.archive and e.base || e.folder = pk.run_path and e.kind = pk.pick where event_type <> 'error'""")
+def archive_findings(spark, d):
+    members = _members(spark, d)
+    return G.run_findings(members, G.runs(members)).select("archive", "run_path", "report", "ip", "protocol", "port", "service")
+
+
+# orders by the rules of language
+
+
+_KINDS_OF_EVENT = ("identity-uncertain-possibly-same-device", "new-device-observed", "previously-observed-device-not-observed", "service-or-port-opened", "service-or-port-closed", "important-device-metadata-changed")
+_WORD = "(['é', 'E', 'e', 'Ä', 'a', 'Z', '_', 'b-'])"
+
+
+@query(f"""with x as (select conv_id, turn, conv_id % 7 as pair, ({list(_KINDS_OF_EVENT)})[(turn % 6 + 1)::int] as event_type, substr(text, 1, 9) as base_id, case when turn % 3 <> 0 then {_WORD}[(conv_id % 8 + 1)::int] || substr(text, 2, 4) end as current_id, conv_id || '-' || turn as event_id,
+  case when turn % 4 = 1 then 'user-investigate' else 'normal' end as priority from conversations),
+k as (select *, (turn % 6 * 10 + 10) || '|' || base_id || '|' || coalesce(current_id, '') || '|' || case when turn % 2 = 0 then 'tcp:' || turn else '' end || '||' || event_id as key from x),
+p as (select *, row_number() over (partition by pair order by key collate en, key) as place from k)
+select pair, event_id, place, row_number() over (partition by pair order by priority <> 'user-investigate', place) as activity_place from p""")
+def event_places(spark, d):
+    t, n = B.read(spark, d, "conversations"), F.col("turn")
+    words = F.array(*[F.lit(x) for x in ("é", "E", "e", "Ä", "a", "Z", "_", "b-")])
+    rows = t.select(
+        (F.col("conv_id") % 7).alias("pair"), F.get(F.array(*[F.lit(x) for x in _KINDS_OF_EVENT]), (n % 6).cast("int")).alias("event_type"), F.substring("text", 1, 9).alias("base_id"),
+        F.when(n % 3 != 0, F.concat(F.get(words, (F.col("conv_id") % 8).cast("int")), F.substring("text", 2, 4))).alias("current_id"), F.when(n % 2 == 0, F.concat(F.lit("tcp:"), n.cast("string"))).alias("base_port"), F.lit(None).cast("string").alias("current_port"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), n.cast("string")).alias("event_id"), F.when(n % 4 == 1, "user-investigate").otherwise("normal").alias("priority"))
+    return O.activity_order(O.in_order(rows, "pair", O.event_key()), "pair").select("pair", "event_id", "place", "activity_place")
+
+
+@query(f"""with x as (select p_partkey, p_partkey % 5 as pair, ({_WORD})[(p_partkey % 8 + 1)::int] || (p_partkey % 3) as rule, p_name as base_id, {_WORD}[(p_partkey // 8 % 8 + 1)::int] || p_partkey as current_id from part)
+select pair, p_partkey, row_number() over (partition by pair order by key collate en, key) as place from (select *, rule || '|' || base_id || '|' || current_id || '|A,b' as key from x)""")
+def candidate_places(spark, d):
+    words = F.array(*[F.lit(x) for x in ("é", "E", "e", "Ä", "a", "Z", "_", "b-")])
+    k = F.col("p_partkey")
+    word = lambda n: F.get(words, n.cast("int"))
+    rows = B.read(spark, d, "part").select((k % 5).alias("pair"), "p_partkey", F.concat(word(k % 8), (k % 3).cast("string")).alias("rule"), F.col("p_name").alias("base_id"), F.concat(word(F.floor(k / 8) % 8), k.cast("string")).alias("current_id"), F.array(F.lit("b"), F.lit("A")).alias("shared"))
+    return O.in_order(rows, "pair", O.candidate_key()).select("pair", "p_partkey", "place")

@@ -193,7 +193,7 @@ def inventory_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str, max_entries: int = 2000, max_bytes: int = 250 << 20) -> DataFrame:
-    """(archive, name, content, error): members of ZIP files; an archive that breaks a limit or leaves its folder gives one row with an error.
+    """(archive, name, content, error): members of ZIP files; an archive that breaks a limit or leaves its folder gives one row with an error, a member that can't be read one of its own.
 
     An archive can't be split, so each is opened in the task that reads it;
     members stream out one by one.
@@ -203,6 +203,7 @@ def archive_members(spark: SparkSession, path: str, max_entries: int = 2000, max
     def opened(batches):
         import io
         import zipfile
+        import zlib
 
         for pdf in batches:
             for where, content in zip(pdf["path"], pdf["content"]):
@@ -220,6 +221,11 @@ def archive_members(spark: SparkSession, path: str, max_entries: int = 2000, max
                     yield pd.DataFrame([{"archive": where, "name": None, "content": None, "error": str(e)}])
                     continue
                 for n, m in zip(names, members):
-                    yield pd.DataFrame([{"archive": where, "name": n, "content": z.read(m), "error": None}])
+                    content = error = None
+                    try:
+                        content = z.read(m)
+                    except (RuntimeError, NotImplementedError, OSError, EOFError, zlib.error, zipfile.BadZipFile) as e:  # a password, an unknown method, damage
+                        error = str(e) or type(e).__name__
+                    yield pd.DataFrame([{"archive": where, "name": n, "content": content, "error": error}])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(opened, "archive string, name string, content binary, error string")
