@@ -7,11 +7,13 @@ counts.  Pieces longer than a third of the capacity go at most two to a
 sequence, by greedy matching (the longest with the longest that still fits);
 shorter ones fill the tightest gap, longest first.  Each piece then finds its
 place by its rank among the pieces of its length.  Ranks come from counts of
-salted groups, so a length that a third of all documents share is spread.
+salted groups of some 250 rows; the salt comes from the row's number in the
+written table of pieces, so a length, and a row, that a third of all documents
+share is spread evenly, however many there are.
 
 Defined results: null text: an empty document, one end token; repeated rows
 and ids are packed each; null id stays null; ties: which of the pieces of one
-length takes which place goes by salted hash and then by the pieces' columns;
+length takes which place goes by the hash of the row's number;
 very long texts: whole, their ids take some 50 times their bytes in one task;
 empty table: empty result; other columns are ignored, whatever their names.
 """
@@ -29,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table, texts_of, tidy, with_columns
+from ..operators.places import placed as placed_in
+from .common import fresh, saved, table, texts_of, tidy, with_columns
 
 CAPACITY = 4096
 END_ID = 1
 #: Rows of one length that are ranked together.
 GROUP_ROWS = 250
-MAX_SALTS = 4096
 SLICE_CHARS = 1 << 20
 CACHED_CHUNKS = 500_000
 #: The normalizing and cutting for which the three rules below hold; texts are encoded as a whole under any other.
@@ -238,22 +240,30 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (a table: it is read three times) with sequence_id and offset."""
+def numbered(pieces: DataFrame, row_col: str) -> DataFrame:
+    """pieces as a written table with the number of each row, which then stays."""
+    return saved(pieces.withColumn(row_col, F.monotonically_increasing_id()), "pieces")
+
+
+def salted(pieces: DataFrame, row_col: str, hist: dict[int, int]) -> DataFrame:
+    """pieces with salt: groups of some GROUP_ROWS rows of one length."""
+    salts = pieces.sparkSession.createDataFrame([(n, -(-c // GROUP_ROWS)) for n, c in hist.items()], "length long, n_salts long")  # a row a length
+    return pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(row_col), F.col("n_salts"))).drop("n_salts")
+
+
+def pack(pieces: DataFrame, row_col: str, capacity: int = CAPACITY) -> DataFrame:
+    """pieces (a table, as `numbered` writes it: it is read three times) with sequence_id and offset instead of row_col."""
     spark = pieces.sparkSession
     hist = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     if not hist:
-        return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+        return pieces.drop(row_col).withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     runs = sorted(plan(hist, capacity))
-    salts = spark.createDataFrame([(n, min(MAX_SALTS, -(-c // GROUP_ROWS))) for n, c in hist.items()], "length long, n_salts int")
-    hashed = F.xxhash64(*[c for c in pieces.columns if c != "ids"])
-    rows = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(hashed, F.col("n_salts"))).drop("n_salts")
-    groups = rows.groupBy("length", "salt").count()
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first_rank"))
-    inside = Window.partitionBy("length", "salt").orderBy(*[c for c in pieces.columns if c not in ("ids", "length")])
+    rows = salted(pieces, row_col, hist)
+    groups = placed_in(rows.groupBy("length", "salt").count(), "length", ["salt"], F.col("count"), "through")
+    groups = groups.select("length", "salt", (F.col("through") - F.col("count")).alias("first_rank"))
+    inside = Window.partitionBy("length", "salt").orderBy(row_col)
     ranked = rows.withColumn("n", F.row_number().over(inside)).join(groups, ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("first_rank") + F.col("n") - 1).drop("first_rank", "n", "salt")
+    ranked = ranked.withColumn("rank", F.col("first_rank") + F.col("n") - 1).drop("first_rank", "n", "salt", row_col)
     # runs: bounded by the number of lengths and pieces in a sequence, not by the corpus
     shared = spark.sparkContext.broadcast(np.array(runs, np.int64))
     schema = type(pieces.schema)([f for f in ranked.schema.fields if f.name != "rank"]).add("sequence_id", "long").add("offset", "long")
@@ -273,7 +283,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Every piece of docs with its place."""
-    return pack(saved(token_pieces(docs, path, capacity, end_id, keep_ids), "pieces"), capacity)
+    pieces = token_pieces(docs, path, capacity, end_id, keep_ids)
+    row_col = fresh(pieces, "_piece_row")
+    return pack(numbered(pieces, row_col), row_col, capacity)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,14 @@ def test_pieces_hold_every_token_once(spark):
             at += n
         assert at <= 256
     assert packing.packed(docs.limit(0)).count() == 0
+
+
+def test_equal_rows_are_spread_evenly(spark):
+    n = 1_000_000
+    pieces = spark.range(n).selectExpr("1L as doc_id", "0 as piece", "0L as start", "4096L as length", "7L as ids_crc32", "id as row")
+    groups = packing.salted(pieces, "row", {4096: n}).groupBy("salt").count()
+    least, most, k = groups.selectExpr("min(count)", "max(count)", "count(*)").first()
+    assert k == n // packing.GROUP_ROWS and 150 < least and most < 400
+    few = packing.numbered(pieces.limit(5000).drop("row"), "row")
+    got = packing.pack(few, "row").select("sequence_id", "offset").distinct()
+    assert got.count() == 5000 and "row" not in packing.pack(few, "row").columns
