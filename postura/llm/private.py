@@ -8,7 +8,9 @@ key, type and normal form alone, so one entity has one replacement in the
 whole corpus however it is written (coreference).  Each word of a name is an
 entity, folded in case, so a name is told by its words with and without title
 or first name; its gender is that of its titles in the corpus, if these agree.
-A name's words are replaced wherever its document repeats them.  A phone
+A name's words are replaced wherever its document repeats them, but for those
+that are plain words too (PLAIN_WORDS), which need a title or the rest of the
+name beside them.  A phone
 number is told by its digits without the country code.  The table of all distinct
 entities is then checked for collisions: two entities with one replacement, or
 a replacement that is itself an entity of the corpus.  All but the least
@@ -52,6 +54,12 @@ TITLES = {
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Госпожа": "f", "Κυρία": "f",
     "Dr": "n", "Prof": "n", "Professor": "n",
 }
+#: Names that are plain words as well: where one stands alone it is taken as the word, not as the person named before.
+PLAIN_WORDS = frozenset(
+    "april art august autumn bill black bond brook brown carol chance chase christian cliff dawn day dean dick drew earl faith fall frank gene glen grace grant gray green hall harmony heath heather "
+    "holly hope iris ivy jack jasmine jay jean jewel joy june king lance lane lee lily long love mark marina mason max may melody miles misty olive page pat pearl penny pierce price prince ray reed "
+    "rich river rob robin rock rose ruby rusty sky skip star stone storm summer sunny terry tom trent victor violet wade ward white will winter wood young".split()
+)
 _WORD = r"[^\W\d_]"
 _NAME = re.compile(rf"\b({'|'.join(TITLES)})\.?\s+((?:[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]{_WORD}+(?:[-'’]{_WORD}+)?)(?:[ ][A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]{_WORD}+(?:[-'’]{_WORD}+)?){{0,2}})")
 #: (type, pattern, group with the entity), in order of precedence.
@@ -93,27 +101,19 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             found.append((m.start(group), m.end(group), kind, m.group(group)))
     for m in _NAME.finditer(text):
         found.append((m.start(2), m.end(2), f"name:{TITLES[m.group(1)]}", m.group(2)))
-    out, end = [], -1
+    out = []
     rank = {k: n for n, (k, _, _) in reversed(list(enumerate(PATTERNS)))}
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text) if found else 0)  # a mark a character
     for a, b, kind, surface in sorted(found, key=lambda x: (rank.get(x[2], 99), x[0])):
-        if any(a < d and c < b for c, d in taken) if len(taken) < 64 else _overlaps(taken, a, b):
+        if taken.find(1, a, b) >= 0:
             continue
         form = normal(kind, surface)
         if form is not None:
-            taken.append((a, b))
+            taken[a:b] = b"\x01" * (b - a)
             out.append((a, b, kind, form))
     return sorted(out)
 
 
-def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    from bisect import bisect_left
-
-    taken.sort()
-    at = bisect_left(taken, (a, b))
-    return (at < len(taken) and taken[at][0] < b) or (at > 0 and taken[at - 1][1] > a)
-
-
 def normal(kind: str, surface: str) -> str | None:
     """One form for all spellings of an entity; None if it is none after all."""
     digits = "".join(c for c in surface if "0" <= c <= "9")
@@ -143,6 +143,11 @@ def _country(surface: str, digits: str) -> int:
     return int(surface[:2] == "+1" and len(digits) == 11)
 
 
+#: A run of letters with nothing of a word before it, and the same with one more run behind a hyphen or apostrophe.
+_RUN = re.compile(rf"(?<![\w-])(?=({_WORD}+)({_WORD}*[-'’]{_WORD}+)?)")
+_GOES_ON = re.compile(r"\w|-\w")
+
+
 def name_words(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str, bool]]:
     """The entities with each word of a name by itself, also where it is repeated; the last value tells the first word of each."""
     out = [(*e, True) for e in found if not e[2].startswith("name")]
@@ -154,11 +159,22 @@ def name_words(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[
                 words[m.group()] = words[m.group().upper()] = words[m.group().capitalize()] = kind
     if not words:
         return sorted(out)
-    taken = sorted((a, b) for a, b, *_ in out)
+    taken = bytearray(len(text))
+    for a, b, *_ in out:
+        taken[a:b] = b"\x01" * (b - a)
     again = []
-    for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(words, key=len, reverse=True)))})(?!\w|-\w)", text):
-        if not _overlaps(taken, *m.span()):
-            again.append((*m.span(), words[m.group()], m.group().casefold()))
+    for m in _RUN.finditer(text):
+        for end in (m.end(2), m.end(1)):  # with what follows a hyphen or apostrophe, or without
+            word = text[m.start() : end] if end > 0 else ""
+            if word in words and not _GOES_ON.match(text, end) and taken.find(1, m.start(), end) < 0:
+                taken[m.start() : end] = b"\x01" * (end - m.start())
+                again.append((m.start(), end, words[word], word.casefold()))
+                break
+    # a plain word is a name where a word that is none stands beside it
+    sure = [(a, b) for a, b, _, form in again if form not in PLAIN_WORDS] + [(a, b) for a, b, kind, *_ in out if kind.startswith("name")]
+    after, before = {b + 1 for _, b in sure}, {a - 1 for a, _ in sure}
+    beside = lambda a, b: (a in after and text[a - 1] == " ") or (b in before and text[b] == " ")
+    again = [x for x in again if x[3] not in PLAIN_WORDS or beside(x[0], x[1])]
     ends = {b for _, b, kind, *_ in out if kind.startswith("name")}
     for a, b, kind, form in again:
         out.append((a, b, kind, form, not (a and text[a - 1] == " " and a - 1 in ends)))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from postura.llm import private
@@ -73,3 +74,53 @@ def test_one_entity_has_one_replacement_however_written(spark):
     x, y, z = re.fullmatch(r"call \+1 \((\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4}) or \+1(\d{10})", out[3][0]).groups()
     assert x.replace(") ", "-") == y == f"{z[:3]}-{z[3:6]}-{z[6:]}" != "743-555-3824"
     assert [out[i][1] for i in range(4)] == [2, 2, 3, 3]
+
+
+def brute_words(text):
+    """Names with their words and repeats, word by word over the whole text."""
+    import re
+
+    found = private.detect(text)
+    own = {}
+    for a, b, kind, _ in found:
+        if kind.startswith("name"):
+            for w in text[a:b].split():
+                own |= {w: w.casefold(), w.upper(): w.casefold(), w.capitalize(): w.casefold()}
+    hits = {(a + m.start(), a + m.end()) for a, b, kind, _ in found if kind.startswith("name") for m in re.finditer(r"\S+", text[a:b])}
+    taken = {i for a, b, *_ in found for i in range(a, b)}
+    extra = set()
+    for w in sorted(own, key=len, reverse=True):
+        for m in re.finditer(rf"(?<![\w-]){re.escape(w)}(?!\w|-\w)", text):
+            if not taken & set(range(*m.span())):
+                extra.add(m.span())
+                taken |= set(range(*m.span()))
+    sure = hits | {s for s in extra if text[slice(*s)].casefold() not in private.PLAIN_WORDS}
+    plain = {s for s in extra - sure if any((t[1] + 1 == s[0] and text[t[1]] == " ") or (s[1] + 1 == t[0] and text[s[1]] == " ") for t in sure)}
+    return sorted(hits | (extra & sure) | plain)
+
+
+def test_repeated_names_equal_brute_force():
+    rng = random.Random(9)
+    words = ["Anna", "Braun", "May", "Will", "Anna-Maria", "D'Arc", "ANNA", "MAY", "may", "anna", "d'Anna", "Anna's", "the", "Dr.", "Mr.", "Frau", "in", "x@y.org", "Ann", "-", "Braun,", "WILL"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 14)))
+        got = sorted((a, b) for a, b, kind, *_ in private.name_words(text, private.detect(text)) if kind.startswith("name"))
+        assert got == brute_words(text), text
+
+
+def test_plain_words_stay(spark):
+    text = 'Mr. May came in May. You MAY rest, said Mr. Will, who Will not wait. Later Dr. Anna May and Anna May met; May it be.'
+    out = private.pseudonymised(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").first().text
+    assert "came in May. You MAY rest" in out and "who Will not wait" in out and out.endswith("; May it be.") and "Anna" not in out and out.count("May") == 2
+
+
+def test_very_many_entities_in_a_text():
+    import time
+
+    start = time.perf_counter()
+    mails = " ".join(f"u{i}@host{i}.org" for i in range(100_000))
+    assert len(private.detect(mails)) == 100_000
+    names = " ".join(f"Mr. {'Ab' + chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26) + 'o'} went home and" for i in range(20_000)) + " Abaaao" * 50_000
+    found = private.name_words(names, private.detect(names))
+    assert len(found) > 60_000
+    assert time.perf_counter() - start < 30
