@@ -27,8 +27,9 @@ a bit for each shift of an entry.  Only one bucket's entries are on disk at a
 time.
 
 Defined results: null text: no bytes; null id: later than every id; rows of
-one id do not take bytes from each other (ties); an id that is no whole number
-becomes null; empty texts and tables give empty results; very long texts are
+one id do not take bytes from each other (ties); ids of any type stay as they
+are and go in their own order, those that are no whole numbers by their ranks;
+empty texts and tables give empty results; very long texts are
 cut into overlapping parts (PART_BYTES) and put together again; other columns
 are ignored, whatever their names.
 """
@@ -44,7 +45,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..operators.places import placed
 from .common import bounded_batches, discard, release, saved, shared_dir, table, tidy
 from .words import encoded, powers
 
@@ -489,45 +492,59 @@ def _whole(width: int):
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    spark = docs.sparkSession
     if not REACH < width < 256:
         raise ValueError(f"width must be from {PERIOD} to 255")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return _of_whole_ids(docs, width, part_bytes).withColumnRenamed("doc_id", id_col)
+    # a rank each distinct id; texts meet them once
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct().withColumn("_one", F.lit(0))
+    ranks = saved(placed(ids, "_one", ["doc_id"], name="rank").select("doc_id", "rank"), "ranks")
+    found = _of_whole_ids(docs.join(ranks, "doc_id", "left").select(F.col("rank").alias("doc_id"), "text"), width, part_bytes)
+    return found.withColumnRenamed("doc_id", "rank").join(ranks, "rank", "left").select(F.col("doc_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _of_whole_ids(docs: DataFrame, width: int, part_bytes: int) -> DataFrame:
+    """without_repeats of (doc_id, text) with whole numbers as ids."""
+    spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    with bounded_batches(spark):
-        # dealt by row once: later joins with small tables by row move no text
-        blocks(docs, id_col, text_col, width, part_bytes).repartition(n_parts, "row").write.bucketBy(n_parts, "row").option("compression", "zstd").option("path", path).saveAsTable(name)
-        dealt = spark.table(name)
-        release(spark)
-        counts = _byte_counts(dealt)
-        total = sum(counts.values())
-        samples, buckets = _buckets(counts, SAMPLE_PASSES), _buckets(counts, PASSES)
-
-        n_sample = max(1, -(-total * len(COVER) * 8 // (PERIOD * SAMPLE_PASSES * GROUP_BYTES)))
-        ties = None
-        for k, bucket in enumerate(samples):
-            part = saved(_sieve_bucket(dealt, bucket, k, n_sample, width), "ties")
-            ties = part if ties is None else ties.unionByName(part)
+    try:
+        with bounded_batches(spark):
+            # dealt by row once: later joins with small tables by row move no text
+            blocks(docs, "doc_id", "text", width, part_bytes).repartition(n_parts, "row").write.bucketBy(n_parts, "row").option("compression", "zstd").option("path", path).saveAsTable(name)
+            dealt = spark.table(name)
             release(spark)
-        masks = saved(_masks(dealt, ties, samples, n_sample, width), "masks")
-        release(spark)
-
-        # a share of the sample goes through the sieve
-        n_groups = max(1, -(-total * len(COVER) * (REACH + width + 10) // (3 * PERIOD * PASSES * GROUP_BYTES)))
-        masked = dealt.join(masks, "row")
-        found = None
-        for k, bucket in enumerate(buckets):
-            part = saved(_sorted_bucket(masked, bucket, k, n_groups, width), "later")
-            found = part if found is None else found.unionByName(part)
+            counts = _byte_counts(dealt)
+            total = sum(counts.values())
+            samples, buckets = _buckets(counts, SAMPLE_PASSES), _buckets(counts, PASSES)
+
+            n_sample = max(1, -(-total * len(COVER) * 8 // (PERIOD * SAMPLE_PASSES * GROUP_BYTES)))
+            ties = None
+            for k, bucket in enumerate(samples):
+                part = saved(_sieve_bucket(dealt, bucket, k, n_sample, width), "ties")
+                ties = part if ties is None else ties.unionByName(part)
+                release(spark)
+            masks = saved(_masks(dealt, ties, samples, n_sample, width), "masks")
             release(spark)
-        rows = saved(_marked(masked, found, buckets, n_groups, width), "marked")
+
+            # a share of the sample goes through the sieve
+            n_groups = max(1, -(-total * len(COVER) * (REACH + width + 10) // (3 * PERIOD * PASSES * GROUP_BYTES)))
+            masked = dealt.join(masks, "row")
+            found = None
+            for k, bucket in enumerate(buckets):
+                part = saved(_sorted_bucket(masked, bucket, k, n_groups, width), "later")
+                found = part if found is None else found.unionByName(part)
+                release(spark)
+            rows = saved(_marked(masked, found, buckets, n_groups, width), "marked")
+    finally:
         discard(spark, name, path)
     out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     long = rows.filter("data is not null")
     names = long.groupBy("row").agg(F.max("doc_id").alias("doc_id"))
     parts = long.select("row", "n_bytes", "start", "data", "marks").groupBy("row").applyInPandas(_whole(width), "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return rows.filter("data is null").select(out).unionByName(parts.join(names, "row").select(out)).withColumnRenamed("doc_id", id_col)
+    return rows.filter("data is null").select(out).unionByName(parts.join(names, "row").select(out))
 
 
 def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import random
 
@@ -92,3 +93,27 @@ def test_names_decide_nothing(spark, monkeypatch):
 
 def test_empty(spark):
     assert repeats.without_repeats(cases.frame(spark).limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    text = "a passage of more than fifty bytes that several documents share, word for word. "
+    rows = [("a2", text), ("a0", text), ("a1", "x" + text), (None, text), ("é", text * 2), ("Z", None), ("a0", text)]
+    df = spark.createDataFrame(rows, "name string, t string")
+    got = {(r.name, r.n_bytes, r.n_removed) for r in repeats.without_repeats(df, id_col="name", text_col="t").collect()}
+    order = {n: k for k, n in enumerate(sorted({n for n, _ in rows if n is not None}, key=lambda n: n.encode()))}
+    whole = [(order.get(n), t) for n, t in rows]
+    plain = spark.createDataFrame(whole, "doc_id long, text string")
+    names = {k: n for n, k in order.items()} | {None: None}
+    assert got == {(names[r.doc_id], r.n_bytes, r.n_removed) for r in repeats.without_repeats(plain).collect()}
+    assert ("a0", len(text), 0) in got and ("a1", len(text) + 1, len(text)) in got and (None, len(text), len(text)) in got
+    dates = df.selectExpr("date_add(date'2020-01-01', length(coalesce(name, ''))) as day", "t")
+    assert repeats.without_repeats(dates, id_col="day", text_col="t").schema["day"].dataType.simpleString() == "date"
+
+
+def test_blocks_are_dropped_if_it_fails(spark, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(repeats, "_sorted_bucket", lambda *a: 1 / 0)
+    df = spark.createDataFrame([(1, "text")], "doc_id long, text string")
+    with pytest.raises(ZeroDivisionError):
+        repeats.without_repeats(df)
+    assert {t.name for t in spark.catalog.listTables()} == before
