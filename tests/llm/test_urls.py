@@ -48,3 +48,24 @@ def test_many_rules_and_a_row_repeated_often(spark):
 
 def test_empty(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_many_nested_rules_of_one_host(spark):
+    import time
+
+    rng = random.Random(4)
+    paths = ["/" + "/".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) + rng.choice(["", "/", "x"]) for _ in range(30_000)]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(["one.org", "a.one.org", "org"]), p) for p in paths]
+    best = {}
+    for v, h, p in rules:
+        best[h, p] = max(v, best.get((h, p), ""))
+    urls_ = [f"http://{rng.choice(['a.one.org', 'one.org', 'z.a.one.org', 'two.org', 'org'])}/" + "/".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))) for _ in range(20_000)]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").repartition(4)
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    start = time.perf_counter()
+    got = urls.judged(pages, table).collect()
+    took = time.perf_counter() - start
+    assert took < 60 and len(got) == len(urls_)
+    for r in got:
+        fits = [(len(h + r.path[:n]), len(h), h + r.path[:n], best[h, r.path[:n]]) for h in ("one.org", "a.one.org", "org") if r.host == h or r.host.endswith("." + h) for n in range(len(r.path) + 1) if (h, r.path[:n]) in best]
+        assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
