@@ -80,3 +80,24 @@ def test_activity_and_supplements(spark):
     extra = rows.select("registry_id", F.col("site").alias("site_id"), F.lit(" Net ").alias("network"), "observed_at", "supplemental")
     primaries = spark.createDataFrame([(1, "d", "net"), (2, "x", "NET"), (3, "x", "")], "primary_id long, site_id string, network string")
     assert sorted((r.primary_id, r.registry_id) for r in E.supplements(extra, primaries).collect()) == [(1, 6), (2, 6)]
+
+
+# kind of what must not be in a text -> texts that hold it, and texts that only come near
+UNSAFE = {
+    "path": (["/etc/passwd", "see /a", "(/x", "a=/b", "C:\\x", "'d:/y", "\\\\host\\share", "in /a b"], ["a/b", "and / or", "http://x", "C: x", "\\\\host", "1/2"]),
+    "secret": (["sk-" + "a1" * 10, "x ghp_" + "A" * 20, "ghr_" + "z" * 25, "AKIA" + "0" * 16, "BEGIN PRIVATE KEY", "-BEGIN OPENSSH PRIVATE KEY", "Password: x", "my api-key =", "APIKEY:", "TOKEN=1"], ["sk-short", "ghx_" + "A" * 20, "AKIA" + "0" * 17, "akia" + "0" * 16, "BEGIN PUBLIC KEY", "passwords: x", "api.key=", "token x"]),
+    "raw evidence": (["<?xml version", "<XML>", "<nmaprun x", "<host>", "PCAP  global header", "xpcapng global header", "Starting Nmap 7", "nmap scan report for x", "port state service", "raw packets sent", "IP a > b", "x tcp 1.2 > 3", "UDP a  >"], ["<xmlx>", "<hosts>", "restarting nmap", "pcap header", "IP >", "ip-a > b", "IPX a > b", "TCP " + "a" * 161 + " >", "port state services"]),
+}
+
+
+def test_unsafe_texts_by_kind(spark):
+    rows = [(kind, t, bad) for kind, (yes, no) in UNSAFE.items() for texts, bad in ((yes, True), (no, False)) for t in texts]
+    df = spark.createDataFrame(rows, "kind string, t string, bad boolean")
+    for r in df.select("*", Y.is_unsafe("t").alias("got"), *[F.col("t").rlike(p).alias(f"is_{k.split()[0]}") for k, p in Y.UNSAFE.items()]).collect():
+        assert r.got == r.bad and r[f"is_{r.kind.split()[0]}"] == r.bad, r
+
+
+def test_unsafe_ids(spark):
+    ids = {"nmaprun": "x", "a.pcap global header": "x", "pcapng-global_header": "x", "host:address.addr-1": "x", "port  state??service": "x", "nmapruns": "nmapruns", "my host address": "my-host-address", "/srv/a": "x", "": "x", "a" * 130: "a" * 120}
+    got = spark.createDataFrame(list(ids.items()), "i string, want string").select("want", Y.safe_id("i", "x").alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
