@@ -41,6 +41,11 @@ SERVICE_NAMES = {
     1433: "MSSQL", 1434: "MSSQL Browser", 3306: "MySQL", 3389: "RDP", 5432: "PostgreSQL", 5900: "VNC", 5985: "WinRM HTTP", 5986: "WinRM HTTPS", 6379: "Redis", 8080: "HTTP Proxy", 8443: "HTTPS Alt",
     8888: "HTTP Alt", 9200: "Elasticsearch", 27017: "MongoDB",
 }
+# What a flagged port is, in the reason of a change.
+FLAG_NOTES = {
+    23: "Telnet (cleartext remote shell)", 445: "SMB (Windows file sharing)", 3389: "RDP (remote desktop)", 5900: "VNC (remote desktop)", 135: "RPC endpoint mapper", 139: "NetBIOS/SMB legacy", 1080: "SOCKS proxy (possible pivot)",
+    8080: "HTTP alt / admin panel common", 8443: "HTTPS alt / admin panel common", 8888: "Dev/admin service common (Jupyter/etc.)", 22: "SSH (remote admin)", 80: "HTTP (web UI/admin possible)", 443: "HTTPS (web UI/admin possible)",
+}
 FRESH_DAYS, AGING_DAYS = 30, 37
 LEVELS = ("P0", "P1", "P2")
 
@@ -55,6 +60,11 @@ def service_ports(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, p, c) for a, ports in SERVICE_PORTS.items() for p, c in ports.items()], "protocol string, port int, category string")
 
 
+def flag_notes(spark: SparkSession) -> DataFrame:
+    """(port, note)."""
+    return spark.createDataFrame(sorted(FLAG_NOTES.items()), "port int, note string")
+
+
 def port_notes(spark: SparkSession) -> DataFrame:
     """(port, service_name, action)."""
     ports = sorted(P0_ACTIONS.keys() | SERVICE_NAMES.keys())

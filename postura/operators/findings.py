@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ip_order, level_rank
+from .places import placed
 
 
 def open_ports(findings: DataFrame) -> DataFrame:
@@ -56,11 +57,23 @@ def risk_groups(findings: DataFrame) -> DataFrame:
     return hosts.groupBy("protocol", "port", "risk").agg(F.min_by("service", "ord").alias("service"), F.count("*").alias("hosts_affected"), named.alias("hosts"))
 
 
+def risk_group_counts(findings: DataFrame) -> DataFrame:
+    """(protocol, port, risk, service, hosts_affected): risk groups of any size, their hosts counted but not listed."""
+    hosts = findings.groupBy("protocol", "port", "risk", "ip").agg(F.min("ord").alias("ord"), F.min_by("service", "ord").alias("service"))
+    return hosts.groupBy("protocol", "port", "risk").agg(F.min_by("service", "ord").alias("service"), F.count("*").alias("hosts_affected"), F.min_by("ip", "ord").alias("first_host"))
+
+
 def risk_group_hosts(findings: DataFrame) -> DataFrame:
     """(protocol, port, risk, ip, ord): a row a host of a risk group, ord its first appearance; for groups of any size."""
     return findings.groupBy("protocol", "port", "risk", "ip").agg(F.min("ord").alias("ord"))
 
 
+def device_counts(findings: DataFrame) -> DataFrame:
+    """(ip, hostname, n_ports): devices with any number of ports, counted but not listed."""
+    name = F.min_by("hostname", F.when(F.col("hostname") != "", F.col("ord")))
+    return findings.groupBy("ip").agg(F.coalesce(name, F.lit("")).alias("hostname"), F.count("*").alias("n_ports"))
+
+
 def device_ports(findings: DataFrame) -> DataFrame:
     """(ip, protocol, port, n): a row a port of a device; for devices with any number of them."""
     return findings.groupBy("ip", "protocol", "port").agg(F.count("*").alias("n"))
@@ -123,6 +136,36 @@ def risky_rows(rows: DataFrame, levels: tuple[str, ...] = ("P0",)) -> DataFrame:
     return found.withColumn("reason", reason).orderBy(level_rank("risk"), "ip", "port", "ord")
 
 
+def risk_flags(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """Rows with a level as (priority, reason, place and the finding's columns): the reason is the port's note with service and product.
+
+    notes: (port, note).  place: order by level, address and port.
+    """
+    told = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f" | {c}="), F.trim(c))).otherwise("")
+    found = rows.filter(F.col("risk").isNotNull()).join(F.broadcast(notes), "port", "left")  # a row a known port
+    reason = F.concat(F.coalesce("note", F.lit("Flagged port")), told("service"), told("product"))
+    out = found.select(F.col("risk").alias("priority"), reason.alias("reason"), "ip", "protocol", "port", "service", "product", "version", "ord", F.lit(0).alias("_one"))
+    return placed(out.withColumn("_level", level_rank("priority")), "_one", ["_level", "ip", "port", "ord"]).drop("_one", "_level")
+
+
+def recommended(groups: DataFrame, notes: DataFrame, n: int = 3) -> DataFrame:
+    """(place, action): what to do first, at most n: for the first groups at P0, then at P1; a single line if there are none.
+
+    groups: as risk_group_counts; notes: (port, action).
+    """
+    worst = groups.filter(F.col("risk").isin("P0", "P1")).orderBy("risk", F.desc("hosts_affected"), "port", "protocol").limit(n)
+    port = F.col("port").cast("string")
+    hosts = F.concat(F.col("hosts_affected").cast("string"), F.lit(" hosts"))
+    where = F.when(F.col("hosts_affected") == 1, F.col("first_host")).otherwise(hosts)
+    p0 = F.coalesce(F.concat(F.col("action"), F.lit(" ("), port, F.lit("/"), F.col("protocol"), F.lit(" on "), where, F.lit(")")), F.concat(F.lit("Block port "), port, F.lit("/"), F.col("protocol"), F.lit(" at perimeter ("), hosts, F.lit(")")))
+    p1 = F.concat(F.lit("Review and restrict "), F.coalesce(F.nullif("service", F.lit("")), F.concat(F.lit("port "), port)), F.lit(" access ("), hosts, F.lit(")"))
+    rows = worst.join(F.broadcast(notes.select("port", "action")), "port", "left")
+    order = Window.orderBy("risk", F.desc("hosts_affected"), "port", "protocol")  # n rows at most
+    out = rows.select(F.row_number().over(order).alias("place"), F.when(F.col("risk") == "P0", p0).otherwise(p1).alias("action"))
+    calm = groups.sparkSession.createDataFrame([(1, "No critical exposures detected - continue monitoring")], "place int, action string")
+    return out.unionByName(calm.join(out.limit(1).select(F.lit(1).alias("place")), "place", "left_anti"))
+
+
 def by_address(rows: DataFrame, ip: str = "ip") -> DataFrame:
     """Numeric order of addresses, others last."""
     return rows.orderBy(ip_order(ip), ip)

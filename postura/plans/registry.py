@@ -73,7 +73,7 @@ def scorecard_counts(spark, d):
 
 @query(f"with {_RISKY}, g as (select protocol, port, risk, count(distinct ip) as n from rk group by all) select coalesce(risk, 'unclassified') as bucket, count(*) as n_groups, sum(n)::bigint as n_hosts from g group by 1")
 def risk_buckets(spark, d):
-    return P.risk_buckets(P.risk_groups(_risky(spark, d)))
+    return P.risk_buckets(P.risk_group_counts(_risky(spark, d)))
 
 
 @query(f"with {_RISKY} select protocol, port::int as port, count(distinct ip) as hosts from rk where risk = 'P0' group by all order by hosts desc, port, protocol limit 3")
@@ -93,7 +93,7 @@ def device_ports(spark, d):
 
 @query(f"with {_OPEN} select ip, coalesce(arg_min(hostname, ord) filter (where hostname <> ''), '') as hostname, count(*) as n_ports from op group by ip")
 def device_summary(spark, d):
-    return P.device_summary(_open(spark, d)).drop("ports")
+    return P.device_counts(_open(spark, d))
 
 
 _KEY_SQL = "select x.ord, x.ip, x.protocol, x.port::int as port, x.service from {a} x where not exists (select 1 from {b} y where y.ip = x.ip and y.protocol = x.protocol and y.port = x.port)"
@@ -131,9 +131,12 @@ def risky_rows(spark, d):
 # traffic
 
 
-@query(f"with {B.PACKETS} select count(*) as packets, sum(orig_len)::bigint as bytes, min(ts) as first_seen, max(ts) as last_seen, 0::bigint as arp_packets, 0::bigint as icmp_packets, 0::bigint as ipv6_packets from p")
+@query(f"with {B.PACKETS} select count(*) as packets, sum(orig_len)::bigint as bytes, min(ts) as first_seen, max(ts) as last_seen, count(*) filter (where ord % 10 = 7) as arp_packets, count(*) filter (where ord % 10 in (5, 6)) as icmp_packets, count(*) filter (where ord % 10 in (3, 4)) as ipv6_packets from p")
 def capture_totals(spark, d):
-    return N.totals(B.packets(spark, d))
+    n = F.col("ord") % 10
+    protocol = F.when(n == 7, "arp").when(n == 6, "icmp").when(n == 5, "icmpv6").otherwise(F.col("protocol"))
+    six = lambda c, k: F.when(n == k, F.concat(F.lit("fe80::"), F.col(c))).otherwise(F.col(c))
+    return N.totals(B.packets(spark, d).withColumns({"protocol": protocol, "src_ip": six("src_ip", 4), "dst_ip": six("dst_ip", 3)}))
 
 
 @query(f"""with {B.PACKETS}, r as (
@@ -394,8 +397,8 @@ def dedupe_first(spark, d):
     return T.first_by_key(B.observations(spark, d), ["site"], ["observed_at", "registry_id"]).select("site", "registry_id", "observed_at")
 
 
-_LADDER = """x as (select o_orderkey as ord, o_custkey % 400 as content_hash, case when o_orderkey % 3 <> 0 then o_custkey % 200 end as source_run_uid, o_custkey as observation_id from orders),
-nw as (select * from x where ord % 4 <> 0), hd as (select * from x where ord % 4 = 0 and content_hash % 5 = 0),
+_LADDER = """x as (select o_orderkey as ord, o_custkey as content_hash, case when o_orderkey % 3 <> 0 then o_custkey // 2 end as source_run_uid, o_custkey as observation_id from orders),
+nw as (select * from x where ord % 4 <> 0), hd as (select * from x where ord % 4 = 0),
 a as (select * from nw qualify row_number() over (partition by content_hash order by ord) = 1), b as (select * from a where content_hash not in (select content_hash from hd)),
 c as (select * from b where source_run_uid is not null qualify row_number() over (partition by source_run_uid order by ord) = 1), e as (select * from b where source_run_uid is null qualify row_number() over (partition by observation_id order by ord) = 1)"""
 
@@ -403,8 +406,8 @@ c as (select * from b where source_run_uid is not null qualify row_number() over
 @query(f"with {_LADDER} select ord, content_hash, source_run_uid, observation_id from c where source_run_uid not in (select source_run_uid from hd where source_run_uid is not null) union all select ord, content_hash, source_run_uid, observation_id from e where observation_id not in (select observation_id from hd where source_run_uid is null)")
 def dedupe_ladder(spark, d):
     o = B.read(spark, d, "orders")
-    x = o.select(F.col("o_orderkey").alias("ord"), (F.col("o_custkey") % 400).alias("content_hash"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") % 200).alias("source_run_uid"), F.col("o_custkey").alias("observation_id"))
-    return T.dedupe_ladder(x.filter("ord % 4 <> 0"), x.filter("ord % 4 = 0 and content_hash % 5 = 0"))
+    x = o.select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("content_hash"), F.when(F.col("o_orderkey") % 3 != 0, F.floor(F.col("o_custkey") / 2)).alias("source_run_uid"), F.col("o_custkey").alias("observation_id"))
+    return T.dedupe_ladder(x.filter("ord % 4 <> 0"), x.filter("ord % 4 = 0"))
 
 
 @query(f"""with {B.OBSERVATIONS} select registry_id, case when registry_id % 3 = 0 then 'different_sites' when registry_id % 5 = 0 then 'identical_observations'

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..functions import canonical as K
 from ..operators import device_keys as D
+from ..operators import findings as P
 from ..operators import identity as I
 from ..operators import inventory as V
 from ..operators import limits as M
@@ -14,7 +16,7 @@ from ..operators import statement as ST
 from ..operators.identity import TIERS
 from ..sources import ingest as G
 from . import bridges as B
-from .registry import query
+from .registry import _RISKY, _risky, query
 
 
 # ordered import of an inventory
@@ -349,3 +351,26 @@ def candidate_places(spark, d):
     word = lambda n: F.get(words, n.cast("int"))
     rows = B.read(spark, d, "part").select((k % 5).alias("pair"), "p_partkey", F.concat(word(k % 8), (k % 3).cast("string")).alias("rule"), F.col("p_name").alias("base_id"), F.concat(word(F.floor(k / 8) % 8), k.cast("string")).alias("current_id"), F.array(F.lit("b"), F.lit("A")).alias("shared"))
     return O.in_order(rows, "pair", O.candidate_key()).select("pair", "p_partkey", "place")
+
+
+# reasons and actions
+
+
+_PRODUCT = "case when ord % 3 = 0 then '' when ord % 3 = 1 then ' prod ' || ord end"
+
+
+@query(f"""with {_RISKY}, nt(port, note) as (values {", ".join(f"({p}, '{n}')" for p, n in sorted(dims.FLAG_NOTES.items()))})
+select risk as priority, coalesce(note, 'Flagged port') || ' | service=' || service || coalesce(' | product=' || nullif(trim({_PRODUCT}), ''), '') as reason, ip, protocol, port::int as port, service, {_PRODUCT} as product, null::varchar as version, ord,
+  row_number() over (order by risk, ip, port, ord) as place from rk left join nt using (port) where risk is not null""")
+def flagged_changes(spark, d):
+    n = F.col("ord") % 3
+    rows = _risky(spark, d).withColumn("product", F.when(n == 0, "").when(n == 1, F.concat(F.lit(" prod "), F.col("ord").cast("string")))).withColumn("version", F.lit(None).cast("string"))
+    return P.risk_flags(rows, dims.flag_notes(spark))
+
+
+@query(f"""with {_RISKY}, g as (select protocol, port, risk, count(distinct ip) as n, arg_min(ip, ord) as h, arg_min(service, ord) as service from rk where risk in ('P0', 'P1') group by all order by risk, n desc, port, protocol limit 3),
+nt(port, action) as (values {", ".join(f"({p}, '{a}')" for p, a in sorted(dims.P0_ACTIONS.items()))})
+select row_number() over (order by risk, n desc, port, protocol)::int as place, case when risk = 'P1' then 'Review and restrict ' || service || ' access (' || n || ' hosts)'
+  else coalesce(action || ' (' || port || '/' || protocol || ' on ' || case when n = 1 then h else n || ' hosts' end || ')', 'Block port ' || port || '/' || protocol || ' at perimeter (' || n || ' hosts)') end as action from g left join nt using (port)""")
+def recommended_actions(spark, d):
+    return P.recommended(P.risk_group_counts(_risky(spark, d)), dims.port_notes(spark))
