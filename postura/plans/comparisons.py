@@ -30,7 +30,8 @@ op as (select su.*, r from su join cp on cp.pair = su.pair_id and cp.device_id =
 cl as (select su.*, r from su join bp on bp.pair = su.pair_id and bp.device_id = su.base_id where su.pair_id <> '2' and not exists (select 1 from cp where cp.pair = su.pair_id and cp.device_id = su.current_id and cp.r = bp.r)),
 mc as (select su.*, array_to_string(list_filter([case when bb.ips <> cc.ips then 'ips' end, case when bb.macs <> cc.macs then 'macs' end, case when bb.names <> cc.names then 'names' end], lambda x: x is not null), ',') as f
   from su join bb on bb.pair = su.pair_id and bb.device_id = su.base_id join cc on cc.pair = su.pair_id and cc.device_id = su.current_id),
-ev as (select pair_id, 'identity-uncertain-possibly-same-device' as event_type, 'identity.uncertain' as rule_id, base_id, current_id, confidence, rule as identity_rule, '' as detail from ma where outcome = 'uncertain'
+un as (select pair_id, base_id, null as current_id, confidence, rule, count(*) as n from ma where outcome = 'uncertain' group by all union all select pair_id, null, current_id, confidence, rule, count(*) from ma where outcome = 'uncertain' group by all),
+ev as (select pair_id, 'identity-uncertain-possibly-same-device' as event_type, 'identity.uncertain' as rule_id, base_id, current_id, confidence, rule as identity_rule, n || case when n = 1 then ' link' else ' links' end as detail from un
   union all select pair::varchar, 'new-device-observed', 'device.new-observed', null, device_id, case when pair = 1 then 'low' else {_BEST} end, 'no-baseline-match', {_VALUES} from cc where not exists (select 1 from ma where ma.pair_id = cc.pair and ma.current_id = cc.device_id)
   union all select pair::varchar, 'previously-observed-device-not-observed', 'device.not-observed', device_id, null, {_BEST}, 'no-current-match', {_VALUES} from bb where pair <> 2 and not exists (select 1 from ma where ma.pair_id = bb.pair and ma.base_id = bb.device_id)
   union all select pair_id, 'service-or-port-opened', 'port.opened', base_id, current_id, confidence, rule, r.q || ':' || r.p from op
