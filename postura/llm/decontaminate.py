@@ -4,10 +4,12 @@ Each slice of a partition's texts is a shard with a word suffix array of its
 own.  Words are named by their place in the benchmark's vocabulary (0: not in
 it), and the array holds the suffixes that open with words of some test
 suffix; all others can match nothing.  Every test suffix (an item from one of
-its words on) is binary-searched in every shard; runs of matches on one
-diagonal are the longest verbatim matches.  The benchmark is the stated query
-set: its items go to the tasks in blocks of at most BLOCK_BYTES of text, one
-pass over the documents a block.
+its words on), each distinct one once, is binary-searched in every shard.  From
+the first place of a text where an item matches, the longest verbatim match is
+found in the suffix array of the item; the search goes on behind it, so a match
+of any length is one entry and repeated words cost no more than others.  The
+benchmark is the stated query set: its items go to the tasks in blocks of at
+most BLOCK_BYTES of text, one pass over the documents a block.
 
 Words are looked up by 64-bit names; every match found is then compared with
 the item word by word, as bytes.
@@ -43,33 +45,64 @@ _FOUND_TYPE = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int
 
 
 class Suffixes:
-    """Every test suffix with at least one window, ready to be searched."""
+    """The distinct openings of all test suffixes with at least one window, ready to be searched."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         w = Words(encoded(t for _, t in items))
         self.window = window
         self.vocabulary, rank = np.unique(w.name, return_inverse=True)
-        ids, places, widths, keys = [], [], [], []
-        for k, (name, _) in enumerate(items):
-            own = rank[w.first[k] : w.first[k + 1]] + 1
-            width = min(window, len(own))
-            for p in range(len(own) - width + 1 if width else 0):
-                row = np.zeros(window, ">u4")
-                row[:width] = own[p : p + width]
-                ids.append(k)
-                places.append(p)
-                widths.append(width)
-                keys.append(row)
         self.names = [name for name, _ in items]
-        self.words = [[w.text(i) for i in range(*w.first[k : k + 2])] for k in range(len(items))]
-        self.item, self.place, self.width = np.array(ids, np.int64), np.array(places, np.int64), np.array(widths, np.int64)
-        rows = np.array(keys, ">u4").reshape(len(keys), window)
+        self.own = [(rank[w.first[k] : w.first[k + 1]] + 1).astype(np.uint32) for k in range(len(items))]
+        self.words = w
+        self.sorted: dict[int, np.ndarray] = {}  # suffix array of an item, made when it is needed
+        rows, widths, item = [np.zeros((0, window), np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, own in enumerate(self.own):
+            width = min(window, len(own))
+            if width:
+                part = np.zeros((len(own) - width + 1, window), np.uint32)
+                part[:, :width] = np.lib.stride_tricks.sliding_window_view(own, width)
+                part = np.unique(part, axis=0)
+                rows.append(part)
+                widths.append(np.full(len(part), width))
+                item.append(np.full(len(part), k))
+        rows, widths, item = np.concatenate(rows), np.concatenate(widths), np.concatenate(item)
+        keyed = np.column_stack([widths.astype(np.uint32), rows])
+        _, first, which = np.unique(keyed, axis=0, return_index=True, return_inverse=True)
+        which = which.ravel()
+        order = np.argsort(which, kind="stable")
+        self.width = widths[first]
+        self.items, self.cut = item[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(first)))])  # items of each opening
+        rows = rows[first].astype(">u4")
         self.low = _keys(rows)
         self.high = _keys(np.where(np.arange(window) < self.width[:, None], rows, np.uint32(0xFFFFFFFF)).astype(">u4"))
         # openings of 1, 2, ... words that all test suffixes have; a longer one narrows more
-        self.opening = min(OPENING, int(self.width.min())) if len(keys) else 0
+        self.opening = min(OPENING, int(self.width.min())) if len(first) else 0
         self.openings = [np.unique(_packed([rows[:, j].astype(np.uint64) for j in range(k + 1)])) for k in range(self.opening)]
 
+    def items_of(self, which: np.ndarray) -> np.ndarray:
+        """Items, each once, that hold any of some openings."""
+        return np.unique(np.concatenate([self.items[self.cut[u] : self.cut[u + 1]] for u in np.unique(which)]))
+
+    def longest(self, item: int, text: np.ndarray, at: int) -> tuple[int, int]:
+        """(place in the item, words) of the longest match of what a text says from a place on, by binary search."""
+        own = self.own[item]
+        if item not in self.sorted:
+            self.sorted[item] = suffix_array(own)
+        order, best = self.sorted[item], (0, 0)
+        low, high = 0, len(order)
+        while low < high:
+            mid = (low + high) // 2
+            p = int(order[mid])
+            n = min(len(own) - p, len(text) - at)
+            n = common(own[p : p + n], text[at : at + n])
+            if n > best[1] or (n == best[1] and p < best[0]):
+                best = (p, n)
+            if p + n == len(own) or (at + n < len(text) and own[p + n] < text[at + n]):
+                low = mid + 1
+            else:
+                high = mid
+        return best
+
     def ranks(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of a shard's words with a 0 after each text, and the text of each place."""
         at = np.searchsorted(self.vocabulary, w.name)
@@ -103,6 +136,35 @@ class Suffixes:
         return which, suffixes[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Values that two arrays of one length have in common at their start."""
+    at, step = 0, 64
+    while at < len(a):
+        apart = np.flatnonzero(a[at : at + step] != b[at : at + step])
+        if len(apart):
+            return at + int(apart[0])
+        at, step = at + step, step * 2
+    return len(a)
+
+
+def suffix_array(values: np.ndarray) -> np.ndarray:
+    """Places of the suffixes in order, by doubling: each round sorts by pairs of ranks."""
+    rank, n = np.unique(values, return_inverse=True)[1].astype(np.int64), len(values)
+    step = 1
+    while True:
+        later = np.full(n, -1, np.int64)
+        later[: max(0, n - step)] = rank[step:]
+        order = np.lexsort((later, rank))
+        new = np.ones(n, np.int64)
+        new[0] = 0
+        new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (later[order[1:]] != later[order[:-1]])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        if n == 0 or rank[order[-1]] == n - 1:
+            return order
+        step *= 2
+
+
 def _keys(rows: np.ndarray) -> np.ndarray:
     """Rows of big-endian ranks as byte strings: compared as the ranks are."""
     rows = np.ascontiguousarray(rows)
@@ -125,26 +187,56 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
         yield k == n - 1, [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
-def _runs(item: np.ndarray, place: np.ndarray, at: np.ndarray, width: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Matches of one text, merged along diagonals: (item, its first word, the text's first word, words)."""
-    order = np.lexsort((at, at - place, item))
-    item, place, at, width = item[order], place[order], at[order], width[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (item[1:] != item[:-1]) | (at[1:] - place[1:] != at[:-1] - place[:-1]) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return list(zip(item[first], place[first], at[first], at[last] + width[last] - at[first]))
+def _runs(tests: Suffixes, ranks: np.ndarray, which: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Longest matches of one text: (item, its first word, the text's first word, words), from each place that no match before it covers."""
+    out = []
+    for item in tests.items_of(which):
+        mine = np.isin(which, np.flatnonzero(_holders(tests, item)))
+        places = np.unique(at[mine])
+        width, k = min(tests.window, len(tests.own[item])), 0
+        while k < len(places):
+            x = int(places[k])
+            p, n = tests.longest(item, ranks, x)
+            out.append((int(item), p, x, n))
+            k = int(np.searchsorted(places, x + max(n, width) - width + 1))
+    return out
 
 
-def _verified(tests: Suffixes, w: Words, d: int, which: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Merged matches of text d whose words are those of the item, byte by byte."""
+def _holders(tests: Suffixes, item: int) -> np.ndarray:
+    """Whether each opening is one of an item's; kept."""
+    if not hasattr(tests, "held"):
+        tests.held = {}
+    if item not in tests.held:
+        owner = np.repeat(np.arange(len(tests.cut) - 1), np.diff(tests.cut))
+        flag = np.zeros(len(tests.cut) - 1, bool)
+        flag[owner[tests.items == item]] = True
+        tests.held[item] = flag
+    return tests.held[item]
+
+
+def _verified(tests: Suffixes, w: Words, d: int, ranks: np.ndarray, which: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Matches of text d whose words are those of the item, byte by byte."""
     first = int(w.first[d])
-    same = lambda i, p, x, n: tests.words[i][p : p + n] == [w.text(first + x + k) for k in range(n)]
-    runs = _runs(tests.item[which], tests.place[which], at, tests.width[which])
+
+    def same(item: int, p: int, x: int, n: int) -> bool:
+        own = int(tests.words.first[item])
+        return all(tests.words.text(own + p + k) == w.text(first + x + k) for k in range(n))
+
+    runs = _runs(tests, ranks, which, at)
     if all(same(*run) for run in runs):
         return runs
-    true = np.array([same(tests.item[q], tests.place[q], x, tests.width[q]) for q, x in zip(which, at)], bool)
-    return _runs(tests.item[which[true]], tests.place[which[true]], at[true], tests.width[which[true]]) if true.any() else []
+    # two words share a name: such a place matches nothing, and a match ends before it
+    out = []
+    for item, p, x, n in runs:
+        own, k = int(tests.words.first[item]), 0
+        width = min(tests.window, len(tests.own[item]))
+        equal = [tests.words.text(own + p + k) == w.text(first + x + k) for k in range(n)]
+        while k < n:
+            end = next((j for j in range(k, n) if not equal[j]), n)
+            if end - k >= width:
+                out.append((item, p + k, x + k, end - k))
+            k = end + 1
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = True, words_col: str = "_dc_words", found_col: str = "_dc_found") -> DataFrame:
@@ -176,8 +268,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
                     cut = np.flatnonzero(np.diff(owner[order])) + 1
                     for part in np.split(order, cut) if len(order) else []:
                         d = int(owner[part[0]])
-                        local = at[part] - (w.first[d] + d)
-                        runs = _verified(tests, w, d, which[part], local)
+                        start = int(w.first[d] + d)
+                        runs = _verified(tests, w, d, ranks[start : start + int(w.counts[d])], which[part], at[part] - start)
                         found[d] = [{"item_id": tests.names[i], "item_word": int(p), "word": int(x), "words": int(n)} for i, p, x, n in runs]
                     if k:
                         found = [old + new for old, new in zip(before[a:b], found)]

@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 
 import duckdb
+import numpy as np
 
 from postura.llm import decontaminate as D
 
@@ -70,3 +72,41 @@ def test_items_without_an_id_count_as_in_sql(spark):
     assert got == sorted(map(repr, want))
     assert any(r[5] and r[4] == hashlib.sha256(b"").hexdigest() for r in want)
     assert D.decontaminated(docs, bench).count() == sum(not r[5] for r in want)
+
+
+def test_repeated_words_cost_no_more(spark):
+    import time
+
+    same = [(1, "word " * 50_000), (2, "a b " * 1500), (3, "word " * 12)]
+    docs = [(1, "word " * 50_000), (2, "x " + "a b " * 5000 + "word " * 9), (3, "word " * 9 + "y " + "b a " * 8)]
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in D.summary(D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(same, "item_id long, text string"))).collect()}
+    assert time.perf_counter() - start < 30
+    assert [(got[k].n_hit, got[k].n_items) for k in (1, 2, 3)] == [(50_000, 2), (10_000, 1), (16, 1)]
+
+
+def test_random_texts_of_few_words_equal_brute_force(spark):
+    rng = random.Random(12)
+    make = lambda n: " ".join(rng.choice(["a", "b", "c"]) if rng.random() < 0.8 else rng.choice(["a a", "a b a b a b", "q"]) for _ in range(n))
+    items = [(i, make(rng.choice([1, 3, 9, 10, 11, 30, 80]))) for i in range(12)]
+    docs = [(i, make(rng.choice([0, 5, 12, 60, 300]))) for i in range(60)]
+    found = D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).cache()
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.summary(found).collect())
+    assert got == sorted((i, *brute(t, items)) for i, t in docs)
+    texts, known = dict(docs), {str(i): split(t) for i, t in items}
+    for r in found.collect():
+        words = split(texts[r.doc_id])
+        for m in r._dc_found:
+            own = known[m.item_id]
+            assert words[m.word : m.word + m.words] == own[m.item_word : m.item_word + m.words] and m.words >= min(10, len(own))
+            # nothing in the item goes on longer from that place
+            longest = max(next((k for k in range(min(len(own) - p, len(words) - m.word)) if own[p + k] != words[m.word + k]), min(len(own) - p, len(words) - m.word)) for p in range(len(own)))
+            assert m.words == longest
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 100):
+        for kinds in (1, 2, 5):
+            v = rng.integers(0, kinds, n)
+            assert D.suffix_array(v).tolist() == sorted(range(n), key=lambda i: v[i:].tolist())
