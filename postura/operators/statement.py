@@ -1,7 +1,7 @@
 """A site's statement of a period: ordered sections of items, all sites in one plan.
 
-Ids of sections and items and their severities are fixed values of the format;
-the sentences are ours.  Facts are one row a site; whatever has an item a row
+Ids of sections and items and their severities are those of the format but for the
+captures; the sentences are ours.  Facts are one row a site; whatever has an item a row
 (events, notes, comparisons) is numbered over range-dealt parts, so a site with
 very many events is spread.
 
@@ -28,7 +28,7 @@ from .places import placed
 SECTIONS = (
     ("selected-period", "Statement title and selected period"), ("site-network", "Site/network covered"), ("coverage-vantage", "Observation coverage and collection vantage"), ("freshness", "Evidence freshness"),
     ("stable", "What appeared stable"), ("changed", "What changed"), ("needs-review", "What needs user review"), ("unresolved-responses", "Unresolved not_sure and investigate responses"),
-    ("packet-highway", "Packet Highway supplemental evidence"), ("cannot-conclude", "What cannot be concluded"), ("next-actions", "Practical next actions"), ("technical-provenance", "Technical evidence/provenance summary"),
+    ("supplements", "Supplemental capture evidence"), ("cannot-conclude", "What cannot be concluded"), ("next-actions", "Practical next actions"), ("technical-provenance", "Technical evidence/provenance summary"),
 )
 # Days of a weekly range, days its first and last observation may lie inside, days they must span, and coverage notes shown.
 WEEK, EDGE, SPAN, NOTES = (6, 8), 1, 5, 4
@@ -127,14 +127,14 @@ def fixed_items(facts: DataFrame, start: Column, end: Column, evaluated_at: Colu
         _item(5, 2, "stable-boundary", F.when(limited, "Bounded by coverage and freshness; no proof of safety.").otherwise("Stored observations only; no proof of safety."), "info", (c("n_pairs") > 0) & (c("n_events") == 0)),
         _item(5, 1, "stable-bounded", _text(c("n_pairs"), F.when(c("n_pairs") == 1, " pair").otherwise(" pairs"), " compared; what did not change is not listed."), "info", (c("n_pairs") > 0) & (c("n_events") > 0)),
         _item(6, 1, "changed-none", F.lit("No change events."), "info", c("n_events") == 0), _item(7, 1, "review-none", F.lit("Nothing needs review."), "info", c("n_events") == 0),
-        _item(8, 1, "responses-none", F.lit("No open responses."), "info", c("n_open") == 0), _item(9, 1, "packet-highway-none", F.lit("No supplemental evidence."), "info", c("n_extra") == 0),
+        _item(8, 1, "responses-none", F.lit("No open responses."), "info", c("n_open") == 0), _item(9, 1, "supplement-none", F.lit("No supplemental evidence."), "info", c("n_extra") == 0),
         _item(10, 1, "cannot-safety", F.lit("Neither safety nor compromise nor compliance can be proved.")), _item(10, 2, "cannot-absence", F.lit("Absence outside these observations, sources and dates can't be proved.")), _item(10, 3, "cannot-responses", F.lit("Responses tell what users know, not what is secure.")),
         _item(10, 4, "cannot-week", F.lit("The evidence does not cover the week."), "warning", short), _item(10, 5, "cannot-limited", F.lit("Coverage, freshness or too few comparisons limit every conclusion."), "warning", limited | (c("n_pairs") == 0)),
-        _item(10, 6, "cannot-packet-highway", F.lit("Captures prove no full inventory, ownership, safety or cause."), "info", c("n_extra") > 0),
+        _item(10, 6, "cannot-supplement", F.lit("Captures prove no full inventory, ownership, safety or cause."), "info", c("n_extra") > 0),
         _item(11, 1, "action-observe", F.lit("Collect two primary observations or more."), "warning", (c("n_primary") < 2) | (c("n_pairs") == 0)), _item(11, 2, "action-week", F.lit("Observe near both ends of the week."), "warning", short),
         _item(11, 3, "action-fresh", F.lit("Observe again before calling this current."), "warning", c("stale")), _item(11, 4, "action-missing-sources", _text("Collect what is missing: ", listed(c("missing")), "."), "warning", F.size("missing") > 0),
         _item(11, 5, "action-responses", F.lit("Settle the open responses."), "review", c("n_open") > 0), _item(11, 6, "action-events", F.lit("Check that each change is expected."), "review", c("n_events") > 0),
-        _item(11, 7, "action-packet-highway", F.lit("Take captures as context only."), "info", c("n_extra") > 0),
+        _item(11, 7, "action-supplement", F.lit("Take captures as context only."), "info", c("n_extra") > 0),
         _item(11, 8, "action-cadence", F.lit("Keep observing at this cadence."), "info", ~((c("n_primary") < 2) | (c("n_pairs") == 0) | short | c("stale") | (F.size("missing") > 0) | (c("n_open") > 0) | (c("n_events") > 0) | (c("n_extra") > 0))),
         _item(12, 1, "provenance-source", F.lit("Made from registered observations, their comparisons, coverage, responses and capture metadata.")),
         _item(12, 2, "provenance-counts", _text("Observations: ", c("n_primary"), "; comparisons: ", c("n_pairs"), "; responses: ", c("n_responses"), "; supplemental: ", c("n_extra"), ".")),
@@ -177,7 +177,7 @@ def statement_rows(entries: DataFrame, comparisons: DataFrame, events: DataFrame
         _numbered(events, ["number", "seq"], 6, "changed", 0, _text(pair, redact(c("title")), ". ", redact(c("summary"))), "review", seen),
         _numbered(events, ["number", "seq"], 7, "review", 0, _text(pair, redact(c("review")), F.when(c("state").isNotNull(), _text(" User says: ", c("state"), ".")).otherwise("")), F.when(c("investigate"), "review").otherwise("info"), seen),
         _numbered(told, ["number", "seq"], 8, "response", 0, _text(pair, c("state"), friendly, " stays open for ", redact(c("title")), "."), "review", seen),
-        _numbered(supplements.withColumn("_late", -F.unix_micros(F.coalesce(c("observed_at").cast("timestamp"), F.timestamp_seconds(F.lit(0))))), ["_late", "seq", "registry_id"], 9, "packet-highway", 0, _text(redact(c("label")), ": ", redact(c("summary")), " Vantage: ", c("vantage"), "; observed ", date_time(c("observed_at")), "."), "info", _text("/packet-highway?observation=", F.url_encode("registry_id"))),
+        _numbered(supplements.withColumn("_late", -F.unix_micros(F.coalesce(c("observed_at").cast("timestamp"), F.timestamp_seconds(F.lit(0))))), ["_late", "seq", "registry_id"], 9, "supplement", 0, _text(redact(c("label")), ": ", redact(c("summary")), " Vantage: ", c("vantage"), "; observed ", date_time(c("observed_at")), "."), "info", _text("/captures?observation=", F.url_encode("registry_id"))),
         _numbered(made, ["number"], 12, "provenance-comparison", 2, _text(pair, source, "; rule ", c("rule_version"), "; ", n, F.when(n == 1, " event").otherwise(" events"), "; guardrails ", F.when(F.size("guardrails") > 0, F.array_join(F.array_sort("guardrails"), ", ")).otherwise("none"), "."), "info", F.lit("/activity")),
         _numbered(skipped, ["number"], 12, "provenance-skipped", 0, _text("Skipped ", source, ": ", c("skipped"), "."), "warning").join(n_made, "site_id").withColumn("place", c("place") + c("_before")).drop("_before"),
     ]

@@ -12,11 +12,12 @@ from ..operators import identity as I
 from ..operators import inventory as V
 from ..operators import limits as M
 from ..operators import orders as O
+from ..operators import reports as RP
 from ..operators import statement as ST
 from ..operators.identity import TIERS
 from ..sources import ingest as G
 from . import bridges as B
-from .registry import _RISKY, _risky, query
+from .registry import _RISKY, _open, _risky, query
 
 
 # ordered import of an inventory
@@ -242,12 +243,12 @@ def _fixed_sql() -> str:
         (4, 3, "freshness-fresh", "'info'", "'All within the cadence.'", "n_primary > 0 and not stale"), (5, 1, "stable-none", "'warning'", "'Fewer than two comparable observations: nothing can be called stable.'", "n_pairs = 0"),
         (5, 1, "stable-no-events", w(lim), "'No changes in ' || n_pairs || case when n_pairs = 1 then ' comparison.' else ' comparisons.' end", quiet), (5, 2, "stable-boundary", "'info'", f"case when {lim} then 'Bounded by coverage and freshness; no proof of safety.' else 'Stored observations only; no proof of safety.' end", quiet),
         (5, 1, "stable-bounded", "'info'", "n_pairs || case when n_pairs = 1 then ' pair' else ' pairs' end || ' compared; what did not change is not listed.'", "n_pairs > 0 and n_events > 0"), (6, 1, "changed-none", "'info'", "'No change events.'", "n_events = 0"), (7, 1, "review-none", "'info'", "'Nothing needs review.'", "n_events = 0"),
-        (8, 1, "responses-none", "'info'", "'No open responses.'", "n_open = 0"), (9, 1, "packet-highway-none", "'info'", "'No supplemental evidence.'", "n_extra = 0"), (10, 1, "cannot-safety", "'info'", "'Neither safety nor compromise nor compliance can be proved.'", ""),
+        (8, 1, "responses-none", "'info'", "'No open responses.'", "n_open = 0"), (9, 1, "supplement-none", "'info'", "'No supplemental evidence.'", "n_extra = 0"), (10, 1, "cannot-safety", "'info'", "'Neither safety nor compromise nor compliance can be proved.'", ""),
         (10, 2, "cannot-absence", "'info'", "'Absence outside these observations, sources and dates can''t be proved.'", ""), (10, 3, "cannot-responses", "'info'", "'Responses tell what users know, not what is secure.'", ""), (10, 4, "cannot-week", "'warning'", "'The evidence does not cover the week.'", _SHORT),
-        (10, 5, "cannot-limited", "'warning'", "'Coverage, freshness or too few comparisons limit every conclusion.'", f"{lim} or n_pairs = 0"), (10, 6, "cannot-packet-highway", "'info'", "'Captures prove no full inventory, ownership, safety or cause.'", "n_extra > 0"),
+        (10, 5, "cannot-limited", "'warning'", "'Coverage, freshness or too few comparisons limit every conclusion.'", f"{lim} or n_pairs = 0"), (10, 6, "cannot-supplement", "'info'", "'Captures prove no full inventory, ownership, safety or cause.'", "n_extra > 0"),
         (11, 1, "action-observe", "'warning'", "'Collect two primary observations or more.'", "n_primary < 2 or n_pairs = 0"), (11, 2, "action-week", "'warning'", "'Observe near both ends of the week.'", _SHORT), (11, 3, "action-fresh", "'warning'", "'Observe again before calling this current.'", "coalesce(stale, false)"),
         (11, 4, "action-missing-sources", "'warning'", "'Collect what is missing: ' || missing || '.'", "missing is not null"), (11, 5, "action-responses", "'review'", "'Settle the open responses.'", "n_open > 0"), (11, 6, "action-events", "'review'", "'Check that each change is expected.'", "n_events > 0"),
-        (11, 7, "action-packet-highway", "'info'", "'Take captures as context only.'", "n_extra > 0"), (11, 8, "action-cadence", "'info'", "'Keep observing at this cadence.'", f"n_primary >= 2 and n_pairs > 0 and not ({_SHORT}) and not coalesce(stale, false) and missing is null and n_open = 0 and n_events = 0 and n_extra = 0"),
+        (11, 7, "action-supplement", "'info'", "'Take captures as context only.'", "n_extra > 0"), (11, 8, "action-cadence", "'info'", "'Keep observing at this cadence.'", f"n_primary >= 2 and n_pairs > 0 and not ({_SHORT}) and not coalesce(stale, false) and missing is null and n_open = 0 and n_events = 0 and n_extra = 0"),
         (12, 1, "provenance-source", "'info'", "'Made from registered observations, their comparisons, coverage, responses and capture metadata.'", ""), (12, 2, "provenance-counts", "'info'", "'Observations: ' || n_primary || '; comparisons: ' || n_pairs || '; responses: ' || n_responses || '; supplemental: ' || n_extra || '.'", ""),
     ]
     return " union all ".join(f"select site_id, {s} as section, {p}::bigint as place, '{i}' as item, {sev} as severity, {text} as text, null as reference from facts where {when or 'true'}" for s, p, i, sev, text, when in rows)
@@ -275,7 +276,7 @@ ln as ({_fixed_sql()}
   union all select site_id, 6, i, 'changed-' || i, 'review', 'Comparison ' || number || ': Title ' || seq || '. Summary ' || number || '.', '/activity#ev+' || base || '%2F' || seq from e2
   union all select site_id, 7, i, 'review-' || i, case when (number + seq) % 2 = 0 then 'review' else 'info' end, 'Comparison ' || number || ': Look at ' || seq || '.' || coalesce(' User says: ' || state || '.', ''), '/activity#ev+' || base || '%2F' || seq from e2
   union all select site_id, 8, j, 'response-' || j, 'review', 'Comparison ' || number || ': not_sure' || case when number % 2 = 0 then ' (pet ' || seq || ')' else '' end || ' stays open for Title ' || seq || '.', '/activity#ev+' || base || '%2F' || seq from (select *, row_number() over (partition by site_id order by number, seq) as j from e2 where state = 'not_sure')
-  union all select site_id, 9, i, 'packet-highway-' || i, 'info', 'Capture: ' || obs || ' Vantage: ' || vantage || '; observed ' || {_DT.format(x='tm')} || '.', '/packet-highway?observation=' || obs from (select *, row_number() over (partition by site_id order by tm desc, obs) as i from en where extra)
+  union all select site_id, 9, i, 'supplement-' || i, 'info', 'Capture: ' || obs || ' Vantage: ' || vantage || '; observed ' || {_DT.format(x='tm')} || '.', '/captures?observation=' || obs from (select *, row_number() over (partition by site_id order by tm desc, obs) as i from en where extra)
   union all select site_id, 12, 2 + i, 'provenance-comparison-' || i, 'info', 'Comparison ' || number || ': ' || case when {_HIDE} then 'baseline to current' else base || ' to ' || cur end || '; rule rules-1; ' || n || case when n = 1 then ' event' else ' events' end || '; guardrails ' || case when number % 2 = 0 then 'partial-coverage, stale-data' else 'none' end || '.', '/activity'
     from (select cm.*, row_number() over (partition by cm.site_id order by number) as i, (select count(*) from ev where ev.site_id = cm.site_id and ev.number = cm.number) as n from cm where not skipped)
   union all select site_id, 12, 2 + n_pairs + i, 'provenance-skipped-' || i, 'warning', 'Skipped ' || case when {_HIDE} then 'baseline to current' else base || ' to ' || cur end || ': no common time.', null from (select cm.*, row_number() over (partition by cm.site_id order by number) as i from cm where skipped) join (select site_id, n_pairs from facts) using (site_id))
@@ -374,3 +375,65 @@ select row_number() over (order by risk, n desc, port, protocol)::int as place,
   else coalesce(action || ' (' || port || '/' || protocol || ' on ' || case when n = 1 then h else n || ' hosts' end || ')', 'Block port ' || port || '/' || protocol || ' at perimeter (' || n || ' hosts)') end as action from g left join nt using (port)""")
 def recommended_actions(spark, d):
     return P.recommended(P.risk_group_counts(_risky(spark, d)), dims.port_notes(spark))
+
+
+# reports of a difference
+
+
+def _difference(spark, d):
+    """The runs of the events as parts of a report."""
+    base, current = _open(spark, d, "base"), _risky(spark, d)
+    opened = P.ports_opened(base, current)
+    columns = ("ord", "ip", "port", "protocol", "service", "risk")
+    shaped = lambda rows: rows.select(*[c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    hosts = lambda a, b: b.join(a.select("ip").distinct(), "ip", "left_anti").groupBy("ip").agg(F.min("ord").alias("ord"), F.min_by("hostname", "ord").alias("hostname"))
+    return {
+        "new_hosts": hosts(base, current), "removed_hosts": hosts(current, base), "opened": shaped(opened), "closed": shaped(P.ports_closed(base, current)),
+        "risky": shaped(opened.filter(F.col("risk").isin("P0", "P1"))),
+    }
+
+
+_PARTS = f"""with {_RISKY}, od as (select rk.* from rk where not exists (select 1 from ba y where y.ip = rk.ip and y.protocol = rk.protocol and y.port = rk.port)),
+cd as (select ba.* from ba where not exists (select 1 from op y where y.ip = ba.ip and y.protocol = ba.protocol and y.port = ba.port)),
+nh as (select ip, min(ord) as ord, arg_min(hostname, ord) as hostname from op where ip not in (select ip from ba) group by ip), rh as (select ip, min(ord) as ord, arg_min(hostname, ord) as hostname from ba where ip not in (select ip from op) group by ip),
+ri as (select * from od where risk in ('P0', 'P1')),
+ct as (select (select count(*) from nh) as nh, (select count(*) from rh) as rh, (select count(*) from od) as od, (select count(*) from cd) as cd, (select count(*) from ri) as ri)"""
+_HOST_LINE, _PORT_LINE = "ip || ',' || coalesce(nullif(hostname, ''), 'N/A')", "ip || ',' || port || ',' || protocol || ',' || coalesce(nullif(service, ''), 'unknown')"
+
+
+def _csv_sql() -> str:
+    out = []
+    for k, (title, name, fields, nothing) in enumerate(RP.CSV_SECTIONS, 1):
+        t = {"new_hosts": "nh", "removed_hosts": "rh", "opened": "od", "closed": "cd", "risky": "ri"}[name]
+        line = _HOST_LINE if t in ("nh", "rh") else _PORT_LINE + (" || ',' || coalesce(risk, 'N/A')" if t != "cd" else "")
+        head = ",".join(h for h, _ in fields)
+        some = f"case when {t} > 0 then '{head}' else '{nothing}' end"
+        out.append(f"select {k} as section, unnest([-1, 0, 1])::bigint as place, unnest(['', '{title}', {some}]) as line from ct" + ("" if nothing else f" where {t} > 0"))
+        out.append(f"select {k}, 1 + row_number() over (order by ord, {line}), {line} from {t}")
+    return " union all ".join(out)
+
+
+@query(f"""{_PARTS} select 0 as section, unnest(range(10)) as place, unnest(['# SUMMARY', 'Metric,Value', 'Network,"home, lab"', 'Baseline Scan,a', 'Current Scan,b', 'New Hosts,' || nh, 'Removed Hosts,' || rh, 'Ports Opened,' || od, 'Ports Closed,' || cd, 'Risky Exposures,' || ri]) as line from ct
+union all {_csv_sql()}""")
+def diff_csv(spark, d):
+    return RP.diff_csv(_difference(spark, d), 'home, lab', "a", "b")
+
+
+def _table_sql(section: int, title: str, t: str, columns: str, cells: str) -> str:
+    n = columns.count(",") + 1
+    head = "| " + " | ".join(columns.split(",")) + " |"
+    return f"""select {section}, unnest(case when {t} > 0 then [0, 1, 2, 1152921504606846976] else [0, 1, 1152921504606846976] end)::bigint, unnest(case when {t} > 0 then ['## {title}', '{head}', '|' || repeat('---|', {n}), ''] else ['## {title}', '_(none)_', ''] end) from ct
+union all select {section}, 2 + i, line from (select row_number() over (order by ord, line) as i, line from (select ord, '| ' || {cells} || ' |' as line from {t})) where i <= {RP.TABLE_ROWS}"""
+
+
+_CELLS = "ip || ' | ' || port || ' | ' || protocol || ' | ' || service"
+
+
+@query(f"""{_PARTS} select 0 as section, unnest(range(5)) as place, unnest(['# CHANGES — home', '', '**Run A (baseline):** `a`', '**Run B (new):** `b`', '']) as line
+union all select 1, unnest(range(7)), unnest(['## Summary', '- New hosts: **' || nh || '**', '- Removed hosts: **' || rh || '**', '- Ports opened (new exposures): **' || od || '**', '- Ports closed: **' || cd || '**', '- New risky exposures flagged: **' || ri || '**', '']) from ct
+union all select 2, unnest([0, 1152921504606846976]), unnest(['## New hosts', '']) union all select 2, row_number() over (order by ord, ip), '- ' || ip from nh union all select 2, 1, '- (none)' from ct where nh = 0
+union all select 3, unnest([0, 1152921504606846976]), unnest(['## Removed hosts', '']) union all select 3, row_number() over (order by ord, ip), '- ' || ip from rh union all select 3, 1, '- (none)' from ct where rh = 0
+union all {_table_sql(4, 'Ports opened', 'od', 'ip,port,protocol,service', _CELLS)} union all {_table_sql(5, 'Ports closed', 'cd', 'ip,port,protocol,service', _CELLS)}
+union all {_table_sql(6, 'New risky exposures (P0/P1/P2)', 'ri', 'risk,ip,port,protocol,service', "risk || ' | ' || " + _CELLS)}""")
+def change_report(spark, d):
+    return RP.change_report(_difference(spark, d), "home", "a", "b")

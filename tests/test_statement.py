@@ -37,7 +37,7 @@ def items(rows, site):
 def test_a_quiet_week(rows):
     got = items(rows, "calm")
     assert got["period-title"].text == "Weekly Network Statement" and got["period-title-reason"].severity == "info" and "coverage-title-gap" not in got
-    assert {"stable-no-events", "stable-boundary", "changed-none", "review-none", "responses-none", "packet-highway-none", "action-cadence", "freshness-fresh", "provenance-comparison-1"} <= got.keys()
+    assert {"stable-no-events", "stable-boundary", "changed-none", "review-none", "responses-none", "supplement-none", "action-cadence", "freshness-fresh", "provenance-comparison-1"} <= got.keys()
     assert got["provenance-comparison-1"].reference == "/activity" and "calm-0 to calm-6" in got["provenance-comparison-1"].text
 
 
@@ -55,7 +55,7 @@ def test_limits_events_and_hidden_ids(rows):
 def test_supplements_alone(rows):
     got = items(rows, "tap")
     assert got["coverage-counts"].severity == got["stable-none"].severity == got["action-observe"].severity == "warning"
-    assert got["packet-highway-1"].reference == "/packet-highway?observation=r+1" and "cannot-packet-highway" in got and "Coverage" not in got["coverage-statuses"].text
+    assert got["supplement-1"].reference == "/captures?observation=r+1" and "cannot-supplement" in got and "Coverage" not in got["coverage-statuses"].text
 
 
 def test_every_section_of_every_site_in_order(rows):
