@@ -80,6 +80,26 @@ def supplements(entries: DataFrame, primaries: DataFrame) -> DataFrame:
     return by_site.unionByName(by_name).dropDuplicates(["primary_id", "registry_id"])
 
 
+def supplement_counts(entries: DataFrame, primaries: DataFrame) -> DataFrame:
+    """(primary_id, n_supplements, newest): of each primary the number and the newest of the entries that `supplements` lists, none listed.
+
+    Entries are counted once by site, by network and by both, and a primary
+    looks its three counts up; one site with very many of both costs no pairs.
+    """
+    keyed = lambda rows: rows.withColumns({"_s": F.lower("site_id"), "_n": F.nullif(F.lower(F.trim("network")), F.lit(""))})
+    extra = keyed(entries.filter("supplemental")).select("_s", "_n", "observed_at")
+
+    def counted(*keys: str) -> DataFrame:
+        name = "".join(keys)
+        return extra.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias(f"c{name}"), F.max("observed_at").alias(f"t{name}"))
+
+    rows = keyed(primaries)
+    for keys in (("_s",), ("_n",), ("_s", "_n")):
+        rows = rows.join(counted(*keys), list(keys), "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select("primary_id", (n("c_s") + n("c_n") - n("c_s_n")).alias("n_supplements"), F.greatest("t_s", "t_n").alias("newest"))
+
+
 def activity_status(entries: DataFrame) -> DataFrame:
     """(site, status, n, current_id, baseline_id) of every site: empty without a primary observation, one-observation, no-comparison, or ready with its pair.
 

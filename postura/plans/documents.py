@@ -122,10 +122,21 @@ _ENTRIES = "en as (select o_orderkey as registry_id, 'S' || (o_custkey % 40) as
 @query(f"""with {_ENTRIES}, pr as (select s_suppkey as primary_id, 's' || (s_suppkey % 60) as site_id, 'Net' || (s_suppkey % 100) as network from supplier)
 select distinct primary_id, registry_id, observed_at from pr join en on supplemental and (lower(en.site_id) = lower(pr.site_id) or lower(trim(en.network)) = lower(pr.network))""")
 def supplements(spark, d):
+    return E.supplements(*_entries(spark, d))
+
+
+@query(f"""with {_ENTRIES}, pr as (select s_suppkey as primary_id, 's' || (s_suppkey % 60) as site_id, 'Net' || (s_suppkey % 100) as network from supplier)
+select primary_id, count(registry_id) as n_supplements, max(observed_at) as newest from pr left join en on supplemental and (lower(en.site_id) = lower(pr.site_id) or lower(trim(en.network)) = lower(pr.network)) group by primary_id""")
+def supplement_counts(spark, d):
+    return E.supplement_counts(*_entries(spark, d))
+
+
+def _entries(spark, d):
+    """orders as entries of sites and networks, suppliers as primary observations."""
     k, c, s = F.col("o_orderkey"), (F.col("o_custkey") % 90).cast("string"), F.col("s_suppkey")
     entries = B.read(spark, d, "orders").select(k.alias("registry_id"), F.concat(F.lit("S"), (F.col("o_custkey") % 40).cast("string")).alias("site_id"), F.concat(F.when(k % 3 == 0, " NET").otherwise("net"), c).alias("network"), F.col("o_orderdate").alias("observed_at"), (k % 50 == 0).alias("supplemental"))
     primaries = B.read(spark, d, "supplier").select(s.alias("primary_id"), F.concat(F.lit("s"), (s % 60).cast("string")).alias("site_id"), F.concat(F.lit("Net"), (s % 100).cast("string")).alias("network"))
-    return E.supplements(entries, primaries)
+    return entries, primaries
 
 
 @query(f"""with {B.OBSERVATIONS}, pn as (select *, registry_id % 4 = 1 as supplemental from ob), pm as (select * from pn where not supplemental),

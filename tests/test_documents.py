@@ -101,3 +101,14 @@ def test_unsafe_ids(spark):
     ids = {"nmaprun": "x", "a.pcap global header": "x", "pcapng-global_header": "x", "host:address.addr-1": "x", "port  state??service": "x", "nmapruns": "nmapruns", "my host address": "my-host-address", "/srv/a": "x", "": "x", "a" * 130: "a" * 120}
     got = spark.createDataFrame(list(ids.items()), "i string, want string").select("want", Y.safe_id("i", "x").alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_supplement_counts_equal_the_pairs(spark):
+    shape = "id int, site_id string, network string"
+    sites, names = ["A", "a", "b", None], ["Net", " net ", "other", "", None]
+    rows = spark.createDataFrame([(i, sites[i % 4], names[i % 5]) for i in range(60)], shape)
+    entries = rows.selectExpr("id as registry_id", "site_id", "network", "timestamp_seconds(id) as observed_at", "id % 3 = 0 as supplemental")
+    primaries = rows.filter("id % 3 <> 0").withColumnRenamed("id", "primary_id")
+    pairs = {r.primary_id: (r.n, r.t) for r in E.supplements(entries, primaries).groupBy("primary_id").agg(F.count("*").alias("n"), F.max("observed_at").alias("t")).collect()}
+    for r in E.supplement_counts(entries, primaries).collect():
+        assert (r.n_supplements, r.newest) == pairs.get(r.primary_id, (0, None))
