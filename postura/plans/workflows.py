@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import canonical as K
+from ..operators import capture_devices as CD
 from ..operators import device_keys as D
 from ..operators import findings as P
 from ..operators import identity as I
@@ -437,3 +438,25 @@ union all {_table_sql(4, 'Ports opened', 'od', 'ip,port,protocol,service', _CELL
 union all {_table_sql(6, 'New risky exposures (P0/P1/P2)', 'ri', 'risk,ip,port,protocol,service', "risk || ' | ' || " + _CELLS)}""")
 def change_report(spark, d):
     return RP.change_report(_difference(spark, d), "home", "a", "b")
+
+
+# devices of a capture
+
+
+@query(r"""with x as (select c_custkey as k, case when c_custkey % 4 = 0 then null when c_custkey % 4 = 1 then '' else 'AA:' || c_custkey end as mac, case when c_custkey % 3 = 0 then c_mktsegment end as vendor, case when c_custkey % 5 = 0 then []::varchar[] else ['10.0.0.' || (c_custkey % 250), 'fe80::' || c_custkey] end as ips from customer),
+y as (select *, nullif(mac, '') as m, '{"id":' || to_json(k || '/' || coalesce(vendor, '')) || ',"ips":' || to_json(ips) || ',"mac":' || coalesce('"' || nullif(mac, '') || '"', 'null') || '}' as seed from x),
+e as (select k, i, unnest(list_concat(list_transform(ips, lambda v: 'ip-address|' || v), case when m is null then [] else ['mac-address|' || m] end, case when vendor is null then [] else ['vendor|' || vendor] end)) as v from y, (select 1 as i))
+select k, 'dev-ph-' || substr(sha256(seed), 1, 12) as device_id, coalesce((select string_agg('ev-ph-' || substr(sha256(v), 1, 12), ',' order by v) from e where e.k = y.k), '') as evidence, 0::bigint as n_ports, 'guest seen in traffic only, ' || (k % 100 + 7) || ' packets' as note,
+  case k % 3 when 0 then true when 1 then k % 2 = 0 else false end as supplement from y""")
+def capture_devices(spark, d):
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    cat = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    vendor = F.when(k % 3 == 0, F.col("c_mktsegment"))
+    devices = B.read(spark, d, "customer").select(
+        "c_custkey", cat(k, "/", F.coalesce(vendor, F.lit(""))).alias("id"), F.when(k % 4 == 0, none).when(k % 4 == 1, "").otherwise(cat("AA:", k)).alias("mac"), vendor.alias("vendor"), F.lit("guest").alias("role"),
+        F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(cat("10.0.0.", k % 250), cat("fe80::", k), none)).alias("ips"), (k % 100).alias("packets_sent"), F.lit(7).alias("packets_received"), none.alias("first_seen"), none.alias("last_seen"), none.alias("observed_start"), none.alias("observed_end"))
+    kinds, vantage = F.when(k % 3 == 0, F.array(F.lit("scan"), F.lit("capture"))), F.when((k % 3 == 1) & (k % 2 == 0), "capture-tap").when(k % 3 == 1, "scan")
+    extra = B.read(spark, d, "customer").select("c_custkey", CD.is_supplement(kinds, vantage, "capture", "capture-").alias("supplement"))
+    ids = F.transform(F.array_sort(F.transform("evidence", lambda e: F.struct(F.concat_ws("|", e["kind"], e["value"]).alias("v"), e["evidence_id"].alias("i")))), lambda x: x["i"])
+    rows = CD.observed_devices(devices, keep=("c_custkey",)).join(extra, "c_custkey")
+    return rows.select(F.col("c_custkey").alias("k"), "device_id", F.array_join(ids, ",").alias("evidence"), F.size("open_ports").cast("long").alias("n_ports"), "note", "supplement")
