@@ -60,15 +60,17 @@ def ip_order(c: Column | str) -> Column:
 
 
 def mask_ip(c: Column | str) -> Column:
-    """First two octets only."""
-    parts = F.split(col(c), r"\.")
-    return F.when(is_ipv4(c), F.concat_ws(".", parts[0], parts[1], F.lit("x"), F.lit("x"))).otherwise(F.lit("hidden"))
+    """First two octets, or the first part of an address with colons; another text as it is."""
+    parts, at = F.split(col(c), r"\."), F.instr(col(c), ":")
+    four = F.when(F.size(parts) == 4, F.concat_ws(".", parts[0], parts[1], F.lit("•"), F.lit("•"))).otherwise(col(c))
+    return F.when(col(c).contains("."), four).when(at > 1, F.concat(F.substring_index(col(c), ":", 1), F.lit(":…"))).otherwise(col(c))
 
 
 def mask_mac(c: Column | str) -> Column:
-    """Vendor half only."""
-    parts = F.split(mac(c), ":")
-    return F.when(mac(c).isNotNull(), F.concat_ws(":", parts[0], parts[1], parts[2], F.lit("xx"), F.lit("xx"), F.lit("xx"))).otherwise(F.lit("hidden"))
+    """Vendor half only; a dash for none, dots for what has not six parts."""
+    parts = F.split(col(c), ":")
+    half = F.concat_ws(":", parts[0], parts[1], parts[2], F.lit("••"), F.lit("••"), F.lit("••"))
+    return F.when(F.coalesce(col(c), F.lit("")) == "", "—").when(F.size(parts) == 6, half).otherwise("…")
 
 
 def domain_summary(c: Column | str) -> Column:

@@ -571,11 +571,15 @@ def domain_summary(spark, d):
     return B.read(spark, d, "pages").select("page_id", S.domain_summary(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("domain"))
 
 
-@query("""with x as (select c_custkey, lpad(to_hex(c_custkey * 7919), 12, '0') as m, (c_custkey % 300) || '.' || (c_custkey % 256) || '.0.' || (c_custkey % 250) as ip from customer), v as (select *, c_custkey % 300 <= 255 as ok, array_to_string([upper(m[1:2]), upper(m[3:4]), upper(m[5:6])], ':') as half from x)
-select c_custkey, half || ':xx:xx:xx' as masked_mac, case when ok then (c_custkey % 300) || '.' || (c_custkey % 256) || '.x.x' else 'hidden' end as masked_ip from v""")
+@query("""with x as (select c_custkey, c_custkey % 5 as n, lpad(to_hex(c_custkey * 7919), 12, '0') as m from customer)
+select c_custkey, case n when 0 then '—' when 1 then '…' else m[1:2] || ':' || m[3:4] || ':' || m[5:6] || ':••:••:••' end as masked_mac,
+  case n when 0 then (c_custkey % 300) || '.' || (c_custkey % 256) || '.•.•' when 1 then 'fe80:…' when 2 then 'host.' || c_custkey when 3 then '::' || c_custkey else 'node' || c_custkey end as masked_ip from x""")
 def mask_identifiers(spark, d):
     k = F.col("c_custkey")
-    rows = B.read(spark, d, "customer").select(k, F.lpad(F.hex(k * 7919), 12, "0").alias("m"), F.concat_ws(".", k % 300, k % 256, F.lit("0"), k % 250).alias("ip"))
+    n, text = k % 5, k.cast("string")
+    pairs = F.regexp_replace(F.lpad(F.lower(F.hex(k * 7919)), 12, "0"), "(..)(?=.)", "$1:")
+    ip = F.when(n == 0, F.concat_ws(".", k % 300, k % 256, F.lit("0"), k % 250)).when(n == 1, F.concat(F.lit("fe80::"), text)).when(n == 2, F.concat(F.lit("host."), text)).when(n == 3, F.concat(F.lit("::"), text)).otherwise(F.concat(F.lit("node"), text))
+    rows = B.read(spark, d, "customer").select(k, F.when(n == 0, "").when(n == 1, F.concat(F.lit("m:"), text)).otherwise(pairs).alias("m"), ip.alias("ip"))
     return rows.select("c_custkey", S.mask_mac("m").alias("masked_mac"), S.mask_ip("ip").alias("masked_ip"))
 
 

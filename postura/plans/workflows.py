@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import canonical as K
+from ..functions import labels as LB
 from ..operators import capture_devices as CD
 from ..operators import device_keys as D
 from ..operators import findings as P
@@ -460,3 +461,35 @@ def capture_devices(spark, d):
     ids = F.transform(F.array_sort(F.transform("evidence", lambda e: F.struct(F.concat_ws("|", e["kind"], e["value"]).alias("v"), e["evidence_id"].alias("i")))), lambda x: x["i"])
     rows = CD.observed_devices(devices, keep=("c_custkey",)).join(extra, "c_custkey")
     return rows.select(F.col("c_custkey").alias("k"), "device_id", F.array_join(ids, ",").alias("evidence"), F.size("open_ports").cast("long").alias("n_ports"), "note", "supplement")
+
+
+# what readers see
+
+
+@query("""with p as (select page_id, url, '/' || array_to_string(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), '/') as path from pages)
+select page_id, case when page_id % 3 = 0 then '/observations?' || page_id when page_id % 3 = 1 and not regexp_matches(url, '[^A-Za-z0-9._~:/?#@!$&()*+,;=%-]') then '/captures/' || url else '#' end as link,
+  case when page_id % 2 = 0 then 'a/' || page_id || '.xml' else page_id || '.xml' end as path, page_id || case when page_id = 1 then ' page' else ' pages' end as n, case when page_id = 1 then 'was' else 'were' end as verb,
+  case when page_id % 4 = 0 then 'Printer ' || page_id when page_id % 4 = 1 then 'h' || page_id end as name from p where page_id < 1000
+union all select page_id, case when page_id % 3 = 0 then '/observations?' || page_id when page_id % 3 = 1 and not regexp_matches(url, '[^A-Za-z0-9._~:/?#@!$&()*+,;=%-]') then '/captures/' || url else '#' end,
+  case when page_id % 2 = 0 then 'a/' || page_id || '.xml' else page_id || '.xml' end, format('{:,}', page_id) || ' pages', 'were', case when page_id % 4 = 0 then 'Printer ' || page_id when page_id % 4 = 1 then 'h' || page_id end from p where page_id >= 1000""")
+def page_labels(spark, d):
+    k, t = F.col("page_id"), F.col("page_id").cast("string")
+    cat = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    link = F.when(k % 3 == 0, cat("/observations?", t)).when(k % 3 == 1, cat("/captures/", F.col("url"))).otherwise(F.col("url"))
+    path = F.when(k % 2 == 0, cat("/srv//data/a/", t, ".xml")).otherwise(cat("/srv/data/../x/", t, ".xml"))
+    device, hosts = F.when(k % 4 == 0, cat("  Printer ", t)), F.when(k % 4 == 1, cat("h", t, "; other")).when(k % 4 == 2, "")
+    return B.read(spark, d, "pages").select("page_id", LB.safe_link(link).alias("link"), LB.client_path(path, "/srv/data").alias("path"), LB.count_noun("page_id", "page").alias("n"), LB.was_were("page_id").alias("verb"), LB.inventory_name(device, hosts).alias("name"))
+
+
+@query(f"""with {B.PACKETS}, n as (select distinct src_ip as node from p union select 'broadcast' union select 'gone'),
+dv as (select 's' || s_suppkey as id, case when s_suppkey % 3 = 0 then s_name else '' end as name, case when s_suppkey % 7 = 0 then 'gateway' else 'device' end as role, case when s_suppkey % 2 = 0 then 'aa:bb:cc:00:' || s_suppkey end as mac from supplier),
+ep as (select 'p' || p_partkey as id, case when p_partkey % 4 = 0 then 'fe80::' || p_partkey else '198.51.' || p_partkey || '.9' end as ip, p_partkey % 97 = 0 as agg from part)
+select node, case when node = 'broadcast' then 'Everyone (broadcast)' when dv.id is not null then coalesce(nullif(name, ''), case when role = 'gateway' then 'Router / Gateway' end, 'Device …' || mac[-5:], 'Unidentified device')
+  when ep.id is not null then case when agg then 'Other internet endpoints ' || ip when ip like 'fe80%' then 'fe80:…' else '198.51.•.•' end else 'Unknown' end as label from n left join dv on dv.id = node left join ep on ep.id = node""")
+def node_labels(spark, d):
+    nodes = B.packets(spark, d).select(F.col("src_ip").alias("node")).unionByName(spark.createDataFrame([("broadcast",), ("gone",)], "node string")).distinct()
+    s, p = F.col("s_suppkey"), F.col("p_partkey")
+    cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    devices = B.read(spark, d, "supplier").select(cat("s", s).alias("id"), F.when(s % 3 == 0, F.col("s_name")).otherwise("").alias("name"), F.when(s % 7 == 0, "gateway").otherwise("device").alias("role"), F.when(s % 2 == 0, cat("aa:bb:cc:00:", s)).alias("mac"))
+    ends = B.read(spark, d, "part").select(cat("p", p).alias("id"), F.when(p % 4 == 0, cat("fe80::", p)).otherwise(cat("198.51.", p, ".9")).alias("ip"), (p % 97 == 0).alias("is_aggregate"))
+    return LB.node_labels(nodes, devices, ends)
