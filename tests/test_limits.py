@@ -69,3 +69,9 @@ def test_places_over_parts(spark):
     for g, _, place in got:
         seen[g] = seen.get(g, 0) + 1
         assert place == seen[g]
+
+
+def test_rows_without_a_group_are_one(spark):
+    rows = spark.range(600).select(F.when(F.col("id") >= 500, "g").alias("g"), "id")
+    got = places.placed(rows, "g", ["id"]).collect()
+    assert all(r.place == (r.id + 1 if r.g is None else r.id - 499) for r in got) and len(got) == 600
