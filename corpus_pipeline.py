@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written
 as Parquet and read again for the next one.  All but the last keep the
-columns of documents.
+columns of documents, whatever their names.
+
+Defined results: a null or empty text fails the quality rules and goes; rows
+with a null id are kept or dropped by their texts alone, a class of near copies
+keeps the row of the least id and a null one only if it has no other; repeated
+rows are copies of each other, so one stays; ties: of rows of one id and text any
+one, they are the same; very long texts go through whole, in one task each; an
+empty table gives an empty result of every stage, and an empty benchmark leaves
+all documents in.
 """
 
 from __future__ import annotations
