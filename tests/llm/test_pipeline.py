@@ -5,6 +5,7 @@ from postura.llm import quality
 from postura.llm.common import saved
 from postura.llm.packing import default_path
 
+from . import cases
 from .test_decontaminate import brute as leaks
 from .test_minhash import brute as classes
 
@@ -38,3 +39,20 @@ def test_stages_against_brute_force(spark):
             assert total == {r.doc_id: len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in before}
         if name != "best_fit_packing":
             assert docs.columns == columns
+
+
+def test_empty_tables_and_odd_rows(spark, tmp_path):
+    odd = cases.frame(spark).withColumnsRenamed({"score": "_dc_found", "n_words": "salt"})
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs, d in ((odd.limit(0), D), (odd, str(tmp_path))):
+        columns, empty = docs.columns, docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs
+            docs = saved(stage(spark, docs, d), name)
+            assert docs.isEmpty() == empty
+            if name != "best_fit_packing":
+                assert docs.columns == columns
+            if name == "quality_rules":
+                assert docs.filter("text is null or text = ''").isEmpty()
+            if name == "decontamination" and d != D:
+                assert docs.count() == before.count()
