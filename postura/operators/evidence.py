@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col, identity_text, mac
 from .observations import latest_valid_pair
+from .pairs import sharing
 
 # Most evidence and ports that a device's record holds.
 MAX_EVIDENCE, MAX_PORTS = 40, 256
@@ -70,14 +71,16 @@ def supplements(entries: DataFrame, primaries: DataFrame) -> DataFrame:
     """(primary_id, registry_id, observed_at): supplemental entries of the same site, or of a network of the same name.
 
     entries: (registry_id, site_id, network, observed_at, supplemental);
-    primaries: (primary_id, site_id, network).  Two joins by equal keys, each
-    pair once.
+    primaries: (primary_id, site_id, network).  Sites and names are keys of
+    one join that makes each pair once, so only the two tables are shuffled;
+    of an entry told twice the later time counts.
     """
-    extra = entries.filter("supplemental").select("registry_id", "observed_at", F.lower("site_id").alias("_s"), F.lower(F.trim("network")).alias("_n"))
-    own = primaries.select("primary_id", F.lower("site_id").alias("_s"), F.lower(F.trim("network")).alias("_n"))
-    by_site = own.drop("_n").join(extra.drop("_n"), "_s").drop("_s")
-    by_name = own.drop("_s").filter(F.col("_n") != "").join(extra.drop("_s"), "_n").drop("_n")
-    return by_site.unionByName(by_name).dropDuplicates(["primary_id", "registry_id"])
+    mark = lambda m, c: F.concat(F.lit(m), c)
+    keys = F.array_compact(F.array(mark("s", F.lower("site_id")), mark("n", F.nullif(F.lower(F.trim("network")), F.lit(""))))).alias("k")
+    held = lambda name: F.array_distinct(F.flatten(F.collect_list("k"))).alias(name)
+    extra = entries.filter("supplemental").select("registry_id", "observed_at", keys).groupBy("registry_id").agg(F.max("observed_at").alias("observed_at"), held("_extra"))
+    own = primaries.select("primary_id", keys).groupBy("primary_id").agg(held("_own"))
+    return sharing(own, extra, "_own", "_extra").select("primary_id", "registry_id", "observed_at")
 
 
 def supplement_counts(entries: DataFrame, primaries: DataFrame) -> DataFrame:
