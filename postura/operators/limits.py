@@ -23,12 +23,14 @@ TOLD = ("flow", "endpoint", "name")
 def first_packets(packets: DataFrame, most: int = MAX_PACKETS) -> DataFrame:
     """packets up to the most-th of each capture, of any number of captures and any length.
 
-    Only captures with more are ranked, by places over range-dealt parts.
+    Only captures with more are ranked, by places over range-dealt parts.  They
+    and their ends, a row for `most` packets at the least, are sent to all, so
+    no capture's packets meet in one task.
     """
-    long = packets.groupBy("capture").count().filter(F.col("count") > most).select("capture")
+    long = F.broadcast(packets.groupBy("capture").count().filter(F.col("count") > most).select("capture"))
     ranked = placed(packets.select("capture", "ord").join(long, "capture", "left_semi"), "capture", ["ord"])
     cut = ranked.filter(F.col("place") == most).select("capture", F.col("ord").alias("_cut"))
-    return packets.join(cut, "capture", "left").filter(F.col("_cut").isNull() | (F.col("ord") <= F.col("_cut"))).drop("_cut")
+    return packets.join(F.broadcast(cut), "capture", "left").filter(F.col("_cut").isNull() | (F.col("ord") <= F.col("_cut"))).drop("_cut")
 
 
 def key_uses(packets: DataFrame) -> DataFrame:
@@ -47,14 +49,15 @@ def tracked_keys(packets: DataFrame, limits: dict[str, int] | None = None) -> Da
     """(capture, kind, k, uses, tracked): a row a key; tracked are the first to appear.
 
     All kinds go through one aggregation; a key's rank is only taken among the
-    first of its kind, and what stands beyond is told by the last one's place.
+    first of its kind, and what stands beyond is told by the last one's place,
+    a row a kind of a capture with so many keys that is sent to all.
     """
     limits = LIMITS if limits is None else limits
     keys = key_uses(packets).groupBy("capture", "kind", "k").agg(F.min("seq").alias("first"), F.count("*").alias("uses"))
     most = F.create_map(*[x for kind, n in limits.items() for x in (F.lit(kind), F.lit(n))])
     ranked = keys.withColumn("place", F.row_number().over(Window.partitionBy("capture", "kind").orderBy("first", "k"))).filter(F.col("place") <= max(limits.values()))
     cut = ranked.filter(F.col("place") == F.try_element_at(most, F.col("kind"))).select("capture", "kind", F.struct("first", "k").alias("_cut"))
-    return keys.join(cut, ["capture", "kind"], "left").select("capture", "kind", "k", "uses", F.coalesce(F.struct("first", "k") <= F.col("_cut"), F.lit(True)).alias("tracked"))
+    return keys.join(F.broadcast(cut), ["capture", "kind"], "left").select("capture", "kind", "k", "uses", F.coalesce(F.struct("first", "k") <= F.col("_cut"), F.lit(True)).alias("tracked"))
 
 
 def limit_counts(packets: DataFrame, most: int = MAX_PACKETS, limits: dict[str, int] | None = None) -> DataFrame:
