@@ -52,7 +52,9 @@ def _bundles(spark, d):
         F.lit('  ","/etc/x"],"openPorts":[{"port":'), (k % 3 * 40000).cast("string"), F.lit(',"sourceId":"s1","service":"web"},{"port":22,"sourceId":"s9"},{"port":"80","sourceId":"s1"},{"port":53,"sourceId":"s2","protocol":"udp"}],'),
         F.lit('"identityEvidence":[{"kind":"hostname","value":"h'), n, F.lit('","sourceId":"s1","confidence":"sure"},{"kind":"colour","value":"red","sourceId":"s1"}]}'))
     text = F.concat(F.lit('{"schemaVersion":"x.observation-bundle.v'), F.when(k % 9 == 0, "2").otherwise("1"), F.lit('","observationId":"obs/'), n, F.lit('","site":{"siteId":"site-'), (k % 50).cast("string"), F.lit('","networkName":'), F.when(k % 2 == 0, F.concat(F.lit('"Net '), (k % 50).cast("string"), F.lit('"'))).otherwise("5"), F.lit("},"), F.lit(_PARTS), F.lit(',"devices":['), device, F.lit(",null]}"))
-    return D.bundles(B.read(spark, d, "customer").select("c_custkey", text.alias("json")))
+    # a short key becomes a long document, so the keys are dealt to all cores before
+    customers = B.read(spark, d, "customer").select("c_custkey").repartition(8 * spark.sparkContext.defaultParallelism)
+    return D.bundles(customers.select("c_custkey", text.alias("json")))
 
 
 @query("""select c_custkey, case when c_custkey % 9 = 0 then 'not a bundle' end as error, case when c_custkey % 9 <> 0 then 'obs-' || c_custkey end as observation_id, case when c_custkey % 9 <> 0 then 'site-' || (c_custkey % 50) end as site_id,
