@@ -16,7 +16,7 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
 def _star(edges: DataFrame) -> DataFrame:
     """Edges with m, the least neighbour of their a."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return edges.join(least, "a")
+    return edges.join(least.hint("merge"), "a")
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,7 +24,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each step is a combinable minimum and an equi-join, written to the shared
     folder to cut the lineage, so a hub with very many edges is split like any
-    skewed key.  The number of steps is logarithmic in the size of a component.
+    skewed key; no table of nodes is sent to the driver.  The number of steps is logarithmic in the size of a component.
     Null ends and edges from a node to itself are left out.
     """
     edges = saved(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
