@@ -59,3 +59,29 @@ def test_each_uncertain_pair_is_an_event(spark):
     told = C.activity_events(events, subjects, responses).collect()
     assert len(told) == len({r.event_id for r in told}) == 9 and {(r.state, r.carried, r.priority) for r in told} == {(None, False, "normal")}
     assert "group by all union all select pair_id, null" not in entry.oracle_sql()["comparison_events"]
+
+
+def test_ordered_events_are_sorted_before_they_are_pairs(spark, monkeypatch):
+    """The order of event_order, devices of several, repeated and shared keys; small chunks and batches."""
+    monkeypatch.setattr(R, "CHUNK", 2)
+    monkeypatch.setattr(R, "BATCH", 3)
+    rng = random.Random(7)
+    shape = "pair_id long, device_id string, ids array<string>, macs array<string>, hashed array<string>, names array<string>, ips array<string>"
+    some = lambda p, n: [rng.choice([None, *(f"{p}{k}" for k in range(n))]) for _ in range(rng.randrange(4))]
+    side = lambda p: spark.createDataFrame([(k % 3, f"{p}{k % 60}\u00e9" if k % 7 else f"{p}{k % 60}", some("i", 90), some("m", 60), [], some("h", 4), some("a", 9)) for k in range(66)], shape)
+    base, current = side("b"), side("c")
+    ports = lambda d: d.select("pair_id", "device_id", F.lit(0).alias("pos"), F.lit("tcp").alias("protocol"), F.size("macs").alias("port"), F.lit("s").alias("service"))
+    snap = spark.createDataFrame([("x", None, False, "complete", ["ports"], [])], "obs_id string, observed_at timestamp, partial boolean, status string, present array<string>, missing array<string>")
+    covered = C.pair_coverage(spark.createDataFrame([(k, "x", "x") for k in range(3)], "pair_id long, base_obs string, current_obs string"), C.coverage_snapshots(snap))
+    args = (base, current, ports(base), ports(current), covered)
+    events = C.change_events(*args)
+    want = [tuple(r) for r in C.event_order(events).select(*sorted(events.columns)).collect()]
+    found = C.ordered_events(*args)
+    got = [tuple(r) for r in found.select(*sorted(events.columns)).collect()]
+    assert len(want) > 100 and got == want and found.columns == events.columns
+    assert {r.event_type for r in found.select("event_type").distinct().collect()} >= {C.UNCERTAIN, "new-device-observed", "important-device-metadata-changed"}
+
+
+def test_comparison_events_sorts_no_pairs(spark):
+    """Range-dealing the events for their order would shuffle the pairs."""
+    assert "rangepartitioning" not in _plan(entry.queries()["comparison_events"](spark, "/root/testdata/sf0.001"))
